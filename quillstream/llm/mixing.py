@@ -78,7 +78,7 @@ _SCHEMA = "doc_id long, key long, occ int, source string, size long, whole int,
 
 
 def _node(seed: int):
-    def f(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def f(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "key", "occ"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
         first = pdf.iloc[0]
         rng = np.random.default_rng([seed, int(first["key"]) & 0xFFFFFFFF, len(pdf), int(first["leaves"])])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_lines, url_filter, warc
+from . import exact_dedup, mixing, ngram_join, packing, quality_lines, url_filter, warc
 
 MODULES = {
     "op1_warc": warc,
     "op3_mixing": mixing,
     "op5_exact_dedup": exact_dedup,
+    "op6_ngram_join": ngram_join,
+    "op7_packing": packing,
     "op8_url_filter": url_filter,
     "op10_quality_lines": quality_lines,
 }
