@@ -48,32 +48,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """bytes.split() without arguments cuts at exactly the blanks that WORD excludes."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-def lower_words_of(text: str | None) -> list[bytes]:
-    """As words_of, A-Z lower-cased: bytes.lower() touches ASCII letters only."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-class HashOf(dict):
-    """word -> 64-bit hash, remembered; cleared when it has grown past a fixed size."""
-
-    def __init__(self, seed: int = 0, most: int = 400_000):
-        super().__init__()
-        import xxhash
-
-        self._hash, self._seed, self._most = xxhash.xxh3_64_intdigest, seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self._most:
-            self.clear()
-        h = self[word] = self._hash(word, self._seed)
-        return h
-
-
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -93,19 +67,78 @@ def windows5(h: np.ndarray, width: int = 5) -> np.ndarray:
     return mix(out)
 
 
-def shingle_set(words: list[bytes], hashes: HashOf, width: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes; fewer words than `width` make one shingle, none make an empty set."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) < width:
-        whole = np.uint64(len(h))
-        with np.errstate(over="ignore"):
-            for x in h:
-                whole = (whole * _M1) ^ x
-                whole ^= whole >> np.uint64(32)
-        return mix(np.array([whole], np.uint64))
-    return np.unique(windows5(h, width))
+#: Bytes whose words are hashed at once; a longer text is one piece of its own.
+_CHUNK = 1 << 18
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS)] = True
+_BYTES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+_LOWER = _BYTES.copy()
+_LOWER[65:91] = _BYTES[97:123]
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of an odd number and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(_CHUNK, n) + 1
+        base = 0x9E3779B97F4A7C15
+        _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def hashed_words(col: pa.Array, lower: bool):
+    """For each run of rows of an Arrow string column: (rows in it, hashes of all their words, first word of each row).
+
+    Words are hashed from the column's own bytes, a run of rows at a time: a prefix sum of byte codes times powers
+    gives every word's polynomial hash by one subtraction. lower: A-Z counts as a-z.
+    """
+    if col.null_count:
+        col = col.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    offsets = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.empty(0, np.uint8)
+    code, i = _LOWER if lower else _BYTES, 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, side="right")) - 1)
+        piece, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        n = len(piece)
+        if not n:
+            yield j - i, np.empty(0, np.uint64), np.zeros(j - i + 1, np.int64)
+            i = j
+            continue
+        ink = ~_BLANK[piece]
+        start, end, edge = ink.copy(), ink.copy(), at[(at > 0) & (at < n)]
+        start[1:] &= ~ink[:-1]
+        start[edge] = ink[edge]
+        end[:-1] &= ~ink[1:]
+        end[edge - 1] = ink[edge - 1]
+        starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+        power, inverse = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(code[piece] * power[:n], out=sums[1:])
+        h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _M1)
+        yield j - i, h, np.searchsorted(starts, at)
+        i = j
+
+
+def shingle_sets(col: pa.Array, width: int = 5):
+    """Per row: sorted distinct hashes of its lower-cased shingles; fewer words than `width` make one, none make none."""
+    for rows, h, first in hashed_words(col, True):
+        w = windows5(h, width) if len(h) >= width else None
+        for k in range(rows):
+            a, b = int(first[k]), int(first[k + 1])
+            if b - a >= width:
+                s = np.sort(w[a : b - width + 1])
+                yield s[np.append(True, s[1:] != s[:-1])]
+            elif b > a:
+                whole = np.uint64(b - a)
+                with np.errstate(over="ignore"):
+                    for x in h[a:b]:
+                        whole = (whole * _M1) ^ x
+                        whole ^= whole >> np.uint64(32)
+                yield mix(np.array([whole], np.uint64))
+            else:
+                yield np.empty(0, np.uint64)
 
 
 def batches(it: Iterator[pa.RecordBatch], schema: pa.Schema, f) -> Iterator[pa.RecordBatch]:

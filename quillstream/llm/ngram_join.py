@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HashOf, batches, components, durable, lower_words_of, release, shingle_set, table
+from .common import batches, components, durable, release, shingle_sets, table
 
 WIDTH, PERCENT = 5, 75
 BANDS, BINS = 8, 32
@@ -38,7 +38,9 @@ GROUP = 64
 #: is right; a table of bounded size only decides how many candidates it leaves.
 FREQUENT, LEAST_DF = 1 << 20, 8
 #: Tokens of a block of counts or postings, about; there are as many blocks as that needs.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
+#: Up to so many sets that await verification are sent to the texts; more meet them in a shuffle.
+BROADCAST_SETS = 500_000
 #: Sets with a frequent token beyond this count leave the packed postings one by one, salted.
 HOT = 1 << 15
 
@@ -64,12 +66,9 @@ def bands_of(tokens: np.ndarray) -> list[int]:
 
 def _sets(width: int):
     def run(it):
-        hashes = HashOf()
-
         def f(cols):
             out = {n: [] for n in _SETS.names}
-            for doc, text in zip(cols["doc_id"].to_pylist(), cols["text"].to_pylist()):
-                s = shingle_set(lower_words_of(text), hashes, width)
+            for doc, s in zip(cols["doc_id"].to_pylist(), shingle_sets(cols["text"], width)):
                 out["doc_id"].append(doc)
                 out["n"].append(len(s))
                 out["sid"].append(digest(s) if len(s) else None)
@@ -113,10 +112,9 @@ def _emit(rows):
 
 def _distinct_sets(it, width: int):
     """Sets of a task, equal ones once."""
-    hashes, seen = HashOf(), set()
+    seen = set()
     for b in it:
-        for text in b.column(0).to_pylist():
-            s = shingle_set(lower_words_of(text), hashes, width)
+        for s in shingle_sets(b.column(0), width):
             if len(s) and (sid := digest(s)) not in seen:
                 seen.add(sid)
                 yield s, sid
@@ -249,11 +247,9 @@ def _tokens(width: int):
     schema = pa.schema([("sid", pa.binary()), ("tokens", pa.binary())])
 
     def run(it):
-        hashes = HashOf()
         for b in it:
             out = {"sid": [], "tokens": []}
-            for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingle_set(lower_words_of(text), hashes, width)
+            for s, want in zip(shingle_sets(b.column(0), width), b.column(1).to_pylist()):
                 if digest(s) == want:
                     out["sid"].append(want)
                     out["tokens"].append(s.tobytes())
@@ -267,8 +263,10 @@ def links(docs: DataFrame, classes: DataFrame, members: DataFrame, queries: Data
 
     every: all links of a query with a group, else one suffices as the group's members are connected already.
     """
-    wanted = members.select("sid").unionByName(queries.select("sid")).distinct().join(classes.select("sid", "rep"), "sid")
-    texts = docs.join(wanted.select("sid", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid")
+    wanted = durable(members.select("sid").unionByName(queries.select("sid")).distinct().join(classes.select("sid", "rep"), "sid").select("sid", "rep"))
+    if wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid")
     tokens = texts.mapInArrow(_tokens(width), "sid binary, tokens binary")
     tokens = durable(tokens)
     left, right = (x.join(tokens, "sid").select("gid", "sid", "tokens").toDF("gid", "sid", "tokens") for x in (members, queries))
