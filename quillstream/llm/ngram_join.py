@@ -8,8 +8,9 @@ of the first |x| - ceil(t|x|) + 1 tokens of either, in any order common to all s
 
 Steps, none of which emits the pairs within a group of similar sets:
 1. sets: one narrow row per document; equal sets collapse to one class.
-2. groups: classes that share a min-hash band form stars; each star is cut into groups of about GROUP
-   members, and the star's centre is verified against them. Connected classes form a cluster.
+2. groups: connected classes form a cluster, cut into groups of about GROUP members. Clusters grow in a few
+   rounds: of the clusters that share a min-hash band the largest leads, and members of the others query one
+   group of it. This only shapes the groups; whatever it misses the next steps find.
 3. postings: tokens of each set's prefix, rare shingles first, packed into binary blocks by token range.
    Only tokens found in two clusters or more leave, as (token, cluster) after map-side aggregation.
 4. matrix: clusters that share a prefix token, and whose sizes and positions allow a link, are candidates.
@@ -32,8 +33,10 @@ from .common import batches, components, durable, release, shingle_sets, table
 
 WIDTH, PERCENT = 5, 75
 BANDS, BINS = 8, 32
-#: Members of a group, about.
-GROUP = 64
+#: Members of a group, about, and queries that a task holds against it.
+GROUP, QUERIES = 64, 256
+#: Rounds of growing clusters, at most.
+ROUNDS = 3
 #: The most frequent shingles that the order of tokens knows, over all blocks: a table of 12 bytes each. Any order
 #: is right; a table of bounded size only decides how many candidates it leaves.
 FREQUENT, LEAST_DF = 1 << 20, 8
@@ -126,7 +129,7 @@ def _count(width: int, blocks: int):
 
         def flush():
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            yield from _emit(_packed(blocks, values, times.astype(np.uint32)))
+            yield from _emit(_packed(blocks, values, *((times >> 8 * k & 255).astype(np.uint8) for k in range(4))))
 
         for s, _ in _distinct_sets(it, width):
             held.append(s)
@@ -147,10 +150,10 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _tally(most: int):
     def f(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpacked(x, np.uint32) for x in pdf["blob"]]
-        token, times = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        parts = [_unpacked(x, *[np.uint8] * 4) for x in pdf["blob"]]
+        token, times = np.concatenate([p[0] for p in parts]), np.concatenate([sum(p[1 + k].astype(np.int64) << 8 * k for k in range(4)) for p in parts])
         order = np.argsort(token, kind="stable")
-        token, times = token[order], times[order].astype(np.int64)
+        token, times = token[order], times[order]
         start, _ = _runs(token)
         total = np.add.reduceat(times, start)
         keep = np.flatnonzero(total >= LEAST_DF)
@@ -244,55 +247,78 @@ def _meet(blocks: int):
 
 def _tokens(width: int):
     """The tokens of the sets that are wanted, from the texts of their documents."""
-    schema = pa.schema([("sid", pa.binary()), ("tokens", pa.binary())])
+    schema = pa.schema([("gid", pa.binary()), ("asks", pa.bool_()), ("sid", pa.binary()), ("tokens", pa.binary())])
 
     def run(it):
         for b in it:
-            out = {"sid": [], "tokens": []}
-            for s, want in zip(shingle_sets(b.column(0), width), b.column(1).to_pylist()):
-                if digest(s) == want:
-                    out["sid"].append(want)
-                    out["tokens"].append(s.tobytes())
+            out = {n: [] for n in schema.names}
+            text, want = b.column(0), b.column(1).to_pylist()
+            # rows of one document stand together: its tokens are made once
+            new = [k for k in range(len(want)) if not k or want[k] != want[k - 1]]
+            sets = shingle_sets(text.take(pa.array(new, pa.int64())), width)
+            made, fits = b"", False
+            for k, (sid, gid, asks) in enumerate(zip(want, b.column(2).to_pylist(), b.column(3).to_pylist())):
+                if not k or sid != want[k - 1]:
+                    made = next(sets)
+                    fits, made = digest(made) == sid, made.tobytes()
+                if fits:
+                    for n, v in zip(schema.names, (gid, asks, sid, made)):
+                        out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
-def links(docs: DataFrame, classes: DataFrame, members: DataFrame, queries: DataFrame, width: int, percent: int, every: bool) -> DataFrame:
-    """a, b: verified links of queries (gid, sid) with members (gid, sid) of their groups.
-
-    every: all links of a query with a group, else one suffices as the group's members are connected already.
-    """
-    wanted = durable(members.select("sid").unionByName(queries.select("sid")).distinct().join(classes.select("sid", "rep"), "sid").select("sid", "rep"))
-    if wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid")
-    tokens = texts.mapInArrow(_tokens(width), "sid binary, tokens binary")
-    tokens = durable(tokens)
-    left, right = (x.join(tokens, "sid").select("gid", "sid", "tokens").toDF("gid", "sid", "tokens") for x in (members, queries))
-
-    def open_groups(key: tuple, ms: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(ms) and len(qs):
-            sets = [(bytes(s), np.frombuffer(t, np.uint64)) for s, t in zip(ms["sid"], ms["tokens"])]
-            union = np.unique(np.concatenate([t for _, t in sets]))
-            for q, t in zip(qs["sid"], qs["tokens"]):
-                q, t = bytes(q), np.frombuffer(t, np.uint64)
-                at = np.minimum(np.searchsorted(union, t), len(union) - 1)
-                bound = t[union[at] == t]
+def _open(percent: int):
+    def f(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The first link of each query with the group's members; they are connected already, so one will do."""
+        found, sets = [], {bytes(s): np.frombuffer(t, np.uint64) for s, t in zip(pdf["sid"][~pdf["asks"]], pdf["tokens"][~pdf["asks"]])}
+        if sets:
+            union = np.unique(np.concatenate(list(sets.values())))
+            for q, t in {bytes(s): t for s, t in zip(pdf["sid"][pdf["asks"]], pdf["tokens"][pdf["asks"]])}.items():
+                t = np.frombuffer(t, np.uint64)
+                bound = t[union[np.minimum(np.searchsorted(union, t), len(union) - 1)] == t]
                 if 100 * len(bound) < percent * len(t):
                     continue
-                for sid, s in sets:
-                    if sid == q or 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                        continue
-                    x = int((s[np.minimum(np.searchsorted(s, bound), len(s) - 1)] == bound).sum())
-                    if 100 * x >= percent * (len(s) + len(t) - x):
-                        found.append((q, sid))
-                        if not every:
+                for sid, s in sets.items():
+                    if sid != q and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
+                        x = int((s[np.minimum(np.searchsorted(s, bound), len(s) - 1)] == bound).sum())
+                        if 100 * x >= percent * (len(s) + len(t) - x):
+                            found.append((q, sid))
                             break
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return left.groupBy("gid").cogroup(right.groupBy("gid")).applyInPandas(open_groups, "a binary, b binary")
+    return f
+
+
+def ask(docs: DataFrame, known: DataFrame, asked: DataFrame, everywhere: bool, width: int, percent: int) -> DataFrame:
+    """Edges a-b between clusters: asked (g, sid) is the set sid as a query to cluster g.
+
+    A query meets one group of the cluster, or all of them (everywhere). Groups with many queries are
+    repeated for every QUERIES of them.
+    """
+    size = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    per = asked.groupBy("g").agg(F.count(F.lit(1)).alias("q")).join(size, F.col("g") == F.col("cluster"))
+    parts = F.ceil(F.col("size") / GROUP)
+    per = durable(per.select("g", parts.alias("parts"), F.ceil(F.col("q") / (QUERIES if everywhere else QUERIES * parts)).alias("chunks")))
+    gid = lambda part, chunk: F.concat(F.col("g"), F.concat_ws("/", part, chunk).cast("binary")).alias("gid")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    spot = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(n))
+    queries = asked.join(per, "g").withColumn("part", F.explode(every("parts") if everywhere else F.array(spot("parts", 1)))).select("sid", gid("part", spot("chunks", 2)), F.lit(True).alias("asks"))
+    members = known.join(per, F.col("cluster") == F.col("g")).withColumn("chunk", F.explode(every("chunks"))).select("sid", gid(spot("parts", 3), "chunk"), F.lit(False).alias("asks"))
+    wanted = durable(queries.unionByName(members).join(known.select("sid", "rep"), "sid").select("rep", "sid", "gid", "asks"))
+    met = F.broadcast(wanted) if wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else wanted
+    texts = docs.join(met, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid", "gid", "asks")
+    links = texts.mapInArrow(_tokens(width), "gid binary, asks boolean, sid binary, tokens binary").groupBy("gid").applyInPandas(_open(percent), "a binary, b binary")
+    links = durable(links)
+    of = known.select("sid", "cluster")
+    return links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
+def merge(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """known with clusters joined by the edges between them."""
+    labels = components(edges).toDF("cluster", "label")
+    return durable(known.join(labels, "cluster", "left").select("sid", "n", "rep", F.coalesce("label", "cluster").alias("cluster")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -313,17 +339,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # 2. groups
     banded = classes.select("sid", F.posexplode("bands").alias("band", "h"))
-    leaders = banded.groupBy("band", "h").agg(F.min("sid").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    star = banded.join(leaders, ["band", "h"]).where("leader <> sid").groupBy("sid", "leader").agg(F.count(F.lit(1)).alias("k"))
-    star = durable(star.groupBy("sid").agg(F.max(F.struct("k", "leader"))["leader"].alias("leader")))
-    sizes = star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    gid = F.concat(F.col("leader"), F.pmod(F.xxhash64("sid"), F.col("parts")).cast("string").cast("binary"))
-    members = durable(star.join(sizes, "leader").select(gid.alias("gid"), "sid", "leader"))
-    near = durable(links(docs, classes, members.select("gid", "sid"), members.select("gid", F.col("leader").alias("sid")).distinct(), width, percent, True))
-    clusters = components(near)
-    known = classes.select("sid", "n", "rep").join(clusters.withColumnRenamed("node", "sid"), "sid", "left")
-    known = durable(known.select("sid", "n", "rep", F.coalesce("label", "sid").alias("cluster")))
-    del banded, leaders, star, sizes, members, near, clusters
+    shared = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    banded = durable(banded.join(shared, ["band", "h"]))
+    known = durable(classes.select("sid", "n", "rep", F.col("sid").alias("cluster")))
+    for _ in range(ROUNDS):
+        size = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+        mine = banded.join(known.select("sid", "cluster"), "sid").join(size, "cluster")
+        first = F.struct("size", "cluster")
+        leads = mine.groupBy("band", "h").agg(F.max(first).alias("lead"), F.min(first).alias("last")).where("lead <> last").select("band", "h", "lead")
+        led = mine.join(leads, ["band", "h"]).where("cluster <> lead.cluster").groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("k"))
+        asked = durable(led.groupBy("sid").agg(F.max(F.struct("lead.size", "k", "lead.cluster"))["cluster"].alias("g")).select("g", "sid"))
+        if asked.isEmpty():
+            break
+        edges = durable(ask(docs, known, asked, False, width, percent))
+        if edges.isEmpty():
+            break
+        known = merge(known, edges)
+        release(spark)
+    del banded, shared, classes
     release(spark)
 
     # 3. postings
@@ -347,20 +380,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = durable(a.join(b, fits).select(F.col("a.cluster").alias("c"), F.col("b.cluster").alias("d")).distinct())
     counts = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"))
     c, d = counts.select(F.col("cluster").alias("c"), F.col("k").alias("kc")), counts.select(F.col("cluster").alias("d"), F.col("k").alias("kd"))
-    sided = pairs.join(c, "c").join(d, "d").select(F.when(F.col("kc") <= F.col("kd"), F.col("c")).otherwise(F.col("d")).alias("q"), F.when(F.col("kc") <= F.col("kd"), F.col("d")).otherwise(F.col("c")).alias("g"), F.ceil(F.greatest("kc", "kd") / GROUP).alias("parts"))
+    sided = pairs.join(c, "c").join(d, "d").select(F.when(F.col("kc") <= F.col("kd"), F.col("c")).otherwise(F.col("d")).alias("q"), F.when(F.col("kc") <= F.col("kd"), F.col("d")).otherwise(F.col("c")).alias("g"))
     sided = durable(sided)
-    groups = sided.select("g", "parts").distinct()
-    gid = lambda part: F.concat(F.col("g"), part.cast("string").cast("binary"))
-    members = durable(known.join(groups, F.col("cluster") == F.col("g")).select(gid(F.pmod(F.xxhash64("sid"), F.col("parts"))).alias("gid"), "sid"))
-    asked = sided.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    asked = durable(asked.join(known.select("sid", "cluster"), F.col("cluster") == F.col("q")).select(gid(F.col("part")).alias("gid"), "sid").distinct())
-    far = links(docs, known, members, asked, width, percent, False)
+    asked = durable(known.select("sid", F.col("cluster").alias("q")).join(sided.select("q", "g"), "q").select("g", "sid"))
+    edges = durable(ask(docs, known, asked, True, width, percent))
 
     # 5. components of clusters
-    cluster_of = known.select("sid", "cluster")
-    over = far.join(cluster_of.select(F.col("sid").alias("a"), F.col("cluster").alias("ca")), "a").join(cluster_of.select(F.col("sid").alias("b"), F.col("cluster").alias("cb")), "b")
-    joined = components(over.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    final = known.join(joined.withColumnRenamed("node", "cluster"), "cluster", "left").withColumn("component", F.coalesce("label", "cluster"))
+    final = merge(known, edges).withColumnRenamed("cluster", "component")
     least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
     per_set = final.join(least, "component").select("sid", "component_id")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(per_set, "sid", "left")
