@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, ngram_join, packing, quality_lines, range_coder, url_filter, warc
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_lines, range_coder, url_filter, warc
 
 MODULES = {
     "op1_warc": warc,
     "op2_language_id": language_id,
     "op3_mixing": mixing,
+    "op4_line_dedup": line_dedup,
     "op5_exact_dedup": exact_dedup,
     "op6_ngram_join": ngram_join,
     "op7_packing": packing,
