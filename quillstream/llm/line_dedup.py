@@ -16,39 +16,61 @@ from .common import components, durable, table
 
 #: Lines of fewer characters are left alone; two lines are near when at most so many edits apart.
 LEAST_CHARS, EDITS = 24, 2
+#: Segments by which candidates are looked over before the edit distance is computed.
+FINE = 6
+#: Common beginnings and ends are found in this many halvings: up to 2 ** 21 characters, any more stay. Tasks that verify.
+LONGEST_BITS, SPREAD = 20, 64
+#: Candidate lines up to so many are sent to the texts; more meet them in a shuffle.
+BROADCAST_LINES = 1_000_000
 
 
-def _segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(first place from 1, size) of each segment; later segments take the remainder."""
-    size, larger = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    out, start = [], F.lit(1)
-    for k in range(parts):
-        own = size + (larger > parts - 1 - k).cast("int")
-        out.append((start, own))
-        start = start + own
-    return out
+def _place(length: Column, parts: int, k: int) -> tuple[Column, Column]:
+    """First place (from 1) and size of segment k; the last length % parts segments are one longer."""
+    size, short = F.call_function("div", length, F.lit(parts)).cast("int"), F.lit(parts) - length % parts
+    return size * k + F.greatest(F.lit(k) - short, F.lit(0)) + 1, size + F.when(F.lit(k) >= short, 1).otherwise(0)
+
+
+def _key(line: Column, length: Column, k: int, at: Column, size: Column) -> Column:
+    return F.xxhash64(length, F.lit(k), F.substr(line, at, size))
 
 
 def _index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*[F.xxhash64(length, F.lit(k), F.substr(line, a, n)) for k, (a, n) in enumerate(_segments(length, edits + 1))])
+    return F.array(*[_key(line, length, k, *_place(length, edits + 1, k)) for k in range(edits + 1)])
 
 
-def _probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line shorter by 0 to `edits` characters.
+def _probe_keys(line: Column, length: Column, edits: int) -> tuple[Column, int]:
+    """Keys of the substrings that can equal a segment of a line shorter by 0 to `edits` characters, and how
+    many of them (the first) are for lines of the same length.
 
     Segment k (from 0) of the shorter line is displaced by at most k edits before it and, counted from the
     end, edits - k after it; of several matching segments the first that satisfies both is enough.
     """
-    keys = []
+    keys, same = [], 0
     for less in range(edits + 1):
-        other = length - less
-        for k, (a, n) in enumerate(_segments(other, edits + 1)):
-            for shift in range(-edits, edits + 1):
-                if abs(shift) <= k and abs(shift - less) <= edits - k:
-                    at = a + shift
-                    fits = (at >= 1) & (at + n - 1 <= length) & (other >= LEAST_CHARS)
-                    keys.append(F.struct(F.when(fits, F.xxhash64(other.cast("int"), F.lit(k), F.substr(line, at, n))).alias("key"), F.lit(less == 0).alias("same")))
-    return F.array(*keys)
+        for k in range(edits + 1):
+            at, size = _place(length - less, edits + 1, k)
+            keys += [_key(line, length - less, k, at + shift, size) for shift in range(-edits, edits + 1) if abs(shift) <= k and abs(shift - less) <= edits - k]
+        same = same or len(keys)
+    return F.array(*keys), same
+
+
+def plausible(a: Column, b: Column, edits: int) -> Column:
+    """Of FINE segments of b, all but `edits` stand in a at their place, give or take `edits` characters.
+
+    True for every pair within `edits` edits: an edit spoils one segment and displaces others by one.
+    """
+    n = F.char_length(b)
+    found = F.lit(0)
+    for k in range(FINE):
+        at, size = _place(n, FINE, k)
+        own = F.substr(b, at, size)
+        # a shifted place before the first character would wrap around, so it is left out
+        hits = [(at + s >= 1) & (F.substr(a, F.greatest(at + s, F.lit(1)), size) == own) for s in sorted(range(-edits, edits + 1), key=abs)]
+        one = hits[0]
+        for h in hits[1:]:
+            one = one | h
+        found = found + F.when(one, 1).otherwise(0)
+    return found >= FINE - edits
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -104,14 +126,36 @@ def _then(first, second, s: Column, j: Column) -> Column:
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """a, b: md5 of every two different lines at most `edits` edits apart; lines: distinct `line`, LEAST_CHARS or more."""
-    own = lines.select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
+    """a, b: md5 of every two different lines at most `edits` edits apart; lines: `line`, LEAST_CHARS or more, repeats allowed."""
+    own = lines.select("line").distinct().select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
+    probes, same = _probe_keys(F.col("line"), F.col("n"), edits)
     index = own.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h").alias("hi"))
-    probe = own.select(F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("x"), F.col("h").alias("hp")).select(F.col("x.key").alias("key"), F.col("x.same").alias("same"), "hp").where("key is not null")
-    pairs = durable(index.join(probe, "key").where("hi <> hp and (not same or hi < hp)").select("hi", "hp").distinct())
-    text = own.select("h", "line")
-    met = pairs.join(text.toDF("hi", "x"), "hi").join(text.toDF("hp", "y"), "hp")
-    return met.where(within(F.col("x"), F.col("y"), edits)).select(F.unhex(F.md5("x")).alias("a"), F.unhex(F.md5("y")).alias("b"))
+    probe = own.select(F.posexplode(probes).alias("pos", "key"), F.col("h").alias("hp"))
+    pairs = durable(index.join(probe, "key").where((F.col("hi") != F.col("hp")) & ((F.col("pos") >= same) | (F.col("hi") < F.col("hp")))).select("hi", "hp").distinct())
+    ids = durable(pairs.select(F.explode(F.array("hi", "hp")).alias("h")).distinct())
+    wanted = F.broadcast(ids) if ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else ids
+    text = durable(lines.select("line", F.xxhash64("line").alias("h")).join(wanted, "h").select("line", "h").distinct())
+    met = pairs.join(text.toDF("x", "hi"), "hi").join(text.toDF("y", "hp"), "hp").select("x", "y")
+    met = _cores(met.where(F.abs(F.char_length("x") - F.char_length("y")) <= edits)).where(F.abs(F.char_length("cx") - F.char_length("cy")) <= edits)
+    met = durable(met.where(plausible(F.col("cy"), F.col("cx"), edits)).repartition(SPREAD, F.xxhash64("x", "y")))
+    return met.where(within(F.col("cx"), F.col("cy"), edits)).select(F.unhex(F.md5("x")).alias("a"), F.unhex(F.md5("y")).alias("b"))
+
+
+def _cores(pairs: DataFrame) -> DataFrame:
+    """x, y, and cx, cy: what is left of them without their common beginning and end, which cost no edits."""
+    steps = F.array(*[F.lit(1 << k) for k in range(LONGEST_BITS, -1, -1)])
+
+    def common(x: Column, y: Column) -> Column:
+        most = F.least(F.char_length(x), F.char_length(y))
+        return F.aggregate(steps, F.lit(0), lambda n, w: n + F.when((n + w <= most) & (F.substr(x, n + 1, w) == F.substr(y, n + 1, w)), w).otherwise(0))
+
+    def rest(c: Column, n: Column) -> Column:
+        return F.reverse(F.substr(c, n + 1, F.lit(1 << 30)))
+
+    # between the halves the rows are struct fields of one array element, so that no expression is repeated
+    half = F.transform(F.array(common(F.col("x"), F.col("y"))), lambda n: F.struct(rest(F.col("x"), n).alias("x"), rest(F.col("y"), n).alias("y")))
+    whole = F.transform(half, lambda c: F.element_at(F.transform(F.array(common(c["x"], c["y"])), lambda n: F.struct(rest(c["x"], n).alias("x"), rest(c["y"], n).alias("y"))), 1))
+    return pairs.select("x", "y", F.explode(whole).alias("c")).select("x", "y", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -128,7 +172,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
     each = own.select("doc_id", "tkey", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
     eligible = each.where(F.char_length("line") >= least)
-    near = durable(near_lines(eligible.select("line").distinct(), edits))
+    near = durable(near_lines(eligible.select("line"), edits))
     roots = components(near).toDF("id", "root")
     rows = eligible.select("doc_id", "tkey", "at", F.unhex(F.md5("line")).alias("id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tkey", "at")

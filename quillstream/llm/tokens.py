@@ -41,12 +41,40 @@ class Encoder:
         if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and kind["normalizer"] is None:
             self._pieces = regex.compile(public_tokenizers.PATTERN).findall
         self._known: dict[str, bytes] = {}
+        line = self._lib.encode("\n", add_special_tokens=False).ids
+        self._newline = line[0] if len(line) == 1 and self._pieces else None
 
     def _bytes(self, ids: list[int]) -> bytes:
         import array
 
         return array.array("I", ids).tobytes()
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of new pieces.
+
+        Words (letters after at most one blank) go to the library joined by newlines: its pre-tokenizer cuts such
+        a text into the words and single newlines again, so each word's ids stand between newline ids.
+        """
+        import numpy as np
+
+        words, rest = [], []
+        for p in pieces:
+            (words if self._newline is not None and p.lstrip(" ").isalpha() else rest).append(p)
+        for k in range(0, len(rest), 4096):
+            for p, e in zip(rest[k : k + 4096], self._lib.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)):
+                self._known[p] = self._bytes(e.ids)
+        runs = [words[k : k + 512] for k in range(0, len(words), 512)]
+        for at in range(0, len(runs), 16):
+            for run, e in zip(runs[at : at + 16], self._lib.encode_batch_fast(["\n".join(r) for r in runs[at : at + 16]], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                raw, ends = ids.tobytes(), np.append(np.flatnonzero(ids == self._newline), len(ids)).tolist()
+                if len(ends) != len(run):
+                    raise ValueError("the tokenizer doesn't keep words apart at newlines")
+                first = 0
+                for p, end in zip(run, ends):
+                    self._known[p] = raw[4 * first : 4 * end]
+                    first = end + 1
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null texts are empty."""
         if self._pieces is None:
@@ -58,9 +86,7 @@ class Encoder:
             if len(known) + len(new) > MOST_REMEMBERED:
                 known.clear()
                 new = list({p for pieces in cut for p in pieces})
-            for k in range(0, len(new), 4096):
-                for p, e in zip(new[k : k + 4096], self._lib.encode_batch(new[k : k + 4096], add_special_tokens=False)):
-                    known[p] = self._bytes(e.ids)
+            self._learn(new)
             out += [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         return out
 
