@@ -73,6 +73,15 @@ def plausible(a: Column, b: Column, edits: int) -> Column:
     return found >= FINE - edits
 
 
+def same_letters(a: Column, b: Column, edits: int) -> Column:
+    """Whether the counts of the letters a to z differ by no more than `edits` edits can make them differ."""
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    total = F.lit(0)
+    for x in "abcdefghijklmnopqrstuvwxyz":
+        total = total + F.abs(count(a, x) - count(b, x))
+    return total <= 2 * edits
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether a and b are at most `edits` edits apart, by a banded bit-parallel pass (2 * edits + 1 <= 61).
 
@@ -137,6 +146,7 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     text = durable(lines.select("line", F.xxhash64("line").alias("h")).join(wanted, "h").select("line", "h").distinct())
     met = pairs.join(text.toDF("x", "hi"), "hi").join(text.toDF("y", "hp"), "hp").select("x", "y")
     met = _cores(met.where(F.abs(F.char_length("x") - F.char_length("y")) <= edits)).where(F.abs(F.char_length("cx") - F.char_length("cy")) <= edits)
+    met = met.where(same_letters(F.lower("cx"), F.lower("cy"), edits))
     met = durable(met.where(plausible(F.col("cy"), F.col("cx"), edits)).repartition(SPREAD, F.xxhash64("x", "y")))
     return met.where(within(F.col("cx"), F.col("cy"), edits)).select(F.unhex(F.md5("x")).alias("a"), F.unhex(F.md5("y")).alias("b"))
 

@@ -6,7 +6,7 @@ import os
 
 END_ID = 2
 #: Pretokens whose ids a worker remembers, at most.
-MOST_REMEMBERED = 1_500_000
+MOST_REMEMBERED = 1_800_000
 _WORKER: dict = {}
 
 
@@ -39,7 +39,9 @@ class Encoder:
         self._lib.encode_special_tokens = True
         self._pieces = None
         if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and kind["normalizer"] is None:
-            self._pieces = regex.compile(public_tokenizers.PATTERN).findall
+            # words first: no other alternative can start with a letter, or with a blank before a letter
+            cases = sorted(public_tokenizers.PATTERN.split("|"), key=lambda x: x != r" ?\p{L}+")
+            self._pieces = regex.compile("|".join(cases)).findall
         self._known: dict[str, bytes] = {}
         line = self._lib.encode("\n", add_special_tokens=False).ids
         self._newline = line[0] if len(line) == 1 and self._pieces else None
@@ -59,7 +61,7 @@ class Encoder:
 
         words, rest = [], []
         for p in pieces:
-            (words if self._newline is not None and p.lstrip(" ").isalpha() else rest).append(p)
+            (words if self._newline is not None and (p[1:] if p[0] == " " else p).isalpha() else rest).append(p)
         for k in range(0, len(rest), 4096):
             for p, e in zip(rest[k : k + 4096], self._lib.encode_batch_fast(rest[k : k + 4096], add_special_tokens=False)):
                 self._known[p] = self._bytes(e.ids)
@@ -82,10 +84,10 @@ class Encoder:
         out, known = [], self._known
         for at in range(0, len(texts), 256):
             cut = [self._pieces(t) if t else [] for t in texts[at : at + 256]]
-            new = list({p for pieces in cut for p in pieces if p not in known})
+            new = list(set().union(*cut).difference(known))
             if len(known) + len(new) > MOST_REMEMBERED:
                 known.clear()
-                new = list({p for pieces in cut for p in pieces})
+                new = list(set().union(*cut))
             self._learn(new)
             out += [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         return out
