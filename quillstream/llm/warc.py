@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, table
+from .common import checkpoint_dir, durable, table
 
 CRLF = "\r\n"
 #: Payloads of at least so many bytes may be stored once and revisited.
@@ -182,6 +182,7 @@ def archive_and_assemble(pages: DataFrame, path: str, id_col: str = "page_id", u
         F.regexp_replace(F.col("response.payload_digest"), "^sha256:", "").alias("told_digest"),
         F.col("response.target_uri").alias("url"),
     )
+    rows = durable(rows)  # narrow; the archives are read once
     responses, revisits = rows.where("record_type = 'response'"), rows.where("record_type = 'revisit'")
     #: A revisit takes size and digest from the response that was read, found by its payload digest.
     originals = responses.join(revisits.select(F.col("told_digest").alias("d")).distinct(), F.col("own_digest") == F.col("d"), "left_semi").groupBy("own_digest").agg(F.max("own_bytes").alias("bytes"))
