@@ -6,7 +6,7 @@ import os
 
 END_ID = 2
 #: Pretokens whose ids a worker remembers, at most.
-MOST_REMEMBERED = 1_800_000
+MOST_REMEMBERED = 700_000
 _WORKER: dict = {}
 
 
