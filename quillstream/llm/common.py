@@ -141,12 +141,18 @@ def shingle_sets(col: pa.Array, width: int = 5):
                 yield np.empty(0, np.uint64)
 
 
+#: Rows that a worker turns into Python objects at once.
+ROWS = 1_000
+
+
 def batches(it: Iterator[pa.RecordBatch], schema: pa.Schema, f) -> Iterator[pa.RecordBatch]:
-    """Applies f(columns as dict of Python lists) -> dict of columns to each Arrow batch."""
-    for b in it:
-        if b.num_rows:
+    """Applies f(Arrow columns by name) -> columns by name to ROWS rows of the Arrow batches at a time."""
+    for whole in it:
+        for at in range(0, whole.num_rows, ROWS):
+            b = whole.slice(at, ROWS)
             out = f({n: b.column(i) for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip((out[n] for n in schema.names), schema)], schema=schema)
+    pa.default_memory_pool().release_unused()
 
 
 def release(spark: SparkSession) -> None:

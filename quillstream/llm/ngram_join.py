@@ -41,7 +41,7 @@ ROUNDS = 3
 #: is right; a table of bounded size only decides how many candidates it leaves.
 FREQUENT, LEAST_DF = 1 << 20, 8
 #: Tokens of a block of counts or postings, about; there are as many blocks as that needs.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Up to so many sets that await verification are sent to the texts; more meet them in a shuffle.
 BROADCAST_SETS = 500_000
 #: Sets with a frequent token beyond this count leave the packed postings one by one, salted.
@@ -213,7 +213,7 @@ def _postings(width: int, percent: int, blocks: int, frequent):
             # what is left of the set from this position on, of 200ths of the set, rounded up
             rems.append(np.minimum(255, -(-200 * (len(s) - np.arange(p)) // len(s))).astype(np.uint8))
             n += p
-            if n >= BLOCK // 4:
+            if n >= BLOCK // 2:
                 yield from _emit(flush())
                 tokens, sids, rems, hots, n = [], [], [], [], 0
         if n:

@@ -48,6 +48,7 @@ def _cut(capacity: int, tokenizer: str | None):
             return out
 
         yield from batches(it, _PIECES, f)
+        enc.forget()
 
     return run
 

@@ -6,7 +6,7 @@ import os
 
 END_ID = 2
 #: Pretokens whose ids a worker remembers, at most.
-MOST_REMEMBERED = 700_000
+MOST_REMEMBERED = 400_000
 _WORKER: dict = {}
 
 
@@ -51,6 +51,10 @@ class Encoder:
 
         return array.array("I", ids).tobytes()
 
+    def forget(self) -> None:
+        """Frees what a task has remembered; workers outlive their tasks."""
+        self._known.clear()
+
     def _learn(self, pieces: list[str]) -> None:
         """Remembers the ids of new pieces.
 
