@@ -3,12 +3,15 @@
 Lines are split into edits + 1 segments; if two lines are within `edits` edits, a segment of the shorter one
 stands in the other unchanged. Each distinct line is indexed by (length, segment number, segment) and probes
 the indexes of its own and up to `edits` smaller lengths with the substrings at the places where an alignment
-within `edits` edits can put that segment. Candidates are verified by banded bit-parallel edit distance: a
+within `edits` edits can put that segment. Lines found so are cut finer and paired where all but `edits` of the
+finer segments agree. Candidates are verified by banded bit-parallel edit distance: a
 column of the band's vertical differences is one long. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +19,20 @@ from .common import components, durable, table
 
 #: Lines of fewer characters are left alone; two lines are near when at most so many edits apart.
 LEAST_CHARS, EDITS = 24, 2
-#: Segments by which candidates are looked over before the edit distance is computed.
+#: Segments of the finer cuts, by which lines that share a segment are looked over before they are paired.
 FINE = 6
 #: Common beginnings and ends are found in this many halvings: up to 2 ** 21 characters, any more stay. Tasks that verify.
 LONGEST_BITS, SPREAD = 20, 64
-#: Candidate lines up to so many are sent to the texts; more meet them in a shuffle.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Keys and hashes of candidate lines up to so many are sent to the lines (16 MB); more meet them in a shuffle.
 BROADCAST_LINES = 1_000_000
 
 
-def _place(length: Column, parts: int, k: int) -> tuple[Column, Column]:
+def _place(length: Column, parts: int, k: int | Column) -> tuple[Column, Column]:
     """First place (from 1) and size of segment k; the last length % parts segments are one longer."""
+    k = F.lit(k) if isinstance(k, int) else k
     size, short = F.call_function("div", length, F.lit(parts)).cast("int"), F.lit(parts) - length % parts
-    return size * k + F.greatest(F.lit(k) - short, F.lit(0)) + 1, size + F.when(F.lit(k) >= short, 1).otherwise(0)
+    return size * k + F.greatest(k - short, F.lit(0)) + 1, size + F.when(k >= short, 1).otherwise(0)
 
 
 def _key(line: Column, length: Column, k: int, at: Column, size: Column) -> Column:
@@ -38,47 +43,63 @@ def _index_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array(*[_key(line, length, k, *_place(length, edits + 1, k)) for k in range(edits + 1)])
 
 
-def _probe_keys(line: Column, length: Column, edits: int) -> tuple[Column, int]:
-    """Keys of the substrings that can equal a segment of a line shorter by 0 to `edits` characters, and how
-    many of them (the first) are for lines of the same length.
+def _probe_keys(line: Column, length: Column, edits: int) -> Column:
+    """Keys of the substrings that can equal a segment of a line shorter by 0 to `edits` characters.
 
     Segment k (from 0) of the shorter line is displaced by at most k edits before it and, counted from the
     end, edits - k after it; of several matching segments the first that satisfies both is enough.
     """
-    keys, same = [], 0
+    keys = []
     for less in range(edits + 1):
         for k in range(edits + 1):
             at, size = _place(length - less, edits + 1, k)
             keys += [_key(line, length - less, k, at + shift, size) for shift in range(-edits, edits + 1) if abs(shift) <= k and abs(shift - less) <= edits - k]
-        same = same or len(keys)
-    return F.array(*keys), same
+    return F.array(*keys)
 
 
-def plausible(a: Column, b: Column, edits: int) -> Column:
-    """Of FINE segments of b, all but `edits` stand in a at their place, give or take `edits` characters.
+def _ways(edits: int) -> tuple[list[tuple], list[tuple]]:
+    """Finer cuts: (skipped segments, characters fewer, displacements after each of them) to index and to probe.
 
-    True for every pair within `edits` edits: an edit spoils one segment and displaces others by one.
+    `edits` edits lie in at most as many of FINE segments of the shorter line. Between the skipped ones both lines
+    agree, displaced by the edits so far; the steps of the displacement add up to at most `edits`.
     """
-    n = F.char_length(b)
-    found = F.lit(0)
-    for k in range(FINE):
-        at, size = _place(n, FINE, k)
-        own = F.substr(b, at, size)
-        # a shifted place before the first character would wrap around, so it is left out
-        hits = [(at + s >= 1) & (F.substr(a, F.greatest(at + s, F.lit(1)), size) == own) for s in sorted(range(-edits, edits + 1), key=abs)]
-        one = hits[0]
-        for h in hits[1:]:
-            one = one | h
-        found = found + F.when(one, 1).otherwise(0)
-    return found >= FINE - edits
+    skipped = list(itertools.combinations(range(FINE), edits))
+    own = [(c, 0, (0,) * edits) for c in skipped]
+    moves = []
+    for less in range(edits + 1):
+        for path in itertools.product(range(-edits, edits + 1), repeat=max(edits - 1, 0)):
+            steps = (0, *path, less)
+            if edits and sum(abs(y - x) for x, y in zip(steps, steps[1:])) <= edits:
+                moves.append((less, steps[1:]))
+    return own, [(c, less, path) for c in skipped for less, path in moves] if edits else [((), 0, ())]
+
+
+def _fine_rows(text: DataFrame, ways: list[tuple]) -> DataFrame:
+    """key, less, h: one row for each line of `text` and way, a key of what the way doesn't skip."""
+    kind = "array<struct<less:int,skip:array<int>,move:array<int>>>"
+    literal = ",".join(f"named_struct('less',{less},'skip',array({','.join(map(str, c))}),'move',array({','.join(map(str, m))}))" for c, less, m in ways)
+    rows = text.select("h", "line", F.char_length("line").alias("n"), F.explode(F.expr(f"cast(array({literal}) as {kind})")).alias("w"))
+    n, begin, kept = F.col("n") - F.col("w.less"), F.lit(1), []
+    shift = F.lit(0)
+    for k in range(len(ways[0][0])):
+        at, size = _place(n, FINE, F.get(F.col("w.skip"), F.lit(k)))
+        kept.append(F.substr("line", begin + shift, at - begin))
+        begin, shift = at + size, F.get(F.col("w.move"), F.lit(k))
+    kept.append(F.substr("line", begin + shift, n - begin + 1))
+    return rows.select(F.xxhash64(n, F.col("w.skip"), *kept).alias("key"), F.col("w.less").alias("less"), "h")
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each letter a to z, of either case, stands in a line."""
+    low = F.lower(line)
+    return F.array(*[F.length(low) - F.length(F.replace(low, F.lit(x), F.lit(""))) for x in LETTERS])
 
 
 def same_letters(a: Column, b: Column, edits: int) -> Column:
-    """Whether the counts of the letters a to z differ by no more than `edits` edits can make them differ."""
-    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    """Whether two lines' letter_counts differ by no more than `edits` edits can make them differ."""
     total = F.lit(0)
-    for x in "abcdefghijklmnopqrstuvwxyz":
-        total = total + F.abs(count(a, x) - count(b, x))
+    for k in range(len(LETTERS)):
+        total = total + F.abs(F.get(a, F.lit(k)) - F.get(b, F.lit(k)))
     return total <= 2 * edits
 
 
@@ -90,9 +111,16 @@ def within(a: Column, b: Column, edits: int) -> Column:
     from them and the matches of a's character in b's rows of the band. The distance is followed along the band's
     last diagonal to b's last row, then along that row.
     """
+    # the characters are fields of one array element, so that they are split once and not at every step
+    both = F.array(F.struct(F.split(b, "").alias("p"), F.split(a, "").alias("t"), F.char_length(a).alias("n"), F.char_length(b).alias("m")))
+    near = F.element_at(F.transform(both, lambda z: _banded(z["p"], z["t"], z["n"], z["m"], edits)), 1)
+    return F.when(F.greatest(F.char_length(a), F.char_length(b)) <= edits, True).otherwise((F.abs(F.char_length(a) - F.char_length(b)) <= edits) & near)
+
+
+def _banded(p: Column, t: Column, n: Column, m: Column, edits: int) -> Column:
+    """Whether the m characters p and the n characters t are at most `edits` edits apart."""
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    p, t, m = F.split(b, ""), F.split(a, ""), F.char_length(b)
 
     def match(j: Column) -> Column:
         c = F.get(t, j - 1)
@@ -124,9 +152,8 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
     # column 0: rows 1 to edits + 1 rise; the last diagonal starts in row `edits`
     begin = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("long").alias("plus"), F.lit(0).cast("long").alias("minus"), F.lit(0).cast("long").alias("d"), F.least(F.lit(edits).cast("long"), m.cast("long")).alias("far"))
-    columns = F.when(F.char_length(a) > 0, F.sequence(F.lit(1), F.char_length(a))).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(columns, begin, lambda s, j: _then(first, second, s, j))
-    return (F.abs(F.char_length(a) - m) <= edits) & (last["far"] <= edits)
+    columns = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(columns, begin, lambda s, j: _then(first, second, s, j))["far"] <= edits
 
 
 def _then(first, second, s: Column, j: Column) -> Column:
@@ -134,20 +161,40 @@ def _then(first, second, s: Column, j: Column) -> Column:
     return F.element_at(F.transform(F.array(first(s, j)), lambda x: second(x, j)), 1)
 
 
+def _contested(lines: DataFrame, edits: int) -> DataFrame:
+    """h: hashes of the lines that probe a key of another line, or are found by one.
+
+    A key's index lines meet the probes as their smallest and largest hash, so that a key with many lines costs
+    one row a line and not one a pair.
+    """
+    own = lines.select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
+    index = own.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "h")
+    probe = own.select(F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h").alias("hp"))
+    ends = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    met = durable(ends.join(probe, "key").where("lo <> hp or hi <> hp").select("key", "hp").distinct())
+    keys = met.select("key").distinct()
+    return met.select(F.col("hp").alias("h")).union(index.join(_sent(keys), "key", "left_semi").select("h")).distinct()
+
+
+def _sent(few: DataFrame) -> DataFrame:
+    """`few`, marked for broadcast where its counted rows are no more than BROADCAST_LINES."""
+    few = durable(few)
+    return F.broadcast(few) if few.count() <= BROADCAST_LINES else few
+
+
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """a, b: md5 of every two different lines at most `edits` edits apart; lines: `line`, LEAST_CHARS or more, repeats allowed."""
-    own = lines.select("line").distinct().select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
-    probes, same = _probe_keys(F.col("line"), F.col("n"), edits)
-    index = own.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h").alias("hi"))
-    probe = own.select(F.posexplode(probes).alias("pos", "key"), F.col("h").alias("hp"))
-    pairs = durable(index.join(probe, "key").where((F.col("hi") != F.col("hp")) & ((F.col("pos") >= same) | (F.col("hi") < F.col("hp")))).select("hi", "hp").distinct())
-    ids = durable(pairs.select(F.explode(F.array("hi", "hp")).alias("h")).distinct())
-    wanted = F.broadcast(ids) if ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else ids
-    text = durable(lines.select("line", F.xxhash64("line").alias("h")).join(wanted, "h").select("line", "h").distinct())
-    met = pairs.join(text.toDF("x", "hi"), "hi").join(text.toDF("y", "hp"), "hp").select("x", "y")
-    met = _cores(met.where(F.abs(F.char_length("x") - F.char_length("y")) <= edits)).where(F.abs(F.char_length("cx") - F.char_length("cy")) <= edits)
-    met = met.where(same_letters(F.lower("cx"), F.lower("cy"), edits))
-    met = durable(met.where(plausible(F.col("cy"), F.col("cx"), edits)).repartition(SPREAD, F.xxhash64("x", "y")))
+    """a, b: md5 of every two different lines at most `edits` edits apart; lines: `line`, LEAST_CHARS or more, repeats allowed.
+
+    Lines that share a segment with another are looked over once more by finer cuts, before any two are paired.
+    """
+    wanted = _sent(_contested(lines, edits))
+    text = durable(lines.select("line", F.xxhash64("line").alias("h")).join(wanted, "h", "left_semi").select("line", "h").distinct().withColumn("c", letter_counts(F.col("line"))))
+    own, moved = _ways(edits)
+    index, probe = _fine_rows(text, own).select("key", F.col("h").alias("hi")), _fine_rows(text, moved).select("key", "less", F.col("h").alias("hp"))
+    pairs = index.join(probe, "key").where("hi <> hp and (less > 0 or hi < hp)").select("hi", "hp").distinct()
+    x, y = text.toDF("x", "hi", "lx"), text.toDF("y", "hp", "ly")
+    met = pairs.join(x, "hi").join(y, "hp").where((F.abs(F.char_length("x") - F.char_length("y")) <= edits) & same_letters(F.col("lx"), F.col("ly"), edits)).select("x", "y")
+    met = durable(_cores(met).where(F.abs(F.char_length("cx") - F.char_length("cy")) <= edits).repartition(SPREAD, F.xxhash64("x", "y")))
     return met.where(within(F.col("cx"), F.col("cy"), edits)).select(F.unhex(F.md5("x")).alias("a"), F.unhex(F.md5("y")).alias("b"))
 
 
