@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import folds, intervals, records, search
+from ..operators import folds, intervals, media, records, search
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -125,14 +125,14 @@ def interval_overlap_join(spark, d):
     return intervals.overlap_join(items, spans, 86_400.0, ("user_id",)).select("item_id", "span_id")
 
 
-@register("""WITH g AS (SELECT user_id, day * 86400.0 + 1704067200 AS s, day * 86400.0 + 1704067200 + 3600 AS e, day FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 40) u, range(0, 5) r(day)),
-i AS (SELECT user_id, event_id, epoch(ts) AS start, epoch(ts) + 60 AS "end" FROM events WHERE user_id < 40),
+@register("""WITH g AS (SELECT user_id, day * 86400.0 + 1704067200 AS s, day * 86400.0 + 1704067200 + 3600 AS e, day FROM (SELECT DISTINCT user_id FROM events) u, range(0, 30) r(day)),
+i AS (SELECT user_id, event_id, epoch(ts) AS start, epoch(ts) + 60 AS "end" FROM events),
 p AS (SELECT g.*, event_id, ("end" >= s AND start < e) AS "overlaps", greatest(s - "end", start - e, 0) AS dist FROM g JOIN i USING (user_id)),
 r AS (SELECT *, max("overlaps"::INT) OVER w AS anyone, row_number() OVER (PARTITION BY user_id, day ORDER BY dist, event_id) AS rn FROM p WINDOW w AS (PARTITION BY user_id, day))
 SELECT user_id, day, event_id, "overlaps" FROM r WHERE "overlaps" OR (anyone = 0 AND rn = 1)""")
 def overlap_or_nearest(spark, d):
-    ev = t(spark, d, "events").where("user_id < 40")
-    days = ev.select("user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    ev = t(spark, d, "events")
+    days = ev.select("user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))))
     clips = days.withColumn("s", F.col("day") * 86400.0 + 1704067200).withColumn("e", F.col("s") + 3600)
     pairs = clips.join(ev.select("user_id", "event_id", epoch("ts").alias("start"), (epoch("ts") + 60).alias("end")), "user_id")
     return intervals.overlap_or_nearest(pairs, ["user_id", "day"], ["event_id"]).select("user_id", "day", "event_id", "overlaps")
@@ -405,3 +405,57 @@ def label_counts(spark, d):
         one = t(spark, d, label.lower()).agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("label"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# scenes, frames, citations
+
+
+@register("""WITH RECURSIVE o AS (SELECT l_orderkey AS k, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
+g AS (SELECT k, greatest(1, floor(sum(q) / 3))::BIGINT AS target FROM o GROUP BY k),
+f AS (SELECT k, i, q AS words, 0 AS chunk FROM o WHERE i = 1
+ UNION ALL SELECT o.k, o.i, CASE WHEN f.words + o.q > target AND f.chunk < 2 THEN o.q ELSE f.words + o.q END, f.chunk + (f.words + o.q > target AND f.chunk < 2)::INT FROM f JOIN o ON o.k = f.k AND o.i = f.i + 1 JOIN g ON g.k = f.k)
+SELECT k AS l_orderkey, chunk, count(*) AS n FROM f GROUP BY k, chunk""")
+def repair_split(spark, d):
+    lines = t(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long"))
+    rows = folds.ordered(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "q")
+    return rows.select("l_orderkey", F.explode(media.repair_split(F.col("values"), 3)).alias("chunk")).groupBy("l_orderkey", "chunk").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("""WITH c AS (SELECT conv_id, role, turn, unnest(regexp_extract_all(text, '[^.!?]+[.!?]*')) AS sentence, generate_subscripts(regexp_extract_all(text, '[^.!?]+[.!?]*'), 1) AS pos FROM conversations),
+r AS (SELECT conv_id, role, sentence, len(list_filter(regexp_split_to_array(sentence, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')) AS words, length(sentence) AS chars, turn, pos FROM c)
+SELECT conv_id, role, sentence, words, chars, turn FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY words DESC, chars DESC, turn, pos, sentence) = 1""")
+def representative_sentence(spark, d):
+    c = t(spark, d, "conversations")
+    out = media.representative_sentence(c, ["conv_id", "role"], ["turn"], F.regexp_extract_all("text", F.lit(r"([^.!?]+[.!?]*)"), 1))
+    return out.select("conv_id", "role", "sentence", F.col("words").cast("long").alias("words"), F.col("chars").cast("long").alias("chars"), "turn")
+
+
+@register("""SELECT source, doc_id::VARCHAR AS passage, coalesce(n_chars, 999) AS chapter FROM documents
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 1 ELSE 2 END, coalesce(n_chars, 999), doc_id::VARCHAR) = 1""")
+def first_place(spark, d):
+    return media.first_place(t(spark, d, "documents"), ["source"], "lang", "en", "n_chars", "doc_id")
+
+
+def _dashboard(spark, d):
+    scenes = t(spark, d, "part").select("p_partkey", F.concat(F.lit("f"), F.col("p_partkey")).alias("first_file"), F.when(F.col("p_size") > 10, F.concat(F.lit("l"), F.col("p_partkey"))).otherwise("").alias("last_file"))
+    made = t(spark, d, "lineitem").select(F.concat(F.when(F.col("l_linenumber") % 2 == 1, "f").otherwise("l"), F.col("l_partkey")).alias("file"), F.when(F.col("l_returnflag") != "R", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey")).alias("image"), F.col("l_discount").alias("score"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("place"))
+    return media.dashboard_frames(scenes, made, "p_partkey", "place")
+
+
+_FRAMES = """
+fr AS (SELECT p_partkey, 'first' AS side, 'f' || p_partkey AS file FROM part UNION ALL SELECT p_partkey, 'last', 'l' || p_partkey FROM part WHERE p_size > 10),
+ge AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'f' ELSE 'l' END || l_partkey AS file, l_returnflag <> 'R' AS done, l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS image, l_discount AS score, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey) AS place FROM lineitem),
+pe AS (SELECT file, count(*) AS generations, count(*) FILTER (done) AS completed, max(score) FILTER (done) AS best_score FROM ge GROUP BY file),
+be AS (SELECT file, image FROM ge WHERE done QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, place) = 1),
+da AS (SELECT p_partkey, side, fr.file, coalesce(generations, 0) AS generations, coalesce(completed, 0) AS completed, best_score, coalesce(image, fr.file) AS shown FROM fr LEFT JOIN pe USING (file) LEFT JOIN be USING (file))
+"""
+
+
+@register(f"WITH {_FRAMES} SELECT * FROM da")
+def dashboard_frames(spark, d):
+    return _dashboard(spark, d)
+
+
+@register(f"WITH {_FRAMES} SELECT count(*) AS frames, count(*) FILTER (completed > 0) AS frames_done, sum(completed)::BIGINT AS completed, count(*) FILTER (completed = 0) AS frames_open FROM da")
+def dashboard_stats(spark, d):
+    return media.dashboard_stats(_dashboard(spark, d))

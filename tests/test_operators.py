@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
-from quillstream.operators import folds, intervals, records
+from quillstream.operators import folds, intervals, media, records
 from quillstream.sources import jsonl
 from quillstream.streaming import turns
 
@@ -85,3 +85,27 @@ def test_streaming_sessions(spark, tmp_path):
     q = turns.sessions(events.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName("s").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from s").first()[0] == spark.read.parquet(sf).count()
+
+
+def test_traits_need_support_near_the_anchor(spark):
+    far = "Orla stood there. " + "x" * 300 + " silver hair"
+    rows = [("silver hair", "ORLA had Silver hair", "silver hair"), ("silver", far, ""), ("hair", None, ""), ("the", "Orla", "the"), (None, "Orla", ""), ("", "Orla", "")]
+    df = spark.createDataFrame([(v, e) for v, e, _ in rows], "v string, e string")
+    got = [r.s for r in df.select(media.supported(F.col("v"), F.col("e"), "Orla", ["the"]).alias("s")).collect()]
+    assert got == [want for *_, want in rows]
+
+
+def test_repair_split_is_the_plain_loop(spark):
+    def split(sizes, count):
+        target, chunk, words, out = max(1, sum(sizes) // count), 0, 0, []
+        for i, n in enumerate(sizes):
+            if i and words + n > target and chunk + 1 < count:
+                chunk, words = chunk + 1, 0
+            words += n
+            out.append(chunk)
+        return out
+
+    rng = random.Random(9)
+    cases = [[rng.choice([0, 1, 5, 40]) for _ in range(n)] for n in (0, 1, 2, 7, 20)]
+    df = spark.createDataFrame([(c,) for c in cases], "c array<int>")
+    assert [r.s for r in df.select(media.repair_split(F.col("c"), 3).alias("s")).collect()] == [split(c, 3) for c in cases]
