@@ -36,7 +36,8 @@ def _place(length: Column, parts: int, k: int | Column) -> tuple[Column, Column]
 
 
 def _key(line: Column, length: Column, k: int, at: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(k), F.substr(line, at, size))
+    """line: in UTF-32, where a place is found without a walk over the characters before it."""
+    return F.xxhash64(length, F.lit(k), F.substr(line, (at - 1) * 4 + 1, size * 4))
 
 
 def _index_keys(line: Column, length: Column, edits: int) -> Column:
@@ -167,7 +168,7 @@ def _contested(lines: DataFrame, edits: int) -> DataFrame:
     A key's index lines meet the probes as their smallest and largest hash, so that a key with many lines costs
     one row a line and not one a pair.
     """
-    own = lines.select("line", F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
+    own = lines.select(F.encode("line", "UTF-32").alias("line"), F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
     index = own.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "h")
     probe = own.select(F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h").alias("hp"))
     ends = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
