@@ -166,13 +166,13 @@ def _contested(lines: DataFrame, edits: int) -> DataFrame:
     """h: hashes of the lines that probe a key of another line, or are found by one.
 
     A key's index lines meet the probes as their smallest and largest hash, so that a key with many lines costs
-    one row a line and not one a pair.
+    one row a line and not one a pair. They have one row a key, so a table of them in memory has no hot key.
     """
     own = lines.select(F.encode("line", "UTF-32").alias("line"), F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
     index = own.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "h")
     probe = own.select(F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h").alias("hp"))
     ends = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    met = durable(ends.join(probe, "key").where("lo <> hp or hi <> hp").select("key", "hp").distinct())
+    met = durable(ends.hint("shuffle_hash").join(probe, "key").where("lo <> hp or hi <> hp").select("key", "hp").distinct())
     keys = met.select("key").distinct()
     return met.select(F.col("hp").alias("h")).union(index.join(_sent(keys), "key", "left_semi").select("h")).distinct()
 
