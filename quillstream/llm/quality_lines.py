@@ -50,14 +50,14 @@ _LINES = pa.schema([("host", pa.string()), ("line", pa.binary()), ("doc", pa.bin
 def _line_rows(it):
     """A row per distinct line of each document, and one with a null line for the document itself.
 
-    A document is known by the smallest and largest hash of its lines, so that copies, and near copies that
-    differ in other lines, count as one document and don't make each other's lines common."""
+    A document is known by the hash of its sorted line set, so that copies count as one document and don't make
+    each other's lines common."""
     def f(cols):
         hosts, lines, docs = [], [], []
         for text, host in zip(cols["text"].to_pylist(), cols["host"].to_pylist()):
             own = {h for _, h, _ in _norm_lines(text)}
             if own:
-                doc = hashlib.md5(min(own) + max(own)).digest()
+                doc = hashlib.md5(b"".join(sorted(own))).digest()
                 hosts += [host] * (len(own) + 1)
                 docs += [doc] * (len(own) + 1)
                 lines += [None, *own]

@@ -215,6 +215,13 @@ def test_line_rules_by_join_agree(spark):
     assert a == b and sum(r[-1] is False for r in a) > 0
 
 
+def test_documents_of_shared_lines_are_counted_apart(spark):
+    menu = "\n".join(f"menu entry number {k}" for k in range(40))
+    docs = spark.createDataFrame([(k, f"{menu}\nown{k}", "a") for k in range(60)] + [(60 + k, "a copy of one text", "a") for k in range(60)], "doc_id long, text string, source string")
+    got = {r.line_n: r["count"] for r in quality_lines.common_lines(docs, "source", "text", quality_lines.Limits()).groupBy(F.col("n_docs").alias("line_n")).count().collect()}
+    assert got == {60: 40}
+
+
 def test_url_rules_with_many_rules(spark, monkeypatch):
     rules = spark.createDataFrame([("com", "/a", "block"), ("x.com", "/a/b", "allow"), (None, "/", "block")], "host string, path string, action string")
     pages = spark.createDataFrame([(1, "http://y.com/abc"), (2, "HTTP://X.COM/a/bc?q"), (3, None), (4, "nothing"), (5, "http://xcom/a"), (2, "HTTP://X.COM/a/bc?q")], "page_id long, url string")
