@@ -21,7 +21,8 @@ class Encoder:
 
     The library's byte-level pre-tokenizer cuts a text with one regular expression and its model encodes each
     piece on its own; so each distinct piece is given to the library once and its ids are remembered.
-    Strings of special tokens are ordinary text. tests/llm compares with the library's encoding of whole texts.
+    Added tokens, special ones among them, are cut out of a text first, as the library does, and keep their ids.
+    tests/llm compares with the library's encoding of whole texts.
     """
 
     def __init__(self, path: str):
@@ -36,12 +37,16 @@ class Encoder:
             kind = json.load(f)
         pre = kind["pre_tokenizer"] or {}
         self._lib = Tokenizer.from_file(path)
-        self._lib.encode_special_tokens = True
         self._pieces = None
-        if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and kind["normalizer"] is None:
+        added = self._lib.get_added_tokens_decoder().values()
+        self._added = [a.content for a in added]
+        plain = not any(a.lstrip or a.rstrip or a.single_word or "\n" in a.content for a in added)
+        if plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and kind["normalizer"] is None:
             # words first: no other alternative can start with a letter, or with a blank before a letter
             cases = sorted(public_tokenizers.PATTERN.split("|"), key=lambda x: x != r" ?\p{L}+")
             self._pieces = regex.compile("|".join(cases)).findall
+            # leftmost, and the longest of those, as in the library
+            self._parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self._added, key=len, reverse=True))) + ")").split
         self._known: dict[str, bytes] = {}
         line = self._lib.encode("\n", add_special_tokens=False).ids
         self._newline = line[0] if len(line) == 1 and self._pieces else None
@@ -81,13 +86,20 @@ class Encoder:
                     self._known[p] = raw[4 * first : 4 * end]
                     first = end + 1
 
+    def _cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not any(a in text for a in self._added):
+            return self._pieces(text)
+        return [p for k, part in enumerate(self._parts(text)) for p in ([part] if k % 2 else self._pieces(part))]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null texts are empty."""
         if self._pieces is None:
             return [self._bytes(e.ids) for e in self._lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         out, known = [], self._known
         for at in range(0, len(texts), 256):
-            cut = [self._pieces(t) if t else [] for t in texts[at : at + 256]]
+            cut = [self._cut(t) for t in texts[at : at + 256]]
             new = list(set().union(*cut).difference(known))
             if len(known) + len(new) > MOST_REMEMBERED:
                 known.clear()

@@ -162,6 +162,15 @@ def test_encoder_is_the_library():
     assert [np.array(e.ids, np.uint32).tobytes() for e in enc._lib.encode_batch(odd, add_special_tokens=False)] == enc.encode(odd)
 
 
+def test_encoder_is_a_freshly_loaded_library():
+    from tokenizers import Tokenizer
+
+    lib, end = Tokenizer.from_file(tokens.default_tokenizer()), "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"x{end}y", f"  {end}\n\n {end} z", "<|endoftext", f"{end[:-1]}{end}", "plain words"]
+    assert lib.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert [np.array(lib.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts] == tokens.Encoder(tokens.default_tokenizer()).encode(texts)
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 65536, n).astype(np.uint16) for n in (1, 2, 700, 2048)] + [np.full(2048, 7, np.uint16), np.empty(0, np.uint16), np.tile(np.arange(30, dtype=np.uint16), 60)]
