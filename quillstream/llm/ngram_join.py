@@ -25,11 +25,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, components, durable, release, shingle_sets, table
+from .common import WORD, batches, components, durable, release, shingle_sets, table
 
 WIDTH, PERCENT = 5, 75
 BANDS, BINS = 8, 32
@@ -47,7 +48,7 @@ BROADCAST_SETS = 500_000
 #: Sets with a frequent token beyond this count leave the packed postings one by one, salted.
 HOT = 1 << 15
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def digest(tokens: np.ndarray) -> bytes:
@@ -70,9 +71,8 @@ def bands_of(tokens: np.ndarray) -> list[int]:
 def _sets(width: int):
     def run(it):
         def f(cols):
-            out = {n: [] for n in _SETS.names}
-            for doc, s in zip(cols["doc_id"].to_pylist(), shingle_sets(cols["text"], width)):
-                out["doc_id"].append(doc)
+            out = {n: [] for n in _SETS.names} | {n: cols[n] for n in ("doc_id", "tkey")}
+            for s in shingle_sets(cols["text"], width):
                 out["n"].append(len(s))
                 out["sid"].append(digest(s) if len(s) else None)
                 out["bands"].append(bands_of(s) if len(s) else None)
@@ -253,15 +253,17 @@ def _tokens(width: int):
         for b in it:
             out = {n: [] for n in schema.names}
             text, want = b.column(0), b.column(1).to_pylist()
-            # rows of one document stand together: its tokens are made once
-            new = [k for k in range(len(want)) if not k or want[k] != want[k - 1]]
-            sets = shingle_sets(text.take(pa.array(new, pa.int64())), width)
-            made, fits = b"", False
+            # rows of one document stand together: its tokens are made once, and again where the text is another
+            # (several texts can have the id of one wanted set)
+            other = pc.not_equal(text.slice(1), text.slice(0, max(0, len(want) - 1))).fill_null(True).to_pylist()
+            other = [True, *other] if want else []
+            sets = shingle_sets(text.take(pa.array([k for k, x in enumerate(other) if x], pa.int64())), width)
+            made, own = b"", b""
             for k, (sid, gid, asks) in enumerate(zip(want, b.column(2).to_pylist(), b.column(3).to_pylist())):
-                if not k or sid != want[k - 1]:
+                if other[k]:
                     made = next(sets)
-                    fits, made = digest(made) == sid, made.tobytes()
-                if fits:
+                    own, made = digest(made), made.tobytes()
+                if own == sid:
                     for n, v in zip(schema.names, (gid, asks, sid, made)):
                         out[n].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
@@ -321,18 +323,12 @@ def merge(known: DataFrame, edges: DataFrame) -> DataFrame:
     return durable(known.join(labels, "cluster", "left").select("sid", "n", "rep", F.coalesce("label", "cluster").alias("cluster")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`.
-
-    Words are lower-cased A-Z; fewer words than `width` make one shingle. Documents link when
-    100 * |intersection| >= percent * |union|; component_id is the least doc_id reachable by links. Documents
-    without words (null, empty) link with nothing and keep their own id. Repeated rows and copies share a
-    component. Rows with a null id take part; their component has the least id that isn't null, if any.
-    Empty table: empty result. Other columns are ignored.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, tkey (hash of the text), n, sid of every row of `docs`; and sid, rep, component of every set."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = durable(docs.mapInArrow(_sets(width), "doc_id long, n long, sid binary, bands array<long>"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
+    sets = durable(keyed.mapInArrow(_sets(width), "doc_id long, tkey long, n long, sid binary, bands array<long>"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(16, -(-total // BLOCK))
     classes = durable(sets.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
@@ -386,18 +382,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = durable(ask(docs, known, asked, True, width, percent))
 
     # 5. components of clusters
-    final = merge(known, edges).withColumnRenamed("cluster", "component")
+    return sets, merge(known, edges).withColumnRenamed("cluster", "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs`.
+
+    Words are lower-cased A-Z; fewer words than `width` make one shingle. Documents link when
+    100 * |intersection| >= percent * |union|; component_id is the least doc_id reachable by links. Documents
+    without words (null, empty) link with nothing and keep their own id. Repeated rows and copies share a
+    component. Rows with a null id take part; their component has the least id that isn't null, if any.
+    Empty table: empty result. Other columns are ignored.
+    """
+    sets, final = _linked(docs, id_col, text_col, width, percent)
     least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
     per_set = final.join(least, "component").select("sid", "component_id")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(per_set, "sid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay: of each component the document with the least id, columns unchanged."""
-    id_col = options.get("id_col", "doc_id")
-    gone = near_duplicates(docs, **options).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` that stay: of each component the document with the least id, columns unchanged.
+
+    A document is an id and a text: other texts of the same id stay or go by themselves. Ids that are null come last;
+    of equal ids the least set stays. Repeated rows of a document that stays all stay, but rows with words
+    and no id are documents of their own, of which one stays. Documents without words always stay.
+    """
+    sets, final = _linked(docs, id_col, text_col, width, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "sid", "tkey")
+    firsts = final.join(sets.where("n > 0").groupBy("sid").agg(F.min(place).alias("first")), "sid")
+    per_set = final.join(firsts.groupBy("component").agg(F.min("first").alias("first")), "component").select("sid", "first")
+    lost = sets.join(per_set, "sid").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))))
+    gone = durable(lost.select(F.col("doc_id").alias("__gone"), F.col("tkey").alias("__key")).distinct())
+    own, text = docs[id_col].cast("long"), docs[text_col].cast("string")
+    left = docs.join(gone, own.eqNullSafe(F.col("__gone")) & (F.xxhash64(text) == F.col("__key")), "left_anti")
+    nameless = F.col(id_col).cast("long").isNull() & F.coalesce(F.col(text_col).cast("string").rlike(WORD), F.lit(False))
+    return left.where(~nameless).unionByName(left.where(nameless).dropDuplicates([text_col]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

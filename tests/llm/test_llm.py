@@ -75,6 +75,31 @@ def test_near_duplicates_are_the_brute_force(spark):
     assert got == {k: (len(s), find(k)) for k, s in sets.items()}
 
 
+def test_near_copies_of_shared_and_null_ids(spark):
+    rng = random.Random(6)
+    text = lambda n=60: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    near = lambda w: [*w[:-1], "changed"]
+    a, b, c = text(), text(), text()
+    clean = [text() for _ in range(6)]
+    rows = [(1, a), (None, near(a)), (None, clean[0]), (None, clean[1]), (2, near(a)), (2, clean[2]), (None, b), (None, near(b)), (None, b), (3, c), (3, clean[3]), (4, near(c)), (4, clean[4]), (4, clean[5])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    for part in (1, 3):
+        left = [(r.doc_id, r.text) for r in ngram_join.one_of_each(docs.repartition(part)).collect()]
+        got = set(left)
+        assert {(None, " ".join(clean[0])), (None, " ".join(clean[1])), (2, " ".join(clean[2])), (3, " ".join(clean[3])), (4, " ".join(clean[4])), (4, " ".join(clean[5])), (1, " ".join(a)), (3, " ".join(c))} < got
+        assert len(left) == len(got) == 9 and len(got & {(None, " ".join(b)), (None, " ".join(near(b)))}) == 1
+
+
+def test_tokens_of_every_text_of_an_id():
+    import pyarrow as pa
+
+    words = [" ".join(f"{x}{k}" for k in range(9)) for x in "ab"]
+    sets = list(ngram_join.shingle_sets(pa.array(words)))
+    want = ngram_join.digest(sets[1])
+    batch = pa.RecordBatch.from_pydict({"text": words, "sid": [want] * 2, "gid": [b"g"] * 2, "asks": [True] * 2})
+    assert sum((r.column("sid").to_pylist() for r in ngram_join._tokens(5)([batch])), []) == [want]
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
