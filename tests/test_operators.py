@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
 from quillstream.operators import folds, intervals, media, records
+from quillstream.plans import catalog
 from quillstream.sources import jsonl
 from quillstream.streaming import turns
 
@@ -109,3 +110,12 @@ def test_repair_split_is_the_plain_loop(spark):
     cases = [[rng.choice([0, 1, 5, 40]) for _ in range(n)] for n in (0, 1, 2, 7, 20)]
     df = spark.createDataFrame([(c,) for c in cases], "c array<int>")
     assert [r.s for r in df.select(media.repair_split(F.col("c"), 3).alias("s")).collect()] == [split(c, 3) for c in cases]
+
+
+def test_quotes_of_any_cut_are_found(spark, tmp_path):
+    docs = ["He said: \"one two\nthree four five six\" and left", "a seven eight nines ten", "x", "", None, "one two three four five six", "over\n\nand  over again it went"]
+    quotes = ["one two\nthree four five six", "two\nthree", "wo\nthree four five si", "one two three four five six", "seven eight nine", "x", "", None, "er\n\nand  over again it wen", "eight nines ten"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = [(i, k) for i, q in enumerate(quotes) for k, x in enumerate(docs) if q is not None and x is not None and q in x]
+    assert sorted(map(tuple, catalog.evidence_substring(spark, str(tmp_path)).collect())) == want
