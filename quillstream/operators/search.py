@@ -63,3 +63,29 @@ def coverage(text: Column, query: list[str]) -> Column:
 def specificity(source_hits: Column, description_hits: Column, name_hits: Column, citations: Column) -> Column:
     """Entity score, damped by the square root of its citations."""
     return (source_hits + 2 * description_hits + 3 * name_hits) / F.greatest(F.lit(1.0), F.sqrt(citations))
+
+
+#: Vectors of a block, about: two blocks meet in one task.
+BLOCK = 512
+
+
+def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, least: float) -> DataFrame:
+    """src, dst (src < dst) of all pairs of vectors whose dot product is `least` or more: an exact scan, block by block."""
+    import numpy as np
+
+    e = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    blocks = -(-e.count() // BLOCK) or 1
+    own = e.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def meet(key: tuple, pdf):
+        import pandas as pd
+
+        ids, v = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy())
+        a, b = (pdf["own"].to_numpy() == k for k in key)
+        x, y = np.nonzero(v[a] @ v[b].T >= least)
+        pairs = pd.DataFrame({"src": ids[a][x], "dst": ids[b][y]})
+        if key[0] != key[1]:
+            pairs = pd.DataFrame({"src": pairs.min(axis=1), "dst": pairs.max(axis=1)})
+        return pairs[pairs["src"] < pairs["dst"]]
+
+    return own.groupBy(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).applyInPandas(meet, "src long, dst long")

@@ -283,6 +283,14 @@ def connected_components(spark, d):
     return records.connected(edges)
 
 
+@register("""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3),
+r(node, c) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.node)
+SELECT node, min(c) AS component FROM r GROUP BY node""")
+def connected_components_all(spark, d):
+    """Edges are all pairs of vectors with cosine of 0.3 or more, whatever their labels."""
+    return records.connected(search.similar_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", 0.3))
+
+
 @register("""WITH s AS (SELECT c_nationkey, c_mktsegment AS name, count(*) AS n FROM customer GROUP BY ALL)
 SELECT c_nationkey, name, n FROM s QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, length(name) DESC, name DESC) = 1""")
 def spelling_vote(spark, d):

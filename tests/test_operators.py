@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
-from quillstream.operators import folds, intervals, media, records
+from quillstream.operators import folds, intervals, media, records, search
 from quillstream.plans import catalog
 from quillstream.sources import jsonl
 from quillstream.streaming import turns
@@ -119,3 +119,11 @@ def test_quotes_of_any_cut_are_found(spark, tmp_path):
     spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     want = [(i, k) for i, q in enumerate(quotes) for k, x in enumerate(docs) if q is not None and x is not None and q in x]
     assert sorted(map(tuple, catalog.evidence_substring(spark, str(tmp_path)).collect())) == want
+
+
+def test_pairs_of_all_blocks_are_the_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 7)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").limit(60).collect()]
+    df = spark.createDataFrame([*rows, (999, None)], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, search.similar_pairs(df, "vec_id", "embedding", 0.2).collect()))
+    assert got == sorted((a, b) for a, x in rows for b, y in rows if a < b and sum(p * q for p, q in zip(x, y)) >= 0.2) and got
