@@ -262,6 +262,14 @@ def array_membership(spark, d):
     return hits.join(t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
 
 
+@register("""SELECT l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
+def array_membership_all(spark, d):
+    """Every order's whole array of lineitems, not only those numbered 2."""
+    arrays = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
+    hits = arrays.select("l_orderkey", F.explode("parts").alias("l_partkey"))
+    return hits.join(t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+
+
 @register("""SELECT a.conv_id, a.turn, b.turn AS near_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn + 2 AND b.turn <> a.turn WHERE a.role = 'user'""")
 def neighbor_offset(spark, d):
     """Offsets are made explicit, so the join stays an equi-join on (conversation, turn)."""

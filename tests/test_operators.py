@@ -127,3 +127,10 @@ def test_pairs_of_all_blocks_are_the_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([*rows, (999, None)], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, search.similar_pairs(df, "vec_id", "embedding", 0.2).collect()))
     assert got == sorted((a, b) for a, x in rows for b, y in rows if a < b and sum(p * q for p, q in zip(x, y)) >= 0.2) and got
+
+
+def test_membership_covers_every_line(spark):
+    sf = "/root/testdata/sf0.001"
+    li, o = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("lineitem", "orders"))
+    whole = li.join(o.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).count()
+    assert catalog.queries()["array_membership_all"](spark, sf).count() == whole > catalog.array_membership(spark, sf).count()
