@@ -15,9 +15,9 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, table
+from .common import WORD, components, durable, table
 
-#: Lines of fewer characters are left alone; two lines are near when at most so many edits apart.
+#: Lines of fewer characters are compared by equality only; two lines are near when at most so many edits apart.
 LEAST_CHARS, EDITS = 24, 2
 #: Segments of the finer cuts, by which lines that share a segment are looked over before they are paired.
 FINE = 6
@@ -219,18 +219,19 @@ def _cores(pairs: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """doc_id, tkey, n_lines, n_eligible, n_removed, n_near, removed for each distinct (id, text) of `docs`.
 
-    Lines are what \\n separates. Of the lines of `least` (at least LEAST_CHARS) characters that reach each other by
-    steps of at most `edits` edits, the first stays, in order of id (null last), text hash and line number; the
-    others are removed: their numbers (from 0) are listed. n_near counts those that differ from the one that
-    stays. Shorter lines, blank ones among them, are never removed. Null and empty texts have no line to remove.
+    Lines are what \\n separates. Of the lines of `least` characters or more that reach each other by steps of at most
+    `edits` edits, the first stays, in order of id (null last), text hash and line number; the others are removed:
+    their numbers (from 0) are listed. n_near counts those that differ from the one that stays. Lines below
+    LEAST_CHARS reach only equal ones, and need a word. Lines shorter than `least` are never removed. Null and empty texts have no line to remove.
     Repeated rows are one document. tkey is the hash of the text.
     """
-    if least < LEAST_CHARS or 2 * edits + 1 > 61 or LEAST_CHARS <= edits:
-        raise ValueError("least must be LEAST_CHARS or more, and edits at most 30 and below LEAST_CHARS")
+    if least < 1 or 2 * edits + 1 > 61 or LEAST_CHARS <= edits:
+        raise ValueError("least must be 1 or more, and edits at most 30 and below LEAST_CHARS")
+    fits = lambda s: (F.char_length(s) >= least) & ((F.char_length(s) >= LEAST_CHARS) | s.rlike(WORD))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
     each = own.select("doc_id", "tkey", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    eligible = each.where(F.char_length("line") >= least)
-    near = durable(near_lines(eligible.select("line"), edits))
+    eligible = each.where(fits(F.col("line")))
+    near = durable(near_lines(eligible.where(F.char_length("line") >= LEAST_CHARS).select("line"), edits))
     roots = components(near).toDF("id", "root")
     rows = eligible.select("doc_id", "tkey", "at", F.unhex(F.md5("line")).alias("id")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tkey", "at")
@@ -238,7 +239,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = rows.join(first, "root").where(~((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("tkey") == F.col("first.tkey")) & (F.col("at") == F.col("first.at"))))
     per = gone.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("at")).alias("removed"), F.count_distinct(F.when(F.col("id") != F.col("first_id"), F.col("at"))).alias("n_near")).select(F.col("doc_id").alias("d"), F.col("tkey").alias("k"), "removed", "n_near")
     size = F.size(F.split("text", "\n", -1)).cast("long")
-    fit = F.size(F.filter(F.split("text", "\n", -1), lambda s: F.char_length(s) >= least)).cast("long")
+    fit = F.size(F.filter(F.split("text", "\n", -1), fits)).cast("long")
     base = own.select("doc_id", "tkey", size.alias("n_lines"), fit.alias("n_eligible")).distinct()
     both = base.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
@@ -255,4 +256,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_eligible", "n_removed", "n_near", "removed")
+    return line_classes(table(spark, sf_dir, "documents"), least=1).select("doc_id", "n_lines", "n_eligible", "n_removed", "n_near", "removed")

@@ -141,6 +141,13 @@ def test_line_dedup_keeps_the_first(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {1: f"{a}\nshort", 2: "short"}
 
 
+def test_short_lines_repeat_by_equality(spark):
+    docs = spark.createDataFrame([(1, "Les.\n\n \nLes!\nLes."), (2, "Les.\n\n \nx\nLes!")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_eligible, list(r.removed), r.n_near) for r in line_dedup.line_classes(docs, least=1).collect()}
+    assert got == {1: (3, [4], 0), 2: (3, [0, 4], 0)}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, least=1).collect()} == {1: "Les.\n\n \nLes!", 2: "\n \nx"}
+
+
 def test_warc_round_trip_and_assembly(spark, tmp_path):
     html = "é" * 80 + "\r\n\r\nWARC/1.1\r\n"
     pages = spark.createDataFrame([(3, "http://a.b/c?d#e", html), (1, "http://x", html), (9, None, None), (4, "u", "tiny"), (5, "u", "tiny"), (3, "http://a.b/c?d#e", html)], "page_id long, url string, html string")
