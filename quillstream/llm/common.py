@@ -27,11 +27,13 @@ def ascii_lower(c: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the setting is absent."""
+    """The shared folder of spark.checkpoint.dir. A temporary one only where nothing is set and Spark runs on one machine."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="quillstream-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared)

@@ -22,6 +22,8 @@ from .tokens import END_ID, encoder
 CAPACITY = 1024
 #: Pieces of one rank shard, about.
 SHARD = 20_000
+#: Lengths that patterns are made of, at most: the most frequent ones. Pieces of other lengths are packed best-fit.
+MOST_LENGTHS = 2_048
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -54,7 +56,11 @@ def _cut(capacity: int, tokenizer: str | None):
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of at most `capacity` ids of each document with its end id; of a longer one, the first may be shorter."""
+    """Pieces of at most `capacity` ids of each document with its end id; of a longer one, the first may be shorter.
+
+    Null and empty texts are one piece, their end id. Repeated rows and rows without an id have their pieces each. Other
+    columns are ignored. Empty table: empty result.
+    """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_cut(capacity, tokenizer), _PIECES_DDL)
 
 
@@ -98,7 +104,7 @@ def plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     out: list[tuple[tuple[int, ...], int]] = []
     lengths = np.flatnonzero(left)
     lengths = lengths[lengths > 0]
-    rows = patterns(lengths, capacity)
+    rows = patterns(np.sort(lengths[np.argsort(-left[lengths], kind="stable")[:MOST_LENGTHS]]), capacity)
     if len(rows):
         x = fit(rows, left)
         for k in np.argsort(-x, kind="stable"):
@@ -199,4 +205,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and places of every document; nulls, empties and repeats as in token_pieces and pack."""
     return pack_documents(table(spark, sf_dir, "documents"))
