@@ -188,10 +188,27 @@ def test_packing_places_every_piece_once(spark):
     assert len(by) <= 1.02 * sum(r.length for r in rows) / packing.CAPACITY + 2
 
 
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_tokenizer())
+
+
 def test_encoder_is_the_library():
-    enc = tokens.encoder(None)
-    odd = ["", " ", "a  b\n\n c", "don't I'LL '", "<|endoftext|> x", "12³ ½ x_y--z", "\tx\r\n", "日本語 テスト", "a\0b", "😀 👩‍👩‍👧", " İx", "word " * 50]
-    assert [np.array(e.ids, np.uint32).tobytes() for e in enc._lib.encode_batch(odd, add_special_tokens=False)] == enc.encode(odd)
+    rng, lib, enc = random.Random(2), library(), tokens.Encoder(tokens.default_tokenizer())
+    odd = ["", " ", "a  b\n\n c", "don't I'LL '", "<|endoftext|> x", "12³ ½ x_y--z", "\tx\r\n", "日本語 テスト", "a\0b", "😀 👩\u200d👩\u200d👧", " İx", "word " * 50]
+    atoms = [" ", "  ", "\n", "\n\n", "\t", "\v", "\f", "\r\n", "\xa0", "\u3000", "\u2028", "\x1c", "\x85", "a", "word", "é", "Él", "日本", "١", "12", "½", ",", ".", "'s", "don't", "<|endoftext|>", "😀", "\u200b", "\0", "x.", "--", "I'LL"]
+    odd += ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    for _ in range(2):  # the second time from memory
+        assert [np.array(e.ids, np.uint32).tobytes() for e in lib.encode_batch(odd, add_special_tokens=False)] == enc.encode(odd)
+    assert enc.encode([None]) == [b""]
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_REMEMBERED", 64)
+    monkeypatch.setattr(tokens, "CHARS", 50)
+    enc, texts = tokens.Encoder(tokens.default_tokenizer()), [f"word{k} other{k % 7}, " + "x y " * (k % 3) for k in range(300)] + [" ".join(f"w{k}" for k in range(500))]
+    assert enc.encode(texts) == [np.array(e.ids, np.uint32).tobytes() for e in library().encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_is_a_freshly_loaded_library():
@@ -212,16 +229,46 @@ def test_range_coder_round_trip():
     whole = range_coder.pack_block(0, 0, blocks[2], [(1, 0, 700)], coded[2])
     with pytest.raises(ValueError):
         list(range_coder.documents_of(whole[:-3] + b"\0\0\1"))
+    wide = np.array([1, 70_000, 2**32 - 1, 5], np.uint32)
+    (words,) = range_coder.encode_blocks([range_coder.symbols_of(wide)])
+    ((_, doc, ids),) = range_coder.documents_of(range_coder.pack_block(0, 0, wide, [(9, 0, 4)], words))
+    assert doc == 9 and (ids == wide).all()
+
 
+def ids_of(texts):
+    return [np.array([*e.ids, 2], np.uint32) for e in library().encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
-def test_ids_file_round_trip(spark):
+
+def test_ids_file_round_trip(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    monkeypatch.setattr(range_coder, "SHARDS", 2)
+    range_coder.write_ids(docs, str(tmp_path / "ids"), shard_bytes=50_000)
+    assert len(list((tmp_path / "ids").glob("part-*"))) > 4
+    for got in (range_coder.query(spark, SF), range_coder.read_ids(spark, str(tmp_path / "ids"))):
+        start = 0
+        for r, d, ids in zip(sorted(got.collect()), rows, ids_of([d.text for d in rows]), strict=True):
+            assert tuple(r) == (d.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+            start += len(ids)
+
+
+def test_ids_of_odd_rows(spark, odd, tmp_path):
+    range_coder.write_ids(odd, str(tmp_path / "ids"), shard_bytes=2_000)
+    got = range_coder.read_ids(spark, str(tmp_path / "ids")).collect()
+    want = [(r.doc_id, len(i), zlib.crc32(i.tobytes())) for r, i in zip(odd.collect(), ids_of([r.text for r in odd.collect()]))]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got)
+    at = sorted((r.start, r.n_tokens) for r in got)
+    assert [a for a, _ in at] == list(np.cumsum([0, *(n for _, n in at)])[:-1]) and got[0].start >= 0
+    range_coder.write_ids(odd.limit(0), str(tmp_path / "none"))
+    assert range_coder.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_packed_ids_are_the_library(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = sorted(range_coder.query(spark, SF).collect())
-    enc, start = tokens.encoder(None)._lib, 0
-    for r, d in zip(got, sorted(docs.select("doc_id", "text").collect())):
-        ids = np.array([*enc.encode(d.text, add_special_tokens=False).ids, 2], np.uint32)
-        assert tuple(r) == (d.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
+    whole = {r.doc_id: i for r, i in zip(docs.collect(), ids_of([r.text for r in docs.collect()]))}
+    rows = packing.pack_documents(docs).collect()
+    assert sum(r.length for r in rows) == sum(map(len, whole.values()))
+    assert all(zlib.crc32(whole[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in rows)
 
 
 def test_language_accuracy_held_out(spark):
