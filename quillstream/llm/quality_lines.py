@@ -24,7 +24,7 @@ BROADCAST_LINES = 100_000
 @dataclass(frozen=True)
 class Limits:
     """A line is common when more than max(min_docs, share * documents of its host) distinct documents of the
-    host have it. A document is depleted when common lines took more than max_removed of its words, or fewer
+    host have it; documents of equal texts are one. A document is depleted when common lines took more than max_removed of its words, or fewer
     than min_words are left."""
 
     min_docs: int = 20
@@ -50,14 +50,14 @@ _LINES = pa.schema([("host", pa.string()), ("line", pa.binary()), ("doc", pa.bin
 def _line_rows(it):
     """A row per distinct line of each document, and one with a null line for the document itself.
 
-    A document is known by the hash of its sorted line set, so that copies count as one document and don't make
-    each other's lines common."""
+    A document is known by the hash of its whole text, so that exact copies count as one document and don't make
+    each other's lines common; any other difference makes documents distinct."""
     def f(cols):
         hosts, lines, docs = [], [], []
         for text, host in zip(cols["text"].to_pylist(), cols["host"].to_pylist()):
             own = {h for _, h, _ in _norm_lines(text)}
             if own:
-                doc = hashlib.md5(b"".join(sorted(own))).digest()
+                doc = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
                 hosts += [host] * (len(own) + 1)
                 docs += [doc] * (len(own) + 1)
                 lines += [None, *own]
@@ -197,29 +197,34 @@ def _by_join(given: DataFrame, common: DataFrame, with_text: bool, pass_cols, dd
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document; nulls, empties and repeats as in quality_rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "n_common_lines")
 
 
 def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The columns of `docs` for the documents that stay, common lines removed from text; n_chars follows."""
-    out = quality_rules(docs, limits=limits, with_text=True).where("kept")
-    text = F.when(F.col("n_common_lines") > 0, F.col("clean_text")).otherwise(F.col("text"))
-    cols = [text.alias("text") if c == "text" else F.when(F.col("n_common_lines") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return out.select(*cols)
+    """The rows of `docs` that stay, their columns unchanged but for text (common lines removed) and n_chars (its length
+    where lines were removed), whatever their names. Rows with a null or empty text go; repeated rows stay or go together."""
+    names = docs.columns
+    own = {c: f"__own{k}" for k, c in enumerate(names)}
+    out = quality_rules(docs.toDF(*own.values()), own["source"], own["text"], limits, True).where("kept")
+    less = F.col("n_common_lines") > 0
+    new = {"text": F.when(less, F.col("clean_text")).otherwise(F.col(own["text"]))}
+    if "n_chars" in own:
+        new["n_chars"] = F.when(less, F.length("clean_text").cast("long")).otherwise(F.col(own["n_chars"]))
+    return out.select(*[new.get(c, F.col(own[c])).alias(c) for c in names])
 
 
 _BLANK = r"[\x20\x09-\x0D]"
 SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS text, md5(coalesce(text, '')) AS doc, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), l AS (
-  SELECT doc_id, source, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)
-), n AS (SELECT doc_id, source, line, len(lw) AS k, md5(array_to_string(lw, ' ')) AS h FROM l WHERE len(lw) > 0),
-sk AS (SELECT doc_id, min(h) || max(h) AS doc FROM n GROUP BY doc_id),
-lc AS (SELECT source, h, count(DISTINCT doc) AS n_docs FROM n JOIN sk USING (doc_id) GROUP BY source, h),
-hc AS (SELECT source, count(DISTINCT doc) AS n_of FROM n JOIN sk USING (doc_id) GROUP BY source),
+  SELECT doc_id, source, doc, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT doc_id, source, doc, unnest(string_split(text, chr(10))) AS line FROM d)
+), n AS (SELECT doc_id, source, doc, line, len(lw) AS k, md5(array_to_string(lw, ' ')) AS h FROM l WHERE len(lw) > 0),
+lc AS (SELECT source, h, count(DISTINCT doc) AS n_docs FROM n GROUP BY source, h),
+hc AS (SELECT source, count(DISTINCT doc) AS n_of FROM n GROUP BY source),
 bad AS (SELECT lc.source, h FROM lc JOIN hc ON lc.source IS NOT DISTINCT FROM hc.source WHERE n_docs > greatest(20.0, 0.05 * n_of)),
 rem AS (SELECT doc_id, sum(k) AS n_removed_words, count(*) AS n_common_lines FROM n JOIN bad ON n.source IS NOT DISTINCT FROM bad.source AND n.h = bad.h GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM n GROUP BY doc_id),
