@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, durable, table
+
+#: A group of more rows is hot: its rows get their group from a broadcast table, as long as there are at most MOST_HOT.
+HOT, MOST_HOT = 1_000, 100_000
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -13,8 +16,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical after lower-casing A-Z. The aggregation's key is (128-bit hash, text):
     rows meet by hash and are then compared byte for byte, so colliding texts stay apart, and copies
-    collapse on the map side, so a group may hold any share of the rows. Only groups of two or more are
-    joined back, by narrow keys (a hot group's join is split by AQE).
+    collapse on the map side, so a group may hold any share of the rows. Rows that repeat both id and text are
+    counted before they move and dealt out again at the end. Groups of two or more come back to their rows by narrow
+    keys: those of hot groups meet a broadcast table and are dealt by id, the others meet in a shuffle.
 
     keep: "smallest" or "largest" id. A null text counts as empty. A null id never wins over another id.
     Rows that repeat both id and text: exactly one of them is kept. Empty table: empty result. Other
@@ -26,23 +30,36 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keyed.groupBy("h", "norm")
         .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
-        .select("h", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
+        .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     )
-    rows = keyed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"))
-    joined = rows.join(groups, ["h", "text_sha256"], "left")
-    first = F.row_number().over(Window.partitionBy("doc_id", "h", "text_sha256").orderBy(F.lit(1))) == 1
+    groups = durable(groups)
+    rows = keyed.groupBy("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha")).agg(F.count(F.lit(1)).alias("times"))
+    hot = groups.where(F.col("group_size") > HOT)
+    n_hot = hot.limit(MOST_HOT + 1).count()
+    if 0 < n_hot <= MOST_HOT:
+        met = rows.join(F.broadcast(hot.withColumnRenamed("sha", "hot_sha")), F.col("sha") == F.col("hot_sha"), "left").withColumnsRenamed({"keep_id": "hot_id", "group_size": "hot_size"})
+        # rows of hot groups are dealt by a key that no group has
+        met = met.withColumn("key", F.when(F.col("hot_sha").isNull(), F.col("sha")).otherwise(F.unhex(F.md5(F.concat_ws(" ", F.lit("hot"), "doc_id")))))
+        cold = groups.where(F.col("group_size") <= HOT).withColumnRenamed("sha", "key")
+        met = met.join(cold, "key", "left").withColumn("keep_id", F.when(F.col("hot_sha").isNull(), F.col("keep_id")).otherwise(F.col("hot_id"))).withColumn("group_size", F.coalesce("hot_size", "group_size"))
+    else:
+        met = rows.join(groups, "sha", "left")
     alone = F.col("group_size").isNull()
-    return joined.select(
+    wins = alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return met.select("doc_id", "sha", "keep_id", "group_size", wins.alias("wins"), alone.alias("alone"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth")).select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        ((alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))) & first).alias("kept"),
-        "text_sha256",
+        (F.col("wins") & (F.col("nth") == 1)).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of `docs` that stay, all their columns unchanged."""
+    """The rows of `docs` that stay, all their columns unchanged, whatever their names.
+
+    Null and empty texts are equal texts. Of rows that repeat both id and text any one stays. Empty table: empty result.
+    """
     stays = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     keyed = docs.withColumn("__sha", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)).withColumn("__id", F.col(id_col))
     mine = keyed.alias("a").join(stays.alias("b"), F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__sha") == F.col("b.__sha")), "left_semi")
@@ -51,6 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and verdict of every document, the largest id staying; nulls, empties and repeats as in exact_groups."""
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
