@@ -1,9 +1,8 @@
 """Language ID: a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation
 through time, labels every byte position; a document's probabilities are the mean over its positions.
 
-The network's state is reset at blanks (and after SPAN bytes of an unbroken run), so a word's labels depend on
-the word alone: each distinct word is run once per worker and its summed label probabilities are remembered,
-yet every position of every text counts.
+The network runs over the bytes of whole texts, blanks included. A text longer than a window is cut into windows that
+overlap by LAP bytes on either side: both directions warm up on what lies around the bytes that the window labels.
 """
 
 from __future__ import annotations
@@ -17,12 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import batches, table
 
-HIDDEN, SPAN = 16, 24
-#: Labelled documents of a language that the classifier is fitted on, at most, and languages it may learn.
-SAMPLE, MOST_LANGUAGES = 300, 1_000
-STEPS, BATCH, RATE = 700, 256, 0.02
-#: Words whose labels a worker remembers, at most.
-MOST_WORDS = 600_000
+HIDDEN = 8
+#: Bytes that a window labels, and bytes before and after them that only warm it up; windows that run in step.
+CORE, LAP, LANES = 224, 16, 1024
+#: What the classifier is fitted on: at most so many labelled documents of a language, FITTED in all, one stretch of at
+#: most STRETCH characters of each.
+SAMPLE, FITTED, STRETCH = 300, 20_000, 4_000
+#: Training: steps of BATCH stretches of TRAIN bytes.
+STEPS, BATCH, RATE, TRAIN = 300, 256, 0.02, 48
 UNKNOWN = "und"
 
 
@@ -94,42 +95,25 @@ class Model:
         return [*self.w, *self.u, *self.v, self.c]
 
 
-def pieces_of(raw: bytes) -> list[bytes]:
-    """The network's inputs: runs without ASCII blanks, cut after SPAN bytes."""
-    words = raw.split()
-    if max(map(len, words), default=0) > SPAN:
-        words = [w[k : k + SPAN] for w in words for k in range(0, len(w), SPAN)]
-    return words
-
-
 def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 3) -> Model | None:
-    """Fits (text, language) samples with Adam; languages weigh alike. None without samples."""
+    """Fits (text, language) samples with Adam; languages weigh alike, and within one every byte does. None without samples.
+
+    A step's stretches have one length: TRAIN bytes of a language's texts joined by line ends, fewer where every language's are shorter.
+    """
     langs = sorted({lang for _, lang in samples})
     if not langs:
         return None
     rng = np.random.default_rng(seed)
     f = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0] if shape[0] != 256 else 4)).astype(np.float32)
     model = Model(langs, [f(256, 3 * HIDDEN) for _ in range(2)], [f(HIDDEN, 3 * HIDDEN) for _ in range(2)], [f(HIDDEN, len(langs)) for _ in range(2)], np.zeros(len(langs), np.float32))
-    by: dict[int, list[list[bytes]]] = {}
-    for k, lang in enumerate(langs):
-        found: dict[int, list[bytes]] = {}
-        for text, of in samples:
-            if of == lang:
-                for w in pieces_of(text.encode("utf-8", "surrogatepass")):
-                    found.setdefault(len(w), []).append(w)
-        for n, ws in found.items():
-            by.setdefault(n, [[] for _ in langs])[k] = ws
-    if not by:
-        return None
-    lengths = sorted(by)
-    mass = np.array([n * sum(map(len, by[n])) for n in lengths], float)
+    joined = [np.frombuffer("\n".join(t for t, of in samples if of == lang).encode("utf-8", "surrogatepass") + b"\n", np.uint8) for lang in langs]
+    joined = [np.tile(x, -(-TRAIN // len(x))) if len(x) < TRAIN else x for x in joined]
     params = model.params()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        n = lengths[rng.choice(len(lengths), p=mass / mass.sum())]
-        there = [k for k, ws in enumerate(by[n]) if ws]
-        y = rng.choice(there, BATCH)
-        x = np.frombuffer(b"".join(by[n][k][rng.integers(len(by[n][k]))] for k in y), np.uint8).reshape(BATCH, n).T
+        y = rng.integers(len(langs), size=BATCH)
+        n = TRAIN if step % 4 else 12  # short stretches, as short texts are
+        x = np.stack([joined[k][a : a + n] for k in y for a in (rng.integers(len(joined[k]) - n + 1),)], 1)
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for p, g, a, b in zip(params, model.gradients(x, y), m, v):
             a += 0.1 * (g - a)
@@ -139,47 +123,77 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = 3) ->
 
 
 class Predictor:
-    """Sums of label probabilities by word, remembered; documents from them."""
+    """Pooled label probabilities of documents; windows of many documents run in step, features by lanes."""
 
     def __init__(self, model: Model):
-        self.model, self.row, self.sums = model, {}, np.zeros((0, len(model.langs)), np.float32)
-
-    def _learn(self, new: list[bytes]) -> None:
-        first = len(self.row)
-        if first + len(new) > len(self.sums):
-            grown = np.zeros((max(2 * len(self.sums), first + len(new), 4096), self.sums.shape[1]), np.float32)
-            grown[:first] = self.sums[:first]
-            self.sums = grown
-        for k, w in enumerate(new):
-            self.row[w] = first + k
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        for n in np.unique(size):
-            which = np.flatnonzero(size == n)
-            for at in range(0, len(which), 2048):
-                part = which[at : at + 2048]
-                x = np.frombuffer(b"".join(new[k] for k in part), np.uint8).reshape(len(part), n).T
-                self.sums[first + part] = self.model.run(x)[0].sum(0)
+        h = HIDDEN
+        self.langs = model.langs
+        half = np.ones(3 * h, np.float32)
+        half[: 2 * h] = 0.5  # a sigmoid is a tanh of half its argument
+        self.w = [np.ascontiguousarray((w * half).T) for w in model.w]
+        self.u = [np.ascontiguousarray((u * half).T) for u in model.u]
+        self.v, self.c = [np.ascontiguousarray(v.T) for v in model.v], model.c[:, None].astype(np.float32)
+
+    def _states(self, d: int, x: np.ndarray, active: np.ndarray, out: np.ndarray) -> None:
+        """Adds direction d's part of the logits to out (T, K, lanes); x (T, lanes), lanes longest first, active (T,)."""
+        h = np.zeros((HIDDEN, x.shape[1]), np.float32)
+        w, u, v, k = self.w[d], self.u[d], self.v[d], 2 * HIDDEN
+        for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
+            n = int(active[t])
+            own = h[:, :n]
+            i, r = np.take(w, x[t, :n], axis=1), u @ own
+            gates = np.tanh(i[:k] + r[:k])
+            gates += 1
+            gates *= 0.5
+            new = np.tanh(i[k:] + gates[HIDDEN:] * r[k:])
+            own -= new
+            own *= gates[:HIDDEN]
+            own += new
+            out[t, :, :n] += v @ own
+
+    def windows(self, raw: list[bytes]) -> np.ndarray:
+        """Label probabilities summed over the positions of each byte string, (documents, languages)."""
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        parts = -(-size // CORE)
+        doc = np.repeat(np.arange(len(raw)), parts)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        base = (np.cumsum(size) - size)[doc]
+        core = nth * CORE
+        a, z = np.maximum(core - LAP, 0), np.minimum(core + CORE + LAP, size[doc])
+        low, high = core - a, np.minimum(core + CORE, size[doc]) - a  # labelled positions of a window
+        sums = np.zeros((len(raw), len(self.langs)))
+        order = np.argsort(a - z, kind="stable")
+        for at in range(0, len(order), LANES):
+            k = order[at : at + LANES]
+            n = (z - a)[k]
+            t = np.arange(int(n[0]))[:, None]
+            x = data[np.minimum((base + a)[k] + t, len(data) - 1)]
+            active = len(n) - np.searchsorted(n[::-1], t[:, 0], side="right")
+            logits = np.zeros((len(t), len(self.langs), len(k)), np.float32)
+            logits += self.c
+            for d in range(2):
+                self._states(d, x, active, logits)
+            logits -= logits.max(1, keepdims=True)
+            p = np.exp(logits, out=logits)
+            p *= (((t >= low[k]) & (t < high[k])) / p.sum(1))[:, None]
+            np.add.at(sums, doc[k], p.sum(0, dtype=np.float64).T)
+        return sums
 
     def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
         import regex
 
-        letter, out = regex.compile(r"\p{L}").search, []
-        for at in range(0, len(texts), 512):
-            cut = [pieces_of(t.encode("utf-8", "surrogatepass")) if t and letter(t) else None for t in texts[at : at + 512]]
-            new = list({w for ws in cut if ws for w in ws if w not in self.row})
-            if len(self.row) + len(new) > MOST_WORDS:
-                self.row.clear()
-                new = list({w for ws in cut if ws for w in ws})
-            if new:
-                self._learn(new)
-            for ws in cut:
-                if not ws:
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                rows = np.fromiter(map(self.row.__getitem__, ws), np.int64, len(ws))
-                total = self.sums[rows].sum(0, dtype=np.float64)
-                k = int(total.argmax())
-                out.append((self.model.langs[k], float(min(1.0, total[k] / total.sum()))))
+        letter, out = regex.compile(r"\p{L}").search, [(UNKNOWN, 0.0)] * len(texts)
+        lot, held = [], 0
+        for k, t in enumerate(texts):
+            if t and letter(t):
+                lot.append(k)
+                held += len(t)
+            if lot and (held >= LANES * CORE or k + 1 == len(texts)):
+                for i, total in zip(lot, self.windows([texts[i].encode("utf-8", "surrogatepass") for i in lot])):
+                    best = int(total.argmax())
+                    out[i] = (self.langs[best], float(min(1.0, total[best] / total.sum())))
+                lot, held = [], 0
         return out
 
 
@@ -212,24 +226,27 @@ def fold(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, steps: int = STEPS) -> Model | None:
-    """Learns from at most `sample` whole documents of each language outside fold 2, those of least id hash.
+    """Learns from at most `sample` documents of each language outside fold 2 (FITTED of all languages together), those
+    of least hash of id and text, and of a long one from a stretch of STRETCH characters at a place drawn by that hash.
 
-    Rows without language, text or word are not learned from. Counts by language cover all rows; a cut by hash
-    brings about twice the sample to the driver, whatever a language's share.
+    Rows without language, text or letter are not learned from; repeated rows count once. Counts by language cover all
+    rows; a cut by hash brings about twice the sample to the driver, whatever a language's share.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where((fold(id_col) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("k")).limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where((fold(id_col) != 2) & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("k")).collect()
     if not counts:
         return None
+    sample = max(1, min(sample, FITTED // len(counts)))
     span = 1 << 30
     cut = docs.sparkSession.createDataFrame([(r[0], min(span, int(span * 2 * sample / r[1]) + 1)) for r in counts], "l string, most long")
-    hashed = rows.withColumn("h", F.pmod(F.xxhash64("i"), F.lit(span))).join(F.broadcast(cut), "l").where("h < most").select("l", "h", "i", "t")
+    h = F.pmod(F.xxhash64("i", "t"), F.lit(span))
+    hashed = rows.withColumn("h", h).join(F.broadcast(cut), "l").where("h < most")
+    place = F.pmod(F.col("h"), F.greatest(F.lit(1), F.char_length("t") - STRETCH + 1)).cast("int") + 1
+    thin = hashed.select("l", "h", F.substr("t", place, F.lit(STRETCH)).alias("t")).groupBy("l", "h").agg(F.min("t").alias("t"))
     by: dict[str, list] = {}
-    for r in sorted(hashed.collect(), key=lambda r: (r[0], r[1], r[2] if r[2] is not None else -1, r[3])):
+    for r in sorted(map(tuple, thin.collect())):
         if len(by.setdefault(r[0], [])) < sample:
-            by[r[0]].append((r[3], r[0]))
+            by[r[0]].append((r[2], r[0]))
     return train([x for xs in by.values() for x in xs], steps)
 
 
@@ -244,4 +261,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; nulls, empties and repeats as in identify."""
     return identify(table(spark, sf_dir, "documents"))
