@@ -158,6 +158,39 @@ def test_warc_round_trip_and_assembly(spark, tmp_path):
     assert records.count() == 18 and bytes(records.where("record_type = 'response' and target_uri = 'http://x'").first().payload) == html.encode()
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+    told = records.where("record_type = 'revisit'").select("refers_to").distinct().collect()
+    assert len(told) == 1 and records.where(F.col("record_id") == told[0][0]).first().record_type == "response"
+    none = pages.limit(0).withColumn("id", F.lit(1)).withColumn("digest", F.lit("x"))
+    assert warc.archive_and_assemble(none, str(tmp_path / "none")).count() == 0
+    clash = pages.withColumn("id", F.lit("x")).withColumn("digest", F.lit("x")).withColumn("payload", F.lit(1))
+    assert sorted(map(tuple, warc.archive_and_assemble(clash, str(tmp_path / "c")).select("page_id", "payload_bytes", "record_type", "refers_to").collect())) == got
+
+
+def test_repeated_responses_are_found_by_digest(spark, tmp_path):
+    html = "z" * 200
+    pages = spark.createDataFrame([(1, "a", html), (1, "a", html), (2, "b", html), (None, "c", html)], "page_id long, url string, html string")
+    got = sorted(map(tuple, warc.archive_and_assemble(pages, str(tmp_path / "w")).select("page_id", "record_type", "refers_to").collect()), key=repr)
+    assert got == [(1, "response", None), (1, "response", None), (2, "revisit", 1), (None, "revisit", 1)]
+
+
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    def record(kind, rid, to=(), block=b"x", more=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\n" + "".join(f"WARC-Concurrent-To: {x}\r\n" for x in to) + f"{more}Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    chain = [record("metadata", "m9", ["m8"]), record("metadata", "m8", ["q7"]), record("request", "q7", ["r1"]), record("response", "r1", block=b"A" * 400_000)]
+    several = [record("metadata", "m1", ["r2", "r3"], more="X-Folded: a\r\n b\r\n"), record("response", "r2"), record("response", "r3"), record("request", "q3", ["r3"])]
+    named = [record("response", "r4", ["q4"]), record("request", "q4"), record("request", "q5", ["lost"]), record("metadata", "m5", ["lost"]), record("response", "r6"), record("warcinfo", "w", block=b""), record("metadata", "m6", ["m6", "r6"])]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.warc.gz").write_bytes(b"".join(map(gzip.compress, chain + several)))
+    (tmp_path / "two.warc").write_bytes(b"".join(named))
+    got = {r.capture_id: (r.response and r.response.record_id, [x.record_id for x in r.requests], [x.record_id for x in r.metadata], [x.record_id for x in r.others]) for r in warc.assemble(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert got == {"r1": ("r1", ["q7"], ["m8", "m9"], []), "r2": ("r2", ["q3"], ["m1"], ["r3"]), "r4": ("r4", ["q4"], [], []), "m5": (None, ["q5"], ["m5"], []), "r6": ("r6", [], ["m6"], []), "w": (None, [], [], ["w"])}
+    assert warc.read_warc(spark, str(tmp_path / "a")).where("record_id = 'r1'").first().block_bytes == 400_000
+    with pytest.raises(ValueError):
+        list(warc.parse(gzip.compress(chain[0])[:-9]))
 
 
 def test_mix_comes_near_its_targets(spark):
@@ -310,6 +343,65 @@ def test_documents_of_shared_lines_are_counted_apart(spark):
     assert got == {60: 40}
 
 
+def test_documents_of_one_header_and_footer(spark):
+    docs = spark.createDataFrame([(k, f"the header line\nown line {k} of the host\nthe footer line", "a") for k in range(2000)], "doc_id long, text string, source string")
+    got = sorted(r.n_docs for r in quality_lines.common_lines(docs, "source", "text", quality_lines.Limits()).collect())
+    assert got == [2000, 2000]
+
+
+def test_stages_keep_clashing_columns(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, words, "a", "mine", 5, 7, 8, 9), (2, None, None, None, None, 1, 2, 3)], "doc_id long, text string, source string, kept string, n_words int, sha int, times int, copies int")
+    for stay in (quality_lines.kept_documents, exact_dedup.exact_dedup, ngram_join.one_of_each, mixing.mixed_documents):
+        got = [tuple(r) for r in stay(docs).collect()]
+        assert set(got) >= {(1, words, "a", "mine", 5, 7, 8, 9)} and stay(docs).columns == docs.columns, stay
+
+
+def test_hot_groups_of_copies(spark, monkeypatch):
+    rows = [(k, "Same text") for k in range(40)] + [(3, "same TEXT"), (3, "same TEXT"), (None, "same text")] + [(100 + k, f"own {k}") for k in range(20)] + [(200, "two"), (201, "TWO"), (202, None), (203, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    want = key(exact_dedup.exact_groups(docs, keep="largest"))
+    assert len(want) == len(rows) and sum(r[3] for r in want) == 23 and {r[1] for r in want if r[2] == 43} == {39}
+    for hot, most in ((5, 100), (5, 0), (1, 100)):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        monkeypatch.setattr(exact_dedup, "MOST_HOT", most)
+        assert key(exact_dedup.exact_groups(docs, keep="largest")) == want
+
+
+def test_targets_by_table(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, "w " * rng.choice([0, 1, 5, 400]), rng.choice([None, *(f"s{j}é" for j in range(40))])) for k in range(400)], "doc_id long, text string, source string")
+    key = lambda: sorted((r.source or "", r.source_size, round(r.target, 6)) for r in mixing.mix_copies(docs).collect())
+    want = key()
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 3)
+    assert key() == want
+
+
+def test_the_last_fraction_is_drawn():
+    got = [mixing.pivot(np.array([0.2]), np.array([10.0]), np.random.default_rng(k), True)[0] for k in range(2000)]
+    assert set(got) == {0.0, 1.0} and 0.17 < np.mean(got) < 0.23
+
+
+def test_language_windows_are_the_network():
+    rng = np.random.default_rng(1)
+    h = language_id.HIDDEN
+    f = lambda *s: (rng.normal(size=s) * 0.5).astype(np.float32)
+    m = language_id.Model(["a", "b", "c"], [f(256, 3 * h) for _ in range(2)], [f(h, 3 * h) for _ in range(2)], [f(h, 3) for _ in range(2)], f(3))
+    raw = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (1, 7, 60, language_id.CORE, language_id.CORE + language_id.LAP)]
+    whole = [m.run(np.frombuffer(x, np.uint8)[:, None])[0][:, 0] for x in raw]
+    got = language_id.Predictor(m).windows(raw)
+    assert np.allclose(got[:4], [p.sum(0) for p in whole[:4]], atol=1e-3) and np.allclose(got.sum(1), [len(x) for x in raw], atol=1e-2)
+    long = bytes(rng.integers(97, 123, 5000, dtype=np.uint8))
+    assert np.abs(language_id.Predictor(m).windows([long])[0] - m.run(np.frombuffer(long, np.uint8)[:, None])[0][:, 0].sum(0)).max() < 20
+
+
+def test_language_of_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, f"der text {k} und so weiter und weiter", "de") for k in range(40)] + [(7, "the same text again and again", "en")] * 40 + [(8, "…", "en"), (9, None, "en")], "doc_id long, text string, lang string")
+    got = language_id.identify(docs, steps=30, sample=5).collect()
+    assert len(got) == 82 and {r.lang_pred for r in got if r.doc_id in (8, 9)} == {"und"} and {r.held_out for r in got if r.doc_id is None} <= {False, None}
+
+
 def test_url_rules_with_many_rules(spark, monkeypatch):
     rules = spark.createDataFrame([("com", "/a", "block"), ("x.com", "/a/b", "allow"), (None, "/", "block")], "host string, path string, action string")
     pages = spark.createDataFrame([(1, "http://y.com/abc"), (2, "HTTP://X.COM/a/bc?q"), (3, None), (4, "nothing"), (5, "http://xcom/a"), (2, "HTTP://X.COM/a/bc?q")], "page_id long, url string")
