@@ -1,20 +1,21 @@
 """N-gram Jaccard join with a token-group matrix.
 
 A document's set is its distinct word shingles. Similar sets are partitioned into groups of bounded size; of
-each group the union of its tokens is known, a query set's overlap with the union bounds its similarity to
-every member, and only groups whose bound qualifies are opened. The result is exact: which groups a query is
+each group the union of its tokens is stored, a query set's overlap with the union bounds its similarity to
+every member, and only groups whose bound qualifies are opened, that is, have their members fetched. The result is exact: which groups a query is
 bounded against comes from the prefix filter, which loses no pair (two sets of similarity t or more share one
 of the first |x| - ceil(t|x|) + 1 tokens of either, in any order common to all sets).
 
 Steps, none of which emits the pairs within a group of similar sets:
 1. sets: one narrow row per document; equal sets collapse to one class.
-2. groups: connected classes form a cluster, cut into groups of about GROUP members. Clusters grow in a few
-   rounds: of the clusters that share a min-hash band the largest leads, and members of the others query one
-   group of it. This only shapes the groups; whatever it misses the next steps find.
+2. clusters: of the sets that share a min-hash band the least leads, and the others are compared with it. Connected
+   ones form a cluster, cut into groups of about GROUP members. This only shapes the groups; whatever it misses the
+   next steps find.
 3. postings: tokens of each set's prefix, rare shingles first, packed into binary blocks by token range.
    Only tokens found in two clusters or more leave, as (token, cluster) after map-side aggregation.
 4. matrix: clusters that share a prefix token, and whose sizes and positions allow a link, are candidates.
-   Members of the smaller cluster query the groups of the larger one; a group opens if the bound qualifies.
+   Members of the smaller cluster are bounded against the stored unions of the larger one's groups; of the groups that
+   qualify, and of no others, the members are compared.
 5. components over all verified links.
 """
 
@@ -25,28 +26,29 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, batches, components, durable, release, shingle_sets, table
+from .common import ROWS, WORD, batches, components, durable, release, shingle_sets, table
 
 WIDTH, PERCENT = 5, 75
 BANDS, BINS = 8, 32
-#: Members of a group, about, and queries that a task holds against it.
-GROUP, QUERIES = 64, 256
-#: Rounds of growing clusters, at most.
-ROUNDS = 3
+#: Members of a group, about, and queries that a task holds against it; tokens of either, about, where sets are long.
+GROUP, QUERIES, TOKENS = 64, 256, 1 << 20
+#: Leaders that a set is compared with, at most: those of its largest bands.
+LEADS = 2
 #: The most frequent shingles that the order of tokens knows, over all blocks: a table of 12 bytes each. Any order
 #: is right; a table of bounded size only decides how many candidates it leaves.
 FREQUENT, LEAST_DF = 1 << 20, 8
-#: Tokens of a block of counts or postings, about; there are as many blocks as that needs.
+#: Tokens of a block of counts or postings, about; there are as many blocks as that needs, FREQUENT at most.
 BLOCK = 1_000_000
-#: Up to so many sets that await verification are sent to the texts; more meet them in a shuffle.
-BROADCAST_SETS = 500_000
+#: Tables of up to so many rows are broadcast, after they were counted; larger ones meet in a shuffle.
+BROADCAST_ROWS = 200_000
 #: Sets with a frequent token beyond this count leave the packed postings one by one, salted.
 HOT = 1 << 15
+#: A set with more documents is hot, and a token with more clusters: the one is broadcast, the other dealt to several tasks.
+HOT_COPIES, HOT_CLUSTERS = 1_000, 2_000
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
@@ -246,113 +248,167 @@ def _meet(blocks: int):
 
 
 def _tokens(width: int):
-    """The tokens of the sets that are wanted, from the texts of their documents."""
-    schema = pa.schema([("gid", pa.binary()), ("asks", pa.bool_()), ("sid", pa.binary()), ("tokens", pa.binary())])
+    """The tokens of the sets that are wanted, from the texts of their documents; each set once a task."""
+    schema = pa.schema([("sid", pa.binary()), ("tokens", pa.binary())])
 
     def run(it):
-        for b in it:
-            out = {n: [] for n in schema.names}
-            text, want = b.column(0), b.column(1).to_pylist()
-            # rows of one document stand together: its tokens are made once, and again where the text is another
-            # (several texts can have the id of one wanted set)
-            other = pc.not_equal(text.slice(1), text.slice(0, max(0, len(want) - 1))).fill_null(True).to_pylist()
-            other = [True, *other] if want else []
-            sets = shingle_sets(text.take(pa.array([k for k, x in enumerate(other) if x], pa.int64())), width)
-            made, own = b"", b""
-            for k, (sid, gid, asks) in enumerate(zip(want, b.column(2).to_pylist(), b.column(3).to_pylist())):
-                if other[k]:
-                    made = next(sets)
-                    own, made = digest(made), made.tobytes()
-                if own == sid:
-                    for n, v in zip(schema.names, (gid, asks, sid, made)):
-                        out[n].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=schema)
+        seen = set()
+        for whole in it:
+            for at in range(0, whole.num_rows, ROWS):
+                b, out = whole.slice(at, ROWS), {"sid": [], "tokens": []}
+                want = b.column(1).to_pylist()
+                new = [k for k, sid in enumerate(want) if sid not in seen]
+                for k, s in zip(new, shingle_sets(b.column(0).take(pa.array(new, pa.int64())), width)):
+                    # texts of one id and text hash could differ, so that only the set itself tells
+                    if want[k] not in seen and digest(s) == want[k]:
+                        seen.add(want[k])
+                        out["sid"].append(want[k])
+                        out["tokens"].append(s.tobytes())
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
+def sent(df: DataFrame, most: int | None = None) -> DataFrame:
+    """`df` written to the checkpoint folder, and marked for broadcast where its counted rows are few."""
+    df = durable(df)
+    return F.broadcast(df) if df.limit((most or BROADCAST_ROWS) + 1).count() <= (most or BROADCAST_ROWS) else df
+
+
+def tokens_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """sid, tokens (sorted 64-bit hashes) of the sets in `wanted`, stored once."""
+    rep = sent(known.join(wanted.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key")))
+    texts = docs.join(rep, F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("tkey").eqNullSafe(F.col("rep_key"))).select("text", "sid")
+    return durable(texts.mapInArrow(_tokens(width), "sid binary, tokens binary"))
+
+
+def _sets_of(pdf: pd.DataFrame) -> dict[bytes, np.ndarray]:
+    return {bytes(s): np.frombuffer(t, np.uint64) for s, t in zip(pdf["sid"], pdf["tokens"])}
+
+
+def _among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def _half(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(32)).astype(np.uint32)
+
+
+def _union(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A group's union, of tokens' upper halves: equal tokens have equal halves, so that its bounds hold."""
+    sets = _sets_of(pdf)
+    sizes = [len(s) for s in sets.values()]
+    return pd.DataFrame({"gid": [key[0]], "least": [min(sizes)], "most": [max(sizes)], "tokens": [np.unique(_half(np.concatenate(list(sets.values())))).tobytes()]})
+
+
+def _bound(percent: int):
+    def f(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The queries for which the group is to be opened: some member can have `percent` of the union in common."""
+        group, found = pdf[~pdf["asks"]], []
+        if len(group):
+            union, least, most = np.frombuffer(group["tokens"].iloc[0], np.uint32), int(group["least"].iloc[0]), int(group["most"].iloc[0])
+            for sid, t in _sets_of(pdf[pdf["asks"]]).items():
+                x, n = int(_among(union, _half(t)).sum()), len(t)
+                # a member of m tokens shares min(x, m) at most: similar if 100 x >= percent (n + m - x)
+                m = max(least, min(x, most))
+                if least <= most and 100 * min(x, m) >= percent * (n + m - min(x, m)):
+                    found.append((key[0], sid))
+        return pd.DataFrame(found, columns=["gid", "sid"])
+
+    return f
+
+
 def _open(percent: int):
     def f(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """The first link of each query with the group's members; they are connected already, so one will do."""
-        found, sets = [], {bytes(s): np.frombuffer(t, np.uint64) for s, t in zip(pdf["sid"][~pdf["asks"]], pdf["tokens"][~pdf["asks"]])}
-        if sets:
-            union = np.unique(np.concatenate(list(sets.values())))
-            for q, t in {bytes(s): t for s, t in zip(pdf["sid"][pdf["asks"]], pdf["tokens"][pdf["asks"]])}.items():
-                t = np.frombuffer(t, np.uint64)
-                bound = t[union[np.minimum(np.searchsorted(union, t), len(union) - 1)] == t]
-                if 100 * len(bound) < percent * len(t):
-                    continue
-                for sid, s in sets.items():
-                    if sid != q and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
-                        x = int((s[np.minimum(np.searchsorted(s, bound), len(s) - 1)] == bound).sum())
-                        if 100 * x >= percent * (len(s) + len(t) - x):
-                            found.append((q, sid))
-                            break
+        found, sets = [], _sets_of(pdf[~pdf["asks"]])
+        for q, t in _sets_of(pdf[pdf["asks"]]).items():
+            for sid, s in sets.items():
+                if sid != q and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
+                    x = int(_among(s, t).sum())
+                    if 100 * x >= percent * (len(s) + len(t) - x):
+                        found.append((q, sid))
+                        break
         return pd.DataFrame(found, columns=["a", "b"])
 
     return f
 
 
-def ask(docs: DataFrame, known: DataFrame, asked: DataFrame, everywhere: bool, width: int, percent: int) -> DataFrame:
-    """Edges a-b between clusters: asked (g, sid) is the set sid as a query to cluster g.
+def chunked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """queries (gid, sid, n) with the chunk of their group that they go to; and gid, chunks of every group."""
+    per = queries.groupBy("gid").agg(F.count(F.lit(1)).alias("q"), F.sum("n").alias("words"))
+    per = sent(per.select("gid", F.ceil(F.greatest(F.col("q") / QUERIES, F.col("words") / TOKENS)).alias("chunks")))
+    return queries.join(per, "gid").select("gid", "sid", F.pmod(F.xxhash64("sid"), F.col("chunks")).alias("chunk")), per
 
-    A query meets one group of the cluster, or all of them (everywhere). Groups with many queries are
-    repeated for every QUERIES of them.
-    """
-    size = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    per = asked.groupBy("g").agg(F.count(F.lit(1)).alias("q")).join(size, F.col("g") == F.col("cluster"))
-    parts = F.ceil(F.col("size") / GROUP)
-    per = durable(per.select("g", parts.alias("parts"), F.ceil(F.col("q") / (QUERIES if everywhere else QUERIES * parts)).alias("chunks")))
-    gid = lambda part, chunk: F.concat(F.col("g"), F.concat_ws("/", part, chunk).cast("binary")).alias("gid")
-    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    spot = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), F.col(n))
-    queries = asked.join(per, "g").withColumn("part", F.explode(every("parts") if everywhere else F.array(spot("parts", 1)))).select("sid", gid("part", spot("chunks", 2)), F.lit(True).alias("asks"))
-    members = known.join(per, F.col("cluster") == F.col("g")).withColumn("chunk", F.explode(every("chunks"))).select("sid", gid(spot("parts", 3), "chunk"), F.lit(False).alias("asks"))
-    wanted = durable(queries.unionByName(members).join(known.select("sid", "rep"), "sid").select("rep", "sid", "gid", "asks"))
-    met = F.broadcast(wanted) if wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else wanted
-    texts = docs.join(met, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "sid", "gid", "asks")
-    links = texts.mapInArrow(_tokens(width), "gid binary, asks boolean, sid binary, tokens binary").groupBy("gid").applyInPandas(_open(percent), "a binary, b binary")
-    links = durable(links)
-    of = known.select("sid", "cluster")
-    return links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+def _every(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+
+
+def compare(members: DataFrame, queries: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Links a-b of queries (gid, sid, n) with members (gid, sid) of their groups, one for each query and group."""
+    asked, per = chunked(queries)
+    shown = members.join(per, "gid").select("gid", "sid", _every("chunks").alias("chunk"), F.lit(False).alias("asks"))
+    rows = asked.withColumn("asks", F.lit(True)).unionByName(shown).join(tokens, "sid")
+    return durable(rows.groupBy("gid", "chunk").applyInPandas(_open(percent), "a binary, b binary"))
+
+
+def matrix(docs: DataFrame, known: DataFrame, sided: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between sets of the clusters q and g of `sided`: q's members are bounded against g's stored unions."""
+    size = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
+    asked = sent(sided.select(F.col("g").alias("cluster")).distinct())
+    parts = sent(size.join(asked, "cluster", "left_semi").select("cluster", F.ceil(F.greatest(F.col("size") / GROUP, F.col("words") / TOKENS)).alias("parts")))
+    gid = lambda cluster, part: F.concat(cluster, F.concat(F.lit("/"), part.cast("string")).cast("binary"))
+    members = durable(known.join(parts, "cluster").select(gid(F.col("cluster"), F.pmod(F.xxhash64("sid", F.lit(3)), F.col("parts"))).alias("gid"), "sid"))
+    wide = sent(sided.join(parts.withColumnRenamed("cluster", "g"), "g"))
+    queries = known.select("sid", "n", F.col("cluster").alias("q")).join(wide, "q").withColumn("part", _every("parts"))
+    queries = durable(queries.select(gid(F.col("g"), F.col("part")).alias("gid"), "sid", "n"))
+    tokens = tokens_of(docs, known, members.select("sid").union(queries.select("sid")), width)
+    unions = durable(members.join(tokens, "sid").groupBy("gid").applyInPandas(_union, "gid binary, least long, most long, tokens binary"))
+    chunks, per = chunked(queries)
+    shown = unions.join(per, "gid").select("gid", _every("chunks").alias("chunk"), F.lit(False).alias("asks"), F.lit(None).cast("binary").alias("sid"), "tokens", "least", "most")
+    rows = chunks.join(tokens, "sid").select("gid", "chunk", F.lit(True).alias("asks"), "sid", "tokens", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("most"))
+    opened = durable(rows.unionByName(shown).groupBy("gid", "chunk").applyInPandas(_bound(percent), "gid binary, sid binary"))
+    opened = opened.join(known.select("sid", "n"), "sid")
+    return compare(members.join(sent(opened.select("gid").distinct()), "gid", "left_semi"), opened, tokens, percent)
 
 
 def merge(known: DataFrame, edges: DataFrame) -> DataFrame:
     """known with clusters joined by the edges between them."""
-    labels = components(edges).toDF("cluster", "label")
+    labels = sent(components(edges).toDF("cluster", "label"))
     return durable(known.join(labels, "cluster", "left").select("sid", "n", "rep", F.coalesce("label", "cluster").alias("cluster")))
 
 
+def _clusters(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """known: sid, n, rep, cluster of every set, clusters being sets that are connected through leaders of their bands."""
+    known = classes.select("sid", "n", "rep", F.col("sid").alias("cluster"))
+    banded = classes.select("sid", "n", F.posexplode("bands").alias("band", "h"))
+    leads = sent(banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("k"), F.min("sid").alias("lead")).where("k > 1"))
+    led = banded.join(leads, ["band", "h"]).where("sid <> lead").groupBy("sid", "n", "lead").agg(F.max("k").alias("k"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("k", "lead")), asc=False), 1, LEADS)
+    led = durable(led.groupBy("sid", "n").agg(best.alias("best")).select("sid", "n", F.explode("best.lead").alias("gid")))
+    if led.isEmpty():
+        return durable(known)
+    members = led.select("gid").distinct().withColumn("sid", F.col("gid"))
+    tokens = tokens_of(docs, known, led.select("sid").union(members.select("sid")), width)
+    labels = components(compare(members, led, tokens, percent)).toDF("sid", "label")
+    return durable(known.join(labels, "sid", "left").select("sid", "n", "rep", F.coalesce("label", "cluster").alias("cluster")))
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, tkey (hash of the text), n, sid of every row of `docs`; and sid, rep, component of every set."""
+    """doc_id, tkey (hash of the text), n, sid of every row of `docs`; and sid, n, rep, component, k (rows) of every set."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    sets = durable(keyed.mapInArrow(_sets(width), "doc_id long, tkey long, n long, sid binary, bands array<long>"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
+    sets = durable(docs.mapInArrow(_sets(width), "doc_id long, tkey long, n long, sid binary, bands array<long>"))
     total = sets.agg(F.sum("n")).first()[0] or 0
-    blocks = max(16, -(-total // BLOCK))
-    classes = durable(sets.where("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-
-    # 2. groups
-    banded = classes.select("sid", F.posexplode("bands").alias("band", "h"))
-    shared = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    banded = durable(banded.join(shared, ["band", "h"]))
-    known = durable(classes.select("sid", "n", "rep", F.col("sid").alias("cluster")))
-    for _ in range(ROUNDS):
-        size = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-        mine = banded.join(known.select("sid", "cluster"), "sid").join(size, "cluster")
-        first = F.struct("size", "cluster")
-        leads = mine.groupBy("band", "h").agg(F.max(first).alias("lead"), F.min(first).alias("last")).where("lead <> last").select("band", "h", "lead")
-        led = mine.join(leads, ["band", "h"]).where("cluster <> lead.cluster").groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("k"))
-        asked = durable(led.groupBy("sid").agg(F.max(F.struct("lead.size", "k", "lead.cluster"))["cluster"].alias("g")).select("g", "sid"))
-        if asked.isEmpty():
-            break
-        edges = durable(ask(docs, known, asked, False, width, percent))
-        if edges.isEmpty():
-            break
-        known = merge(known, edges)
-        release(spark)
-    del banded, shared, classes
+    blocks = min(FREQUENT, max(16, -(-total // BLOCK)))
+    # a set is known by a row that isn't without an id, if there is one
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tkey")
+    classes = durable(sets.where("n > 0").groupBy("sid", "n").agg(F.min(place).alias("rep"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("k")))
+
+    # 2. clusters
+    known = _clusters(docs, classes, width, percent)
     release(spark)
 
     # 3. postings
@@ -362,14 +418,17 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     met = texts.mapInArrow(_postings(width, percent, blocks, frequent), "block long, blob binary").groupBy("block").applyInPandas(_meet(blocks), _MET)
     of = known.select("cluster", "n", F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long").alias("short"))
     rows = met.join(of, "short").groupBy("token", "cluster").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.ceil(F.col("rem") * F.col("n") / 200)).alias("rem"))
-    rows = durable(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("k > 1").drop("k"))
+    rows = durable(rows)
+    many = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.ceil(F.col("k") / HOT_CLUSTERS).alias("salts"))
+    rows = durable(rows.join(many, "token"))
     release(spark)
 
     # 4. matrix
-    a, b = rows.alias("a"), rows.alias("b")
+    a = rows.withColumn("salt", F.pmod(F.xxhash64("cluster"), F.col("salts"))).alias("a")
+    b = rows.withColumn("salt", _every("salts")).alias("b")
     t = percent / 100
     fits = (
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.cluster") < F.col("b.cluster"))
+        (F.col("a.token") == F.col("b.token")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.cluster") < F.col("b.cluster"))
         & (100 * F.col("a.most") >= percent * F.col("b.least")) & (100 * F.col("b.most") >= percent * F.col("a.least"))
         & (F.least("a.rem", "b.rem") >= F.floor((F.col("a.least") + F.col("b.least")) * (t / (1 + t)) - 1e-6))
     )
@@ -378,11 +437,28 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     c, d = counts.select(F.col("cluster").alias("c"), F.col("k").alias("kc")), counts.select(F.col("cluster").alias("d"), F.col("k").alias("kd"))
     sided = pairs.join(c, "c").join(d, "d").select(F.when(F.col("kc") <= F.col("kd"), F.col("c")).otherwise(F.col("d")).alias("q"), F.when(F.col("kc") <= F.col("kd"), F.col("d")).otherwise(F.col("c")).alias("g"))
     sided = durable(sided)
-    asked = durable(known.select("sid", F.col("cluster").alias("q")).join(sided.select("q", "g"), "q").select("g", "sid"))
-    edges = durable(ask(docs, known, asked, True, width, percent))
+    if not sided.isEmpty():
+        links = matrix(docs, known, sided, width, percent)
+        of = known.select("sid", "cluster")
+        known = merge(known, links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
     # 5. components of clusters
-    return sets, merge(known, edges).withColumnRenamed("cluster", "component")
+    return sets, known.withColumnRenamed("cluster", "component").join(classes.select("sid", "k"), "sid")
+
+
+def _of_sets(sets: DataFrame, per_set: DataFrame, k: DataFrame) -> DataFrame:
+    """Rows of `sets` with words and the columns of per_set (one row a sid); sets of many rows come by broadcast."""
+    rows = sets.where("n > 0")
+    hot = durable(per_set.join(k.where(F.col("k") > HOT_COPIES).select("sid"), "sid", "left_semi"))
+    n_hot = hot.limit(BROADCAST_ROWS + 1).count()
+    if not 0 < n_hot <= BROADCAST_ROWS:
+        return rows.join(per_set, "sid")
+    own = [c for c in per_set.columns if c != "sid"]
+    first = rows.join(F.broadcast(hot.select(F.col("sid").alias("__hot"), F.struct(*own).alias("__h"))), F.col("sid") == F.col("__hot"), "left")
+    # rows of hot sets are dealt by a key that no set has
+    key = F.when(F.col("__hot").isNull(), F.col("sid")).otherwise(F.unhex(F.md5(F.concat_ws(" ", F.lit("hot"), "doc_id", "tkey"))))
+    rest = first.withColumn("__key", key).join(per_set.select(F.col("sid").alias("__key"), F.struct(*own).alias("__p")), "__key", "left")
+    return rest.withColumn("__p", F.coalesce("__h", "__p")).select(*rows.columns, "__p.*")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -395,10 +471,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Empty table: empty result. Other columns are ignored.
     """
     sets, final = _linked(docs, id_col, text_col, width, percent)
-    least = final.groupBy("component").agg(F.min("rep").alias("component_id"))
-    per_set = final.join(least, "component").select("sid", "component_id")
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(per_set, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # clusters of one set need no join by component, which a large cluster would make uneven
+    least = sent(final.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.min("rep.doc_id").alias("component_id")).where("m > 1").drop("m"))
+    per_set = durable(final.join(least, "component", "left").select("sid", F.coalesce("component_id", "rep.doc_id").alias("component_id")))
+    linked = _of_sets(sets, per_set, final).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -409,10 +486,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and no id are documents of their own, of which one stays. Documents without words always stay.
     """
     sets, final = _linked(docs, id_col, text_col, width, percent)
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "sid", "tkey")
-    firsts = final.join(sets.where("n > 0").groupBy("sid").agg(F.min(place).alias("first")), "sid")
-    per_set = final.join(firsts.groupBy("component").agg(F.min("first").alias("first")), "component").select("sid", "first")
-    lost = sets.join(per_set, "sid").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))))
+    first = F.struct("rep.z", "rep.doc_id", "sid", "rep.tkey")
+    firsts = sent(final.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.min(first).alias("first")).where("m > 1").drop("m"))
+    per_set = durable(final.join(firsts, "component", "left").select("sid", F.coalesce("first", first).alias("first")))
+    lost = _of_sets(sets, per_set, final).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))))
     gone = durable(lost.select(F.col("doc_id").alias("__gone"), F.col("tkey").alias("__key")).distinct())
     own, text = docs[id_col].cast("long"), docs[text_col].cast("string")
     left = docs.join(gone, own.eqNullSafe(F.col("__gone")) & (F.xxhash64(text) == F.col("__key")), "left_anti")
@@ -421,6 +498,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and component of every document's set; nulls, empties and repeats as in near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

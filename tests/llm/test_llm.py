@@ -96,10 +96,48 @@ def test_tokens_of_every_text_of_an_id():
     words = [" ".join(f"{x}{k}" for k in range(9)) for x in "ab"]
     sets = list(ngram_join.shingle_sets(pa.array(words)))
     want = ngram_join.digest(sets[1])
-    batch = pa.RecordBatch.from_pydict({"text": words, "sid": [want] * 2, "gid": [b"g"] * 2, "asks": [True] * 2})
+    batch = pa.RecordBatch.from_pydict({"text": [*words, words[1]], "sid": [want] * 3})
     assert sum((r.column("sid").to_pylist() for r in ngram_join._tokens(5)([batch])), []) == [want]
 
 
+def test_bounds_open_every_group_with_a_link():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    pool, opened, linked = rng.integers(1, 2**63, 400).astype(np.uint64), 0, 0
+    for _ in range(300):
+        base = rng.choice(pool, rng.integers(1, 40), replace=False)
+        near = lambda: np.unique(np.append(rng.choice(base, rng.integers(1, len(base) + 1), replace=False), rng.choice(pool, rng.integers(0, 5))))
+        members, query = [near() for _ in range(3)], near()
+        rows = pd.DataFrame({"sid": [bytes([k]) for k in range(3)], "tokens": [m.tobytes() for m in members]})
+        group = ngram_join._union((b"g",), rows).assign(asks=False, sid=None)
+        asks = pd.DataFrame({"gid": [b"g"], "sid": [b"q"], "tokens": [query.tobytes()], "asks": [True], "least": [None], "most": [None]})
+        opens = len(ngram_join._bound(75)((b"g", 0), pd.concat([group, asks[group.columns]], ignore_index=True))) > 0
+        link = any(100 * len(np.intersect1d(m, query)) >= 75 * len(np.union1d(m, query)) for m in members)
+        assert opens or not link
+        opened, linked = opened + opens, linked + link
+    assert linked < opened < 250
+
+
+def test_near_duplicates_whatever_is_hot(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(50)}" for _ in range(60)]
+    docs = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(k % 9):
+            w[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        docs.append((k, " ".join(w)))
+    docs += [(200 + k, " ".join(base)) for k in range(30)] + [(300 + k, None) for k in range(5)] + [(400 + k, f"tiny text {k % 3}") for k in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, ngram_join.near_duplicates(df).collect()))
+    stay = sorted(map(tuple, ngram_join.one_of_each(df).collect()), key=repr)
+    for name, value in (("HOT_COPIES", 2), ("HOT_CLUSTERS", 1), ("GROUP", 2), ("QUERIES", 2), ("HOT", 1), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == want
+    assert sorted(map(tuple, ngram_join.one_of_each(df).collect()), key=repr) == stay
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
