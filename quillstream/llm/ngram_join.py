@@ -8,14 +8,15 @@ of the first |x| - ceil(t|x|) + 1 tokens of either, in any order common to all s
 
 Steps, none of which emits the pairs within a group of similar sets:
 1. sets: one narrow row per document; equal sets collapse to one class.
-2. clusters: of the sets that share a min-hash band the least leads, and the others are compared with it. Connected
-   ones form a cluster, cut into groups of about GROUP members. This only shapes the groups; whatever it misses the
-   next steps find.
+2. clusters: connected classes form a cluster, cut into groups of about GROUP members. Clusters grow in a few
+   rounds: of the clusters that share a min-hash band the largest leads, and members of the others are compared with one
+   group of it. This only shapes the groups; whatever it misses the next steps find.
 3. postings: tokens of each set's prefix, rare shingles first, packed into binary blocks by token range.
    Only tokens found in two clusters or more leave, as (token, cluster) after map-side aggregation.
 4. matrix: clusters that share a prefix token, and whose sizes and positions allow a link, are candidates.
-   Members of the smaller cluster are bounded against the stored unions of the larger one's groups; of the groups that
-   qualify, and of no others, the members are compared.
+   Members of the smaller cluster are bounded against the stored unions of the larger one's groups. Of the groups that
+   qualify, and of no others, the members are compared: first the one of best bound of each two clusters, then the
+   others of those clusters that aren't connected by now.
 5. components over all verified links.
 """
 
@@ -26,6 +27,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +38,17 @@ WIDTH, PERCENT = 5, 75
 BANDS, BINS = 8, 32
 #: Members of a group, about, and queries that a task holds against it; tokens of either, about, where sets are long.
 GROUP, QUERIES, TOKENS = 64, 256, 1 << 20
-#: Leaders that a set is compared with, at most: those of its largest bands.
-LEADS = 2
+#: Unions that a task holds.
+UNIONS = 64
+#: Rounds of growing clusters, at most.
+ROUNDS = 2
 #: The most frequent shingles that the order of tokens knows, over all blocks: a table of 12 bytes each. Any order
 #: is right; a table of bounded size only decides how many candidates it leaves.
 FREQUENT, LEAST_DF = 1 << 20, 8
 #: Tokens of a block of counts or postings, about; there are as many blocks as that needs, FREQUENT at most.
 BLOCK = 1_000_000
 #: Tables of up to so many rows are broadcast, after they were counted; larger ones meet in a shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_SETS = 20_000, 250_000
 #: Sets with a frequent token beyond this count leave the packed postings one by one, salted.
 HOT = 1 << 15
 #: A set with more documents is hot, and a token with more clusters: the one is broadcast, the other dealt to several tasks.
@@ -247,23 +251,29 @@ def _meet(blocks: int):
     return f
 
 
-def _tokens(width: int):
-    """The tokens of the sets that are wanted, from the texts of their documents; each set once a task."""
-    schema = pa.schema([("sid", pa.binary()), ("tokens", pa.binary())])
+def _tokens(width: int, half: bool):
+    """The tokens (or their upper halves) of the sets that are wanted, from the texts of their documents: once a task for each group."""
+    schema = pa.schema([("gid", pa.binary()), ("chunk", pa.int64()), ("asks", pa.bool_()), ("sid", pa.binary()), ("tokens", pa.binary())])
 
     def run(it):
         seen = set()
         for whole in it:
             for at in range(0, whole.num_rows, ROWS):
-                b, out = whole.slice(at, ROWS), {"sid": [], "tokens": []}
-                want = b.column(1).to_pylist()
-                new = [k for k, sid in enumerate(want) if sid not in seen]
-                for k, s in zip(new, shingle_sets(b.column(0).take(pa.array(new, pa.int64())), width)):
+                b = whole.slice(at, ROWS)
+                text, out = b.column(0), {n: [] for n in schema.names}
+                # the rows of one document stand together: its tokens are made once
+                other = [True, *pc.not_equal(text.slice(1), text.slice(0, b.num_rows - 1)).fill_null(True).to_pylist()] if b.num_rows else []
+                sets = shingle_sets(text.take(pa.array([k for k, x in enumerate(other) if x], pa.int64())), width)
+                made, own = b"", b""
+                for k, row in enumerate(zip(*(b.column(j).to_pylist() for j in range(1, 5)))):
+                    if other[k]:
+                        made = next(sets)
+                        own, made = digest(made), (_half(made) if half else made).tobytes()
                     # texts of one id and text hash could differ, so that only the set itself tells
-                    if want[k] not in seen and digest(s) == want[k]:
-                        seen.add(want[k])
-                        out["sid"].append(want[k])
-                        out["tokens"].append(s.tobytes())
+                    if own == row[3] and row not in seen:
+                        seen.add(row)
+                        for n, v in zip(schema.names, (*row, made)):
+                            out[n].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
@@ -275,15 +285,16 @@ def sent(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit((most or BROADCAST_ROWS) + 1).count() <= (most or BROADCAST_ROWS) else df
 
 
-def tokens_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """sid, tokens (sorted 64-bit hashes) of the sets in `wanted`, stored once."""
-    rep = sent(known.join(wanted.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key")))
-    texts = docs.join(rep, F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("tkey").eqNullSafe(F.col("rep_key"))).select("text", "sid")
-    return durable(texts.mapInArrow(_tokens(width), "sid binary, tokens binary"))
+def with_tokens(docs: DataFrame, known: DataFrame, wanted: DataFrame, width: int, half: bool = False) -> DataFrame:
+    """wanted (gid, chunk, asks, sid) with tokens: sorted 64-bit hashes, or their upper halves, made from the texts."""
+    rep = known.select("sid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tkey").alias("rep_key"))
+    met = sent(wanted.join(rep, "sid").select("rep_id", "rep_key", "gid", "chunk", "asks", "sid"), BROADCAST_SETS)
+    texts = docs.join(met, F.col("doc_id").eqNullSafe(F.col("rep_id")) & F.col("tkey").eqNullSafe(F.col("rep_key"))).select("text", "gid", "chunk", "asks", "sid")
+    return texts.mapInArrow(_tokens(width, half), "gid binary, chunk long, asks boolean, sid binary, tokens binary")
 
 
-def _sets_of(pdf: pd.DataFrame) -> dict[bytes, np.ndarray]:
-    return {bytes(s): np.frombuffer(t, np.uint64) for s, t in zip(pdf["sid"], pdf["tokens"])}
+def _sets_of(pdf: pd.DataFrame, kind=np.uint64) -> dict[bytes, np.ndarray]:
+    return {bytes(s): np.frombuffer(t, kind) for s, t in zip(pdf["sid"], pdf["tokens"])}
 
 
 def _among(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -296,24 +307,29 @@ def _half(tokens: np.ndarray) -> np.ndarray:
 
 def _union(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """A group's union, of tokens' upper halves: equal tokens have equal halves, so that its bounds hold."""
-    sets = _sets_of(pdf)
+    sets = _sets_of(pdf, np.uint32)
     sizes = [len(s) for s in sets.values()]
-    return pd.DataFrame({"gid": [key[0]], "least": [min(sizes)], "most": [max(sizes)], "tokens": [np.unique(_half(np.concatenate(list(sets.values())))).tobytes()]})
+    return pd.DataFrame({"gid": [key[0]], "least": [min(sizes)], "most": [max(sizes)], "tokens": [np.unique(np.concatenate(list(sets.values()))).tobytes()]})
 
 
 def _bound(percent: int):
     def f(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """The queries for which the group is to be opened: some member can have `percent` of the union in common."""
-        group, found = pdf[~pdf["asks"]], []
-        if len(group):
-            union, least, most = np.frombuffer(group["tokens"].iloc[0], np.uint32), int(group["least"].iloc[0]), int(group["most"].iloc[0])
-            for sid, t in _sets_of(pdf[pdf["asks"]]).items():
-                x, n = int(_among(union, _half(t)).sum()), len(t)
-                # a member of m tokens shares min(x, m) at most: similar if 100 x >= percent (n + m - x)
+        """The groups that are to be opened for a query: those of whose members some could be similar to it."""
+        found, queries = [], _sets_of(pdf[pdf["asks"]], np.uint32)
+        unions = pdf[~pdf["asks"]]
+        for gid, least, most, union in zip(unions["gid"], unions["least"], unions["most"], unions["tokens"]):
+            union, least, most = np.frombuffer(union, np.uint32), int(least), int(most)
+            for sid, t in queries.items():
+                n = len(t)
+                if 100 * most < percent * n or 100 * n < percent * least:
+                    continue
+                # of a member of m tokens min(x, m) are shared at most: similar if 100 * that >= percent * (n + m - that)
+                x = int(_among(union, t).sum())
                 m = max(least, min(x, most))
-                if least <= most and 100 * min(x, m) >= percent * (n + m - min(x, m)):
-                    found.append((key[0], sid))
-        return pd.DataFrame(found, columns=["gid", "sid"])
+                x = min(x, m)
+                if 100 * x >= percent * (n + m - x):
+                    found.append((key[0], bytes(gid), sid, x / (n + m - x)))
+        return pd.DataFrame(found, columns=["g", "gid", "sid", "bound"])
 
     return f
 
@@ -334,65 +350,102 @@ def _open(percent: int):
     return f
 
 
-def chunked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """queries (gid, sid, n) with the chunk of their group that they go to; and gid, chunks of every group."""
-    per = queries.groupBy("gid").agg(F.count(F.lit(1)).alias("q"), F.sum("n").alias("words"))
-    per = sent(per.select("gid", F.ceil(F.greatest(F.col("q") / QUERIES, F.col("words") / TOKENS)).alias("chunks")))
-    return queries.join(per, "gid").select("gid", "sid", F.pmod(F.xxhash64("sid"), F.col("chunks")).alias("chunk")), per
+def chunked(queries: DataFrame, key: str = "gid") -> tuple[DataFrame, DataFrame]:
+    """queries (key, sid, n) with the chunk of their group that they go to; and key, chunks of every group."""
+    per = queries.groupBy(key).agg(F.count(F.lit(1)).alias("q"), F.sum("n").alias("words"))
+    per = sent(per.select(key, F.ceil(F.greatest(F.col("q") / QUERIES, F.col("words") / TOKENS)).alias("chunks")))
+    return queries.join(per, key).withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks"))).drop("chunks"), per
 
 
 def _every(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
 
 
-def compare(members: DataFrame, queries: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+def compare(docs: DataFrame, known: DataFrame, members: DataFrame, queries: DataFrame, width: int, percent: int) -> DataFrame:
     """Links a-b of queries (gid, sid, n) with members (gid, sid) of their groups, one for each query and group."""
     asked, per = chunked(queries)
     shown = members.join(per, "gid").select("gid", "sid", _every("chunks").alias("chunk"), F.lit(False).alias("asks"))
-    rows = asked.withColumn("asks", F.lit(True)).unionByName(shown).join(tokens, "sid")
+    rows = with_tokens(docs, known, asked.select("gid", "sid", "chunk", F.lit(True).alias("asks")).unionByName(shown), width)
     return durable(rows.groupBy("gid", "chunk").applyInPandas(_open(percent), "a binary, b binary"))
 
 
-def matrix(docs: DataFrame, known: DataFrame, sided: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between sets of the clusters q and g of `sided`: q's members are bounded against g's stored unions."""
+def groups(known: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """g, parts: the number of groups of each of `clusters` (cluster); and g, part, gid, sid of their members."""
     size = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
-    asked = sent(sided.select(F.col("g").alias("cluster")).distinct())
-    parts = sent(size.join(asked, "cluster", "left_semi").select("cluster", F.ceil(F.greatest(F.col("size") / GROUP, F.col("words") / TOKENS)).alias("parts")))
-    gid = lambda cluster, part: F.concat(cluster, F.concat(F.lit("/"), part.cast("string")).cast("binary"))
-    members = durable(known.join(parts, "cluster").select(gid(F.col("cluster"), F.pmod(F.xxhash64("sid", F.lit(3)), F.col("parts"))).alias("gid"), "sid"))
-    wide = sent(sided.join(parts.withColumnRenamed("cluster", "g"), "g"))
-    queries = known.select("sid", "n", F.col("cluster").alias("q")).join(wide, "q").withColumn("part", _every("parts"))
-    queries = durable(queries.select(gid(F.col("g"), F.col("part")).alias("gid"), "sid", "n"))
-    tokens = tokens_of(docs, known, members.select("sid").union(queries.select("sid")), width)
-    unions = durable(members.join(tokens, "sid").groupBy("gid").applyInPandas(_union, "gid binary, least long, most long, tokens binary"))
-    chunks, per = chunked(queries)
-    shown = unions.join(per, "gid").select("gid", _every("chunks").alias("chunk"), F.lit(False).alias("asks"), F.lit(None).cast("binary").alias("sid"), "tokens", "least", "most")
-    rows = chunks.join(tokens, "sid").select("gid", "chunk", F.lit(True).alias("asks"), "sid", "tokens", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("most"))
-    opened = durable(rows.unionByName(shown).groupBy("gid", "chunk").applyInPandas(_bound(percent), "gid binary, sid binary"))
-    opened = opened.join(known.select("sid", "n"), "sid")
-    return compare(members.join(sent(opened.select("gid").distinct()), "gid", "left_semi"), opened, tokens, percent)
-
-
-def merge(known: DataFrame, edges: DataFrame) -> DataFrame:
-    """known with clusters joined by the edges between them."""
+    parts = sent(size.join(sent(clusters), "cluster", "left_semi").select(F.col("cluster").alias("g"), F.ceil(F.greatest(F.col("size") / GROUP, F.col("words") / TOKENS)).alias("parts")))
+    members = known.join(parts, F.col("cluster") == F.col("g")).withColumn("part", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("parts")))
+    return parts, durable(members.select("g", "part", _gid(F.col("part")), "sid"))
+
+
+def _gid(part: Column) -> Column:
+    return F.concat(F.col("g"), F.concat(F.lit("/"), part.cast("string")).cast("binary")).alias("gid")
+
+
+def matrix(docs: DataFrame, known: DataFrame, sided: DataFrame, width: int, percent: int) -> DataFrame:
+    """known with clusters q and g of `sided` merged where they are linked: q's members are bounded against g's unions."""
+    parts, members = groups(known, sided.select(F.col("g").alias("cluster")).distinct())
+    whole = with_tokens(docs, known, members.select("gid", F.lit(0).cast("long").alias("chunk"), F.lit(False).alias("asks"), "sid"), width, True)
+    unions = durable(whole.groupBy("gid").applyInPandas(_union, "gid binary, least long, most long, tokens binary"))
+    release(docs.sparkSession)
+    # a task holds some queries of all that ask a cluster, and some unions (a lot) of that cluster
+    lots = parts.select("g", F.ceil(F.col("parts") / UNIONS).alias("lots"))
+    asked = known.select("sid", "n", F.col("cluster").alias("q")).join(sent(sided), "q").select("g", "sid", "n")
+    asked, per = chunked(durable(asked), "g")
+    lot = lambda c: F.concat(F.col("g"), F.lit("/").cast("binary"), c.cast("string").cast("binary"))
+    queries = asked.join(lots, "g").withColumn("lot", _every("lots")).select(lot(F.col("lot")).alias("gid"), "chunk", F.lit(True).alias("asks"), "sid")
+    nothing = {"least": F.lit(None).cast("long"), "most": F.lit(None).cast("long"), "of": F.lit(None).cast("binary")}
+    queries = with_tokens(docs, known, queries, width, True).withColumns(nothing)
+    of = members.select("g", "part", "gid").distinct().join(lots, "g").join(per, "g")
+    shown = unions.join(of, "gid").withColumn("chunk", _every("chunks")).select(lot(F.pmod("part", "lots")).alias("gid"), "chunk", F.lit(False).alias("asks"), F.lit(None).cast("binary").alias("sid"), "tokens", "least", "most", F.col("gid").alias("of"))
+    rows = queries.unionByName(shown).withColumnsRenamed({"gid": "lot", "of": "gid"})
+    opened = rows.groupBy("lot", "chunk").applyInPandas(_bound(percent), "g binary, gid binary, sid binary, bound double")
+    opened = opened.drop("g").join(members.select("gid", "g").distinct(), "gid").join(known.select("sid", "n", F.col("cluster").alias("q")), "sid")
+    opened = durable(opened.select("q", "g", "gid", "sid", "n", "bound"))
+    release(docs.sparkSession)
+    best = opened.groupBy("q", "g").agg(F.max(F.struct("bound", "gid", "sid", "n")).alias("b")).select("b.gid", "b.sid", "b.n")
+    members = members.select("gid", "sid")
+    for rest in (best, None):
+        if rest is None:  # a cluster's name is one of its sets
+            now = known.select("sid", "cluster")
+            rest = opened.join(now.toDF("sid", "q2"), "sid").join(now.toDF("g", "g2"), "g").where("q2 <> g2").select("gid", "sid", "n")
+        rest = durable(rest)
+        if not rest.isEmpty():
+            known = merge(known, compare(docs, known, members.join(sent(rest.select("gid").distinct()), "gid", "left_semi"), rest, width, percent))
+            release(docs.sparkSession)
+    return known
+
+
+def merge(known: DataFrame, links: DataFrame) -> DataFrame:
+    """known with clusters joined by links (a, b) between their sets."""
+    of = known.select("sid", "cluster")
+    edges = links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     labels = sent(components(edges).toDF("cluster", "label"))
     return durable(known.join(labels, "cluster", "left").select("sid", "n", "rep", F.coalesce("label", "cluster").alias("cluster")))
 
 
 def _clusters(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """known: sid, n, rep, cluster of every set, clusters being sets that are connected through leaders of their bands."""
-    known = classes.select("sid", "n", "rep", F.col("sid").alias("cluster"))
-    banded = classes.select("sid", "n", F.posexplode("bands").alias("band", "h"))
-    leads = sent(banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("k"), F.min("sid").alias("lead")).where("k > 1"))
-    led = banded.join(leads, ["band", "h"]).where("sid <> lead").groupBy("sid", "n", "lead").agg(F.max("k").alias("k"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct("k", "lead")), asc=False), 1, LEADS)
-    led = durable(led.groupBy("sid", "n").agg(best.alias("best")).select("sid", "n", F.explode("best.lead").alias("gid")))
-    if led.isEmpty():
-        return durable(known)
-    members = led.select("gid").distinct().withColumn("sid", F.col("gid"))
-    tokens = tokens_of(docs, known, led.select("sid").union(members.select("sid")), width)
-    labels = components(compare(members, led, tokens, percent)).toDF("sid", "label")
-    return durable(known.join(labels, "sid", "left").select("sid", "n", "rep", F.coalesce("label", "cluster").alias("cluster")))
+    """known: sid, n, rep, cluster of every set, clusters being connected sets."""
+    known = durable(classes.select("sid", "n", "rep", F.col("sid").alias("cluster")))
+    banded = classes.select("sid", F.posexplode("bands").alias("band", "h"))
+    shared = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    banded = durable(banded.join(sent(shared), ["band", "h"]))
+    for _ in range(ROUNDS):
+        size = sent(known.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        mine = banded.join(known.select("sid", "cluster"), "sid").join(size, "cluster", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        first = F.struct("size", "cluster")
+        leads = mine.groupBy("band", "h").agg(F.max(first).alias("lead"), F.min(first).alias("last")).where("lead <> last").select("band", "h", "lead")
+        led = mine.join(sent(leads), ["band", "h"]).where("cluster <> lead.cluster").groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("k"))
+        asked = durable(led.groupBy("sid").agg(F.max(F.struct("lead.size", "k", "lead.cluster"))["cluster"].alias("g")))
+        if asked.isEmpty():
+            break
+        parts, members = groups(known, asked.select(F.col("g").alias("cluster")).distinct())
+        queries = asked.join(parts, "g").join(known.select("sid", "n"), "sid").select(_gid(F.pmod(F.xxhash64("sid", F.lit(1)), F.col("parts"))), "sid", "n")
+        links = compare(docs, known, members, durable(queries), width, percent)
+        if links.isEmpty():
+            break
+        known = merge(known, links)
+        release(docs.sparkSession)
+    return known
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -438,9 +491,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     sided = pairs.join(c, "c").join(d, "d").select(F.when(F.col("kc") <= F.col("kd"), F.col("c")).otherwise(F.col("d")).alias("q"), F.when(F.col("kc") <= F.col("kd"), F.col("d")).otherwise(F.col("c")).alias("g"))
     sided = durable(sided)
     if not sided.isEmpty():
-        links = matrix(docs, known, sided, width, percent)
-        of = known.select("sid", "cluster")
-        known = merge(known, links.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        known = matrix(docs, known, sided, width, percent)
 
     # 5. components of clusters
     return sets, known.withColumnRenamed("cluster", "component").join(classes.select("sid", "k"), "sid")

@@ -96,8 +96,8 @@ def test_tokens_of_every_text_of_an_id():
     words = [" ".join(f"{x}{k}" for k in range(9)) for x in "ab"]
     sets = list(ngram_join.shingle_sets(pa.array(words)))
     want = ngram_join.digest(sets[1])
-    batch = pa.RecordBatch.from_pydict({"text": [*words, words[1]], "sid": [want] * 3})
-    assert sum((r.column("sid").to_pylist() for r in ngram_join._tokens(5)([batch])), []) == [want]
+    batch = pa.RecordBatch.from_pydict({"text": [*words, words[1]], "gid": [b"g"] * 3, "chunk": [0] * 3, "asks": [True] * 3, "sid": [want] * 3})
+    assert sum((r.column("sid").to_pylist() for r in ngram_join._tokens(5, False)([batch])), []) == [want]
 
 
 def test_bounds_open_every_group_with_a_link():
@@ -109,9 +109,9 @@ def test_bounds_open_every_group_with_a_link():
         base = rng.choice(pool, rng.integers(1, 40), replace=False)
         near = lambda: np.unique(np.append(rng.choice(base, rng.integers(1, len(base) + 1), replace=False), rng.choice(pool, rng.integers(0, 5))))
         members, query = [near() for _ in range(3)], near()
-        rows = pd.DataFrame({"sid": [bytes([k]) for k in range(3)], "tokens": [m.tobytes() for m in members]})
+        rows = pd.DataFrame({"sid": [bytes([k]) for k in range(3)], "tokens": [ngram_join._half(m).tobytes() for m in members]})
         group = ngram_join._union((b"g",), rows).assign(asks=False, sid=None)
-        asks = pd.DataFrame({"gid": [b"g"], "sid": [b"q"], "tokens": [query.tobytes()], "asks": [True], "least": [None], "most": [None]})
+        asks = pd.DataFrame({"gid": [None], "sid": [b"q"], "tokens": [ngram_join._half(query).tobytes()], "asks": [True], "least": [None], "most": [None]})
         opens = len(ngram_join._bound(75)((b"g", 0), pd.concat([group, asks[group.columns]], ignore_index=True))) > 0
         link = any(100 * len(np.intersect1d(m, query)) >= 75 * len(np.union1d(m, query)) for m in members)
         assert opens or not link
@@ -132,7 +132,7 @@ def test_near_duplicates_whatever_is_hot(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = sorted(map(tuple, ngram_join.near_duplicates(df).collect()))
     stay = sorted(map(tuple, ngram_join.one_of_each(df).collect()), key=repr)
-    for name, value in (("HOT_COPIES", 2), ("HOT_CLUSTERS", 1), ("GROUP", 2), ("QUERIES", 2), ("HOT", 1), ("BROADCAST_ROWS", 0)):
+    for name, value in (("HOT_COPIES", 2), ("HOT_CLUSTERS", 1), ("GROUP", 2), ("QUERIES", 2), ("HOT", 1), ("BROADCAST_ROWS", 0), ("BROADCAST_SETS", 0), ("UNIONS", 2)):
         monkeypatch.setattr(ngram_join, name, value)
     assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == want
     assert sorted(map(tuple, ngram_join.one_of_each(df).collect()), key=repr) == stay
