@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import folds, intervals, media, records, search
+from ..operators import folds, intervals, lookup, media, records, search
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -26,11 +27,22 @@ def register(sql: str | None = None):
     return wrap
 
 
+#: Modules beside this one whose queries are registered with it.
+PARTS = ("predicates", "summaries", "retrieval", "writing")
+
+
+def _load() -> None:
+    for name in PARTS:
+        importlib.import_module("." + name, __package__)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
@@ -386,21 +398,9 @@ def completeness_gate(spark, d):
 
 @register("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def evidence_substring(spark, d):
-    """Quotes meet texts through their first three inner words, so the substring test runs on candidates only.
-
-    The words between a quote's first and last one are whole words of any text that has it. Quotes with fewer
-    than three of them are tested on every text.
-    """
-    words = F.split("quote", r"\s+")
-    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")).where("quote is not null").withColumn("key", F.when(F.size(words) >= 5, F.array_join(F.slice(words, 2, 3), " ")))
-    w = F.col("w")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " ")))
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    cut = docs.select("doc_id", F.split("text", r"\s+").alias("w"))
-    keyed, short = b.where("key is not null"), b.where("key is null").select("item_id", "quote")
-    hits = cut.select("doc_id", F.explode(grams).alias("key")).join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    found = hits.join(docs, "doc_id").join(keyed, "item_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
-    return found.unionByName(docs.join(F.broadcast(short), F.contains("text", F.col("quote"))).select("item_id", "doc_id"))
+    """Every quote in every text that contains it, by the substrings that begin a quote."""
+    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return lookup.contains_join(b, t(spark, d, "documents").select("doc_id", "text"), "quote", "text").select("item_id", "doc_id")
 
 
 @register("""(SELECT o_orderkey, o_totalprice, 'top' AS side FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5) UNION ALL (SELECT o_orderkey, o_totalprice, 'bottom' FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5)""")
