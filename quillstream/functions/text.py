@@ -68,9 +68,14 @@ def parse_timecode(c: Column) -> Column:
     return part(0) + 60 * part(1) + 3600 * part(2)
 
 
-def has_value(c: Column, fillers: str = r"(?i)^\s*(not[\s-]specified|unspecified|unknown|none|n/?a)\b.*") -> Column:
-    """Blank and filler spellings mean unknown."""
-    return (F.trim(F.coalesce(c, F.lit(""))) != "") & ~F.coalesce(c, F.lit("")).rlike(fillers)
+#: Spellings that mean unknown. Records that were written with them have to be read alike.
+FILLERS = ("not specified", "unspecified", "unknown", "n/a", "na", "none", "not stated", "not mentioned")
+
+
+def has_value(c: Column, fillers: tuple[str, ...] = FILLERS) -> Column:
+    """Blank texts and texts that begin with a filler (as whole words, a hyphen being as good as a blank) mean unknown."""
+    begins = r"(?is)^\s*(?:" + "|".join(f.replace(" ", r"[\s-]") for f in fillers) + r")\b.*"
+    return (F.trim(F.coalesce(c, F.lit(""))) != "") & ~F.coalesce(c, F.lit("")).rlike(begins)
 
 
 def trait(c: Column) -> Column:
@@ -82,7 +87,8 @@ def article(c: Column) -> Column:
 
 
 def ellipsis(c: Column, most: int) -> Column:
-    """At most `most` characters, the last an ellipsis if something was cut."""
+    """White space collapsed; at most `most` characters, the last an ellipsis if something was cut. Null is empty."""
+    c = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     return F.when(F.length(c) > most, F.concat(F.rtrim(F.left(c, F.lit(most - 1))), F.lit("…"))).otherwise(c)
 
 
@@ -91,10 +97,11 @@ def ellipsis_at_blank(c: Column, most: int) -> Column:
 
 
 def normalize_page(c: Column) -> Column:
-    """Drops NULs, joins hyphenated line ends, collapses blanks and more than one empty line."""
-    c = F.regexp_replace(F.translate(c, "\x00\t", " ").substr(F.lit(1), F.lit(2**30)), "\x00", "")
-    c = F.regexp_replace(c, r"(?<=\w)-\n(?=\w)", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, " +", " "), r"\n{3,}", "\n\n"))
+    """Drops NULs, takes tabs for blanks, joins hyphenated line ends, collapses blanks (no-break ones too) and more than one
+    empty line, trims white space at the ends."""
+    c = F.translate(F.replace(c, F.lit("\x00"), F.lit("")), "\t", " ")
+    c = F.regexp_replace(c, r"(?<=[\p{L}\p{N}_])-\n(?=[\p{L}\p{N}_])", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[ \u00a0]+", " "), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
 def url_path(c: Column) -> Column:
@@ -105,3 +112,38 @@ def url_path(c: Column) -> Column:
 def json_slice(c: Column) -> Column:
     """From the first { to the last }; empty if there is none."""
     return F.regexp_extract(c, r"(?s)\{.*\}", 0)
+
+
+def timecode_floored(seconds: Column) -> Column:
+    """HH:MM:SS.mmm with hours and minutes cut off first and the seconds rounded, so that they can show 60.000."""
+    minutes = F.floor(seconds / 60).cast("long")
+    return F.format_string("%02d:%02d:%06.3f", F.call_function("div", minutes, F.lit(60)), minutes % 60, seconds - minutes * 60)
+
+
+def find_timecode(c: Column) -> Column:
+    """Seconds of the first timecode ([H:]MM:SS[.mmm]) that stands in a text; null without one."""
+    part = lambda k: F.regexp_extract(c, r"(?:(\d+):)?(\d{1,2}):(\d{1,2}(?:\.\d+)?)", k)
+    return F.when(part(3) != "", F.coalesce(part(1).try_cast("double"), F.lit(0.0)) * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double"))
+
+
+def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, jitter: Column | None = None) -> Column:
+    """Seconds to wait before an attempt (0, 1, ...): doubled each time, plus the jitter, `most` at most."""
+    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt) + (F.lit(0.0) if jitter is None else jitter), F.lit(most))
+
+
+def least_number(c: Column) -> Column:
+    """The least of the whole numbers in a text; null without one."""
+    return F.array_min(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d+"), 0), lambda x: x.try_cast("long")))
+
+
+def rewrite_suffix(json: Column, old: str, new: str) -> Column:
+    """(json, changes): the JSON text with strings that end in `old` ending in `new`, and how many there were."""
+    pattern = r'("(?:[^"\\]|\\.)*)\Q' + old + r'\E"'
+    return F.struct(F.regexp_replace(json, pattern, "$1" + new + '"').alias("json"), F.regexp_count(json, F.lit(pattern)).cast("long").alias("changes"))
+
+
+def lookup(mapping: dict[str, str], key: Column, default: Column) -> Column:
+    """A map's value of the key, else the default."""
+    if not mapping:
+        return default
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key), default)

@@ -20,13 +20,31 @@ def overlap_join(items: DataFrame, spans: DataFrame, width: float, keys: tuple[s
     return left.join(right, [*keys, "__b"]).where((F.col("end") >= F.col("s")) & (F.col("start") < F.col("e")) & (F.col("__b") == first)).drop("__b")
 
 
-def overlap_or_nearest(pairs: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Of each group's (segment, clip) pairs those that overlap, else the nearest one, first on ties."""
-    overlaps = (F.col("end") >= F.col("s")) & (F.col("start") < F.col("e"))
-    distance = F.greatest(F.col("s") - F.col("end"), F.col("start") - F.col("e"), F.lit(0.0))
-    w = Window.partitionBy(*group)
-    ranked = pairs.withColumn("overlaps", overlaps).withColumn("__any", F.max("overlaps").over(w)).withColumn("__rn", F.row_number().over(w.orderBy(distance, *order)))
-    return ranked.where(F.col("overlaps") | (~F.col("__any") & (F.col("__rn") == 1))).drop("__any", "__rn")
+def overlap_or_nearest(items: DataFrame, clips: DataFrame, keys: list[str], item_id: str, clip: list[str], width: float) -> DataFrame:
+    """clips (keys, `clip`, s, e) with the items (keys, item_id, start, end) that overlap them, else the nearest item, the
+    least id on ties; `overlaps` tells which. A clip of a key without items has no row.
+
+    Overlaps come from the bucketed join. For the clips without any, the nearest item is the one before of latest end or
+    the one after of earliest start, found by one ordered pass in each direction.
+    """
+    met = overlap_join(items, clips, width, tuple(keys)).withColumn("overlaps", F.lit(True))
+    alone = clips.join(met.select(*keys, *clip).distinct(), [*keys, *clip], "left_anti")
+    none = F.lit(None)
+    own = F.struct("start", "end", item_id)
+    # at one time, clips come before items that end there, and after items that start there
+    before = items.select(*keys, *[none.alias(c) for c in (*clip, "s", "e")], F.col("end").alias("__at"), F.lit(1).alias("__k"), F.struct("end", (-F.col(item_id)).alias("n"), "start").alias("__i"))
+    before = before.unionByName(alone.select(*keys, *clip, "s", "e", F.col("s").alias("__at"), F.lit(0).alias("__k"), none.alias("__i")))
+    behind = Window.partitionBy(*keys).orderBy("__at", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    last = before.withColumn("__i", F.max("__i").over(behind)).where("__k = 0 and __i is not null")
+    last = last.select(*keys, *clip, "s", "e", F.struct((F.col("s") - F.col("__i.end")).alias("d"), (-F.col("__i.n")).alias(item_id), F.col("__i.start").alias("start"), F.col("__i.end").alias("end")).alias("__b"))
+    after = items.select(*keys, *[none.alias(c) for c in (*clip, "s", "e")], F.col("start").alias("__at"), F.lit(1).alias("__k"), F.struct("start", F.col(item_id).alias("n"), "end").alias("__i"))
+    after = after.unionByName(alone.select(*keys, *clip, "s", "e", F.col("e").alias("__at"), F.lit(0).alias("__k"), none.alias("__i")))
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
+    next_ = after.withColumn("__i", F.min("__i").over(ahead)).where("__k = 0 and __i is not null")
+    next_ = next_.select(*keys, *clip, "s", "e", F.struct((F.col("__i.start") - F.col("e")).alias("d"), F.col("__i.n").alias(item_id), F.col("__i.start").alias("start"), F.col("__i.end").alias("end")).alias("__b"))
+    best = last.unionByName(next_).groupBy(*keys, *clip, "s", "e").agg(F.min("__b").alias("__b"))
+    near = best.select(*keys, *clip, "s", "e", F.col(f"__b.{item_id}").alias(item_id), F.col("__b.start").alias("start"), F.col("__b.end").alias("end"), F.lit(False).alias("overlaps"))
+    return met.select(*near.columns).unionByName(near)
 
 
 def turns(rows: DataFrame, part: list[str], key: str, start: str, end: str, gap: float, order: list[str]) -> DataFrame:

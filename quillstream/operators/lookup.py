@@ -50,6 +50,12 @@ def relevant(rows: DataFrame, names: str, evidence: str) -> DataFrame:
     return rows.where(F.exists(F.coalesce(F.col(names), F.array().cast("array<string>")), lambda n: (F.trim(n) != "") & F.contains(low, F.lower(F.trim(n)))))
 
 
+def first_member(rows: DataFrame, arrays: DataFrame, value: str, array: str, order: str) -> DataFrame:
+    """rows with the first, in order, of the arrays that hold their value; null where none does."""
+    first = arrays.select(F.explode(array).alias("__v"), order).groupBy("__v").agg(F.min(order).alias(order))
+    return rows.join(first, F.col(value) == F.col("__v"), "left").select(*rows.columns, order)
+
+
 #: Characters of a gram that contained keys are looked up by; shorter keys are no candidates.
 GRAM = 4
 
@@ -112,13 +118,13 @@ def zip_arrays(left: Column, right: Column, names: tuple[str, str]) -> Column:
 
 
 def contains_join(quotes: DataFrame, texts: DataFrame, quote: str, text: str, key: str | None = None) -> DataFrame:
-    """Every pair of a quote and a text that contains it; with a `key`, only of equal key. Null and empty quotes match nothing.
+    """Every pair of a quote and a text that contains it; with a `key`, only of equal key. Null quotes and texts match nothing, an empty quote matches every text.
 
     Without a key, a quote's first GRAM_LONG characters are looked up among the texts' substrings of that length, and of
     a longer text only those that begin a quote leave the scan. Shorter quotes are tested against every text: they are
     broadcast, after a count that raises above MOST_SHORT.
     """
-    quotes = quotes.where(F.coalesce(F.col(quote), F.lit("")) != "")
+    quotes = quotes.where(F.col(quote).isNotNull())
     if key:
         return quotes.join(texts, key).where(F.contains(text, quote))
     from .shared import durable

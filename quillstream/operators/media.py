@@ -62,17 +62,3 @@ def dashboard_frames(scenes: DataFrame, generations: DataFrame, scene: str, orde
 def dashboard_stats(frames: DataFrame) -> DataFrame:
     """One row over dashboard_frames: frames, frames with a complete image, complete images, frames without any."""
     return frames.agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("completed") > 0).alias("frames_done"), F.coalesce(F.sum("completed"), F.lit(0)).alias("completed"), F.count_if(F.col("completed") == 0).alias("frames_open"))
-
-
-def supported(value: Column, evidence: Column, anchor: str, ignore: list[str], reach: int = 200) -> Column:
-    """value where a token of it stands within `reach` characters of the anchor in the evidence, else "".
-
-    Case is ignored. Tokens are runs of letters longer than two, the ignored ones left out; a value without a token
-    is kept if the anchor stands in the evidence at all. Null evidence supports nothing.
-    """
-    low, key = F.lower(F.coalesce(evidence, F.lit(""))), anchor.lower()
-    pieces = F.split(low, r"\Q" + key + r"\E", -1)
-    windows = F.concat_ws(" ", F.transform(pieces, lambda p, i: F.concat(F.when(i > 0, F.substr(p, F.lit(1), F.lit(reach))).otherwise(F.lit("")), F.lit(" "), F.when(i < F.size(pieces) - 1, F.substr(p, F.greatest(F.char_length(p) - reach + 1, F.lit(1)), F.lit(reach))).otherwise(F.lit("")))))
-    tokens = F.filter(F.regexp_extract_all(F.lower(value), F.lit(r"(\p{L}+)"), 1), lambda w: (F.char_length(w) > 2) & ~w.isin(ignore))
-    held = (F.size(tokens) == 0) | F.exists(tokens, lambda w: F.contains(windows, w))
-    return F.when((F.size(pieces) > 1) & held, F.coalesce(value, F.lit(""))).otherwise(F.lit(""))

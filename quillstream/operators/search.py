@@ -11,9 +11,15 @@ K1, B, RRF = 1.2, 0.75, 60
 
 
 def bm25(docs: DataFrame, query: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score of documents with a query term. Only query terms leave the scan; lengths and counts are one pass."""
+    """id, score of documents with a query term.
+
+    Only a text's length and its query terms leave the scan; they are written to the checkpoint folder once, and both the
+    corpus statistics and the term counts read them there, so that every text is cut into tokens once.
+    """
+    from .shared import durable
+
     terms = sorted(set(query))
-    toks = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("n"), F.filter("t", lambda x: x.isin(*terms)).alias("t"))
+    toks = durable(docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("n"), F.filter("t", lambda x: x.isin(*terms)).alias("t")))
     stats = toks.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n"))
     tf = toks.select("id", "n", F.explode("t").alias("term")).groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -29,9 +35,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, score against a unit query vector: an exact scan, no shuffle."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(F.col(id_col).alias("id"), F.round(dot(F.col(vector_col), q), 9).alias("score"))
+    """id, cosine with the query vector (0 for zero vectors, null for null ones): an exact scan, no shuffle."""
+    length = sum(float(x) ** 2 for x in query) ** 0.5 or 1.0
+    q, v = F.array(*[F.lit(float(x) / length) for x in query]), F.col(vector_col)
+    own = F.sqrt(dot(v, v))
+    return vectors.select(F.col(id_col).alias("id"), F.round(F.when(own > 0, dot(v, q) / own).otherwise(F.when(v.isNotNull(), 0.0)), 9).alias("score"))
 
 
 def top(scored: DataFrame, n: int) -> DataFrame:

@@ -28,7 +28,7 @@ def register(sql: str | None = None):
 
 
 #: Modules beside this one whose queries are registered with it.
-PARTS = ("predicates", "summaries", "retrieval", "writing")
+PARTS = ("predicates", "summaries", "retrieval", "texts", "writing")
 
 
 def _load() -> None:
@@ -65,7 +65,7 @@ lex AS (SELECT doc_id AS id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) *
 """
 _COS = """
 q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7),
-sem AS (SELECT vec_id AS id, round(list_dot_product(embedding::DOUBLE[], v::DOUBLE[]), 9) AS score FROM embeddings, q)
+sem AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 9) AS score FROM embeddings, q)
 """
 
 
@@ -146,8 +146,8 @@ def overlap_or_nearest(spark, d):
     ev = t(spark, d, "events")
     days = ev.select("user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))))
     clips = days.withColumn("s", F.col("day") * 86400.0 + 1704067200).withColumn("e", F.col("s") + 3600)
-    pairs = clips.join(ev.select("user_id", "event_id", epoch("ts").alias("start"), (epoch("ts") + 60).alias("end")), "user_id")
-    return intervals.overlap_or_nearest(pairs, ["user_id", "day"], ["event_id"]).select("user_id", "day", "event_id", "overlaps")
+    items = ev.select("user_id", "event_id", epoch("ts").alias("start"), (epoch("ts") + 60).alias("end"))
+    return intervals.overlap_or_nearest(items, clips, ["user_id"], "event_id", ["day"], 86_400.0).select("user_id", "day", "event_id", "overlaps")
 
 
 @register("""WITH l AS (SELECT *, epoch(ts) AS s, lag(event_type) OVER w AS pk, lag(epoch(ts)) OVER w AS pe FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -267,19 +267,19 @@ def best_slot_per_frame(spark, d):
     return g.select("l_orderkey", (-F.col("x.n")).alias("best_slot"), F.col("x.p").alias("best"), "total", "done", (F.col("total") == F.col("done")).alias("complete"))
 
 
-@register("""SELECT l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND l_linenumber = 2""")
+@register("""SELECT l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
 def array_membership(spark, d):
-    arrays = t(spark, d, "lineitem").where("l_linenumber = 2").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
-    hits = arrays.select("l_orderkey", F.explode("parts").alias("l_partkey"))
-    return hits.join(t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    """Entries of every order's array of parts, for finished orders: the arrays are unfolded after orders were chosen."""
+    arrays = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
+    kept = arrays.join(t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return kept.select("l_orderkey", F.explode("parts").alias("l_partkey"))
 
 
-@register("""SELECT l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
-def array_membership_all(spark, d):
-    """Every order's whole array of lineitems, not only those numbered 2."""
-    arrays = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
-    hits = arrays.select("l_orderkey", F.explode("parts").alias("l_partkey"))
-    return hits.join(t(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+@register("""WITH m AS (SELECT l_partkey, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY l_partkey) SELECT p_partkey, l_orderkey FROM part LEFT JOIN m ON l_partkey = p_partkey""")
+def first_membership(spark, d):
+    """Of the arrays that hold an entry the first in order; null where none does."""
+    arrays = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    return lookup.first_member(t(spark, d, "part").select("p_partkey"), arrays, "p_partkey", "parts", "l_orderkey")
 
 
 @register("""SELECT a.conv_id, a.turn, b.turn AS near_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn + 2 AND b.turn <> a.turn WHERE a.role = 'user'""")
@@ -292,21 +292,10 @@ def neighbor_offset(spark, d):
 
 # entities
 
-@register("""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.label = b.label AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3),
-r(node, c) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.node)
-SELECT node, min(c) AS component FROM r GROUP BY node""")
-def connected_components(spark, d):
-    """Edges are pairs of one label (the block) with cosine of 0.3 or more."""
-    e = t(spark, d, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("src"), "label", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("dst"), "label", F.col("embedding").alias("y"))
-    edges = a.join(b, "label").where((F.col("src") < F.col("dst")) & (search.dot(F.col("x"), F.col("y")) >= 0.3)).select("src", "dst")
-    return records.connected(edges)
-
-
 @register("""WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3),
 r(node, c) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY node""")
-def connected_components_all(spark, d):
+def connected_components(spark, d):
     """Edges are all pairs of vectors with cosine of 0.3 or more, whatever their labels."""
     return records.connected(search.similar_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", 0.3))
 

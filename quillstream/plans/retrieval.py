@@ -103,7 +103,7 @@ def confirmed_evidence(spark, d):
     return context.confirmed(ids, t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
 
 
-@register("""SELECT doc_id AS id, CASE WHEN length(trim(coalesce(text, ''))) > 900 THEN rtrim(left(trim(coalesce(text, '')), 899)) || '…' ELSE trim(coalesce(text, '')) END AS excerpt,
-len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS words FROM documents""")
+@register("""SELECT doc_id AS id, CASE WHEN length(x) > 900 THEN rtrim(left(x, 899)) || '…' ELSE x END AS excerpt,
+len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS words FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS x FROM documents)""")
 def candidate_summaries(spark, d):
     return context.candidates(t(spark, d, "documents"), "doc_id", "text")

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quillstream.functions import evidence
 from quillstream.functions import text as T
 from quillstream.operators import folds, intervals, media, records, search
 from quillstream.plans import catalog
@@ -92,7 +93,7 @@ def test_traits_need_support_near_the_anchor(spark):
     far = "Orla stood there. " + "x" * 300 + " silver hair"
     rows = [("silver hair", "ORLA had Silver hair", "silver hair"), ("silver", far, ""), ("hair", None, ""), ("the", "Orla", "the"), (None, "Orla", ""), ("", "Orla", "")]
     df = spark.createDataFrame([(v, e) for v, e, _ in rows], "v string, e string")
-    got = [r.s for r in df.select(media.supported(F.col("v"), F.col("e"), "Orla", ["the"]).alias("s")).collect()]
+    got = [r.s for r in df.select(evidence.supported(F.col("v"), F.col("e"), ["Orla"], ["the"]).alias("s")).collect()]
     assert got == [want for *_, want in rows]
 
 
@@ -133,4 +134,4 @@ def test_membership_covers_every_line(spark):
     sf = "/root/testdata/sf0.001"
     li, o = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("lineitem", "orders"))
     whole = li.join(o.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).count()
-    assert catalog.queries()["array_membership_all"](spark, sf).count() == whole > catalog.array_membership(spark, sf).count()
+    assert catalog.array_membership(spark, sf).count() == whole
