@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import string
 import tempfile
 from collections.abc import Iterator
@@ -147,6 +149,13 @@ def shingle_sets(col: pa.Array, width: int = 5):
 ROWS = 1_000
 
 
+def trim() -> None:
+    """Gives what a task has freed back to the system: workers outlive their tasks, and share a machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], schema: pa.Schema, f) -> Iterator[pa.RecordBatch]:
     """Applies f(Arrow columns by name) -> columns by name to ROWS rows of the Arrow batches at a time."""
     for whole in it:
@@ -154,7 +163,7 @@ def batches(it: Iterator[pa.RecordBatch], schema: pa.Schema, f) -> Iterator[pa.R
             b = whole.slice(at, ROWS)
             out = f({n: b.column(i) for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip((out[n] for n in schema.names), schema)], schema=schema)
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def release(spark: SparkSession) -> None:

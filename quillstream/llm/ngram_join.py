@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS, WORD, batches, components, durable, release, shingle_sets, table
+from .common import ROWS, WORD, batches, components, durable, release, shingle_sets, table, trim
 
 WIDTH, PERCENT = 5, 75
 BANDS, BINS = 8, 32
@@ -46,7 +46,7 @@ ROUNDS = 2
 #: is right; a table of bounded size only decides how many candidates it leaves.
 FREQUENT, LEAST_DF = 1 << 20, 8
 #: Tokens of a block of counts or postings, about; there are as many blocks as that needs, FREQUENT at most.
-BLOCK = 1_000_000
+BLOCK = 400_000
 #: Tables of up to so many rows are broadcast, after they were counted; larger ones meet in a shuffle.
 BROADCAST_ROWS, BROADCAST_SETS = 20_000, 250_000
 #: Sets with a frequent token beyond this count leave the packed postings one by one, salted.
@@ -145,6 +145,8 @@ def _count(width: int, blocks: int):
                 held, n = [], 0
         if held:
             yield from flush()
+        held.clear()
+        trim()
 
     return run
 
@@ -224,6 +226,8 @@ def _postings(width: int, percent: int, blocks: int, frequent):
                 tokens, sids, rems, hots, n = [], [], [], [], 0
         if n:
             yield from _emit(flush())
+        tokens, sids, rems, hots = [], [], [], []
+        trim()
 
     return run
 
@@ -275,6 +279,7 @@ def _tokens(width: int, half: bool):
                         for n, v in zip(schema.names, (*row, made)):
                             out[n].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
+        trim()
 
     return run
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, durable, table
+from .common import batches, durable, table, trim
 from .tokens import END_ID, encoder
 
 CAPACITY = 1024
@@ -51,6 +51,7 @@ def _cut(capacity: int, tokenizer: str | None):
 
         yield from batches(it, _PIECES, f)
         enc.forget()
+        trim()
 
     return run
 
