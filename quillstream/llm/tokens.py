@@ -12,7 +12,7 @@ from .common import mix
 
 END_ID = 2
 #: Words whose ids a worker remembers, at most (about 40 bytes each); characters of the texts that are cut at once.
-MOST_REMEMBERED, CHARS = 1_000_000, 1 << 20
+MOST_REMEMBERED, CHARS = 1_000_000, 1 << 18
 _WORKER: dict = {}
 #: Line tabulation: stands between the texts of one cut.
 _BREAK = "\x0b"
@@ -93,7 +93,6 @@ class Encoder:
                 self._sign[ord(c)] = own[0]
         code = np.random.default_rng().integers(1, 1 << 63, 257, dtype=np.int64).astype(np.uint64)
         self._code, self._base = code[:256], int(code[256]) | 1
-        self._powers(1 << 16)
         self.forget()
 
     def _ids(self, text: str) -> list[int]:
@@ -105,6 +104,10 @@ class Encoder:
 
     def forget(self) -> None:
         """Frees what a task has remembered; workers outlive their tasks."""
+        self._powers(1 << 16)
+        self._clear()
+
+    def _clear(self) -> None:
         self._known = _Table(1 << (2 * MOST_REMEMBERED - 1).bit_length())
         self._size = np.empty(0, np.int32)  # bytes of a word, by number; -1: not by words
         self._first = np.zeros(1, np.int64)  # where its ids begin
@@ -210,7 +213,7 @@ class Encoder:
         if len(missing):
             _, at = np.unique(key[missing], return_index=True)
             if self._known.n + 2 * len(at) > MOST_REMEMBERED:
-                self.forget()
+                self._clear()
                 missing = np.arange(len(key))
                 _, at = np.unique(key, return_index=True)
                 if 2 * len(at) > MOST_REMEMBERED:  # one very long text

@@ -278,7 +278,7 @@ def test_encoder_is_the_library():
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "MOST_REMEMBERED", 64)
     monkeypatch.setattr(tokens, "CHARS", 50)
-    enc, texts = tokens.Encoder(tokens.default_tokenizer()), [f"word{k} other{k % 7}, " + "x y " * (k % 3) for k in range(300)] + [" ".join(f"w{k}" for k in range(500))]
+    enc, texts = tokens.Encoder(tokens.default_tokenizer()), [f"word{k} other{k % 7}, " + "x y " * (k % 3) for k in range(300)] + ["wide " * 30_000] + [" ".join(f"w{k}" for k in range(500))]
     assert enc.encode(texts) == [np.array(e.ids, np.uint32).tobytes() for e in library().encode_batch(texts, add_special_tokens=False)]
 
 
