@@ -4,9 +4,10 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """A JSON text with sorted keys, no blanks and ASCII only; null where it isn't JSON. Spark's own writer keeps the order."""
 
