@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.llm import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_lines, range_coder, registry, tokens, url_filter, warc
+from quillstream.llm import common, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_lines, range_coder, registry, tokens, url_filter, warc
 from tests.oracle import SF, connect, rows_of, rows_of_sql
 
 LONG = "one two three four five six seven eight nine ten eleven twelve " * 3
@@ -157,6 +157,22 @@ def near_pairs(rng, n, sizes):
         yield a, "".join(b)
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_are_the_reachable_nodes(spark, monkeypatch, few):
+    """In one task and by shuffles: paths, stars, loops, repeated edges and null ends, against brute force."""
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(7, x) for x in range(10, 60)] + [(60, 61), (61, 60), (60, 61), (5, 5), (None, 3), (3, None), (200, 150), (160, 150), (160, 200)]
+    of = {x: {x} for a, b in edges if None not in (a, b) and a != b for x in (a, b)}
+    for a, b in edges:
+        if a in of and b in of:
+            of[a] |= of[b]
+            for x in of[a]:
+                of[x] = of[a]
+    found = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.label) for r in found) == sorted((x, min(c)) for x, c in of.items())
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_banded_distance(spark):
     pairs = list(near_pairs(random.Random(1), 600, [0, 1, 2, 3, 6, 14, 40]))
     df = spark.createDataFrame(pairs, "a string, b string")
