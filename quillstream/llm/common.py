@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import string
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared checkpoint folder, read again: lineage is cut as in durable(), columns are compressed.
+
+    For tables that are read more than once and of which a reader wants some columns or rows only. They stay there until
+    that folder is cleaned.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
