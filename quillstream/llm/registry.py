@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_lines, range_coder, url_filter, warc
+from . import alignment, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, phrases, quality_lines, range_coder, url_filter, warc
 
 MODULES = {
     "op1_warc": warc,
@@ -15,6 +15,7 @@ MODULES = {
     "op8_url_filter": url_filter,
     "op9_range_coder": range_coder,
     "op10_quality_lines": quality_lines,
+    "op11_phrases": phrases,
     "op12_alignment": alignment,
 }
 
