@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, phrases, quality_lines, range_coder, url_filter, warc
+from . import alignment, exact_dedup, impact_search, language_id, line_dedup, mixing, ngram_join, packing, phrases, quality_lines, range_coder, url_filter, warc
 
 MODULES = {
     "op1_warc": warc,
@@ -17,6 +17,7 @@ MODULES = {
     "op10_quality_lines": quality_lines,
     "op11_phrases": phrases,
     "op12_alignment": alignment,
+    "op13_impact_search": impact_search,
 }
 
 
