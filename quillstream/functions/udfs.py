@@ -9,11 +9,11 @@ from pyspark.sql.types import StringType
 
 @F.pandas_udf(StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
-    """A JSON text with sorted keys, no blanks and ASCII only; null where it isn't JSON. Spark's own writer keeps the order."""
+    """A JSON text with sorted keys, no blanks and other letters kept as they are; null where it isn't JSON. Spark's own writer keeps the order."""
 
     def one(x):
         try:
-            return None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+            return None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         except ValueError:
             return None
 

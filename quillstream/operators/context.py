@@ -42,18 +42,25 @@ def rerank(ranked: DataFrame, passages: DataFrame, terms: list[str], limit: int,
 def entity_scores(entities: DataFrame, passages: DataFrame, terms: list[str]) -> DataFrame:
     """entity, score, citations: (matches in cited text + 2 in descriptions + 3 in the name) / max(1, root of citations).
 
-    entities: entity, name, descriptions (an array), passage_ids (an array); passages: passage_id, text. A match is a query
-    token that stands among the tokens. Cited texts meet the tokens one by one, so no entity's whole text is ever put together.
+    entities: entity, name, descriptions (an array), passage_ids (an array, repeats count as citations); passages: passage_id,
+    text. A match is a query token that the lower-cased text contains, inside a word too. Cited passages tell which tokens they
+    contain, and only those bits meet the entities, so no entity's whole text is ever put together. Null arrays and texts are empty.
     """
-    wanted = F.array(*[F.lit(x) for x in terms]) if terms else F.array().cast("array<string>")
-    there = lambda c: F.array_intersect(wanted, tokens(F.coalesce(c, F.lit(""))))
-    cited = entities.select("entity", F.explode_outer(F.array_distinct("passage_ids")).alias("passage_id"))
-    hits = passages.select("passage_id", there(F.col("text")).alias("__w"))
-    met = cited.join(hits, "passage_id", "left").withColumn("__x", F.explode_outer("__w"))
-    per = met.groupBy("entity").agg(F.count_distinct("__x").alias("src"), F.count_distinct("passage_id").alias("citations"))
-    own = entities.select("entity", F.size(there(F.array_join("descriptions", " "))).alias("desc"), F.size(there(F.col("name"))).alias("own"))
-    score = search.specificity(F.col("src"), F.col("desc"), F.col("own"), F.col("citations"))
-    return per.join(own, "entity").select("entity", F.round(score, 9).alias("score"), "citations")
+    bits = lambda c: reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains(F.lower(c), F.lit(x)), 1 << k).otherwise(0).cast("long") for k, x in enumerate(some)])
+    lots = [sorted(set(terms))[k : k + 60] for k in range(0, len(set(terms)), 60)]
+    ids = F.coalesce("passage_ids", F.array().cast(dict(entities.dtypes)["passage_ids"]))
+    own = entities.select("entity", F.size(ids).cast("long").alias("citations"), F.coalesce(F.array_join("descriptions", " "), F.lit("")).alias("__d"), F.coalesce("name", F.lit("")).alias("__n"))
+    if not lots:
+        return own.select("entity", F.lit(0.0).alias("score"), "citations")
+    cited, hits, seen = entities.select("entity", F.explode(F.array_distinct(ids)).alias("passage_id")), passages.select("passage_id", "text"), []
+    desc = name = F.lit(0)
+    for k, some in enumerate(lots):
+        hits = hits.withColumn(f"__w{k}", bits(F.coalesce("text", F.lit(""))))
+        seen.append(F.bit_or(f"__w{k}").alias(f"__s{k}"))
+        desc, name = desc + F.bit_count(bits(F.col("__d"))), name + F.bit_count(bits(F.col("__n")))
+    per = cited.join(hits.drop("text"), "passage_id").groupBy("entity").agg(*seen)
+    src = reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(f"__s{k}"), F.lit(0)) for k in range(len(lots))])
+    return own.join(per, "entity", "left").select("entity", F.round(search.specificity(src, desc, name, F.col("citations")), 9).alias("score"), "citations")
 
 
 def rank_entities(scores: DataFrame, entities: DataFrame, retrieved: DataFrame, limit: int) -> DataFrame:
@@ -96,16 +103,30 @@ def compact(rows: DataFrame, text: dict[str, int], arrays: dict[str, int], dropp
 
 
 def fit_budget(fields: list[Column], names: list[str], most: int) -> Column:
-    """A struct of texts whose lengths sum up to `most` at most: where they don't, the longest (the first of them) gives way."""
-    total = reduce(lambda a, b: a + b, [F.char_length(f) for f in fields])
-    over = F.greatest(total - most, F.lit(0))
-    longest = F.greatest(*[F.char_length(f) for f in fields]) if len(fields) > 1 else F.char_length(fields[0])
-    out, earlier = [], F.lit(False)
-    for f, n in zip(fields, names):
-        mine = (F.char_length(f) == longest) & ~earlier
-        earlier = earlier | (F.char_length(f) == longest)
-        out.append(F.when(mine, F.substr(f, F.lit(1), F.greatest(F.char_length(f) - over, F.lit(0)))).otherwise(f).alias(n))
-    return F.struct(*out)
+    """A struct of texts whose lengths sum up to `most` at most: those above a common level are cut there, shorter ones stay whole.
+
+    The level is the highest that fits. Null texts have no length and stay null.
+    """
+    sizes = F.array_sort(F.array(*[F.coalesce(F.char_length(f), F.lit(0)) for f in fields]))
+    n = len(fields)
+    # with the k shortest whole, the others share what is left; the greatest of these shares is the level
+    shares = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor((F.lit(most) - F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, x: a + x)) / (F.lit(n) - k)))
+    level = F.greatest(F.array_max(shares), F.lit(0)).cast("int")
+    return F.struct(*[F.substr(f, F.lit(1), level).alias(x) for f, x in zip(fields, names)])
+
+
+def trim_evenly(matches: Column, field: str, encoded: Column, most: int, least: int = 1000) -> Column:
+    """An array of structs whose text `field` is cut to one allowance for all, with an ellipsis, where the `encoded` whole is longer than `most`.
+
+    The allowance is half of an even share of `most`, `least` at least; the other fields stay as they are.
+    """
+    allowance = F.greatest(F.lit(least), F.floor(F.floor(F.lit(most) / F.greatest(F.size(matches), F.lit(1))) / 2)).cast("int")
+
+    def cut(x: Column) -> Column:
+        text = F.trim(F.regexp_replace(F.coalesce(x[field], F.lit("")), r"\s+", " "))
+        return F.when(F.char_length(text) > allowance, F.concat(F.rtrim(F.substr(text, F.lit(1), allowance - 1)), F.lit("…"))).otherwise(text)
+
+    return F.when(F.char_length(encoded) > most, F.transform(matches, lambda x: x.withField(field, cut(x)))).otherwise(matches)
 
 
 def confirmed(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:

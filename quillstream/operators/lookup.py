@@ -87,13 +87,16 @@ def fuzzy_cascade(rows: DataFrame, table: DataFrame, first: str, second: str, ke
 
 def best_record(rows: DataFrame, table: DataFrame, ids: str, name: str, table_id: str, table_name: str, richness: str) -> DataFrame:
     """rows with the record that `ids` (an array, in order of preference) names first, else the one of their normalised
-    name; of the records of that name the richest is taken instead where it is richer, the least id on ties."""
+    name; of the records of that name the richest is taken instead where it is richer, the least id on ties.
+
+    Rows meet records by what they ask for (ids and name), asked once however many rows ask it; no row needs a number.
+    """
     known = table.select(F.col(table_id).alias("__tid"), norm_key(F.col(table_name)).alias("__tkey"), F.col(richness).alias("__rich"))
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
-    named = keyed.select("__row", F.posexplode(ids).alias("__pos", "__tid")).join(known, "__tid")
-    by_id = named.groupBy("__row").agg(F.min_by(F.struct("__tid", "__tkey", "__rich"), "__pos").alias("__i"))
+    asked = rows.select(F.col(ids).alias("__ids")).where(F.col("__ids").isNotNull()).distinct()
+    named = asked.select("__ids", F.posexplode("__ids").alias("__pos", "__tid")).join(known, "__tid")
+    by_id = named.groupBy("__ids").agg(F.min_by(F.struct("__tid", "__tkey", "__rich"), "__pos").alias("__i"))
     best = known.groupBy("__tkey").agg(F.min_by(F.struct("__tid", "__rich"), F.struct((-F.col("__rich")).alias("r"), "__tid")).alias("__best"))
-    met = keyed.join(by_id, "__row", "left").withColumn("__k", F.coalesce("__i.__tkey", norm_key(F.col(name)))).join(best, F.col("__k") == F.col("__tkey"), "left")
+    met = rows.join(by_id, F.col(ids) == F.col("__ids"), "left").withColumn("__k", F.coalesce("__i.__tkey", norm_key(F.col(name)))).join(best, F.col("__k") == F.col("__tkey"), "left")
     better = F.col("__i").isNull() | (F.col("__best.__rich") > F.col("__i.__rich"))
     return met.select(*rows.columns, F.when(better, F.col("__best.__tid")).otherwise(F.col("__i.__tid")).alias(table_id))
 
@@ -112,37 +115,23 @@ def speakers(rows: DataFrame, guesses: DataFrame, scope: str, speaker: str, name
 
 
 def zip_arrays(left: Column, right: Column, names: tuple[str, str]) -> Column:
-    """Structs of the entries of equal place; as many as the shorter array has."""
-    n = F.least(F.size(left), F.size(right))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(left, i).alias(names[0]), F.get(right, i).alias(names[1]))) if names else left
+    """Structs of the entries of equal place; as many as the shorter array has. A null array counts as empty."""
+    n = F.least(*[F.coalesce(F.size(c), F.lit(0)) for c in (left, right)])
+    places = F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(1), F.greatest(n, F.lit(0)))
+    return F.transform(places, lambda i: F.struct(F.get(left, i).alias(names[0]), F.get(right, i).alias(names[1])))
 
 
-def contains_join(quotes: DataFrame, texts: DataFrame, quote: str, text: str, key: str | None = None) -> DataFrame:
+def contains_join(quotes: DataFrame, texts: DataFrame, quote: str, text: str, key: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Every pair of a quote and a text that contains it; with a `key`, only of equal key. Null quotes and texts match nothing, an empty quote matches every text.
 
-    Without a key, a quote's first GRAM_LONG characters are looked up among the texts' substrings of that length, and of
-    a longer text only those that begin a quote leave the scan. Shorter quotes are tested against every text: they are
-    broadcast, after a count that raises above MOST_SHORT.
+    Columns: those of `quotes`, and of `texts` those in `keep` (all). Without a key, texts are read once through an automaton of
+    the quotes (match_patterns), and what they contain meets the quotes by equality.
     """
     quotes = quotes.where(F.col(quote).isNotNull())
+    keep = texts.columns if keep is None else list(keep)
     if key:
-        return quotes.join(texts, key).where(F.contains(text, quote))
-    from .shared import durable
-
-    long = quotes.where(F.char_length(quote) >= GRAM_LONG).withColumn("__head", F.xxhash64(F.substr(F.col(quote), F.lit(1), F.lit(GRAM_LONG))))
-    heads = durable(long.select("__head").distinct())
-    few = heads.limit(MOST_SHORT + 1).count() <= MOST_SHORT
-    n = F.char_length(F.col(text)) - GRAM_LONG + 1
-    keyed = texts.withColumn("__wide", F.encode(F.col(text), "UTF-32")).withColumn("__row", F.monotonically_increasing_id())
-    hashes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(F.decode(F.substr("__wide", i * 4 + 1, F.lit(4 * GRAM_LONG)), "UTF-32"))))
-    grams = keyed.where(n > 0).select(*texts.columns, F.explode(hashes).alias("__head"))
-    grams = grams.join(F.broadcast(heads) if few else heads, "__head", "left_semi")
-    found = grams.join(long, "__head").where(F.contains(text, quote)).drop("__head")
-    short = durable(quotes.where(F.char_length(quote) < GRAM_LONG))
-    if short.limit(MOST_SHORT + 1).count() > MOST_SHORT:
-        raise ValueError(f"more than {MOST_SHORT} quotes below {GRAM_LONG} characters")
-    return found.unionByName(texts.join(F.broadcast(short), F.contains(text, quote)).select(*found.columns))
-
-
-#: Characters that a quote is looked up by, and quotes that may be shorter.
-GRAM_LONG, MOST_SHORT = 12, 100_000
+        return quotes.join(texts.select(*{key: 0, text: 0, **dict.fromkeys(keep)}), key).where(F.contains(text, quote)).select(*quotes.columns, *[c for c in keep if c != key])
+    from .patterns import match_patterns
+
+    met = match_patterns(texts, quotes, quote, text, keep, "__pattern")
+    return met.join(quotes, F.col("__pattern") == F.col(quote)).select(*quotes.columns, *keep)

@@ -36,24 +36,27 @@ def clear_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
 def update_both(scenes: DataFrame, chapters: DataFrame, changes: DataFrame, key: str, array: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """(scenes, chapters) after changes to scenes' fields: standalone rows and the copies in the chapters' arrays alike.
 
-    changes: key and fields, one row a key. The arrays are unfolded, changed by join and folded again in their order.
+    changes: key and fields, one row a key. Arrays that hold a changed key are unfolded, changed by join and folded again in their
+    order, each distinct one once; chapters meet theirs by its value, so no row needs a number. Null and empty arrays stay.
     """
     new = changes.select(F.col(key).alias("__k"), F.struct(*fields).alias("__new"))
     put = {f: F.when(F.col("__k").isNotNull(), F.col(f"__new.{f}")).otherwise(F.col(f)) for f in fields}
     own = scenes.join(new, F.col(key) == F.col("__k"), "left").withColumns(put).drop("__k", "__new")
     names = [f.name for f in chapters.schema[array].dataType.elementType.fields]
-    rows = chapters.withColumn("__row", F.monotonically_increasing_id())
-    flat = rows.select("__row", F.posexplode(array).alias("__pos", "__x")).select("__row", "__pos", "__x.*").join(new, F.col(key) == F.col("__k"), "left").withColumns(put)
-    folded = flat.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", F.struct(*names).alias("v")))), lambda x: x["v"]).alias("__new"))
-    whole = rows.join(folded, "__row", "left").withColumn(array, F.coalesce("__new", array)).drop("__row", "__new")
+    arrays = chapters.select(F.col(array).alias("__old")).where(F.size("__old") > 0).distinct()
+    flat = arrays.select("__old", F.posexplode("__old").alias("__pos", "__x")).select("__old", "__pos", "__x.*").join(new, F.col(key) == F.col("__k"), "left").withColumns(put)
+    folded = flat.groupBy("__old").agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", F.struct(*names).alias("v")))), lambda x: x["v"]).alias("__new"))
+    whole = chapters.join(folded, F.col(array) == F.col("__old"), "left").withColumn(array, F.coalesce("__new", array)).select(*chapters.columns)
     return own, whole
 
 
-def import_results(current: DataFrame, prior: DataFrame, key: list[str], keep: Column, columns: dict[str, Column]) -> DataFrame:
-    """current, and of the prior results those that `keep` names, in the shape of `columns`, whose key isn't there yet."""
-    shaped = prior.where(keep).withColumns(columns)
-    once = records.pick(shaped, key, [F.lit(1)])
-    return current.unionByName(once.join(current.select(*key).distinct(), key, "left_anti").select(*[c for c in once.columns if c in current.columns]), allowMissingColumns=True)
+def import_results(current: DataFrame, prior: DataFrame, key: list[str], keep: Column, columns: dict[str, Column], order: list) -> DataFrame:
+    """current, and of the prior results those that `keep` names, in the shape of `columns`, whose key isn't there yet.
+
+    Of prior results that share a key, the first in `order` (columns of the prior results) is taken.
+    """
+    shaped = records.pick(prior.where(keep), key, order).withColumns(columns)
+    return current.unionByName(shaped.join(current.select(*key).distinct(), key, "left_anti").select(*[c for c in shaped.columns if c in current.columns]), allowMissingColumns=True)
 
 
 def from_template(rows: DataFrame, key: list[str], slot: str, n: int, order: list[str], overrides: dict[str, Column]) -> DataFrame:
@@ -78,9 +81,9 @@ def override(rows: DataFrame, key: str, column: str, forced: dict[str, str], exc
     return kept.withColumn(column, F.coalesce(F.element_at(known, F.col(key)), F.col(column)))
 
 
-def inject(rows: DataFrame, extra: DataFrame, identity: list[str], valid: Column) -> DataFrame:
-    """rows with those extra ones that are valid and whose identity is new; of extra rows that share one, any one."""
-    return union_first(rows, extra.where(valid).dropDuplicates(identity), identity)
+def inject(rows: DataFrame, extra: DataFrame, identity: list[str], valid: Column, order: list) -> DataFrame:
+    """rows with those extra ones that are valid and whose identity is new; of extra rows that share one, the first in order."""
+    return union_first(rows, records.pick(extra.where(valid), identity, order), identity)
 
 
 def distinct_targets(rows: DataFrame, name: str, source: str, order: list[str], unknown: list[str]) -> DataFrame:

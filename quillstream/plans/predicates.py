@@ -20,9 +20,9 @@ def struct_merge(spark, d):
     return j.select("s_suppkey", select.merge_structs(a, b, ["name", "balance"], ["name", "region"]).alias("m")).select("s_suppkey", "m.*")
 
 
-@register("SELECT * EXCLUDE (l_discount, l_tax, l_shipdate) FROM lineitem WHERE l_linenumber = 3")
+@register("SELECT * EXCLUDE (l_discount, l_tax, l_shipdate) FROM lineitem")
 def drop_columns(spark, d):
-    return t(spark, d, "lineitem").where("l_linenumber = 3").drop("l_discount", "l_tax", "l_shipdate")
+    return t(spark, d, "lineitem").drop("l_discount", "l_tax", "l_shipdate")
 
 
 @register("""SELECT l_orderkey, count(*) AS n, sum(l_partkey)::BIGINT AS parts FROM lineitem GROUP BY l_orderkey""")
@@ -180,9 +180,9 @@ def evidence_semi(spark, d):
     return t(spark, d, "customer").where("c_acctbal > 0").join(confirmed, "c_custkey", "left_semi").select("c_custkey")
 
 
-@register("""SELECT doc_id FROM documents WHERE len(list_filter([split_part(text, ' ', 3), 'Moron', ' '], lambda n: trim(n) <> '' AND contains(lower(left(text, 400)), lower(trim(n))))) > 0""")
+@register("""SELECT doc_id FROM documents WHERE len(list_filter([split_part(text, ' ', 3), 'Moron', ' '], lambda n: trim(n) <> '' AND contains(lower(text), lower(trim(n))))) > 0""")
 def relevant_names(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.array(F.split_part("text", F.lit(" "), F.lit(3)), F.lit("Moron"), F.lit(" ")).alias("names"), F.left("text", F.lit(400)).alias("evidence"))
+    docs = t(spark, d, "documents").select("doc_id", F.array(F.split_part("text", F.lit(" "), F.lit(3)), F.lit("Moron"), F.lit(" ")).alias("names"), F.col("text").alias("evidence"))
     return lookup.relevant(docs, "names", "evidence").select("doc_id")
 
 
@@ -226,5 +226,5 @@ FROM lineitem, range(0, 20) r(i) GROUP BY l_orderkey, i HAVING i < count(*) FILT
 def positional_zip(spark, d):
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey")
     g = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["l_partkey"]).alias("a"), F.transform(F.array_sort(F.collect_list(F.when(F.col("l_linenumber") != 2, F.struct("l_suppkey", "l_linenumber", "l_partkey")))), lambda x: x["l_suppkey"]).alias("b"))
-    z = g.where(F.size("b") > 0).select("l_orderkey", F.posexplode(lookup.zip_arrays(F.col("a"), F.col("b"), ("part", "supplier"))).alias("place", "z"))
+    z = g.select("l_orderkey", F.posexplode(lookup.zip_arrays(F.col("a"), F.col("b"), ("part", "supplier"))).alias("place", "z"))
     return z.select("l_orderkey", F.col("place").cast("long").alias("place"), "z.part", "z.supplier")

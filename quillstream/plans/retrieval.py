@@ -22,7 +22,7 @@ def lookup_describe(spark, d):
 
 def _entities(spark, d):
     docs = t(spark, d, "documents").where("source is not null")
-    return docs.groupBy(F.col("source").alias("entity")).agg(F.first("source").alias("name"), F.array(F.concat(F.lit("about license "), F.max("lang"))).alias("descriptions"), F.collect_set("doc_id").alias("passage_ids"))
+    return docs.groupBy(F.col("source").alias("entity")).agg(F.first("source").alias("name"), F.array(F.concat(F.lit("about license "), F.max("lang"))).alias("descriptions"), F.collect_list("doc_id").alias("passage_ids"))
 
 
 def _passages(spark, d):
@@ -30,16 +30,16 @@ def _passages(spark, d):
 
 
 _SCORES = """
-tk AS (SELECT source, doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w IN ('license', 'src1', 'moron'))) AS w FROM documents WHERE source IS NOT NULL),
-en AS (SELECT source AS entity, count(*) AS citations, len(list_distinct(flatten(list(w)))) AS src FROM tk GROUP BY source),
-de AS (SELECT source AS entity, len(list_intersect(['license', 'src1', 'moron'], regexp_extract_all(lower('about license ' || coalesce(max(lang), '')), '[a-z0-9]+'))) AS descr, (source = 'src1')::INT AS own FROM documents WHERE source IS NOT NULL GROUP BY source),
-sc AS (SELECT entity, round((src + 2 * descr + 3 * own) / greatest(1.0, sqrt(citations)), 9) AS score, citations FROM en JOIN de USING (entity))
+tk AS (SELECT source, unnest(['license', 'moro', 'src1', 'et']) AS w, doc_id FROM documents WHERE source IS NOT NULL),
+hit AS (SELECT DISTINCT tk.source, w FROM tk JOIN documents d USING (doc_id) WHERE contains(lower(d.text), w)),
+en AS (SELECT source AS entity, count(*) AS citations, (SELECT count(*) FROM hit WHERE hit.source = documents.source) AS src, 'about license ' || coalesce(max(lang), '') AS de FROM documents WHERE source IS NOT NULL GROUP BY source),
+sc AS (SELECT entity, round((src + 2 * len(list_filter(['license', 'moro', 'src1', 'et'], lambda w: contains(de, w))) + 3 * len(list_filter(['license', 'moro', 'src1', 'et'], lambda w: contains(entity, w)))) / greatest(1.0, sqrt(citations)), 9) AS score, citations FROM en)
 """
 
 
 @register(f"WITH {_SCORES} SELECT * FROM sc")
 def entity_scores(spark, d):
-    return context.entity_scores(_entities(spark, d), _passages(spark, d), ["license", "moron", "src1"])
+    return context.entity_scores(_entities(spark, d), _passages(spark, d), ["license", "moro", "src1", "et"])
 
 
 @register(f"""WITH {_SCORES}, {_BM25}, k AS (SELECT id FROM lex ORDER BY score DESC, id LIMIT 30), f AS (SELECT source AS entity, count(*) AS f FROM k JOIN documents ON doc_id = id GROUP BY source)
@@ -47,7 +47,7 @@ SELECT entity, round(10 * score + coalesce(f, 0), 9) AS rank_key FROM sc LEFT JO
 def rank_entities(spark, d):
     entities = _entities(spark, d)
     hits = _lexical(spark, d).orderBy(F.desc("confidence"), "id").limit(30).select(F.col("id").alias("passage_id"))
-    return context.rank_entities(context.entity_scores(entities, _passages(spark, d), ["license", "moron", "src1"]), entities, hits, 6)
+    return context.rank_entities(context.entity_scores(entities, _passages(spark, d), ["license", "moro", "src1", "et"]), entities, hits, 6)
 
 
 @register("SELECT n_nationkey, n_name FROM nation WHERE trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) = 'nation 7'")
@@ -89,12 +89,22 @@ def compact_texts(spark, d):
     return context.compact(t(spark, d, "documents"), {"text": 60}, {}, ["lang", "source", "n_chars"])
 
 
-@register("""WITH x AS (SELECT conv_id, turn, role AS a, left(text, 100) AS b FROM conversations), l AS (SELECT *, greatest(length(a) + length(b) - 40, 0) AS over, length(a) >= length(b) AS first FROM x)
-SELECT conv_id, turn, CASE WHEN first THEN left(a, greatest(length(a) - over, 0)) ELSE a END AS a, CASE WHEN NOT first THEN left(b, greatest(length(b) - over, 0)) ELSE b END AS b FROM l""")
+@register("""WITH x AS (SELECT conv_id, turn, role AS a, text AS b, list_sort([coalesce(length(role), 0), coalesce(length(text), 0)]) AS n FROM conversations), l AS (SELECT *, greatest(40 // 2, 40 - n[1])::INT AS level FROM x)
+SELECT conv_id, turn, left(a, level) AS a, left(b, level) AS b FROM l""")
 def fitted_context(spark, d):
-    """The longest of two texts gives way to a budget."""
+    """Two texts within a budget: what is above a common level gives way."""
     c = t(spark, d, "conversations")
-    return c.select("conv_id", "turn", context.fit_budget([F.col("role"), F.left("text", F.lit(100))], ["a", "b"], 40).alias("s")).select("conv_id", "turn", "s.*")
+    return c.select("conv_id", "turn", context.fit_budget([F.col("role"), F.col("text")], ["a", "b"], 40).alias("s")).select("conv_id", "turn", "s.*")
+
+
+@register("""WITH c AS (SELECT conv_id, count(*) AS n, sum(length(text)) AS size FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+x AS (SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS s, text, size, greatest(60, (600 // n) // 2) AS most FROM conversations JOIN c USING (conv_id) WHERE text IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN size > 600 THEN CASE WHEN length(s) > most THEN rtrim(left(s, (most - 1)::INT)) || '…' ELSE s END ELSE text END AS text FROM x""")
+def even_context(spark, d):
+    """Texts of a conversation's turns, trimmed evenly where together they are over budget."""
+    turns = t(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    whole = F.array_join(F.transform("m", lambda x: x["text"]), "")
+    return turns.select("conv_id", F.explode(context.trim_evenly(F.col("m"), "text", whole, 600, 60)).alias("x")).select("conv_id", "x.turn", "x.text")
 
 
 @register("SELECT doc_id, lang FROM documents WHERE doc_id IN (3, 9, 40)")

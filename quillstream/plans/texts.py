@@ -31,10 +31,10 @@ def word_counts(spark, d):
     return _docs(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
-@register(r"""WITH x AS (SELECT doc_id, replace(left(text, 200), 'e', chr(9)) || '  ' || chr(160) || 'wo-' || chr(10) || 'rd' || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' AS p FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace(p, chr(9), ' '), 'wo-\n', 'wo', 'g'), '[ ' || chr(160) || ']+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')), '^\s+', '') AS page FROM x""")
+@register(r"""WITH x AS (SELECT doc_id, replace(text, 'e', chr(9)) || '  ' || chr(160) || 'wo-' || chr(10) || 'rd' || chr(10) || chr(10) || chr(10) || chr(10) || 'end ' AS p FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(p, chr(0), ''), chr(9), ' '), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '[ ' || chr(160) || ']+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')), '^\s+|\s+$', '', 'g') AS page FROM x""")
 def page_normalize(spark, d):
-    p = F.concat(F.translate(F.left("text", F.lit(200)), "e", "\t"), F.lit("  \xa0wo-\nrd\n\n\n\nend "))
+    p = F.concat(F.translate("text", "e", "\t"), F.lit("  \xa0wo-\nrd\n\n\n\nend "))
     return _docs(spark, d).select("doc_id", T.normalize_page(p).alias("page"))
 
 
@@ -57,13 +57,13 @@ def portrait_parts(spark, d):
 
 @register("""SELECT o_orderkey, CASE WHEN regexp_matches(lower(o_orderpriority), '^4') THEN '' ELSE o_orderstatus || ', belt' END AS items FROM orders""")
 def clean_list(spark, d):
-    raw = F.when(F.col("o_orderpriority").startswith("4"), F.lit("n/a, hat")).otherwise(F.concat(F.col("o_orderstatus"), F.lit(", Madra,, "), F.lower("o_orderstatus"), F.lit(", tool: x, belt, BELT")))
-    return t(spark, d, "orders").select("o_orderkey", E.clean_list(raw, ["madra", "skin"]).alias("items"))
+    raw = F.when(F.col("o_orderpriority").startswith("4"), F.lit("n/a, hat")).otherwise(F.concat(F.col("o_orderstatus"), F.lit(", Varnish,, "), F.lower("o_orderstatus"), F.lit(", tool: x, belt, BELT")))
+    return t(spark, d, "orders").select("o_orderkey", E.clean_list(raw, ["varnish", "bark"]).alias("items"))
 
 
 @register("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'found' END AS kind FROM supplier""")
 def hash_suffix_lookup(spark, d):
-    key = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "fox").otherwise("cat"), F.lit("-3f5ceea0"))
+    key = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "fox").otherwise("cat"), F.lit("-00ab12cd"))
     return t(spark, d, "supplier").select("s_suppkey", F.coalesce(T.lookup({"fox": "found"}, key, F.lit(None)), T.lookup({"fox": "found"}, E.without_hash(key), F.lit(None))).alias("kind"))
 
 
@@ -136,7 +136,7 @@ def rewritten_json(spark, d):
     return t(spark, d, "events").select("event_id", T.rewrite_suffix(made, ".webm", ".mp4").alias("x")).select("event_id", "x.json", F.col("x.changes").cast("int").alias("changes"))
 
 
-@register("""SELECT event_id, '{"a":"\\u00e9","k":' || json_extract(props, '$.k')::VARCHAR || '}' AS json FROM events""")
+@register("""SELECT event_id, '{"a":"é","k":' || json_extract(props, '$.k')::VARCHAR || '}' AS json FROM events""")
 def canonical_json(spark, d):
     made = F.concat(F.lit('{ "k" : '), F.get_json_object("props", "$.k"), F.lit(', "a": "é"}'))
     return t(spark, d, "events").select("event_id", canonical_json_udf(made).alias("json"))
@@ -152,9 +152,9 @@ def map_lookup(spark, d):
     return t(spark, d, "orders").select("o_orderkey", T.lookup({"F": "finished", "O": "open"}, F.col("o_orderstatus"), F.col("o_orderstatus")).alias("status"))
 
 
-@register(r"""WITH s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '')) AS x FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[“"''\[”’…*]'))
-SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars FROM s GROUP BY doc_id""")
+@register(r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')), '([.!?…])["''”’]? ([A-Z“"''\[])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS x FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, trim(regexp_replace(x, '^\*{2,}\s*', '')) AS x FROM s)
+SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars FROM m WHERE x <> '' GROUP BY doc_id""")
 def quoted_sentences(spark, d):
-    plain = _docs(spark, d).where(~F.col("text").rlike(r"""[“"'\[”’…*]"""))  # SQL has no lookbehind; quotes are tested on a fixture
-    x = plain.select("doc_id", E.quoted_sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    x = _docs(spark, d).select("doc_id", E.quoted_sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
     return x.select("doc_id", F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, y: a + F.length(y)).alias("chars"))

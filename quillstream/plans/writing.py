@@ -35,22 +35,22 @@ def cleared_columns(spark, d):
     return M.clear_columns(t(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name"), ["p_brand", "p_size", "nowhere"])
 
 
-@register("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 5 = 0 THEN 'changed' ELSE l_returnflag END AS flag FROM lineitem)
-SELECT 'scene' AS kind, count(*) FILTER (flag = 'changed') AS changed, count(*) AS n FROM s UNION ALL SELECT 'copy', count(*) FILTER (flag = 'changed'), count(*) FROM s""")
+@register("""WITH s AS (SELECT l_orderkey, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN 'changed' ELSE l_returnflag END AS flag FROM lineitem)
+SELECT 'scene' AS kind, * FROM s UNION ALL SELECT 'copy', * FROM s""")
 def both_copies(spark, d):
     """Standalone rows and the copies within arrays change together."""
     li = t(spark, d, "lineitem").select("l_orderkey", "l_partkey", F.col("l_returnflag").alias("flag"))
     chapters = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "flag")).alias("scenes"))
     changes = t(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("l_partkey"), F.lit("changed").alias("flag"))
     own, whole = M.update_both(li, chapters, changes, "l_partkey", "scenes", ["flag"])
-    count = lambda df, kind: df.agg(F.count_if(F.col("flag") == "changed").alias("changed"), F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "changed", "n")
-    return count(own, "scene").unionByName(count(whole.select(F.explode("scenes").alias("s")).select("s.*"), "copy"))
+    copies = whole.select("l_orderkey", F.explode("scenes").alias("s")).select(F.lit("copy").alias("kind"), "l_orderkey", "s.*")
+    return own.select(F.lit("scene").alias("kind"), "l_orderkey", "l_partkey", "flag").unionByName(copies)
 
 
 @register("""SELECT doc_id, 'now' AS origin, quality FROM labels UNION ALL SELECT DISTINCT doc_id, 'before', -1 FROM documents WHERE lang = 'de' AND doc_id NOT IN (SELECT doc_id FROM labels)""")
 def imported_results(spark, d):
     now = t(spark, d, "labels").select("doc_id", F.lit("now").alias("origin"), "quality")
-    return M.import_results(now, t(spark, d, "documents"), ["doc_id"], F.col("lang") == "de", {"origin": F.lit("before"), "quality": F.lit(-1)})
+    return M.import_results(now, t(spark, d, "documents"), ["doc_id"], F.col("lang") == "de", {"origin": F.lit("before"), "quality": F.lit(-1)}, ["text", "source"])
 
 
 @register("""WITH f AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) = 1)
@@ -77,7 +77,7 @@ def overridden_names(spark, d):
 def injected_rows(spark, d):
     extra = t(spark, d, "customer").where("c_custkey < 8").select((-1 - F.col("c_custkey") % 4).alias("s_suppkey"), F.lit("extra").alias("s_name"))
     more = extra.unionByName(t(spark, d, "supplier").select("s_suppkey", F.lit("twice").alias("s_name")))
-    return M.inject(t(spark, d, "supplier").select("s_suppkey", "s_name"), more, ["s_suppkey"], F.col("s_name") != "")
+    return M.inject(t(spark, d, "supplier").select("s_suppkey", "s_name"), more, ["s_suppkey"], F.col("s_name") != "", ["s_name"])
 
 
 @register("""SELECT conv_id, turn FROM (SELECT *, CASE WHEN role = 'user' THEN '?' || conv_id ELSE role END AS target FROM conversations) QUALIFY row_number() OVER (PARTITION BY target ORDER BY conv_id, turn) = 1""")
@@ -96,13 +96,14 @@ def key_value_put(spark, d):
     return M.put(store, entries, ["l_orderkey", "l_suppkey", "l_partkey"])
 
 
-@register("""SELECT 'node' AS kind, count(*) AS n, count(name) AS named FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE c_name END AS name FROM customer)
-UNION ALL SELECT 'edge', count(*), 0 FROM (SELECT DISTINCT o_custkey, o_custkey + 1 AS dst FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) AND o_custkey + 1 IN (SELECT c_custkey FROM customer))""")
+@register("""SELECT 'node' AS kind, c_custkey AS a, NULL::BIGINT AS b, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE c_name END AS name FROM customer
+UNION ALL SELECT 'edge', src, dst, NULL FROM (SELECT DISTINCT o_custkey AS src, o_custkey + 1 AS dst FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) AND o_custkey + 1 IN (SELECT c_custkey FROM customer))""")
 def graph_merge(spark, d):
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     e = t(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + 1).alias("dst"), F.lit("next").alias("kind"))
     nodes, edges = M.merge_graph(c, e.limit(0), c.where("id % 2 = 0").withColumn("name", F.lit("even")), e)
-    return nodes.agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("named")).select(F.lit("node").alias("kind"), "n", "named").unionByName(edges.agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("kind"), "n", F.lit(0).cast("long").alias("named")))
+    none = lambda kind: F.lit(None).cast(kind)
+    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), none("long").alias("b"), "name").unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), none("string").alias("name")))
 
 
 @register("""WITH RECURSIVE s AS (SELECT c_custkey % 60 AS main, unnest([c_custkey % 60, c_custkey % 60 // 3 + 100]) AS key, c_custkey FROM customer),
