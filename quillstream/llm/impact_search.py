@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from .common import stored, table, trim
 
 #: Vectors of a block; queries that are sent to the tasks at once; components are quantised to steps of 2^SHIFT.
-BLOCK, SLICE, SHIFT = 4096, 1 << 16, 4
+BLOCK, SLICE, SHIFT = 8192, 1 << 16, 4
 #: Scaled components go up to here, so that scores fit 64 bits.
 WIDEST = 1 << 28
 #: Shares of the greatest contribution at which a query looks whether it may stop; there it does if at most FEW of a block are possible members.
-LEVELS, FEW = (0.5, 0.25, 0.125, 0.0), 0.02
+LEVELS, FEW = (0.25, 0.0), 0.02
 
 _BLOCKS = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("known", pa.binary()), ("queries", pa.binary()), ("vectors", pa.binary()), ("order", pa.binary())])
 _BLOCKS_DDL = "block long, size int, dims int, ids binary, known binary, queries binary, vectors binary, order binary"
@@ -92,6 +92,7 @@ class Block:
         self.edges = edges
         self.starts = np.stack([n - np.searchsorted(self.levels[j, ::-1], edges) for j in range(d)])  # places at or above each edge
         self.floor = (self.levels << SHIFT).astype(float)
+        self.ceil = self.floor + (1 << SHIFT) - 1
 
     def heads(self, q: np.ndarray, tau: float) -> np.ndarray:
         """How far each list, from the end where it contributes most, has contributions that may reach tau."""
@@ -106,7 +107,7 @@ class Block:
 
     def best(self, q: np.ndarray, k: int, least: float, own: int | None) -> tuple[np.ndarray, np.ndarray, int]:
         """(places, scores) of the block's k best with a score of `least` or more, smaller ids first among equals; postings processed."""
-        n, step = len(self.ids), (1 << SHIFT) - 1
+        n = len(self.ids)
         upper, seen, done = np.zeros(n), np.zeros(n, np.int32), np.zeros(len(q), np.int64)
         active, greatest, work = int((q != 0).sum()), float(np.abs(q).max()) * self.far, 0
         slack = 1e-9 * len(q) * greatest
@@ -117,8 +118,9 @@ class Block:
             for j in np.flatnonzero(upto > done):
                 part = slice(done[j], upto[j]) if q[j] > 0 else slice(n - upto[j], n - done[j])
                 places = self.order[j, part]
-                upper[places] += q[j] * self.floor[j, part] + (q[j] * step if q[j] > 0 else 0)
-                seen[places] += 1
+                upper[places] += q[j] * self.ceil[j, part] if q[j] > 0 else q[j] * self.floor[j, part]
+                if tau:  # at 0 it doesn't matter how many lists a vector hasn't met
+                    seen[places] += 1
                 work += len(places)
             done = np.maximum(done, upto)
             bound = upper + (active - seen) * tau + slack
