@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,10 +27,33 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict:
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def _place(it):
+    """Numbers lines within their block; a task has its blocks one after another, each in the file's order."""
+    import numpy as np
+    import pyarrow as pa
+
+    last, n = None, 0
+    for b in it:
+        files, blocks = b.column(0).to_pylist(), b.column(1).to_pylist()
+        at = np.empty(b.num_rows, np.int64)
+        for k, own in enumerate(zip(files, blocks)):
+            n, last = (n + 1, last) if own == last else (1, own)
+            at[k] = n
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=["file", "block", "value", "at"])
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (1..), value of every line that isn't blank. A file is read as one value, so each must fit in a task."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n")).alias("at", "value"))
-    return whole.where(F.trim("value") != "").select("file", (F.col("at") + 1).alias("line"), "value")
+    """file, line (1..), value of every line that isn't blank, in files of any size.
+
+    Files are read in byte ranges, as Spark cuts them: lines are counted by range, the counts summed up along each file, and
+    every line's number is its range's sum and its place there. A line ends with LF, CR LF or CR.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    along = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    placed = lines.mapInArrow(_place, "file string, block long, value string, at long").where(F.trim("value") != "")
+    return placed.join(before, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).select("file", (F.col("before") + F.col("at")).alias("line"), "value")
 
 
 def located_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
