@@ -83,6 +83,33 @@ def call_json(rows: DataFrame, f: Callable[[dict, str | None], str], schema: str
     return call(rows, ask, out, 1).withColumn(out, F.from_json(out, schema))
 
 
+def cached_call(rows: DataFrame, request: list[str], f: Callable[[dict], str], path: str, out: str = "answer", version: int = 1, tries: int = 3, wait: float = 0.0, terminal: tuple[type, ...] = ()) -> DataFrame:
+    """rows with f's answer to their request columns and `error`, from answers stored under `path` as far as they are there.
+
+    A request is known by the SHA-256 of its columns' JSON (nulls kept) and the version; equal requests are asked once, however many rows
+    have them, and new answers are merged into the stored table once, so that a second run asks nothing. Failures aren't stored and
+    are asked again next time. f gets the request columns only. Rows stay as many as they were.
+    """
+    from ..sources import versioned
+    from .shared import durable
+
+    spark = rows.sparkSession
+    asked = F.sha2(F.concat_ws(":", F.lit(version), F.to_json(F.struct(*request), {"ignoreNullFields": "false"})), 256)
+    wanted = durable(rows.select(asked.alias("__key"), *request).dropDuplicates(["__key"]))
+    new = wanted
+    if versioned.versions(spark, path):
+        new = wanted.join(versioned.read(spark, path).select("__key"), "__key", "left_anti")
+    # the answers are written before anything reads them, so that no retry asks again
+    told = durable(call(new, lambda row: f({c: row[c] for c in request}), "__answer", tries, wait, terminal))
+    fresh = told.where("error is null").select("__key", "__answer")
+    if not fresh.isEmpty() or not versioned.versions(spark, path):
+        versioned.merge(fresh, path, "__key")
+    known = versioned.read(spark, path).select(F.col("__key").alias("__k"), F.col("__answer").alias(out))
+    failed = told.where("error is not null").select(F.col("__key").alias("__f"), "error")
+    keyed = rows.withColumn("__key", asked)
+    return keyed.join(known, F.col("__key") == F.col("__k"), "left").join(failed, F.col("__key") == F.col("__f"), "left").select(*rows.columns, out, "error")
+
+
 def staged(rows: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], gate: str | None = None) -> DataFrame:
     """rows through named stages, each written to the checkpoint folder. After the stage `gate` only rows whose column
     `confirmed` holds go on; the others come out as they are, `stage` telling which was the last for each."""

@@ -20,33 +20,79 @@ def overlap_join(items: DataFrame, spans: DataFrame, width: float, keys: tuple[s
     return left.join(right, [*keys, "__b"]).where((F.col("end") >= F.col("s")) & (F.col("start") < F.col("e")) & (F.col("__b") == first)).drop("__b")
 
 
+def running(rows: DataFrame, keys: list[str], at: str, width: float, order: list, value: str, name: str, how: str = "max", backwards: bool = False) -> DataFrame:
+    """rows with `name`: the greatest (how "max") or least ("min") value of a key so far in order, the row's own included; nulls don't count.
+
+    order begins with `at`, rising, or falling if backwards. A key is cut into stretches of `width` of `at`: windows run within a stretch, and
+    what earlier stretches leave is carried over, so a key with any share of the rows is dealt to as many tasks as it has stretches.
+    """
+    best, pick = (F.max, F.greatest) if how == "max" else (F.min, F.least)
+    cut = rows.withColumn("__cut", F.floor(F.col(at) / width))
+    inner = Window.partitionBy(*keys, "__cut").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.desc("__cut") if backwards else F.asc("__cut")
+    outer = Window.partitionBy(*keys).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut.groupBy(*keys, "__cut").agg(best(value).alias("__own")).withColumn("__carried", best("__own").over(outer))
+    side = whole.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__cut").alias("__c"), "__carried")
+    same = F.col("__cut") == F.col("__c")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    met = cut.withColumn("__in", best(value).over(inner)).join(side, same)
+    return met.select(*rows.columns, pick("__in", "__carried").alias(name))
+
+
 def overlap_or_nearest(items: DataFrame, clips: DataFrame, keys: list[str], item_id: str, clip: list[str], width: float) -> DataFrame:
     """clips (keys, `clip`, s, e) with the items (keys, item_id, start, end) that overlap them, else the nearest item, the
     least id on ties; `overlaps` tells which. A clip of a key without items has no row.
 
     Overlaps come from the bucketed join. For the clips without any, the nearest item is the one before of latest end or
-    the one after of earliest start, found by one ordered pass in each direction.
+    the one after of earliest start, found by one ordered pass in each direction, in stretches of `width` with a carried item.
     """
     met = overlap_join(items, clips, width, tuple(keys)).withColumn("overlaps", F.lit(True))
     alone = clips.join(met.select(*keys, *clip).distinct(), [*keys, *clip], "left_anti")
     none = F.lit(None)
-    own = F.struct("start", "end", item_id)
     # at one time, clips come before items that end there, and after items that start there
     before = items.select(*keys, *[none.alias(c) for c in (*clip, "s", "e")], F.col("end").alias("__at"), F.lit(1).alias("__k"), F.struct("end", (-F.col(item_id)).alias("n"), "start").alias("__i"))
     before = before.unionByName(alone.select(*keys, *clip, "s", "e", F.col("s").alias("__at"), F.lit(0).alias("__k"), none.alias("__i")))
-    behind = Window.partitionBy(*keys).orderBy("__at", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    last = before.withColumn("__i", F.max("__i").over(behind)).where("__k = 0 and __i is not null")
-    last = last.select(*keys, *clip, "s", "e", F.struct((F.col("s") - F.col("__i.end")).alias("d"), (-F.col("__i.n")).alias(item_id), F.col("__i.start").alias("start"), F.col("__i.end").alias("end")).alias("__b"))
+    last = running(before, keys, "__at", width, ["__at", "__k"], "__i", "__r").where("__k = 0 and __r is not null")
+    last = last.select(*keys, *clip, "s", "e", F.struct((F.col("s") - F.col("__r.end")).alias("d"), (-F.col("__r.n")).alias(item_id), F.col("__r.start").alias("start"), F.col("__r.end").alias("end")).alias("__b"))
     after = items.select(*keys, *[none.alias(c) for c in (*clip, "s", "e")], F.col("start").alias("__at"), F.lit(1).alias("__k"), F.struct("start", F.col(item_id).alias("n"), "end").alias("__i"))
     after = after.unionByName(alone.select(*keys, *clip, "s", "e", F.col("e").alias("__at"), F.lit(0).alias("__k"), none.alias("__i")))
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
-    next_ = after.withColumn("__i", F.min("__i").over(ahead)).where("__k = 0 and __i is not null")
-    next_ = next_.select(*keys, *clip, "s", "e", F.struct((F.col("__i.start") - F.col("e")).alias("d"), F.col("__i.n").alias(item_id), F.col("__i.start").alias("start"), F.col("__i.end").alias("end")).alias("__b"))
+    next_ = running(after, keys, "__at", width, [F.desc("__at"), F.desc("__k")], "__i", "__r", "min", True).where("__k = 0 and __r is not null")
+    next_ = next_.select(*keys, *clip, "s", "e", F.struct((F.col("__r.start") - F.col("e")).alias("d"), F.col("__r.n").alias(item_id), F.col("__r.start").alias("start"), F.col("__r.end").alias("end")).alias("__b"))
     best = last.unionByName(next_).groupBy(*keys, *clip, "s", "e").agg(F.min("__b").alias("__b"))
     near = best.select(*keys, *clip, "s", "e", F.col(f"__b.{item_id}").alias(item_id), F.col("__b.start").alias("start"), F.col("__b.end").alias("end"), F.lit(False).alias("overlaps"))
     return met.select(*near.columns).unionByName(near)
 
 
+def reconciled(rows: DataFrame, keys: list[str], start_tolerance: float = 0.75, end_tolerance: float = 1.5, width: float = 3600.0) -> DataFrame:
+    """keys, start, end, sentence of the items that stay when near-duplicates merge greedily in the order of (start, end, sentence).
+
+    The first accepted item within both tolerances is a duplicate: the longer sentence's row stays in its place. An item is near none
+    before it whose starts are all further than the tolerance, so a key's timeline is cut there and its parts are folded apart, each a group of its own.
+    Starts and ends aren't null.
+    """
+    from .folds import reconcile
+
+    rows = rows.select(*keys, "start", "end", "sentence")
+    # equal starts stand in one stretch; the start before is the greatest lesser one
+    starts = rows.select(*keys, "start").distinct()
+    cut = starts.withColumn("__cut", F.floor(F.col("start") / width))
+    whole = cut.groupBy(*keys, "__cut").agg(F.max("start").alias("__last"))
+    side = whole.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__cut").alias("__c"), F.max("__last").over(Window.partitionBy(*keys).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    same = F.col("__cut") == F.col("__c")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    ahead = cut.withColumn("__prev", F.lag("start").over(Window.partitionBy(*keys, "__cut").orderBy("start"))).join(side, same)
+    prev = F.coalesce("__prev", "__carried")
+    flagged = ahead.select(*keys, "start", F.when(prev.isNull() | (F.col("start") - prev > start_tolerance), F.col("start")).alias("__new"))
+    parts = running(flagged, keys, "start", width, ["start"], "__new", "__part").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("start").alias("__s"), "__part")
+    same = F.col("start") == F.col("__s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    grouped = rows.join(parts, same).groupBy(*keys, "__part").agg(F.array_sort(F.collect_list(F.struct("start", "end", "sentence"))).alias("__x"))
+    return grouped.select(*keys, F.explode(reconcile(F.col("__x"), start_tolerance, end_tolerance)).alias("__x")).select(*keys, "__x.*")
+
+
 def turns(rows: DataFrame, part: list[str], key: str, start: str, end: str, gap: float, order: list[str]) -> DataFrame:
     """rows with `turn` (1..): a new one when the key changes or the gap to the item before is over `gap` seconds."""
     w = Window.partitionBy(*part).orderBy(*order)

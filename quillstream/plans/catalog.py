@@ -204,11 +204,18 @@ def word_budget_chunks(spark, d):
     )
 
 
-@register(None)
+@register("""WITH RECURSIVE o AS (SELECT user_id, epoch(ts) AS s, epoch(ts) + value AS e, props AS x, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), epoch(ts) + value, props) AS i FROM events),
+f(user_id, i, acc) AS (SELECT user_id, 0, []::STRUCT(s DOUBLE, e DOUBLE, x VARCHAR)[] FROM o WHERE i = 1
+ UNION ALL SELECT o.user_id, o.i, CASE WHEN list_position(list_transform(acc, lambda a: abs(a.s - o.s) <= 3600 AND abs(a.e - o.e) <= 3600), true) IS NULL OR list_position(list_transform(acc, lambda a: abs(a.s - o.s) <= 3600 AND abs(a.e - o.e) <= 3600), true) = 0 THEN list_append(acc, {'s': o.s, 'e': o.e, 'x': o.x})
+  ELSE list_transform(acc, lambda a, k: CASE WHEN k = list_position(list_transform(acc, lambda b: abs(b.s - o.s) <= 3600 AND abs(b.e - o.e) <= 3600), true) AND length(o.x) > length(a.x) THEN {'s': o.s, 'e': o.e, 'x': o.x} ELSE a END) END
+ FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1),
+l AS (SELECT user_id, acc FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1)
+SELECT user_id, u.s AS start_s, u.e AS end_s, u.x AS props FROM (SELECT user_id, unnest(acc) AS u FROM l)""")
 def reconcile_tolerance(spark, d):
-    """Events of a user within 30 s of start and 60 s of end are one; the longer props text stays."""
-    ev = t(spark, d, "events").select("user_id", F.struct(epoch("ts").alias("start"), (epoch("ts") + F.col("value")).alias("end"), F.col("props").alias("sentence")).alias("x"))
-    return ev.groupBy("user_id").agg(F.size(folds.reconcile(F.array_sort(F.collect_list("x")), 30.0, 60.0)).cast("long").alias("kept"))
+    """Events of a user within an hour of start and of end are one; the longer props text stays. Timelines are cut at longer pauses."""
+    ev = t(spark, d, "events").select("user_id", epoch("ts").alias("start"), (epoch("ts") + F.col("value")).alias("end"), F.col("props").alias("sentence"))
+    out = intervals.reconciled(ev, ["user_id"], 3600.0, 3600.0, 86_400.0)
+    return out.select("user_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"), F.col("sentence").alias("props"))
 
 
 # records

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ivf
 from ..operators import mutate as M
+from ..sources import jsonl, versioned
 from .catalog import register, t
 
 
@@ -140,3 +142,20 @@ SELECT k.l_orderkey, s::INT AS l_linenumber, l_partkey, l_returnflag FROM (SELEC
 def slot_table(spark, d):
     li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     return M.slots(li, "l_orderkey", "l_linenumber", 10, F.col("l_returnflag") == "R", ["l_partkey", "l_suppkey"]).drop("l_suppkey")
+
+
+@register("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'merged' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+def stored_merge(spark, d):
+    """A stored table of every second order, into which a change of every third is merged; read again."""
+    o, path = t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")), ivf.index_path(spark, "table")
+    versioned.replace(o.where("o_orderkey % 2 = 0"), path, "o_orderkey")
+    versioned.merge(o.where("o_orderkey % 3 = 0").withColumn("status", F.lit("merged")), path, "o_orderkey")
+    return versioned.read(spark, path)
+
+
+@register("""SELECT '{"conv_id":' || conv_id || ',"turn":' || turn AS line FROM conversations WHERE turn % 3 = 0""")
+def malformed_lines(spark, d):
+    """Turns as JSON Lines, of which every third has no end; the scan tells those."""
+    path, line = ivf.index_path(spark, "lines"), F.to_json(F.struct("conv_id", "turn"))
+    t(spark, d, "conversations").select(F.when(F.col("turn") % 3 == 0, F.expr("left({0}, length({0}) - 1)".format("to_json(struct(conv_id, turn))"))).otherwise(line).alias("value")).write.text(path)
+    return jsonl.located_errors(spark, path, "conv_id long, turn long").select(F.col("_bad").alias("line"))

@@ -182,13 +182,27 @@ def rebuild(df: DataFrame, path: str, check=None) -> None:
     swap(spark, staged, path, f"{path}.previous")
 
 
-def upsert_file(spark: SparkSession, path: str, changes: DataFrame, key: list[str]) -> DataFrame:
-    """Read, merge (last wins), replace; one writer at a time, which a lock file beside the folder ensures. Returns the new table."""
+#: Seconds after which a writer's lock counts as left behind.
+LEASE = 3600.0
+
+
+def upsert_file(spark: SparkSession, path: str, changes: DataFrame, key: list[str], lease: float = LEASE) -> DataFrame:
+    """Read, merge (last wins), replace; one writer at a time, which a lock file beside the folder ensures. Returns the new table.
+
+    A lock older than the lease, such as a crashed writer's, is moved away by one rename, which only one of several writers succeeds with.
+    sources.versioned has tables whose writers need no lock.
+    """
+    import time
+
     from ..operators import records
 
     fs, lock = _fs(spark, f"{path}.lock")
     if not fs.createNewFile(lock):
-        raise BlockingIOError(f"{path} is being written")
+        aside = _fs(spark, f"{path}.lock-{uuid.uuid4().hex}")[1]
+        if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > lease and fs.rename(lock, aside):
+            fs.delete(aside, False)
+        if not fs.createNewFile(lock):
+            raise BlockingIOError(f"{path} is being written")
     try:
         schema = changes.schema
         base = spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)

@@ -77,6 +77,8 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "u.lock").touch()
     with pytest.raises(BlockingIOError):
         jsonl.upsert_file(spark, str(tmp_path / "u"), rows, ["id"])
+    # a lock that a crash has left behind goes after the lease
+    assert jsonl.upsert_file(spark, str(tmp_path / "u"), rows, ["id"], lease=-1.0).count() == 2 and not (tmp_path / "u.lock").exists()
 
 
 def test_reports(spark):
