@@ -11,8 +11,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_parquet(spark: SparkSession, path: str, files_a_batch: int = 16) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    """A stream of the files of a Parquet folder, or of a single file."""
+    from ..sources.jsonl import _fs
+
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch)
+    fs, at = _fs(spark, path)
+    if fs.exists(at) and fs.getFileStatus(at).isFile():  # streams are read from folders
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day", key: str = "user_id", ts: str = "ts") -> DataFrame:
