@@ -108,22 +108,28 @@ class Block:
     def best(self, q: np.ndarray, k: int, least: float, own: int | None) -> tuple[np.ndarray, np.ndarray, int]:
         """(places, scores) of the block's k best with a score of `least` or more, smaller ids first among equals; postings processed."""
         n = len(self.ids)
-        upper, seen, done = np.zeros(n), np.zeros(n, np.int32), np.zeros(len(q), np.int64)
-        active, greatest, work = int((q != 0).sum()), float(np.abs(q).max()) * self.far, 0
+        upper, done = np.zeros(n), np.zeros(len(q), np.int64)
+        greatest, work = float(np.abs(q).max()) * self.far, 0
         slack = 1e-9 * len(q) * greatest
         possible = np.arange(n)
         for share in LEVELS if greatest else ():
             tau = share * greatest
             upto = self.heads(q, tau)
+            places = [self.order[j, :m] if q[j] > 0 else self.order[j, n - m :] for j, m in enumerate(upto)]
             for j in np.flatnonzero(upto > done):
                 part = slice(done[j], upto[j]) if q[j] > 0 else slice(n - upto[j], n - done[j])
-                places = self.order[j, part]
-                upper[places] += q[j] * self.ceil[j, part] if q[j] > 0 else q[j] * self.floor[j, part]
-                if tau:  # at 0 it doesn't matter how many lists a vector hasn't met
-                    seen[places] += 1
-                work += len(places)
+                upper[self.order[j, part]] += q[j] * (self.ceil if q[j] > 0 else self.floor)[j, part]
+                work += upto[j] - done[j]
             done = np.maximum(done, upto)
-            bound = upper + (active - seen) * tau + slack
+            # what a list can still add: the contribution at its head, below the level in any case
+            rest = np.zeros(n)
+            if tau:
+                next_ = [0.0 if m == n or not c else c * (self.ceil[j, m] if c > 0 else self.floor[j, n - 1 - m]) for j, (m, c) in enumerate(zip(done, q))]
+                cap = np.minimum(tau, next_)
+                rest += cap.sum()
+                for j in np.flatnonzero((cap != 0) & (done > 0)):
+                    rest[places[j]] -= cap[j]
+            bound = upper + rest + slack
             if own is not None:
                 bound[own] = -np.inf
             tops = np.argpartition(-bound, min(2 * k, n) - 1)[: 2 * k]
