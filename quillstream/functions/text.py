@@ -114,6 +114,20 @@ def json_slice(c: Column) -> Column:
     return F.regexp_extract(c, r"(?s)\{.*\}", 0)
 
 
+def repaired(json: Column, texts: list[str] = (), lists: list[str] = (), counts: list[str] = ()) -> Column:
+    """A struct of the fields of a JSON object that stands in a text, of the kind that each must have, whatever it is there.
+
+    texts: null is empty, anything but a text is its JSON. lists: null is empty, what isn't a list is a list of it, entries that are no
+    texts are their JSON. counts: whole numbers, cut off, not below 0; no number is 0. Without an object all fields are empty.
+    """
+    m = F.from_json(json_slice(json), "map<string,string>")
+    value = lambda c: F.try_element_at(m, F.lit(c))
+    empty = F.array().cast("array<string>")
+    as_list = lambda v: F.when(v.isNull(), empty).when(v.startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array(v))).otherwise(F.array(v))
+    number = lambda v: F.greatest(F.lit(0).cast("long"), F.coalesce(v.try_cast("double").try_cast("long"), F.lit(0).cast("long")))
+    return F.struct(*[F.coalesce(value(c), F.lit("")).alias(c) for c in texts], *[as_list(value(c)).alias(c) for c in lists], *[number(value(c)).alias(c) for c in counts])
+
+
 def timecode_floored(seconds: Column) -> Column:
     """HH:MM:SS.mmm with hours and minutes cut off first and the seconds rounded, so that they can show 60.000."""
     minutes = F.floor(seconds / 60).cast("long")

@@ -11,10 +11,13 @@ from ..functions.text import ellipsis, norm_key, tokens
 from . import search
 
 
-def query_text(parts: dict[str, str | None], focus: list[str]) -> tuple[str, str]:
-    """(all given parts with their labels, one a line; the focus parts' values alone). Blank parts are left out."""
-    given = {k: str(v).strip() for k, v in parts.items() if str(v or "").strip()}
-    return "\n".join(f"{k}: {v}" for k, v in given.items()), " ".join(given[k] for k in focus if k in given)
+def query_text(parts: list[tuple[str, Column]], focus: list[str]) -> Column:
+    """A struct (query, focus): all given parts with their labels, one a line; the focus parts' texts alone, one a line, or the query
+    where none of them is given. Null and empty parts are left out."""
+    given = [(label, F.when(c != "", c)) for label, c in parts]
+    query = F.concat_ws("\n", *[F.concat(F.lit(label + ": "), c) for label, c in given])
+    own = F.concat_ws("\n", *[c for label, c in given if label in focus])
+    return F.struct(query.alias("query"), F.when(own != "", own).otherwise(query).alias("focus"))
 
 
 def query_tokens(text: str, longer_than: int = 2, stop: tuple[str, ...] = ()) -> list[str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -124,13 +124,27 @@ def staged(rows: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFr
     return rows if held is None else rows.unionByName(held, allowMissingColumns=True)
 
 
-def similarity_score(a: list[float], b: list[float]) -> float:
-    """0 to 100 of two vectors: their cosine, clamped at 0; 0 where one is zero."""
-    x, y = np.asarray(a, float), np.asarray(b, float)
-    n = float(np.linalg.norm(x) * np.linalg.norm(y))
-    return 0.0 if not n else float(np.clip(100 * (x @ y) / n, 0, 100))
+def similarity_score(distance: Column) -> Column:
+    """0 to 100 of a distance of two images' features: 100 for none, 0 for 1 or more, and where there is none to be had."""
+    usable = distance.isNotNull() & ~F.isnan(distance.cast("double"))
+    return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (1 - distance)))).otherwise(0.0)
 
 
-def interview(subject: str, kind: str, rungs: dict[str, dict[str, list[str]]]) -> list[tuple[str, str]]:
-    """(rung, question) of a subject: rungs in their order, the questions of its kind, {subject} filled in."""
-    return [(rung, q.format(subject=subject)) for rung, by_kind in rungs.items() for q in by_kind.get(kind, by_kind.get("any", []))]
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 - cosine of two vectors; null for a zero vector, and where either is null or their lengths differ."""
+    from .search import dot
+
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when((F.size(a) == F.size(b)) & (size > 0), 1 - dot(a, b) / size)
+
+
+def interview(subjects: DataFrame, questions: DataFrame, name: str, kind: str) -> DataFrame:
+    """subjects with a row for each question that is asked of them, in order: `ladder`, `place` (1..), `question`.
+
+    questions: ladder, kind (null: of any), place, template, in which {subject} stands for the subject's name. Questions of the own kind
+    and of any are asked; a subject without a kind gets the latter only. Subjects meet questions by kind, so that none is asked in vain.
+    """
+    asked = questions.select("ladder", F.coalesce("kind", F.lit("")).alias("__kind"), "place", "template")
+    kinds = F.array_distinct(F.array(F.lit(""), F.coalesce(F.col(kind), F.lit(""))))
+    met = subjects.withColumn("__k", F.explode(kinds)).join(asked, F.col("__k") == F.col("__kind"))
+    return met.select(*subjects.columns, "ladder", "place", F.replace("template", F.lit("{subject}"), F.coalesce(F.col(name), F.lit(""))).alias("question"))

@@ -74,6 +74,23 @@ def scene_starts(frames: Column, threshold: float, min_frames: int) -> Column:
     return F.aggregate(frames, F.array(F.lit(0).cast("long")), step)
 
 
+def scenes(frames: Column, threshold: float, min_frames: int, fps: float) -> Column:
+    """An array of struct(scene, first, last, start, end, duration) of an ordered array of struct(frame, diff): frames from 0, scenes from 1.
+
+    A scene ends before the next start (scene_starts); what is left is the last scene, unless that is the last frame alone. Seconds are
+    rounded to three places. No frames: no scenes.
+    """
+    total = F.coalesce(F.array_max(F.transform(frames, lambda f: f["frame"])) + 1, F.lit(0).cast("long"))
+    starts = scene_starts(frames, threshold, min_frames)
+    seconds = lambda n: F.round(n / F.lit(float(fps)), 3)
+
+    def one(first: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(starts, i + 1), total)
+        return F.struct((i + 1).cast("long").alias("scene"), first.alias("first"), (end - 1).alias("last"), seconds(first).alias("start"), seconds(end).alias("end"), F.round(end / F.lit(float(fps)) - first / F.lit(float(fps)), 3).alias("duration"))
+
+    return F.transform(F.filter(starts, lambda s, i: (i + 1 < F.size(starts)) | (s < total - 1)), one)
+
+
 def ordered(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """key, values: one group's values in order; a group has to fit a task, as with any fold over it."""
     packed = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
@@ -50,10 +50,36 @@ def relevant(rows: DataFrame, names: str, evidence: str) -> DataFrame:
     return rows.where(F.exists(F.coalesce(F.col(names), F.array().cast("array<string>")), lambda n: (F.trim(n) != "") & F.contains(low, F.lower(F.trim(n)))))
 
 
-def first_member(rows: DataFrame, arrays: DataFrame, value: str, array: str, order: str) -> DataFrame:
-    """rows with the first, in order, of the arrays that hold their value; null where none does."""
-    first = arrays.select(F.explode(array).alias("__v"), order).groupBy("__v").agg(F.min(order).alias(order))
-    return rows.join(first, F.col(value) == F.col("__v"), "left").select(*rows.columns, order)
+def first_member(rows: DataFrame, arrays: DataFrame, value: str, array: str, order: str, needed: bool = False) -> DataFrame:
+    """rows with the first, in order, of the arrays that hold their value; null where none does, or, if it is needed, an error when run."""
+    first = arrays.select(F.explode(array).alias("__v"), order).groupBy("__v").agg(F.min(order).alias("__first"))
+    met = rows.join(first, F.col(value) == F.col("__v"), "left")
+    if needed:
+        told = F.concat(F.lit(f"no {array} holds "), F.coalesce(F.col(value).cast("string"), F.lit("null")))
+        met = met.where(F.when(F.col("__v").isNotNull(), F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+    return met.select(*rows.columns, F.col("__first").alias(order))
+
+
+def neighbor_passages(anchors: DataFrame, passages: DataFrame, links: DataFrame, described: DataFrame, radius: int = 2, limit: int = 6) -> DataFrame:
+    """entity, passage, near, place (1..limit): passages of evidence beside an anchor, of which each is linked to the entity.
+
+    First those within `radius` of the anchor in its group, in order, then the others that describe the entity, in the order of
+    their ids. anchors, links and described: entity, passage; passages: passage, group, seq. The anchor itself isn't beside it. Offsets and
+    descriptions are equi-joins; links are met before anything is cut.
+    """
+    at = passages.select(F.col("passage").alias("__p"), "group", "seq")
+    here = anchors.select("entity", "passage").distinct().join(at, F.col("passage") == F.col("__p")).drop("__p")
+    steps = F.array(*[F.lit(k) for k in range(-radius, radius + 1) if k])
+    wanted = here.select("entity", "passage", "group", F.col("seq"), F.explode(steps).alias("step")).withColumn("__seq", F.col("seq") + F.col("step")).drop("seq")
+    other = passages.select(F.col("passage").alias("near"), F.col("group").alias("__g"), F.col("seq").alias("__s"))
+    close = wanted.join(other, (F.col("group") == F.col("__g")) & (F.col("__seq") == F.col("__s"))).select("entity", "passage", "near", F.col("step").alias("rank"))
+    told = described.select(F.col("entity").alias("__e"), F.col("passage").alias("near")).distinct()
+    far = anchors.select("entity", "passage").distinct().join(told, F.col("entity") == F.col("__e")).where(F.col("near") != F.col("passage")).select("entity", "passage", "near", F.lit(radius + 1).alias("rank"))
+    far = far.join(passages.select(F.col("passage").alias("near")), "near", "left_semi")
+    both = close.unionByName(far).groupBy("entity", "passage", "near").agg(F.min("rank").alias("rank"))
+    linked_ = links.select("entity", F.col("passage").alias("near")).distinct()
+    order = F.row_number().over(Window.partitionBy("entity", "passage").orderBy("rank", "near"))
+    return both.join(linked_, ["entity", "near"], "left_semi").withColumn("place", order).where(F.col("place") <= limit).select("entity", "passage", "near", "place")
 
 
 #: Characters of a gram that contained keys are looked up by; shorter keys are no candidates.

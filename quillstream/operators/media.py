@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,12 @@ def dashboard_frames(scenes: DataFrame, generations: DataFrame, scene: str, orde
     return joined.select(scene, "side", "file", F.coalesce("generations", F.lit(0)).alias("generations"), F.coalesce("completed", F.lit(0)).alias("completed"), "best_score", F.coalesce("best_image", "file").alias("shown"))
 
 
+def frame_order(frames: DataFrame, scene: str, side: str = "side") -> DataFrame:
+    """frames with their place (1..) in the order of scenes, in each of which the first frame comes before the last one and others after."""
+    rank = F.when(F.col(side) == "first", 0).when(F.col(side) == "last", 1).otherwise(2)
+    return frames.withColumn("place", F.row_number().over(Window.partitionBy(scene).orderBy(rank, F.col(side))))
+
+
 def dashboard_stats(frames: DataFrame) -> DataFrame:
     """One row over dashboard_frames: frames, frames with a complete image, complete images, frames without any."""
     return frames.agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("completed") > 0).alias("frames_done"), F.coalesce(F.sum("completed"), F.lit(0)).alias("completed"), F.count_if(F.col("completed") == 0).alias("frames_open"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,11 +112,11 @@ def duration_class(seconds: Column) -> Column:
     return F.when(seconds > 30, "long").when(seconds < 2, "brief").when(seconds.between(5, 10), "usual")
 
 
-def check_request(values: dict, least_one: list[str], ranges: dict[str, tuple[float, float]]) -> list[str]:
-    """What is wrong with a request: none of the needed fields given, or numbers outside their ranges (ends included)."""
-    wrong = [] if any(str(values.get(k) or "").strip() for k in least_one) else ["one of " + ", ".join(least_one) + " is needed"]
-    for k, (low, high) in ranges.items():
-        v = values.get(k)
-        if v is not None and not (isinstance(v, (int, float)) and not isinstance(v, bool) and low <= v <= high):
-            wrong.append(f"{k} must lie between {low} and {high}")
-    return wrong
+def check_request(rows: DataFrame, least_one: list[str], ranges: dict[str, tuple[float, float]], out: str = "errors") -> DataFrame:
+    """rows with an array of what is wrong with each as a request: none of the needed fields given (blank texts aren't), numbers outside
+    their ranges (ends included, nulls allowed)."""
+    given = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "" for c in least_one]
+    none = ~reduce(lambda a, b: a | b, given, F.lit(not given))
+    wrong = [F.when(none, F.lit("one of " + ", ".join(least_one) + " is needed"))]
+    wrong += [F.when(~F.col(c).between(low, high), F.lit(f"{c} must lie between {low} and {high}")) for c, (low, high) in ranges.items()]
+    return rows.withColumn(out, F.array_compact(F.array(*wrong)))

@@ -28,7 +28,7 @@ def register(sql: str | None = None):
 
 
 #: Modules beside this one whose queries are registered with it.
-PARTS = ("predicates", "summaries", "retrieval", "texts", "writing", "indexes", "files", "prose")
+PARTS = ("predicates", "summaries", "retrieval", "texts", "writing", "indexes", "files", "prose", "requests")
 
 
 def _load() -> None:

@@ -95,16 +95,17 @@ def read_scenes(spark: SparkSession, path: str, schema: str, mark: str = "scene_
     return checked.select("x.*").orderBy(mark)
 
 
-def read_config(spark: SparkSession, path: str) -> dict:
-    """A JSON object from a small file; {} where there is none."""
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """key, value (JSON text; texts without quotes) of the objects in a file or a folder of JSON files; no rows where there is none."""
     if not exists(spark, path):
-        return {}
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+        return spark.createDataFrame([], "key string, value string")
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    return whole.select(F.explode("m").alias("key", "value"))
 
 
-def confirmations(config: dict) -> list[tuple[str, str]]:
-    """(key, id) of a map of id lists, as rows for a frame."""
-    return [(k, v) for k, vs in config.items() for v in (vs or [])]
+def confirmations(config: DataFrame) -> DataFrame:
+    """key, id of a config whose values are lists of ids; other values have no rows."""
+    return config.select("key", F.explode(F.from_json("value", "array<string>")).alias("id"))
 
 
 def load_index(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -249,3 +250,28 @@ def changed(now: DataFrame, before: DataFrame) -> DataFrame:
     old = before.select("path", F.col("length").alias("__l"), F.col("modificationTime").alias("__m"))
     same: Column = F.col("length").eqNullSafe(F.col("__l")) & F.col("modificationTime").eqNullSafe(F.col("__m"))
     return now.join(old, "path", "left").where(~same).drop("__l", "__m")
+
+
+def signature(files: DataFrame) -> tuple:
+    """(files, bytes, a hash of all paths, sizes and times) of an inventory."""
+    each = F.xxhash64("path", "length", "modificationTime")
+    return tuple(files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.bit_xor(each), F.lit(0))).first())
+
+
+def poll(spark: SparkSession, path: str, rebuild, seconds: float = 30.0, glob: str = "*", until=lambda looks: False) -> int:
+    """Looks at the files under `path` every so many seconds, and calls rebuild(files) at the first look and whenever a size or a time has changed.
+
+    until(number of looks) ends it; gives how often was rebuilt. A path that isn't there has no files. If rebuild raises, so does this.
+    """
+    import time
+
+    last, looks, built = None, 0, 0
+    while True:
+        files = inventory(spark, path, glob) if exists(spark, path) else spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+        now, looks = signature(files), looks + 1
+        if now != last:
+            rebuild(files)
+            last, built = now, built + 1
+        if until(looks):
+            return built
+        time.sleep(seconds)
