@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,13 @@ def overlap_join(items: DataFrame, spans: DataFrame, width: float, keys: tuple[s
 
 
 def running(rows: DataFrame, keys: list[str], at: str, width: float, order: list, value: str, name: str, how: str = "max", backwards: bool = False) -> DataFrame:
-    """rows with `name`: the greatest (how "max") or least ("min") value of a key so far in order, the row's own included; nulls don't count.
+    """rows with `name`: the greatest (how "max") or least ("min") value or the sum ("sum") of a key so far in order, the row's own included; nulls don't count.
 
     order begins with `at`, rising, or falling if backwards. A key is cut into stretches of `width` of `at`: windows run within a stretch, and
     what earlier stretches leave is carried over, so a key with any share of the rows is dealt to as many tasks as it has stretches.
     """
-    best, pick = (F.max, F.greatest) if how == "max" else (F.min, F.least)
+    best = {"max": F.max, "min": F.min, "sum": F.sum}[how]
+    pick = {"max": F.greatest, "min": F.least, "sum": lambda a, b: F.coalesce(F.col(a) + F.col(b), a, b)}[how]
     cut = rows.withColumn("__cut", F.floor(F.col(at) / width))
     inner = Window.partitionBy(*keys, "__cut").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     first = F.desc("__cut") if backwards else F.asc("__cut")
@@ -64,6 +67,46 @@ def overlap_or_nearest(items: DataFrame, clips: DataFrame, keys: list[str], item
     return met.select(*near.columns).unionByName(near)
 
 
+def budget_parts(rows: DataFrame, keys: list[str], at: str, width: float, order: list[str], size: str, budget: int, name: str = "part") -> DataFrame:
+    """rows with the number (0..) of their part in their key's greedy partition: a row that would exceed the budget begins a new part.
+
+    For keys of any length; folds.greedy_bins does the same to a short key's array. Sizes are whole numbers, not negative, null is 0; a
+    row over the budget stands alone. order begins with `at` and tells rows of a key apart. Every row's next start is found by its
+    place among the prefix sums; which starts are really met, from a key's first row on, by doubling those jumps: as many joins as
+    the logarithm of the number of parts. No key is ever gathered.
+    """
+    from .shared import durable
+
+    step = rows.withColumn("__size", F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))).withColumn("__one", F.lit(1).cast("long"))
+    step = running(step, keys, at, width, order, "__one", "__pos", "sum")
+    step = durable(running(step, keys, at, width, order, "__size", "__sum", "sum"))
+    base = F.col("__sum") - F.col("__size")
+    k = [F.col(c) for c in keys]
+    # the first row that takes something, and the first whose sum is above the budget, by one pass over all sums from above
+    ask = lambda kind, value: step.select(*k, value.alias("__v"), F.lit(0).alias("__k"), F.lit(kind).alias("__kind"), "__pos", F.lit(None).cast("long").alias("__hit"))
+    sums = step.select(*k, F.col("__sum").alias("__v"), F.lit(1).alias("__k"), F.lit(None).cast("int").alias("__kind"), "__pos", F.col("__pos").alias("__hit"))
+    both = sums.unionByName(ask(0, base)).unionByName(ask(1, base + budget))
+    found = running(both, keys, "__v", 1000.0 * max(budget, 1), [F.desc("__v"), "__k"], "__hit", "__found", "min", True).where("__k = 0")
+    per = found.groupBy(*keys, "__pos").agg(F.max(F.when(F.col("__kind") == 0, F.col("__found"))).alias("__takes"), F.max(F.when(F.col("__kind") == 1, F.col("__found"))).alias("__over"))
+    jumps = durable(per.select(*k, F.col("__pos").alias("__from"), F.greatest("__over", F.col("__takes") + 1).alias("__to")).where("__over is not null"))
+    last = step.groupBy(*keys).agg(F.max("__pos").alias("__last"))
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys], F.lit(True))
+    jumps = jumps.alias("j").join(last.alias("l"), same("j", "l")).where("__to <= __last").select("j.*")
+    met = durable(step.where("__pos = 1").select(*k, F.col("__pos").alias("__from")))
+    jumps, before = durable(jumps), 0
+    while (n := met.count()) != before:
+        before = n
+        on = same("m", "j") & (F.col("m.__from") == F.col("j.__from"))
+        new = met.alias("m").join(jumps.alias("j"), on).select(*[F.col(f"m.{c}") for c in keys], F.col("j.__to").alias("__from"))
+        met = durable(met.unionByName(new).distinct())
+        twice = same("a", "b") & (F.col("a.__to") == F.col("b.__from"))
+        jumps = durable(jumps.alias("a").join(jumps.alias("b"), twice).select(*[F.col(f"a.{c}") for c in keys], F.col("a.__from").alias("__from"), F.col("b.__to").alias("__to")))
+    starts = met.withColumn("__start", F.lit(1).cast("long"))
+    on = same("r", "s") & (F.col("r.__pos") == F.col("s.__from"))
+    flagged = step.alias("r").join(starts.alias("s"), on, "left").select("r.*", "s.__start")
+    return running(flagged, keys, at, width, order, "__start", "__part", "sum").select(*rows.columns, (F.col("__part") - 1).alias(name))
+
+
 def reconciled(rows: DataFrame, keys: list[str], start_tolerance: float = 0.75, end_tolerance: float = 1.5, width: float = 3600.0) -> DataFrame:
     """keys, start, end, sentence of the items that stay when near-duplicates merge greedily in the order of (start, end, sentence).
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def mention_counts(links: DataFrame, entity: str, place: str) -> DataFrame:
-    """entity, place, mention_count, and the entity's share of places that it is in."""
+    """entity, place, mention_count."""
     return links.groupBy(entity, place).agg(F.count(F.lit(1)).alias("mention_count"))
 
 

@@ -194,6 +194,15 @@ def greedy_partition(spark, d):
     return bins.groupBy("l_orderkey", F.col("x.bins").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.values").alias("used"))
 
 
+@register("""WITH RECURSIVE o AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, sum(floor(o_totalprice)::BIGINT) OVER (ORDER BY o_orderdate, o_orderkey) AS p FROM orders),
+f AS (SELECT 1::BIGINT AS i, 0::BIGINT AS part UNION ALL SELECT (SELECT min(n.i) FROM o n WHERE n.i > f.i AND n.p - (o.p - o.v) > 20000000), part + 1 FROM f JOIN o ON o.i = f.i WHERE (SELECT min(n.i) FROM o n WHERE n.i > f.i AND n.p - (o.p - o.v) > 20000000) IS NOT NULL)
+SELECT o_orderkey, part FROM o ASOF JOIN f ON o.i >= f.i""")
+def long_partition(spark, d):
+    """All orders as one timeline, in greedy parts of a total of twenty million."""
+    o = t(spark, d, "orders").select("o_orderkey", F.lit(1).alias("line"), epoch("o_orderdate").alias("at"), F.floor("o_totalprice").cast("long").alias("total"))
+    return intervals.budget_parts(o, ["line"], "at", 30 * 86_400.0, ["at", "o_orderkey"], "total", 20_000_000).select("o_orderkey", "part")
+
+
 @register(None)
 def word_budget_chunks(spark, d):
     """Lines of a document as paragraphs; chunks of 60 to 90 words with one line of overlap."""

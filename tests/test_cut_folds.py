@@ -73,3 +73,24 @@ def test_second_run_makes_no_call(spark, tmp_path):
     assert run() == (want, ["fail"])
     assert versioned.read(spark, f"{tmp_path}/cache").count() == 3
     assert run(2) == (want, ["None", "a", "b", "fail"])
+
+
+def test_parts_of_long_keys_are_the_fold(spark):
+    rng = random.Random(8)
+    rows = []
+    for u, n in (("a", 150), (None, 40), ("b", 1), ("z", 12)):
+        at = 0.0
+        for k in range(n):
+            at += rng.choice([0, 1, 3, 50])
+            rows.append((u, at, k, 0 if u == "z" else rng.choice([0, 0, 1, 4, 9, 10, 25, None])))
+    df = spark.createDataFrame(rows, "u string, at double, k int, size long").repartition(4)
+    for budget in (10, 1, 1000):
+        got = {(r.u, r.k): r.part for r in intervals.budget_parts(df, ["u"], "at", 20.0, ["at", "k"], "size", budget).collect()}
+        assert len(got) == len(rows)
+        for u in ("a", None, "b", "z"):
+            part, used = 0, 0
+            for r in sorted((r for r in rows if r[0] == u), key=lambda r: (r[1], r[2])):
+                if used > 0 and used + (r[3] or 0) > budget:
+                    part, used = part + 1, 0
+                used += r[3] or 0
+                assert got[u, r[2]] == part, (budget, r)
