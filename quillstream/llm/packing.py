@@ -22,6 +22,8 @@ from .tokens import END_ID, encoder
 CAPACITY = 1024
 #: Pieces of one rank shard, about.
 SHARD = 20_000
+#: Repeats of one piece that stay together, at most.
+LOT = 5_000
 #: Lengths that patterns are made of, at most: the most frequent ones. Pieces of other lengths are packed best-fit.
 MOST_LENGTHS = 2_048
 
@@ -170,25 +172,29 @@ def places(made: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str,
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` with sequence_id and offset; lengths are 1 to capacity, each sequence is filled from 0 without gaps.
 
-    Pieces of a length take that length's places by rank. Ranks come from shards of about SHARD pieces
-    (a hash of the piece), so a length that holds any share of the pieces has many shards. Repeated pieces
-    have a place each. Null doc_ids are packed like others. Empty table: empty result.
+    Pieces of a length take that length's places by rank. Ranks come from shards of about SHARD pieces (a hash of all that is
+    known of the piece). Repeated pieces are counted before they move and dealt to the shards in lots of LOT, so that neither a
+    length nor one piece that makes any share of the rows, such as that of rows without id and text, fills a task; they have a place each.
+    Null doc_ids are packed like others. Empty table: empty result.
     """
     spark = pieces.sparkSession
-    pieces = durable(pieces)
-    n = pieces.count()
-    shards = max(1, -(-n // SHARD))
     cols = pieces.columns
-    sharded = pieces.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)))
-    counts = durable(sharded.groupBy("length", "__shard").agg(F.count(F.lit(1)).alias("__n")))
+    pieces = durable(pieces.groupBy(*cols).agg(F.count(F.lit(1)).alias("__times")))
+    n = pieces.agg(F.sum("__times")).first()[0] or 0
+    shards = max(1, -(-n // SHARD))
+    lots = pieces.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("__times") - 1, F.lit(LOT)))))
+    lots = lots.withColumn("__n", F.least(F.lit(LOT).cast("long"), F.col("__times") - F.col("__lot") * LOT)).drop("__times")
+    sharded = lots.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", "__lot"), F.lit(shards)))
+    counts = durable(sharded.groupBy("length", "__shard").agg(F.sum("__n").alias("__n")))
     hist = np.zeros(capacity + 1, np.int64)
     for length, k in counts.groupBy("length").agg(F.sum("__n")).collect():
         hist[length] = k
     runs = spark.sparkContext.broadcast(places(plan(hist, capacity), capacity))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("length").orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(F.col("length").alias("__l"), F.col("__shard").alias("__s"), before.alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("length", "__shard").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    ranked = sharded.withColumn("__rank", rank - 1).join(offsets, (F.col("length") == F.col("__l")) & (F.col("__shard") == F.col("__s")))
+    own = Window.partitionBy("length", "__shard").orderBy("doc_id", "piece", "start", "ids_crc32", "__lot").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = sharded.withColumn("__first", F.coalesce(F.sum("__n").over(own), F.lit(0))).join(offsets, (F.col("length") == F.col("__l")) & (F.col("__shard") == F.col("__s")))
+    ranked = ranked.withColumn("__rank", F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__n") - 1)))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
