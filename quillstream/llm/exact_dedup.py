@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, durable, table
 
-#: A group of more rows is hot: its rows get their group from a broadcast table, as long as there are at most MOST_HOT.
+#: A group of more rows is hot: its rows get their group from a broadcast table. Where that could be more than MOST_HOT groups, hot ones are
+#: those with more than 1 / MOST_HOT of the rows, which can't be more; the others are too small to fill a task.
 HOT, MOST_HOT = 1_000, 100_000
 
 
@@ -34,13 +35,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     groups = durable(groups)
     rows = keyed.groupBy("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha")).agg(F.count(F.lit(1)).alias("times"))
-    hot = groups.where(F.col("group_size") > HOT)
-    n_hot = hot.limit(MOST_HOT + 1).count()
-    if 0 < n_hot <= MOST_HOT:
+    limit = max(HOT, (groups.agg(F.sum("group_size")).first()[0] or 0) // max(MOST_HOT, 1))
+    hot = groups.where(F.col("group_size") > limit)
+    if not hot.isEmpty():
         met = rows.join(F.broadcast(hot.withColumnRenamed("sha", "hot_sha")), F.col("sha") == F.col("hot_sha"), "left").withColumnsRenamed({"keep_id": "hot_id", "group_size": "hot_size"})
         # rows of hot groups are dealt by a key that no group has
         met = met.withColumn("key", F.when(F.col("hot_sha").isNull(), F.col("sha")).otherwise(F.unhex(F.md5(F.concat_ws(" ", F.lit("hot"), "doc_id")))))
-        cold = groups.where(F.col("group_size") <= HOT).withColumnRenamed("sha", "key")
+        cold = groups.where(F.col("group_size") <= limit).withColumnRenamed("sha", "key")
         met = met.join(cold, "key", "left").withColumn("keep_id", F.when(F.col("hot_sha").isNull(), F.col("keep_id")).otherwise(F.col("hot_id"))).withColumn("group_size", F.coalesce("hot_size", "group_size"))
     else:
         met = rows.join(groups, "sha", "left")
