@@ -24,6 +24,8 @@ CAPACITY = 1024
 SHARD = 20_000
 #: Repeats of one piece that stay together, at most.
 LOT = 5_000
+#: Ways to round the fitted repeats: share of them that is rounded down, and from which fraction on a pattern has one more (0: none).
+ROUNDINGS = ((1.0, 0.3), (1.0, 0.6), (1.0, 0.0), (0.9, 0.0), (0.75, 0.0), (0.5, 0.0), (0.25, 0.0), (0.0, 0.0))
 #: Lengths that patterns are made of, at most: the most frequent ones. Pieces of other lengths are packed best-fit.
 MOST_LENGTHS = 2_048
 
@@ -102,31 +104,48 @@ def fit(rows: np.ndarray, hist: np.ndarray, steps: int = 400) -> np.ndarray:
 
 
 def plan(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, repeats), such that every piece of the histogram has exactly one place."""
-    left = hist.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    lengths = np.flatnonzero(left)
+    """(lengths in a sequence, repeats), such that every piece of the histogram has exactly one place.
+
+    The fitted repeats are rounded in several ways: down from all of them or from a part, with or without the patterns whose fraction
+    is large. What a rounding leaves is packed best-fit, and the rounding with the fewest sequences is taken.
+    """
+    lengths = np.flatnonzero(hist)
     lengths = lengths[lengths > 0]
-    rows = patterns(np.sort(lengths[np.argsort(-left[lengths], kind="stable")[:MOST_LENGTHS]]), capacity)
-    if len(rows):
-        x = fit(rows, left)
-        for k in np.argsort(-x, kind="stable"):
-            r = [int(v) for v in rows[k] if v]
-            most = min(int(left[v]) // r.count(v) for v in r)
-            m = min(int(x[k]), most) if len(r) > 1 else most
-            if m > 0:
-                out.append((tuple(sorted(r, reverse=True)), m))
-                for v in r:
-                    left[v] -= m
-        for k in np.argsort(-(x % 1), kind="stable"):  # what rounding left, while it still fits exactly
-            r = [int(v) for v in rows[k] if v]
-            if x[k] < 0.3:
-                break
-            if all(left[v] >= r.count(v) for v in r):
-                out.append((tuple(sorted(r, reverse=True)), 1))
-                for v in r:
-                    left[v] -= 1
-    return out + best_fit(left, capacity)
+    rows = patterns(np.sort(lengths[np.argsort(-hist[lengths], kind="stable")[:MOST_LENGTHS]]), capacity)
+    x = fit(rows, hist) if len(rows) else np.empty(0)
+    order, by_fraction = np.argsort(-x, kind="stable"), np.argsort(-(x % 1), kind="stable")
+    best, fewest = None, None
+    for part, fraction in ROUNDINGS:
+        out, left = _rounded(rows, x * part, order, by_fraction if fraction else by_fraction[:0], hist, fraction)
+        out += best_fit(left, capacity)
+        n = sum(m for _, m in out)
+        if best is None or n < fewest:
+            best, fewest = out, n
+    return best
+
+
+def _rounded(rows: np.ndarray, x: np.ndarray, order: np.ndarray, by_fraction: np.ndarray, hist: np.ndarray, fraction: float) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(patterns and their whole repeats, what is left of the histogram)."""
+    left, out = hist.astype(np.int64).copy(), []
+    for k in order:
+        if x[k] < 1 and np.count_nonzero(rows[k]) > 1:
+            continue
+        r = [int(v) for v in rows[k] if v]
+        most = min(int(left[v]) // r.count(v) for v in r)
+        m = min(int(x[k]), most) if len(r) > 1 else most
+        if m > 0:
+            out.append((tuple(sorted(r, reverse=True)), m))
+            for v in r:
+                left[v] -= m
+    for k in by_fraction:  # what rounding left, while it still fits exactly
+        r = [int(v) for v in rows[k] if v]
+        if x[k] % 1 < fraction:
+            break
+        if all(left[v] >= r.count(v) for v in r):
+            out.append((tuple(sorted(r, reverse=True)), 1))
+            for v in r:
+                left[v] -= 1
+    return out, left
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
