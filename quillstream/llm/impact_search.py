@@ -115,7 +115,6 @@ class Block:
         for share in LEVELS if greatest else ():
             tau = share * greatest
             upto = self.heads(q, tau)
-            places = [self.order[j, :m] if q[j] > 0 else self.order[j, n - m :] for j, m in enumerate(upto)]
             for j in np.flatnonzero(upto > done):
                 part = slice(done[j], upto[j]) if q[j] > 0 else slice(n - upto[j], n - done[j])
                 upper[self.order[j, part]] += q[j] * (self.ceil if q[j] > 0 else self.floor)[j, part]
@@ -128,7 +127,7 @@ class Block:
                 cap = np.minimum(tau, next_)
                 rest += cap.sum()
                 for j in np.flatnonzero((cap != 0) & (done > 0)):
-                    rest[places[j]] -= cap[j]
+                    rest[self.order[j, : done[j]] if q[j] > 0 else self.order[j, n - done[j] :]] -= cap[j]
             bound = upper + rest + slack
             if own is not None:
                 bound[own] = -np.inf
