@@ -247,7 +247,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """`docs` with the removed lines taken out of the text; all rows and other columns stay."""
+    """`docs` with the removed lines taken out of the text; all rows and other columns stay, whatever their names.
+
+    Null texts stay null, empty ones empty. Repeated rows lose the same lines: the first of a class stays in each of them. Rows without an
+    id are told apart by their text, and come last where a class decides which line stays. Empty table: empty result.
+    """
     gone = line_classes(docs, id_col, text_col, edits, least).where("n_removed > 0").select(F.col("doc_id").alias("__d"), F.col("tkey").alias("__k"), F.col("removed").alias("__gone"))
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("__id", F.col(id_col).cast("long"))
     met = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
@@ -256,4 +260,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed lines of every document, lines of any length; nulls, empties, ties and repeats as in line_classes, other columns ignored."""
     return line_classes(table(spark, sf_dir, "documents"), least=1).select("doc_id", "n_lines", "n_eligible", "n_removed", "n_near", "removed")

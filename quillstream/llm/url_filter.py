@@ -69,6 +69,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url by RULES; null urls, ties, repeats and no pages as in judge_urls, other columns ignored."""
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 

@@ -190,3 +190,17 @@ def test_pipeline_by_stages(spark):
         else:
             free.append(1024 - n)
     assert len(ends) <= len(free)
+
+
+def test_url_verdicts_of_odd_tables(spark):
+    from quillstream.llm import url_filter
+
+    kind = "page_id long, url string, host string, path string, rule int, verdict string"
+    pages = spark.createDataFrame([(1, "http://A.Example.com/en/7x?q", "h", "p", 1, "v"), (1, "http://A.Example.com/en/7x?q", "h", "p", 1, "v"), (None, None, None, None, None, None), (3, "", "h", None, 2, None), (4, "no scheme", "h", "p", 3, "v"), (5, "x://", "h", "p", 3, "v"), (6, "ftp://com#en/", "h", "p", 3, "v"), (7, "https://com/en/" + "a/" * 5000, "h", "p", 3, "v")], kind)
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, action string")
+    key = lambda df: sorted(map(tuple, df.select("page_id", "host", "path", "rule", "verdict").collect()), key=repr)
+    allow = lambda i, host, path: (i, host, path, None, "allow")
+    want = [(1, "a.example.com", "/en/7x", "example.com/en/7", "allow")] * 2 + [allow(None, "", ""), allow(3, "", ""), allow(4, "", ""), allow(5, "", ""), allow(6, "com", ""), (7, "com", "/en/" + "a/" * 5000, "com/en/", "block")]
+    assert key(url_filter.judge_urls(pages, rules)) == sorted(want, key=repr)
+    assert key(url_filter.judge_urls(pages.limit(0), rules)) == []
+    assert key(url_filter.judge_urls(pages, rules.limit(0))) == sorted([(*r[:3], None, "allow") for r in want], key=repr)
