@@ -191,3 +191,26 @@ def staged_calls(spark, d):
     rows = t(spark, d, "events").select("event_id", F.col("event_type").alias("text"))
     return external.staged(rows, stages, gate="look").select("event_id", "text", "stage")
 
+
+_MARK = "(SELECT max(epoch_ms(ts)) FROM events) - 86400000"
+
+
+def _seconds(c: str):
+    return F.round(F.unix_micros(F.col(c)) / 1e6, 3).alias(c)
+
+
+@register(f"""WITH w AS (SELECT unnest(range(floor((epoch_ms(ts) - 900000) / 780000)::BIGINT + 1, floor(epoch_ms(ts) / 780000)::BIGINT + 1)) * 780000 AS start FROM events)
+SELECT start / 1000.0 AS start, (start + 900000) / 1000.0 AS "end", count(*) AS n FROM w GROUP BY start HAVING start + 900000 <= {_MARK}""")
+def streamed_windows(spark, d):
+    """Windows of fifteen minutes every thirteen, those that a watermark of a day has passed."""
+    out = _streamed(spark, d, turns.sliding, "start timestamp, end timestamp, n long")
+    return out.select(_seconds("start"), _seconds("end"), "n")
+
+
+@register(f"""WITH l AS (SELECT user_id, epoch_us(ts) // 1000 AS s, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+n AS (SELECT user_id, s, sum((before IS NULL OR s - before >= 21600000)::INT) OVER (PARTITION BY user_id ORDER BY s) AS k FROM l)
+SELECT user_id, min(s) / 1000.0 AS start, (max(s) + 21600000) / 1000.0 AS "end", count(*) AS n FROM n GROUP BY user_id, k HAVING max(s) + 21600000 <= {_MARK}""")
+def streamed_sessions(spark, d):
+    """Sessions of each user by a gap of six hours, those that a watermark of a day has passed."""
+    out = _streamed(spark, d, turns.sessions, "user_id long, start timestamp, end timestamp, n long")
+    return out.select("user_id", _seconds("start"), _seconds("end"), "n")  # the log has thousandths

@@ -24,6 +24,7 @@ def stream_parquet(spark: SparkSession, path: str, files_a_batch: int = 16) -> D
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day", key: str = "user_id", ts: str = "ts") -> DataFrame:
     """Sessions by gap; a session ends when the watermark passes it. Unlike turns, only the gap counts."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
@@ -63,6 +64,8 @@ def turns(events: DataFrame, gap: float, late: str = "1 hour") -> DataFrame:
 
 
 def sliding(events: DataFrame, width: str = "900 seconds", step: str = "780 seconds", late: str = "1 day", ts: str = "ts") -> DataFrame:
+    """start, end, n of overlapping windows; one is told when the watermark passes its end."""
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     return events.withWatermark(ts, late).groupBy(F.window(ts, width, step)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
 
 
