@@ -91,19 +91,26 @@ def _grams(c: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(c, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
 
 
+def _rarest(parts: DataFrame, wholes: DataFrame, cols: list[str]) -> DataFrame:
+    """What may be contained, by `cols`, with that one of its grams (`__g`) which the fewest of the wholes have; left out where none has one of them."""
+    common = wholes.groupBy("__g").agg(F.count(F.lit(1)).alias("__m"))
+    rare = parts.join(common, "__g", "left").groupBy(*cols).agg(F.min(F.struct(F.coalesce("__m", F.lit(0)).alias("m"), F.col("__g").alias("g"))).alias("__r"))
+    return rare.where("__r.m > 0").select(*cols, F.col("__r.g").alias("__g"))
+
+
 def fuzzy_cascade(rows: DataFrame, table: DataFrame, first: str, second: str, key: str, order: str) -> DataFrame:
     """rows with the table's key that they match, and how: equal to `first`, else to `second`, else the first key in order
     that contains `first` or is contained in it, both of GRAM characters or more.
 
-    Contained keys are looked up by their grams: the contained key's first gram stands in the other.
+    Contained keys are looked up by their grams: of the contained key's grams the one that the fewest others have stands in the other.
     """
     known = table.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__order"))
     one = rows.join(known.select(F.col("__key").alias("__a")), F.col(first) == F.col("__a"), "left").join(known.select(F.col("__key").alias("__b")), F.col(second) == F.col("__b"), "left")
     left = one.where("__a is null and __b is null").select(F.col(first).alias("__n")).where(F.char_length("__n") >= GRAM).distinct()
-    gram = F.substr("__key", F.lit(1), F.lit(GRAM))
     long_keys = known.where(F.char_length("__key") >= GRAM)
-    in_name = left.withColumn("__g", F.explode(_grams(F.col("__n")))).join(long_keys.withColumn("__g", gram), "__g").where(F.contains("__n", "__key"))
-    in_key = long_keys.withColumn("__g", F.explode(_grams(F.col("__key")))).join(left.withColumn("__g", F.substr("__n", F.lit(1), F.lit(GRAM))), "__g").where(F.contains("__key", "__n"))
+    of_name, of_key = left.withColumn("__g", F.explode(_grams(F.col("__n")))), long_keys.withColumn("__g", F.explode(_grams(F.col("__key"))))
+    in_name = of_name.join(_rarest(of_key, of_name, ["__key", "__order"]), "__g").where(F.contains("__n", "__key"))
+    in_key = of_key.join(_rarest(of_name, of_key, ["__n"]), "__g").where(F.contains("__key", "__n"))
     cols = ["__n", "__key", "__order"]
     near = in_name.select(*cols).unionByName(in_key.select(*cols)).groupBy("__n").agg(F.min_by("__key", F.struct("__order", "__key")).alias("__c"))
     out = one.join(near, F.col(first) == F.col("__n"), "left")

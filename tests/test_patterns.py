@@ -101,3 +101,20 @@ def test_ties_are_ordered(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [(1, "now"), (2, "a"), (3, None)]
     got = mutate.inject(now, prior, ["k"], F.col("v").isNotNull(), [F.desc("v")])
     assert sorted(map(tuple, got.collect())) == [(1, "now"), (2, "b")]
+
+
+def test_fuzzy_names_are_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 9)))
+    keys = [(word(), k) for k in range(60)]
+    rows = [(k, word(), rng.choice([word(), None])) for k in range(120)] + [(200, None, None), (201, "", "x")]
+    first = {}
+    for key, order in keys:
+        first[key] = min(order, first.get(key, order))
+    want = {}
+    for k, a, b in rows:
+        near = [(o, x) for x, o in first.items() if a is not None and min(len(x), len(a)) >= lookup.GRAM and (x in a or a in x)]
+        want[k] = (a, "first") if a in first else (b, "second") if b in first else (min(near)[1], "contained") if near else (None, None)
+    got = lookup.fuzzy_cascade(spark.createDataFrame(rows, "id int, a string, b string"), spark.createDataFrame(keys, "key string, ord int"), "a", "b", "key", "ord").collect()
+    assert {r.id: (r.key, r.how) for r in got} == want and len(got) == len(rows)
+    assert {h for _, h in want.values()} == {"first", "second", "contained", None}
