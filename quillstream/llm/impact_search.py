@@ -79,7 +79,7 @@ def impact_index(rows: DataFrame, asks: Column, id_col: str = "vec_id", vector_c
 
 
 class Block:
-    """A block of the index as arrays. starts[j, l]: how many places of list j have a quantised impact of l - 1 + least, or more."""
+    """A block of the index as arrays. starts[j, l]: how many places of list j have a quantised impact of edges[l] or more."""
 
     def __init__(self, row: dict):
         n, d = row["size"], row["dims"]
@@ -134,7 +134,7 @@ class Block:
             tops = np.argpartition(-bound, min(2 * k, n) - 1)[: 2 * k]
             tops = tops[bound[tops] > -np.inf]
             if len(tops) >= k:
-                least = max(least, np.partition(self.vectors[tops] @ q, len(tops) - k)[len(tops) - k])
+                least = max(least, int(np.partition(self.vectors[tops] @ q, len(tops) - k)[len(tops) - k]))
             possible = np.flatnonzero(bound >= least)
             if len(possible) <= FEW * n:
                 break
@@ -152,7 +152,7 @@ def _search(asked, k: int):
 
     def run(it):
         queries = asked.value
-        least = np.full(len(queries), -np.inf)  # the k-th best score of each query that this task has seen
+        least: list = [-np.inf] * len(queries)  # the k-th best score of each query that this task has seen: exact, so no float
         tops = [np.empty(0, np.int64)] * len(queries)
         for batch in it:
             for row in range(batch.num_rows):
@@ -163,7 +163,7 @@ def _search(asked, k: int):
                         continue
                     at, score, work = block.best(q, k, least[i], place if number == block.number else None)
                     tops[i] = np.sort(np.append(tops[i], score))[-k:]
-                    least[i] = tops[i][0] if len(tops[i]) == k else -np.inf
+                    least[i] = int(tops[i][0]) if len(tops[i]) == k else -np.inf
                     ids = [x if ok else None for x, ok in zip(block.ids[at].tolist(), block.known[at].tolist())]
                     for column, v in zip(out, ([number] * len(at), [place] * len(at), [query_id] * len(at), ids, score.tolist(), [work] * len(at))):
                         column += v

@@ -186,6 +186,14 @@ def test_search_is_brute_force(spark, monkeypatch, step):
     assert sorted(map(tuple, got.collect()), key=repr) == best_by_hand(rows, lambda i: i % 10 == 0, 5)
 
 
+def test_scores_beyond_doubles(spark):
+    """Components so large that scores differ in their last digits only; blocks of three partitions hand the bound on."""
+    rows = [(k, [float(2**19 + 2**18), float(k % 3) / 256, 524287.99609375 - (k % 2) / 256]) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5).coalesce(1)
+    got = impact_search.search(impact_search.impact_index(df, F.col("vec_id") % 10 == 0))
+    assert sorted(map(tuple, got.collect()), key=repr) == best_by_hand(rows, lambda i: i % 10 == 0, 5)
+
+
 def test_search_without_rows(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     for rows in (df, df.limit(0), df.withColumn("vec_id", F.lit(None).cast("long"))):
