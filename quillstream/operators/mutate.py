@@ -37,8 +37,12 @@ def update_both(scenes: DataFrame, chapters: DataFrame, changes: DataFrame, key:
     """(scenes, chapters) after changes to scenes' fields: standalone rows and the copies in the chapters' arrays alike.
 
     changes: key and fields, one row a key. Arrays that hold a changed key are unfolded, changed by join and folded again in their
-    order, each distinct one once; chapters meet theirs by its value, so no row needs a number. Null and empty arrays stay.
+    order, each distinct one once; chapters meet theirs by its value, so no row needs a number. Null and empty arrays stay. Chapters are
+    stored first: arrays that were collected from a shuffle may come in another order when they are computed again, and would miss theirs.
     """
+    from .shared import durable
+
+    chapters = durable(chapters)
     new = changes.select(F.col(key).alias("__k"), F.struct(*fields).alias("__new"))
     put = {f: F.when(F.col("__k").isNotNull(), F.col(f"__new.{f}")).otherwise(F.col(f)) for f in fields}
     own = scenes.join(new, F.col(key) == F.col("__k"), "left").withColumns(put).drop("__k", "__new")

@@ -94,6 +94,15 @@ def test_both_copies_without_row_numbers(spark):
     assert "monotonically" not in whole._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_both_copies_of_arrays_in_any_order(spark):
+    mixed = F.udf(lambda n: [(k, "old") for k in random.sample(range(int(n)), int(n))], "array<struct<k:long,v:string>>").asNondeterministic()
+    chapters = spark.range(20).select("id", mixed(F.lit(12)).alias("s"))
+    changes = spark.createDataFrame([(k, "new") for k in range(0, 12, 2)], "k long, v string")
+    _, whole = mutate.update_both(changes, chapters, changes, "k", "s", ["v"])
+    got = whole.collect()
+    assert len(got) == 20 and all(sorted(map(tuple, r.s)) == [(k, "old" if k % 2 else "new") for k in range(12)] for r in got)
+
+
 def test_ties_are_ordered(spark):
     now = spark.createDataFrame([(1, "now")], "k long, v string")
     prior = spark.createDataFrame([(1, "x"), (2, "b"), (2, "a"), (3, None)], "k long, v string").repartition(4)
