@@ -1,4 +1,4 @@
-"""Keyed state of ordered folds: items wait in a list state until the watermark has passed them, then are folded in event order.
+"""Keyed state of ordered folds: items wait in a list state, in lots, until the watermark has passed them, then are folded in event order.
 
 So micro-batches may bring a key's items in any order; what comes out is the batch fold's result. Needs the RocksDB state store
 (prepare).
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Items of one row of the list state; buckets that keys are dealt to. Calls to the state store are made for a bucket, not for each of its keys.
+LOT, BUCKETS = 1024, 2048
 
 
 def prepare(spark: SparkSession) -> None:
@@ -21,11 +23,26 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
+def _ms(seconds: float) -> int:
+    """The millisecond that a time of whole microseconds lies in."""
+    return round(seconds * 1e6) // 1000
+
+
+def _packed(rows: list[tuple]) -> list[tuple]:
+    """Rows as rows of arrays, LOT in each: state is read and written a row at a time."""
+    return [tuple(list(c) for c in zip(*rows[k : k + LOT])) for k in range(0, len(rows), LOT)]
+
+
+def _arrays(kinds: str) -> str:
+    return ", ".join("{} array<{}>".format(*c.split()) for c in f"known boolean, key long, {kinds}".split(", "))
+
+
 class OrderedFold(StatefulProcessor):
-    """A fold over a key's items in the order of (time, id).
+    """A fold over each key's items in the order of (time, id).
 
-    step(open, item) gives (new open value, rows to emit); close(open, key's watermark in seconds) gives rows if the open value has ended
-    for good, else None. items and open values are tuples of the two schemas.
+    step(open, item) gives (new open value, rows to emit); close(open, watermark in seconds, whether items wait) gives rows if the open
+    value has ended for good, else when it will. items and open values are tuples of the two schemas. A state is that of a bucket of
+    keys, which come as (known, key): false for the null key.
     """
 
     def __init__(self, item: str, open_: str, columns: list[str], step: Callable, close: Callable | None):
@@ -33,54 +50,71 @@ class OrderedFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.item)
-        self.state = handle.getValueState("open", self.open_)
+        self.pending = handle.getListState("pending", _arrays(self.item))
+        self.state = handle.getListState("open", _arrays(self.open_))
+        self.timer = handle.getValueState("timer", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(x) for frame in rows for x in frame.iloc[:, 1:].itertuples(index=False, name=None)]
-        self.pending.appendList([(float(s), int(i), *rest) for s, i, *rest in new])
-        # a timer when the watermark passes each item's time; items of one millisecond share one
-        for ms in {int(x[0] * 1000) + 1 for x in new}:
-            self.handle.registerTimer(ms)
-        yield pd.DataFrame([], columns=self.columns)
+        new = [x for frame in rows for x in zip(*(frame[c].tolist() for c in frame.columns[1:]))]
+        self.pending.appendList(_packed(new))
+        # a bucket has one timer, that of its earliest item: all items that are due are folded when it fires
+        first, known = _ms(min(x[2] for x in new)), self.timer.get()
+        if known is None or first < known[0]:
+            if known is not None:
+                self.handle.deleteTimer(known[0])
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() / 1000
-        items = sorted(self.pending.get()) if self.pending.exists() else []
-        due = [x for x in items if int(x[0] * 1000) + 1 <= mark * 1000]
-        open_, out = tuple(self.state.get()) if self.state.exists() else None, []
-        for x in due:
-            open_, rows = self.step(open_, tuple(x))
-            out += rows
-        if due:
-            left = items[len(due) :]
-            self.pending.clear()
-            if left:
-                self.pending.put(left)
-        if open_ is not None and self.close_:
-            ended = self.close_(open_, mark, bool(len(items) - len(due)))
+        mark = timerValues.getCurrentWatermarkInMs()
+        due, left, out = [], [], []
+        for x in _rows(self.pending):
+            (due if _ms(x[2]) < mark else left).append(x)
+        open_ = {x[:2]: x[2:] for x in _rows(self.state)}
+        for x in sorted(due, key=lambda x: x[:4]):
+            who = x[:2]
+            open_[who], told = self.step(open_.get(who), x[2:])
+            out += [(who, r) for r in told]
+        next_, wait = [_ms(x[2]) for x in left], {x[:2] for x in left}
+        for who in list(open_) if self.close_ else ():
+            ended = self.close_(open_[who], mark / 1000, who in wait)
             if isinstance(ended, list):
-                out, open_ = out + ended, None
+                out += [(who, r) for r in ended]
+                del open_[who]
+            else:
+                next_.append(max(_ms(ended), mark))
+        for state, rows in (self.pending, left), (self.state, [(*who, *x) for who, x in open_.items()]):
+            if rows:
+                state.put(_packed(rows))
             else:
-                self.handle.registerTimer(max(int(ended * 1000) + 1, int(mark * 1000) + 1))
-        if open_ is not None:
-            self.state.update(open_)
-        elif self.state.exists():
-            self.state.clear()
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=self.columns)
+                state.clear()
+        # a timer fires when the watermark is above it
+        if next_:
+            self.handle.registerTimer(min(next_))
+            self.timer.update((min(next_),))
+        else:
+            self.timer.clear()
+        return iter([pd.DataFrame([(k if known else None, *x) for (known, k), x in out], columns=self.columns, dtype=object)] if out else ())
 
     def close(self) -> None:
         pass
 
 
+def _rows(state) -> Iterator[tuple]:
+    return (x for lot in (state.get() if state.exists() else ()) for x in zip(*lot))
+
+
 def _run(rows: DataFrame, item: str, open_: str, out: str, step: Callable, close: Callable | None = None) -> DataFrame:
     columns = [c.split()[0] for c in out.split(", ")]
-    return rows.groupBy("key").transformWithStateInPandas(OrderedFold(item, open_, columns, step, close), out, "Append", "eventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(OrderedFold(item, open_, columns, step, close), out, "Append", "eventTime")
 
 
 def _keyed(events: DataFrame, key: str, id_col: str, ts: str, late: str, *more) -> DataFrame:
     seen = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    return seen.select(F.col(key).cast("long").alias("key"), (F.unix_micros(ts) / 1e6).alias("s"), F.col(id_col).cast("long").alias("id"), *more)
+    k = F.col(key).cast("long")
+    dealt = F.pmod(F.xxhash64(k), F.lit(BUCKETS)).alias("bucket"), k.isNotNull().alias("known"), F.coalesce(k, F.lit(0).cast("long")).alias("key")
+    return seen.select(*dealt, (F.unix_micros(ts) / 1e6).alias("s"), F.col(id_col).cast("long").alias("id"), *more)
 
 
 def budget_partitions(events: DataFrame, size: str, budget: float = 300.0, late: str = "1 day", key: str = "user_id", id_col: str = "event_id", ts: str = "ts") -> DataFrame:

@@ -67,3 +67,66 @@ def test_turns(spark, tmp_path, items):
             else:
                 want.append((u, r[2], s, s, 1))
     assert got == sorted(want, key=repr)
+
+
+class _State:
+    """A list or value state in memory, which counts its calls."""
+
+    def __init__(self, calls):
+        self.held, self.calls = None, calls
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def put(self, rows):
+        self.calls.append("put")
+        self.held = rows
+
+    update = put
+
+    def appendList(self, rows):
+        self.calls.append("append")
+        self.held = (self.held or []) + rows
+
+    def clear(self):
+        self.held = None
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def getListState(self, name, schema):
+        return _State(self.calls)
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.calls.append("timer")
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+def test_timers_and_calls_do_not_grow_with_the_items():
+    import pandas as pd
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 5_000
+
+    handle = _Handle()
+    fold = keyed.OrderedFold("s double, id long, size double", "n long", ["key", "id"], lambda open_, x: (((open_ or (0,))[0] + 1,), [(x[1],)]), None)
+    fold.init(handle)
+    rows = [(7, k % 3 > 0, k % 3, k / 100, k, 1.0) for k in range(1000)]
+    assert not list(fold.handleInputRows((7,), iter([pd.DataFrame(rows)]), Times()))
+    assert handle.timers == {0} and len(handle.calls) < 5
+    out = pd.concat(fold.handleExpiredTimer((7,), Times(), None))
+    # an item is told when the watermark is above its millisecond
+    assert sorted(out["id"]) == list(range(500)) and set(map(str, out["key"])) == {"None", "1", "2"} and 5_000 in handle.timers
+    assert len(handle.calls) < 15
