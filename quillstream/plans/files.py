@@ -157,10 +157,13 @@ _LATE = "epoch_ms(ts) + 1 <= (SELECT max(epoch_ms(ts)) FROM events) - 3600000"
 
 
 def _streamed(spark, d, f, schema: str):
-    """What a stream over the events tells until it has read all there are, by way of an append-only log."""
+    """What a stream over the events tells until it has read all there are, by way of an append-only log.
+
+    A table's files come in any order, so they are one batch, of which no event is late.
+    """
     keyed.prepare(spark)
     path = index_path(spark, "stream")
-    turns.append_log(f(turns.stream_parquet(spark, f"{d}/events.parquet")), f"{path}/out", f"{path}/state").awaitTermination()
+    turns.append_log(f(turns.stream_parquet(spark, f"{d}/events.parquet", None)), f"{path}/out", f"{path}/state").awaitTermination()
     return jsonl.read_jsonl(spark, f"{path}/out", schema)
 
 

@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_parquet(spark: SparkSession, path: str, files_a_batch: int = 16) -> DataFrame:
-    """A stream of the files of a Parquet folder, or of a single file."""
+def stream_parquet(spark: SparkSession, path: str, files_a_batch: int | None = 16) -> DataFrame:
+    """A stream of the files of a Parquet folder, or of a single file.
+
+    Files that aren't in the order of their events need None: all that are there make one batch. With several, the watermark of
+    the first files drops what later ones bring.
+    """
     from ..sources.jsonl import _fs
 
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
     fs, at = _fs(spark, path)
     if fs.exists(at) and fs.getFileStatus(at).isFile():  # streams are read from folders
         folder, _, name = path.rpartition("/")

@@ -69,6 +69,18 @@ def test_turns(spark, tmp_path, items):
     assert got == sorted(want, key=repr)
 
 
+def test_streams_of_many_files_are_the_batch(spark, tmp_path):
+    """Files in no order of time, more than several batches of sixteen hold; rows of one bucket and a null key among them."""
+    from quillstream.plans import catalog
+    from tests.oracle import SF, connect, rows_of, rows_of_sql
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(70, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    con = connect()
+    for name in ("streamed_windows", "streamed_sessions", "streamed_partitions", "streamed_turns"):
+        assert rows_of(catalog.queries()[name](spark, str(tmp_path))) == rows_of_sql(con, catalog.oracle_sql()[name]), name
+
+
 class _State:
     """A list or value state in memory, which counts its calls."""
 
