@@ -98,9 +98,25 @@ def needs_more(traits: list[Column], portrait_words: Column, least_traits: int =
 def at_point(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, order: list[str], width: float) -> DataFrame:
     """Each point with the first span, in `order`, that holds it; both ends belong to a span. Points outside have none.
 
-    Both sides are dealt into buckets of `width`, so it's an equi-join and never a nested loop.
+    Where order begins with the start, only spans that end later than all before them can be a first one: their ends rise in that
+    order, so the first that holds a point is the one of least end not before it, if it has begun by then. Both are found by passes in
+    stretches of `width`, and no pair is made besides these. Other orders meet in buckets of `width`, an equi-join of all pairs.
     """
+    from .intervals import running
+
     names = [c for c in spans.columns]
+    points = points.distinct()
+    if order[0] == start:
+        # NaN is the greatest end, as it is in comparisons
+        last = F.nanvl(F.col(end).cast("double"), F.lit(float("inf")))
+        known = spans.where(F.col(start) <= F.col(end)).select(F.col(start).cast("double").alias("__at"), last.alias("__end"), F.struct(*order).alias("__o"), F.struct(*names).alias("__s"))
+        tops = running(known, [], "__at", width, ["__at", "__o"], "__end", "__top").where("__end = __top")
+        none = lambda kind: F.lit(None).cast(kind)
+        ends = tops.select("__end", F.lit(1).alias("__k"), F.struct("__end", "__o", "__s").alias("__v"), none(points.select(F.struct(*points.columns).alias("p")).schema["p"].dataType).alias("__p"))
+        asked = points.where(F.col(point).isNotNull()).select(F.nanvl(F.col(point).cast("double"), F.lit(float("inf"))).alias("__end"), F.lit(0).alias("__k"), none(ends.schema["__v"].dataType).alias("__v"), F.struct(*points.columns).alias("__p"))
+        met = running(ends.unionByName(asked), [], "__end", width, [F.desc("__end"), F.desc("__k")], "__v", "__f", "min", True).where("__k = 0")
+        held = met.select("__p.*", F.col("__f.__s").alias("__s")).where(F.col(f"__s.{start}") <= F.col(point))
+        return held.select(*points.columns, "__s.*")
     wide = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     met = points.withColumn("__b", F.floor(F.col(point) / width)).join(wide, "__b").where((F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end)))
     best = met.groupBy(*points.columns).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("__s"))

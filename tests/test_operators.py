@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import evidence
 from quillstream.functions import text as T
-from quillstream.operators import folds, intervals, media, records, search
+from quillstream.operators import folds, intervals, media, records, search, select
 from quillstream.plans import catalog
 from quillstream.sources import jsonl
 from quillstream.streaming import turns
@@ -135,3 +135,19 @@ def test_membership_covers_every_line(spark):
     li, o = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("lineitem", "orders"))
     whole = li.join(o.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).count()
     assert catalog.array_membership(spark, sf).count() == whole
+
+
+def test_first_span_of_a_point_makes_no_pairs(spark):
+    rng = random.Random(8)
+    spans = [(k, s := float(rng.randrange(60)), rng.choice([s, s + rng.randrange(9), s + 40, s - 2, float("nan")] if k % 9 == 0 else [s, s + rng.randrange(9)])) for k in range(80)]
+    spans += [(90, None, 5.0), (91, 3.0, None), (92, 2e10, 4e10)]  # the last one is longer than any sequence of buckets
+    points = [(k, k / 2) for k in range(-4, 140)] + [(500, None), (501, 3e10), (502, 1e10)]
+    after = lambda a, b: b is not None and a is not None and (a != a or (b == b and b <= a))
+    for some in (spans, [x for x in spans if x[2] == x[2]]):
+        want = {}
+        for i, p in points:
+            held = [(s, k) for k, s, e in some if s is not None and e is not None and after(p, s) and after(e, p)]
+            if held:
+                want[i] = min(held)[1]
+        got = select.at_point(spark.createDataFrame(points, "i long, at double"), spark.createDataFrame(some, "k long, s double, e double"), "at", "s", "e", ["s", "k"], 1.0)
+        assert {r.i: r.k for r in got.collect()} == want and len(want) > 100
