@@ -60,26 +60,34 @@ def first_member(rows: DataFrame, arrays: DataFrame, value: str, array: str, ord
     return met.select(*rows.columns, F.col("__first").alias(order))
 
 
+def _first_told(described: DataFrame, links: DataFrame, passages: DataFrame, n: int) -> DataFrame:
+    """__e, near: of each entity the first n of the linked passages that describe it. links: entity, near."""
+    told = described.select("entity", F.col("passage").alias("near")).distinct().join(links, ["entity", "near"], "left_semi").join(passages.select(F.col("passage").alias("near")), "near", "left_semi")
+    return told.withColumn("__n", F.row_number().over(Window.partitionBy("entity").orderBy("near"))).where(F.col("__n") <= n).select(F.col("entity").alias("__e"), "near")
+
+
 def neighbor_passages(anchors: DataFrame, passages: DataFrame, links: DataFrame, described: DataFrame, radius: int = 2, limit: int = 6) -> DataFrame:
     """entity, passage, near, place (1..limit): passages of evidence beside an anchor, of which each is linked to the entity.
 
     First those within `radius` of the anchor in its group, in order, then the others that describe the entity, in the order of
     their ids. anchors, links and described: entity, passage; passages: passage, group, seq. The anchor itself isn't beside it. Offsets and
-    descriptions are equi-joins; links are met before anything is cut.
+    descriptions are equi-joins; links are met before anything is cut. Of an entity's linked descriptions only the first limit + 1 can be
+    among an anchor's first: those before one are beside the anchor, have a place of their own, or are the anchor.
     """
     at = passages.select(F.col("passage").alias("__p"), "group", "seq")
-    here = anchors.select("entity", "passage").distinct().join(at, F.col("passage") == F.col("__p")).drop("__p")
+    asked = anchors.select("entity", "passage").distinct()
+    here = asked.join(at, F.col("passage") == F.col("__p")).drop("__p")
     steps = F.array(*[F.lit(k) for k in range(-radius, radius + 1) if k])
     wanted = here.select("entity", "passage", "group", F.col("seq"), F.explode(steps).alias("step")).withColumn("__seq", F.col("seq") + F.col("step")).drop("seq")
     other = passages.select(F.col("passage").alias("near"), F.col("group").alias("__g"), F.col("seq").alias("__s"))
     close = wanted.join(other, (F.col("group") == F.col("__g")) & (F.col("__seq") == F.col("__s"))).select("entity", "passage", "near", F.col("step").alias("rank"))
-    told = described.select(F.col("entity").alias("__e"), F.col("passage").alias("near")).distinct()
-    far = anchors.select("entity", "passage").distinct().join(told, F.col("entity") == F.col("__e")).where(F.col("near") != F.col("passage")).select("entity", "passage", "near", F.lit(radius + 1).alias("rank"))
-    far = far.join(passages.select(F.col("passage").alias("near")), "near", "left_semi")
-    both = close.unionByName(far).groupBy("entity", "passage", "near").agg(F.min("rank").alias("rank"))
     linked_ = links.select("entity", F.col("passage").alias("near")).distinct()
+    close = close.join(linked_, ["entity", "near"], "left_semi").select("entity", "passage", "near", "rank")
+    told = _first_told(described, linked_, passages, limit + 1)
+    far = asked.join(told, F.col("entity") == F.col("__e")).where(F.col("near") != F.col("passage")).select("entity", "passage", "near", F.lit(radius + 1).alias("rank"))
+    both = close.unionByName(far).groupBy("entity", "passage", "near").agg(F.min("rank").alias("rank"))
     order = F.row_number().over(Window.partitionBy("entity", "passage").orderBy("rank", "near"))
-    return both.join(linked_, ["entity", "near"], "left_semi").withColumn("place", order).where(F.col("place") <= limit).select("entity", "passage", "near", "place")
+    return both.withColumn("place", order).where(F.col("place") <= limit).select("entity", "passage", "near", "place")
 
 
 #: Characters of a gram that contained keys are looked up by; shorter keys are no candidates.

@@ -127,3 +127,19 @@ def test_fuzzy_names_are_brute_force(spark):
     got = lookup.fuzzy_cascade(spark.createDataFrame(rows, "id int, a string, b string"), spark.createDataFrame(keys, "key string, ord int"), "a", "b", "key", "ord").collect()
     assert {r.id: (r.key, r.how) for r in got} == want and len(got) == len(rows)
     assert {h for _, h in want.values()} == {"first", "second", "contained", None}
+
+
+def test_neighbors_of_many_descriptions(spark):
+    """Every passage describes one entity: what meets an anchor doesn't grow with them, and the first places are those of all of them."""
+    passages = [(k, k // 9, k % 9) for k in range(900)]
+    links = [("e", k) for k in range(900) if k % 3] + [("f", 4)]
+    p, told = spark.createDataFrame(passages, "passage long, group long, seq long"), spark.createDataFrame([("e", k) for k in range(901)], "entity string, passage long")
+    anchors = [("e", k) for k in range(900)]
+    out = lookup.neighbor_passages(spark.createDataFrame(anchors, "entity string, passage long"), p, spark.createDataFrame(links, "entity string, passage long"), told)
+    known, want = {k for e, k in links if e == "e"}, []
+    for _, a in anchors:
+        beside = [k for k in (a - 2, a - 1, a + 1, a + 2) if k // 9 == a // 9 and k in known]
+        want += [(a, k, i) for i, k in enumerate((beside + [k for k in sorted(known) if k not in beside and k != a][:6])[:6], 1)]
+    assert sorted((r.passage, r.near, r.place) for r in out.collect()) == sorted(want)
+    near = spark.createDataFrame(links, "entity string, near long")
+    assert sorted(map(tuple, lookup._first_told(told, near, p, 7).collect())) == [("e", k) for k in sorted(known)[:7]]
