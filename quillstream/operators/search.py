@@ -97,3 +97,87 @@ def similar_pairs(vectors: DataFrame, id_col: str, vec_col: str, least: float) -
         return pairs[pairs["src"] < pairs["dst"]]
 
     return own.groupBy(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).applyInPandas(meet, "src long, dst long")
+
+
+#: Vectors of a packed block; parts that blocks are dealt to, as long as a part has no more than HELD of them.
+PACKED, PARTS, HELD = 1024, 16, 64
+
+
+def packed(vectors: DataFrame, n: int) -> DataFrame:
+    """block, ids, vectors: the n vectors (id, v: an array of doubles) in blocks of PACKED, as bytes, stored. All have one length, else this raises."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from .shared import durable
+
+    kinds = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("vectors", pa.binary())])
+    size, parts = PACKED, max(min(PARTS, -(-n // PACKED)), -(-n // (HELD * PACKED)), 1)
+
+    def pack(it):
+        block, held, dims = TaskContext.get().partitionId() << 32, [], None
+        for b in it:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+                lengths = np.unique(part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                dims = int(lengths[0]) if dims is None else dims
+                if len(lengths) != 1 or lengths[0] != dims:
+                    raise ValueError(f"vectors of {lengths.min()} to {max(lengths.max(), dims)} components")
+                held.append((part.column(0).to_numpy(), flat.reshape(-1, dims)))
+                while sum(len(x[0]) for x in held) >= size:
+                    ids, v = (np.concatenate(x) for x in zip(*held))
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids[:size].tobytes()], pa.binary()), pa.array([v[:size].tobytes()], pa.binary())], schema=kinds)
+                    block, held = block + 1, [(ids[size:], v[size:])]
+        if sum(len(x[0]) for x in held):
+            ids, v = (np.concatenate(x) for x in zip(*held))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], schema=kinds)
+
+    return durable(vectors.select("id", "v").repartition(parts, "id").mapInArrow(pack, "block long, ids binary, vectors binary"))
+
+
+def linking_pairs(vectors: DataFrame, id_col: str, vec_col: str, least: float) -> DataFrame:
+    """src, dst (src < dst) that connect the same vectors as all pairs whose dot product is `least` or more, but only few of them.
+
+    Every pair is compared, block by block, but for blocks whose vectors are connected already. A task keeps its vectors' least labels and
+    tells one pair for each that has another one, so what is written is at most PARTS times twice the number of vectors as long as a part
+    holds HELD blocks. Stored blocks meet without a shuffle; the work is that of all pairs, quadratic by nature.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    e = vectors.where(F.size(vec_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    own = packed(e, e.count())
+
+    def merge(label, x, y):
+        while True:
+            a, b = label[x], label[y]
+            apart = a != b
+            if not apart.any():
+                return label
+            x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
+
+    def link(it):
+        at, ids, label = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in it:
+            for row in range(batch.num_rows):
+                lo, i, v, hi, j, w = (c[row].as_py() for c in batch.columns)
+                for k, x in ((lo, i), (hi, j)):
+                    if k not in at:
+                        x = np.frombuffer(x, np.int64)
+                        at[k] = (len(ids), len(ids) + len(x))
+                        ids, label = np.concatenate([ids, x]), np.concatenate([label, np.arange(*at[k])])
+                (a, b), (c, d) = at[lo], at[hi]
+                if (label[a:b] == label[a]).all() and (label[c:d] == label[a]).all():
+                    continue
+                x, y = np.nonzero(np.frombuffer(v).reshape(b - a, -1) @ np.frombuffer(w).reshape(d - c, -1).T >= least)
+                label = merge(label, x + a, y + c)
+        one, two = ids, ids[label]
+        ok = one != two
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)[ok]), pa.array(np.maximum(one, two)[ok])], names=["src", "dst"])
+
+    other = own.toDF("other", "__ids", "__vectors").hint("shuffle_replicate_nl")
+    return own.join(other, F.col("block") <= F.col("other")).mapInArrow(link, "src long, dst long")

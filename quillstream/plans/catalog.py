@@ -312,8 +312,8 @@ def neighbor_offset(spark, d):
 r(node, c) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.node)
 SELECT node, min(c) AS component FROM r GROUP BY node""")
 def connected_components(spark, d):
-    """Edges are all pairs of vectors with cosine of 0.3 or more, whatever their labels."""
-    return records.connected(search.similar_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", 0.3))
+    """Vectors are connected by all pairs with a cosine of 0.3 or more, whatever their labels."""
+    return records.connected(search.linking_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", 0.3))
 
 
 @register("""WITH s AS (SELECT c_nationkey, c_mktsegment AS name, count(*) AS n FROM customer GROUP BY ALL)

@@ -151,3 +151,17 @@ def test_first_span_of_a_point_makes_no_pairs(spark):
                 want[i] = min(held)[1]
         got = select.at_point(spark.createDataFrame(points, "i long, at double"), spark.createDataFrame(some, "k long, s double, e double"), "at", "s", "e", ["s", "k"], 1.0)
         assert {r.i: r.k for r in got.collect()} == want and len(want) > 100
+
+
+def test_linking_pairs_connect_what_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(search, "PACKED", 7)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").limit(150).collect()]
+    df = spark.createDataFrame([*rows, (999, None)], "vec_id long, embedding array<float>")
+    for least in (0.25, 5.0):
+        every, few = (f(df, "vec_id", "embedding", least) for f in (search.similar_pairs, search.linking_pairs))
+        got, want = (sorted(map(tuple, records.connected(x).collect())) for x in (few, every))
+        assert got == want and all(r.src < r.dst for r in few.collect())
+    # one part of blocks: a pair for each connected vector but the first, not all pairs
+    monkeypatch.setattr(search, "PARTS", 1)
+    monkeypatch.setattr(search, "HELD", 100)
+    assert search.linking_pairs(df, "vec_id", "embedding", 0.05).count() < 150 < search.similar_pairs(df, "vec_id", "embedding", 0.05).count()
