@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Vectors that centroids are fitted on, lists at most, vectors of a block, questions of a block, questions that recall is measured on.
 SAMPLE, LISTS, BLOCK, ASKED, MEASURED = 50_000, 4096, 1024, 256, 200
+#: Scored rows that a task holds before it tells its best.
+KEPT = 1 << 21
 
 
 def fitted(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -109,24 +111,78 @@ def neighbors(spark: SparkSession, path: str, centroids: np.ndarray, asked: Data
                     yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([ids[mine].tobytes()], pa.binary()), pa.array([v[mine].tobytes()], pa.binary())], schema=schema)
 
     def score(it):
-        schema = pa.schema([("question", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        best = _Best(k)
         for b in it:
             for row in range(b.num_rows):
                 ids, x, who, q = (np.frombuffer(b.column(j)[row].as_py(), t) for j, t in enumerate((np.int64, float, np.int64, float)))
-                s = np.round(q.reshape(-1, dims) @ x.reshape(-1, dims).T, 9)
-                s[who[:, None] == ids[None, :]] = -np.inf
-                # by score, then id; the block's ids are sorted first, so that a stable order breaks ties
-                order = np.argsort(ids, kind="stable")
-                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                val = np.take_along_axis(s, best, 1).ravel()
-                ok = val > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, best.shape[1])[ok]), pa.array(ids[best].ravel()[ok]), pa.array(val[ok])], schema=schema)
+                yield from best.add(who, ids, q.reshape(-1, dims) @ x.reshape(-1, dims).T)
+        yield from best.rest()
 
     wanted = asked.select("id", "v").mapInArrow(probe, "near int, who binary, q binary")
     pairs = spark.read.schema(_BLOCKS_DDL).parquet(path).join(wanted, F.col("list") == F.col("near")).select("ids", "vectors", "who", "q")
     return _best(pairs.mapInArrow(score, empty), k)
 
 
+class _Best:
+    """The k best of each question by score, then id, of what a task has met so far; what is held beyond KEPT rows goes out."""
+
+    def __init__(self, k: int):
+        self.k, self.new, self.n = k, [], 0
+
+    def add(self, who: np.ndarray, ids: np.ndarray, s: np.ndarray):
+        s = np.round(s, 9)
+        s[who[:, None] == ids[None, :]] = -np.inf
+        # those that are not below a question's k-th score here, ties included
+        least = np.partition(s, -self.k, axis=1)[:, -self.k][:, None] if len(ids) > self.k else -np.inf
+        at, of = np.nonzero((s >= least) & (s > -np.inf))
+        self.new.append((who[at], ids[of], s[at, of]))
+        self.n += len(at)
+        if self.n > KEPT:
+            self.cut()
+            if self.n > KEPT // 2:
+                yield from self.rest()
+
+    def cut(self) -> None:
+        who, ids, s = (np.concatenate(x) for x in zip(*self.new))
+        order = np.lexsort((ids, -s, who))
+        who = who[order]
+        first = np.maximum.accumulate(np.where(np.r_[True, who[1:] != who[:-1]], np.arange(len(who)), 0))
+        order = order[np.arange(len(who)) - first < self.k]
+        self.new, self.n = [tuple(c[order] for c in (np.concatenate(x) for x in zip(*self.new)))], len(order)
+
+    def rest(self):
+        if self.n:
+            self.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self.new[0]], names=["question", "id", "score"])
+        self.new, self.n = [], 0
+
+
+def exact_neighbors(spark: SparkSession, path: str, asked: DataFrame, k: int) -> DataFrame:
+    """question, id, score, rank: each question's k best by cosine among all stored vectors, itself left out by id. asked: id, v.
+
+    The work is that of all pairs. Packed questions meet the stored blocks without a shuffle, and a task tells only its own k best.
+    """
+    from ..sources.jsonl import exists
+    from .search import packed
+
+    empty = "question long, id long, score double"
+    if not exists(spark, path):  # nothing usable was there to be stored
+        return _best(spark.createDataFrame([], empty), k)
+
+    def score(it):
+        best = _Best(k)
+        for b in it:
+            for row in range(b.num_rows):
+                ids, x, who, q = (np.frombuffer(b.column(j)[row].as_py(), t) for j, t in enumerate((np.int64, float, np.int64, float)))
+                q = q.reshape(len(who), -1)
+                yield from best.add(who, ids, (q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.reshape(len(ids), -1).T)
+        yield from best.rest()
+
+    questions = packed(asked, asked.count()).select(F.col("ids").alias("who"), F.col("vectors").alias("q")).hint("shuffle_replicate_nl")
+    blocks = spark.read.schema(_BLOCKS_DDL).parquet(path).select("ids", "vectors")
+    return _best(blocks.join(questions).mapInArrow(score, empty), k)
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -144,7 +200,7 @@ def calibrated(spark: SparkSession, path: str, centroids: np.ndarray, asked: Dat
     from .shared import durable
 
     some = durable(asked.orderBy(F.xxhash64("id"), "id").limit(MEASURED))
-    exact = durable(neighbors(spark, path, centroids, some, k, len(centroids)))
+    exact = durable(exact_neighbors(spark, path, some, k))
     probes = 1
     while probes < len(centroids):
         hits, wanted = recall(neighbors(spark, path, centroids, some, k, probes), exact).agg(F.sum("hits"), F.sum("wanted")).first()

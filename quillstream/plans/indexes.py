@@ -31,7 +31,7 @@ def ivf_neighbors(spark, d):
     centroids = ivf.build(rows, path)
     asked = ivf.usable(rows, "vec_id", "embedding").where("id % 20 = 0")
     found = ivf.neighbors(spark, path, centroids, asked, 10, ivf.calibrated(spark, path, centroids, asked, 10))
-    exact = ivf.neighbors(spark, path, centroids, asked, 10, len(centroids))
+    exact = ivf.exact_neighbors(spark, path, asked, 10)
     counts = ivf.recall(found, exact).select(F.col("question").alias("q"), (F.col("hits") / F.col("wanted")).alias("recall"))
     there = exact.select(F.col("question").alias("eq"), F.col("id").alias("ei"))
     met = found.join(there, (F.col("question") == F.col("eq")) & (F.col("id") == F.col("ei")), "left").join(counts, F.col("question") == F.col("q"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
 from quillstream.operators import fulltext, ivf, search
 from quillstream.plans import catalog
 from tests.oracle import SF
@@ -76,3 +77,26 @@ def test_lists_of_odd_vectors(spark, tmp_path):
     assert [(r.id, r.score) for r in got] == [(2, 1.0), (2, 1.0), (3, 0.0)]
     assert ivf.build(df.limit(0), f"{tmp_path}/b").size == 0
     assert ivf.neighbors(spark, f"{tmp_path}/b", np.zeros((0, 0)), asked, 3, 1).count() == 0
+
+
+def test_exact_neighbors_leave_few_rows_to_rank(spark, tmp_path, monkeypatch):
+    """A task tells each question's best, not those of every block; ties go to the smaller id, whatever is held."""
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").limit(120)
+    df = df.unionByName(df.withColumn("vec_id", F.col("vec_id") + 1000)).unionByName(df.withColumn("vec_id", F.col("vec_id") + 2000))
+    c = ivf.build(df, f"{tmp_path}/a", lists=40)
+    asked = ivf.usable(df, "vec_id", "embedding").where("id % 10 = 0")
+    v = {r.id: np.array(r.v) / np.linalg.norm(r.v) for r in ivf.usable(df, "vec_id", "embedding").collect()}
+    want = {q.id: [i for _, i in sorted((-round(float(v[q.id] @ x), 9), i) for i, x in v.items() if i != q.id)][:5] for q in asked.collect()}
+    for kept in (1 << 21, 3):
+        monkeypatch.setattr(ivf, "KEPT", kept)
+        for found in (ivf.exact_neighbors(spark, f"{tmp_path}/a", asked, 5), ivf.neighbors(spark, f"{tmp_path}/a", c, asked, 5, len(c))):
+            got = {}
+            for r in found.orderBy("question", "rank").collect():
+                got.setdefault(r.question, []).append(r.id)
+            assert got == want
+    monkeypatch.setattr(ivf, "KEPT", 1 << 21)
+    best = ivf._Best(2)
+    for k in range(50):
+        assert not list(best.add(np.arange(3), np.arange(10) + 10 * k + 5, np.random.default_rng(k).random((3, 10))))
+    assert sum(b.num_rows for b in best.rest()) == 6
+    assert ivf.exact_neighbors(spark, f"{tmp_path}/none", asked, 5).count() == 0
