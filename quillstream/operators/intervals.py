@@ -67,13 +67,76 @@ def overlap_or_nearest(items: DataFrame, clips: DataFrame, keys: list[str], item
     return met.select(*near.columns).unionByName(near)
 
 
+#: Rows of a key whose jumps one task follows at once.
+HOPS = 1 << 17
+
+
+def _visited(jumps: DataFrame, first: DataFrame, keys: list[str], hops: int | None = None) -> DataFrame:
+    """keys, __from of the rows that are met from a key's `first` rows on (keys, __from) by its jumps (keys, __from, __to; __to > __from).
+
+    Tasks follow the jumps within stretches of `hops` rows. Only rows that a jump from another stretch meets may be where a stretch is entered; which of
+    them are, is found by doubling what leads from one of them to the next. Then each stretch is followed once more from there.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from .shared import durable
+
+    hops = hops or HOPS
+    stretch = lambda c: F.floor((F.col(c) - 1) / hops)
+    same = lambda a, b, x, y: reduce(lambda p, q: p & q, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys], F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
+    kinds = [jumps.schema[c] for c in keys]
+
+    def grouped(entered: DataFrame, follow, names: list[str]) -> DataFrame:
+        # keys go through as they are; a group is one key's rows of one stretch
+        rows = jumps.alias("j").join(entered.withColumn("__in", F.lit(True)).alias("e"), same("j", "e", "__from", "__from"), "left").select("j.*", F.col("e.__in").isNotNull().alias("__in"))
+
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by("__from")
+            cells = follow(t["__from"].to_numpy(), t["__to"].to_numpy(), t["__in"].to_numpy())
+            own = [pa.array([t[c][0].as_py()] * len(cells[0]), t[c].type) for c in keys]
+            return pa.table([*own, *[pa.array(x, pa.int64()) for x in cells]], names=[*keys, *names])
+
+        ddl = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds], *[f"{n} long" for n in names]])
+        return rows.groupBy(*keys, stretch("__from").alias("__stretch")).applyInArrow(run, ddl)
+
+    def onward(at, to):
+        """Places of the rows that are jumped to, -1 where the stretch has none."""
+        place = np.minimum(np.searchsorted(at, to), len(at) - 1)
+        return np.where(at[place] == to, place, -1).tolist()
+
+    def leave(at, to, inside):
+        out = to.tolist()
+        for i, k in zip(range(len(at) - 1, -1, -1), reversed(onward(at, to))):
+            if k >= 0:
+                out[i] = out[k]
+        return at[inside], np.array(out, np.int64)[inside]
+
+    def walk(at, to, inside):
+        met, ahead = inside.copy(), onward(at, to)
+        for i in np.flatnonzero(inside).tolist():
+            while (i := ahead[i]) >= 0 and not met[i]:
+                met[i] = True
+        return (np.unique(np.concatenate([at[met], to[met]])),)
+
+    doors = durable(jumps.where(stretch("__from") != stretch("__to")).select(*keys, F.col("__to").alias("__from")).unionByName(first).distinct())
+    leads = durable(grouped(doors, leave, ["__from", "__to"]))
+    met, before = first, 0
+    while (n := met.count()) != before:
+        before = n
+        new = met.alias("m").join(leads.alias("j"), same("m", "j", "__from", "__from")).select(*[F.col(f"m.{c}") for c in keys], F.col("j.__to").alias("__from"))
+        met = durable(met.unionByName(new).distinct())
+        leads = durable(leads.alias("a").join(leads.alias("b"), same("a", "b", "__to", "__from")).select(*[F.col(f"a.{c}") for c in keys], F.col("a.__from").alias("__from"), F.col("b.__to").alias("__to")))
+    return durable(grouped(met, walk, ["__from"]).unionByName(met).distinct())
+
+
 def budget_parts(rows: DataFrame, keys: list[str], at: str, width: float, order: list[str], size: str, budget: int, name: str = "part") -> DataFrame:
     """rows with the number (0..) of their part in their key's greedy partition: a row that would exceed the budget begins a new part.
 
     For keys of any length; folds.greedy_bins does the same to a short key's array. Sizes are whole numbers, not negative, null is 0; a
     row over the budget stands alone. order begins with `at` and tells rows of a key apart. Every row's next start is found by its
-    place among the prefix sums; which starts are really met, from a key's first row on, by doubling those jumps: as many joins as
-    the logarithm of the number of parts. No key is ever gathered.
+    place among the prefix sums; which starts are really met, from a key's first row on, by following those jumps in stretches of HOPS rows, and
+    by doubling what leads from stretch to stretch: as many joins of these few rows as the logarithm of the number of stretches. No key is ever gathered.
     """
     from .shared import durable
 
@@ -92,15 +155,7 @@ def budget_parts(rows: DataFrame, keys: list[str], at: str, width: float, order:
     last = step.groupBy(*keys).agg(F.max("__pos").alias("__last"))
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys], F.lit(True))
     jumps = jumps.alias("j").join(last.alias("l"), same("j", "l")).where("__to <= __last").select("j.*")
-    met = durable(step.where("__pos = 1").select(*k, F.col("__pos").alias("__from")))
-    jumps, before = durable(jumps), 0
-    while (n := met.count()) != before:
-        before = n
-        on = same("m", "j") & (F.col("m.__from") == F.col("j.__from"))
-        new = met.alias("m").join(jumps.alias("j"), on).select(*[F.col(f"m.{c}") for c in keys], F.col("j.__to").alias("__from"))
-        met = durable(met.unionByName(new).distinct())
-        twice = same("a", "b") & (F.col("a.__to") == F.col("b.__from"))
-        jumps = durable(jumps.alias("a").join(jumps.alias("b"), twice).select(*[F.col(f"a.{c}") for c in keys], F.col("a.__from").alias("__from"), F.col("b.__to").alias("__to")))
+    met = _visited(durable(jumps), durable(step.where("__pos = 1").select(*k, F.col("__pos").alias("__from"))), keys)
     starts = met.withColumn("__start", F.lit(1).cast("long"))
     on = same("r", "s") & (F.col("r.__pos") == F.col("s.__from"))
     flagged = step.alias("r").join(starts.alias("s"), on, "left").select("r.*", "s.__start")
