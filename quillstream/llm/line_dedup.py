@@ -4,7 +4,8 @@ Lines are split into edits + 1 segments; if two lines are within `edits` edits,
 stands in the other unchanged. Each distinct line is indexed by (length, segment number, segment) and probes
 the indexes of its own and up to `edits` smaller lengths with the substrings at the places where an alignment
 within `edits` edits can put that segment. Lines found so are cut finer and paired where all but `edits` of the
-finer segments agree. Candidates are verified by banded bit-parallel edit distance: a
+finer segments agree. Where many agree, what they skip is cut finer in its turn, and in the end they are linked to one line for
+each way to edit what is left, so that a group costs rows in proportion to its size. Candidates are verified by banded bit-parallel edit distance: a
 column of the band's vertical differences is one long. Only DataFrame functions are used.
 """
 
@@ -21,9 +22,13 @@ from .common import WORD, components, durable, table
 LEAST_CHARS, EDITS = 24, 2
 #: Segments of the finer cuts, by which lines that share a segment are looked over before they are paired.
 FINE = 6
+#: Up to so many rows of a finer key are paired. What more of them skip is cut again, down to so many characters.
+PAIRED, SHORT = 32, 12
 #: Common beginnings and ends are found in this many halvings: up to 2 ** 21 characters, any more stay. Tasks that verify.
 LONGEST_BITS, SPREAD = 20, 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Sets of letters, beyond those that edits can touch, whose counts lines of a large group must share before they are cut again.
+ALIKE = 3
 #: Keys and hashes of candidate lines up to so many are sent to the lines (16 MB); more meet them in a shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -35,13 +40,18 @@ def _place(length: Column, parts: int, k: int | Column) -> tuple[Column, Column]
     return size * k + F.greatest(k - short, F.lit(0)) + 1, size + F.when(k >= short, 1).otherwise(0)
 
 
-def _key(line: Column, length: Column, k: int, at: Column, size: Column) -> Column:
-    """line: in UTF-32, where a place is found without a walk over the characters before it."""
-    return F.xxhash64(length, F.lit(k), F.substr(line, (at - 1) * 4 + 1, size * 4))
+def _key(line: Column, length: Column, k: int, at: Column, size: Column, edits: int) -> Column:
+    """line: in UTF-32, where a place is found without a walk over the characters before it. The last bits tell the length, modulo _turn."""
+    return F.shiftleft(F.xxhash64(length, F.lit(k), F.substr(line, (at - 1) * 4 + 1, size * 4)), edits.bit_length()).bitwiseOR(length.bitwiseAND(F.lit(_turn(edits) - 1)).cast("long"))
+
+
+def _turn(edits: int) -> int:
+    """A power of two above `edits`: lengths that differ by no more than `edits` differ modulo it."""
+    return 1 << edits.bit_length()
 
 
 def _index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*[_key(line, length, k, *_place(length, edits + 1, k)) for k in range(edits + 1)])
+    return F.array(*[_key(line, length, k, *_place(length, edits + 1, k), edits) for k in range(edits + 1)])
 
 
 def _probe_keys(line: Column, length: Column, edits: int) -> Column:
@@ -54,40 +64,114 @@ def _probe_keys(line: Column, length: Column, edits: int) -> Column:
     for less in range(edits + 1):
         for k in range(edits + 1):
             at, size = _place(length - less, edits + 1, k)
-            keys += [_key(line, length - less, k, at + shift, size) for shift in range(-edits, edits + 1) if abs(shift) <= k and abs(shift - less) <= edits - k]
+            keys += [_key(line, length - less, k, at + shift, size, edits) for shift in range(-edits, edits + 1) if abs(shift) <= k and abs(shift - less) <= edits - k]
     return F.array(*keys)
 
 
-def _ways(edits: int) -> tuple[list[tuple], list[tuple]]:
-    """Finer cuts: (skipped segments, characters fewer, displacements after each of them) to index and to probe.
+def _ways(edits: int) -> list[tuple]:
+    """Finer cuts: (skipped segments, characters fewer, displacements after each of them), at first those of a line as it is.
 
     `edits` edits lie in at most as many of FINE segments of the shorter line. Between the skipped ones both lines
     agree, displaced by the edits so far; the steps of the displacement add up to at most `edits`.
     """
     skipped = list(itertools.combinations(range(FINE), edits))
-    own = [(c, 0, (0,) * edits) for c in skipped]
     moves = []
     for less in range(edits + 1):
         for path in itertools.product(range(-edits, edits + 1), repeat=max(edits - 1, 0)):
             steps = (0, *path, less)
-            if edits and sum(abs(y - x) for x, y in zip(steps, steps[1:])) <= edits:
+            if edits and any(steps) and sum(abs(y - x) for x, y in zip(steps, steps[1:])) <= edits:
                 moves.append((less, steps[1:]))
-    return own, [(c, less, path) for c in skipped for less, path in moves] if edits else [((), 0, ())]
+    return [(c, 0, (0,) * edits) for c in skipped] + [(c, less, path) for c in skipped for less, path in moves]
+
+
+def _literal(ways: list[tuple]) -> Column:
+    ints = lambda x: f"array({','.join(map(str, x))})"
+    cells = ",".join(f"named_struct('less',{less},'skip',{ints(c)},'move',{ints(m)})" for c, less, m in ways)
+    return F.expr(f"cast(array({cells}) as array<struct<less:int,skip:array<int>,move:array<int>>>)")
+
 
+def _cut(line: Column, w: Column, edits: int) -> tuple[list[Column], list[Column]]:
+    """What stands for what way w doesn't skip, and the skipped segments."""
+    n, begin, shift = F.char_length(line) - w["less"], F.lit(1), F.lit(0)
+    kept, rest = [n, w["skip"]], []
+    for k in range(edits):
+        at, size = _place(n, FINE, F.get(w["skip"], F.lit(k)))
+        move = F.get(w["move"], F.lit(k))
+        kept.append(F.substr(line, begin + shift, at - begin))
+        rest.append(F.substr(line, at + shift, size + move - shift))
+        begin, shift = at + size, move
+    return [*kept, F.substr(line, begin + shift, n - begin + 1)], rest
 
-def _fine_rows(text: DataFrame, ways: list[tuple]) -> DataFrame:
-    """key, less, h: one row for each line of `text` and way, a key of what the way doesn't skip."""
-    kind = "array<struct<less:int,skip:array<int>,move:array<int>>>"
-    literal = ",".join(f"named_struct('less',{less},'skip',array({','.join(map(str, c))}),'move',array({','.join(map(str, m))}))" for c, less, m in ways)
-    rows = text.select("h", "line", F.char_length("line").alias("n"), F.explode(F.expr(f"cast(array({literal}) as {kind})")).alias("w"))
-    n, begin, kept = F.col("n") - F.col("w.less"), F.lit(1), []
-    shift = F.lit(0)
-    for k in range(len(ways[0][0])):
-        at, size = _place(n, FINE, F.get(F.col("w.skip"), F.lit(k)))
-        kept.append(F.substr("line", begin + shift, at - begin))
-        begin, shift = at + size, F.get(F.col("w.move"), F.lit(k))
-    kept.append(F.substr("line", begin + shift, n - begin + 1))
-    return rows.select(F.xxhash64(n, F.col("w.skip"), *kept).alias("key"), F.col("w.less").alias("less"), "h")
+
+def _meeting(text: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """hi, hp: lines that meet in a finer key of PAIRED rows or fewer; g, h, line: the key, and what it skips, of lines in a key of more.
+
+    text: g, h, line, turns. Lines of different g don't meet. Bit k of turns: a line that meets this one may have a length of k modulo _turn.
+    """
+    ways = _ways(edits)
+    own = sum(not any(m) for _, _, m in ways)
+    each = text.select("g", "h", "line", "turns", F.posexplode(_literal(ways)).alias("way", "w"))
+    length = (F.char_length("line") - F.col("w.less")).bitwiseAND(F.lit(_turn(edits) - 1))
+    met = (F.col("way") < own) | (F.call_function("shiftright", F.col("turns"), length).bitwiseAND(F.lit(1)) == 1)
+    rows = each.where(met).select(F.xxhash64("g", *_cut(F.col("line"), F.col("w"), edits)[0]).alias("key"), "g", "h", "way")
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("way").alias("least"))
+    rows = durable(rows.join(_sent(keys.where(f"lo <> hi and least < {own}").select("key", "n")), "key"))
+    few = rows.where(f"n <= {PAIRED}").select("key", "h", "way")
+    index, probe = few.where(f"way < {own}").select("key", F.col("h").alias("hi")), few.select("key", "way", F.col("h").alias("hp"))
+    pairs = index.join(probe, "key").where(f"hi <> hp and (way >= {own} or hi < hp)").select("hi", "hp")
+    many = rows.where(f"n > {PAIRED}").join(text.select("g", "h", "line"), ["g", "h"]).withColumn("w", F.element_at(_literal(ways), F.col("way") + 1))
+    kept, rest = _cut(F.col("line"), F.col("w"), edits)
+    # a line that is itself what a key left may stand in its group more than once: the key tells which one is meant
+    again = many.where(F.xxhash64("g", *kept) == F.col("key")).select(F.col("key").alias("g"), "h", F.concat_ws("\n", *rest).alias("line")).distinct()
+    return pairs, again
+
+
+def _alike(text: DataFrame, letters: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """hi, hp: lines of one g that share ALIKE sets' letter counts with few others; the rows of `text` that share them with more than PAIRED.
+
+    text: g, h, line; letters: h, c, n (the length of a line). An edit changes two letters' counts at most, so that of 2 * edits + ALIKE sets some ALIKE stay as they are.
+    """
+    sets = 2 * edits + ALIKE
+    half = sum((F.get("c", F.lit(k)) for k in range(0, len(LETTERS), 2)), F.lit(0))
+    some = letters.select("h", "n", half.alias("half"), *[F.xxhash64(*[F.get("c", F.lit(k)) for k in range(x, len(LETTERS), sets)], F.lit(x)).alias(f"s{x}") for x in range(sets)])
+    keys = [F.xxhash64("g", F.lit(k), *[f"s{x}" for x in which]) for k, which in enumerate(itertools.combinations(range(sets), ALIKE))]
+    rows = text.select("g", "h").distinct().join(some, "h").select("g", "h", "n", "half", F.explode(F.array(*keys)).alias("key"))
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    rows = durable(rows.join(_sent(met), "key"))
+    few = rows.where(f"k <= {PAIRED}")
+    one, two = few.select("key", F.col("h").alias("hi"), "n", "half"), few.select("key", F.col("h").alias("hp"), F.col("n").alias("m"), F.col("half").alias("part"))
+    pairs = one.join(two, "key").where(f"hi < hp and abs(n - m) <= {edits} and abs(half - part) <= {edits}").select("hi", "hp")
+    return pairs, text.join(rows.where(f"k > {PAIRED}").select("g", "h").distinct(), ["g", "h"], "left_semi")
+
+
+def _stars(text: DataFrame, edits: int) -> DataFrame:
+    """hi, hp: pairs of `edits` edits at most that connect all such pairs of one g; text: g, h, line (SHORT characters at most).
+
+    Each line stands under what is left after removing up to `edits` characters, told apart by which of them are only replaced, and where. Two
+    lines under one key are as many edits apart as both have lost, and as are replaced in both. The one that has lost the fewest is within
+    reach of every line there that has anything within reach, so that it alone is linked to them. Line ends join what was skipped and are never removed.
+    """
+    cells = []
+    for k in range(edits + 1):
+        for at in itertools.combinations(range(1, SHORT + 1), k):
+            for lost in itertools.product((True, False), repeat=k):
+                gone = [p for p, x in zip(at, lost) if x]
+                cells.append((at, [p - sum(q < p for q in gone) for p, x in zip(at, lost) if not x], len(gone)))
+    ints = lambda x: f"array({','.join(map(str, x))})"
+    kind = "array<struct<at:array<int>,swapped:array<int>,lost:int>>"
+    structs = ",".join(f"named_struct('at',{ints(a)},'swapped',{ints(s)},'lost',{n})" for a, s, n in cells)
+    literal = F.expr(f"cast(array({structs}) as {kind})")
+    each = text.select("g", "h", "line", F.explode(literal).alias("x"))
+    each = each.where(F.forall("x.at", lambda p: (p <= F.char_length("line")) & (F.substr("line", p, F.lit(1)) != "\n")))
+    parts, begin = [], F.lit(1)
+    for k in range(edits + 1):
+        end = F.coalesce(F.get("x.at", F.lit(k)), F.lit(SHORT + 1))
+        parts.append(F.substr("line", begin, F.greatest(end - begin, F.lit(0))))
+        begin = end + 1
+    rows = each.select(F.xxhash64("g", "x.swapped", F.concat(*parts)).alias("key"), "h", F.col("x.lost").alias("lost"), F.size("x.swapped").alias("swapped"))
+    keys = rows.groupBy("key").agg(F.min(F.struct("lost", "h")).alias("first"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    met = rows.join(_sent(keys.where("lo <> hi").select("key", "first")), "key").where((F.col("h") != F.col("first.h")) & (F.col("lost") + F.col("first.lost") + F.col("swapped") <= edits))
+    return met.select(F.col("first.h").alias("hi"), F.col("h").alias("hp"))
 
 
 def letter_counts(line: Column) -> Column:
@@ -163,7 +247,7 @@ def _then(first, second, s: Column, j: Column) -> Column:
 
 
 def _contested(lines: DataFrame, edits: int) -> DataFrame:
-    """h: hashes of the lines that probe a key of another line, or are found by one.
+    """h, turns: hashes of the lines that probe a key of another line, or are found by one; bits of the lengths they probed with success, modulo _turn.
 
     A key's index lines meet the probes as their smallest and largest hash, so that a key with many lines costs
     one row a line and not one a pair. They have one row a key, so a table of them in memory has no hot key.
@@ -174,7 +258,9 @@ def _contested(lines: DataFrame, edits: int) -> DataFrame:
     ends = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     met = durable(ends.hint("shuffle_hash").join(probe, "key").where("lo <> hp or hi <> hp").select("key", "hp").distinct())
     keys = met.select("key").distinct()
-    return met.select(F.col("hp").alias("h")).union(index.join(_sent(keys), "key", "left_semi").select("h")).distinct()
+    turn = F.call_function("shiftleft", F.lit(1), F.col("key").bitwiseAND(F.lit(_turn(edits) - 1)).cast("int"))
+    found = index.join(_sent(keys), "key", "left_semi").select("h", F.lit(0).alias("turns"))
+    return met.select(F.col("hp").alias("h"), turn.alias("turns")).union(found).groupBy("h").agg(F.bit_or("turns").alias("turns"))
 
 
 def _sent(few: DataFrame) -> DataFrame:
@@ -184,15 +270,23 @@ def _sent(few: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """a, b: md5 of every two different lines at most `edits` edits apart; lines: `line`, LEAST_CHARS or more, repeats allowed.
+    """a, b: md5 of different lines at most `edits` edits apart, enough to connect all such; lines: `line`, LEAST_CHARS or more, repeats allowed.
 
-    Lines that share a segment with another are looked over once more by finer cuts, before any two are paired.
+    Lines that share a segment with another are looked over once more by finer cuts, before any two are paired. All pairs come
+    of keys of PAIRED rows or fewer; of larger ones, those between a line and others within its reach.
     """
     wanted = _sent(_contested(lines, edits))
-    text = durable(lines.select("line", F.xxhash64("line").alias("h")).join(wanted, "h", "left_semi").select("line", "h").distinct().withColumn("c", letter_counts(F.col("line"))))
-    own, moved = _ways(edits)
-    index, probe = _fine_rows(text, own).select("key", F.col("h").alias("hi")), _fine_rows(text, moved).select("key", "less", F.col("h").alias("hp"))
-    pairs = index.join(probe, "key").where("hi <> hp and (less > 0 or hi < hp)").select("hi", "hp").distinct()
+    text = durable(lines.select("line", F.xxhash64("line").alias("h")).join(wanted, "h").select("line", "h", "turns").distinct().withColumn("c", letter_counts(F.col("line"))))
+    pairs, again = _meeting(text.select(F.lit(0).cast("long").alias("g"), "h", "line", "turns"), edits)
+    text = text.drop("turns")
+    # what is skipped is shorter each time: about a third. Lines whose letters differ are no longer in it
+    while not (again := durable(again)).isEmpty():
+        met, again = _alike(again, text.select("h", "c", F.char_length("line").alias("n")), edits)
+        pairs, again = pairs.union(met), durable(again)
+        pairs = pairs.union(_stars(again.where(F.char_length("line") <= SHORT), edits))
+        met, again = _meeting(again.where(F.char_length("line") > SHORT).withColumn("turns", F.lit((1 << _turn(edits)) - 1)), edits)
+        pairs = pairs.union(met)
+    pairs = pairs.select(F.least("hi", "hp").alias("hi"), F.greatest("hi", "hp").alias("hp")).distinct()
     x, y = text.toDF("x", "hi", "lx"), text.toDF("y", "hp", "ly")
     met = pairs.join(x, "hi").join(y, "hp").where((F.abs(F.char_length("x") - F.char_length("y")) <= edits) & same_letters(F.col("lx"), F.col("ly"), edits)).select("x", "y")
     met = durable(_cores(met).where(F.abs(F.char_length("cx") - F.char_length("cy")) <= edits).repartition(SPREAD, F.xxhash64("x", "y")))
