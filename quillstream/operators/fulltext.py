@@ -7,36 +7,90 @@ most promising ranges are scored, and then only ranges that may still beat a que
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from .search import B, K1
 
 #: Documents of a range.
 WIDTH = 1024
 #: Ranges that a question scores before it knows a bound.
 SEEDS = 2
+#: Questions that meet a range in one task; rows of which a task cuts the words at once, and their bytes, about.
+LOT, ROWS, BYTES = 4096, 256, 4 << 20
 _SLACK = 1e-6
-
-
-def _forward(width: int):
-    schema = pa.schema([("id", pa.int64()), ("range", pa.int64()), ("n", pa.int32()), ("terms", pa.list_(pa.string())), ("tfs", pa.list_(pa.int32()))])
+_INK = np.zeros(256, bool)
+_INK[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+
+_BLOCKS = pa.schema([("term", pa.string()), ("range", pa.int64()), ("ids", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
+_BLOCKS_DDL = "term string, range long, ids array<long>, at array<int>, tfs array<int>, ns array<int>"
+
+
+def _counted(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of lower-cased texts; (row, number of the term, count) of each text's terms; words of each text. A term is a run of a-z and 0-9."""
+    col = col.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    ink = np.append(_INK[data], False)
+    before = np.append(False, ink[:-1])
+    before[offsets] = False
+    after = np.append(ink[1:], False)
+    after[offsets[offsets > 0] - 1] = False
+    starts, ends = np.flatnonzero(ink & ~before), np.flatnonzero(ink & ~after) + 1
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    words = np.bincount(row, minlength=len(col)).astype(np.int32)
+    if not len(starts):
+        return pa.array([], pa.string()), row, row, row, words
+    # words and what is between them take turns as values of one column
+    both = np.stack([starts, ends], 1).ravel()
+    turns = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(both) - 1, [None, pa.py_buffer(both.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = turns.take(pa.array(np.arange(0, len(both) - 1, 2))).dictionary_encode()
+    size = len(coded.dictionary)
+    cells, tfs = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+    return coded.dictionary.cast(pa.large_string()).cast(pa.string()), cells // size, cells % size, tfs, words
+
+
+def _invert(width: int):
+    """Blocks of a task's documents, a range of `width` at a time; a row without a term holds all of a range's lengths."""
+
+    def block(number: int, held: list) -> pa.RecordBatch:
+        ids, words = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[5] for x in held])
+        first = np.cumsum([0, *(len(x[0]) for x in held)])
+        coded = pa.concat_arrays([x[1] for x in held]).dictionary_encode()
+        of, base = coded.indices.to_numpy(), np.cumsum([0, *(len(x[1]) for x in held)])
+        term = np.concatenate([of[b + x[3]] for x, b in zip(held, base)])
+        row = np.concatenate([x[2] + f for x, f in zip(held, first)])
+        tfs = np.concatenate([x[4] for x in held])
+        order = np.lexsort((row, term))
+        row, tfs, n = row[order], tfs[order], len(coded.dictionary)
+        ends = np.append(np.searchsorted(term[order], np.arange(n + 1)), 0)
+        ends[-1] = ends[-2] + len(words)
+        offsets, rows = pa.array(ends, pa.int32()), np.append(row, np.arange(len(words)))
+        cells = (ids.take(pa.array(rows)), pa.array(rows, pa.int32()), pa.array(np.append(tfs, np.zeros(len(words), np.int64)), pa.int32()), pa.array(words[rows], pa.int32()))
+        terms = pa.concat_arrays([coded.dictionary, pa.array([None], pa.string())])
+        return pa.RecordBatch.from_arrays([terms, pa.array(np.full(n + 1, number), pa.int64()), *(pa.ListArray.from_arrays(offsets, x) for x in cells)], schema=_BLOCKS)
 
     def run(it):
-        base, seen = TaskContext.get().partitionId() << 32, 0
+        number, seen, held = TaskContext.get().partitionId() << 32, 0, []
         for b in it:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                counts = [Counter(t or ()) for t in part.column(1).to_pylist()]
-                ranges = [base + (seen + k) // width for k in range(len(counts))]
-                seen += len(counts)
-                cells = [part.column(0), pa.array(ranges, pa.int64()), pa.array([sum(c.values()) for c in counts], pa.int32()), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(cells, schema=schema)
+            at = 0
+            while at < b.num_rows:
+                most = min(ROWS, width - seen, b.num_rows - at)
+                while most > 1 and b.slice(at, most).nbytes > BYTES:
+                    most //= 2
+                part = b.slice(at, most)
+                held.append((part.column(0), *_counted(part.column(1))))
+                at, seen = at + most, seen + most
+                if seen == width:
+                    yield block(number, held)
+                    number, seen, held = number + 1, 0, []
+        if held:
+            yield block(number, held)
 
     return run
 
@@ -44,19 +98,21 @@ def _forward(width: int):
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> None:
     """Writes the index of `docs` under `path`: documents, postings (sorted by term, so that a reader skips what it doesn't ask for), terms, stats.
 
-    Null texts have no terms, but count as documents. Rows without an id and repeated rows are documents of their own.
+    Null texts have no terms, but count as documents. Rows without an id and repeated rows are documents of their own. Tasks count
+    terms and put blocks together range by range, so that what is shuffled are blocks and not postings.
     """
     spark = docs.sparkSession
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("t"))
-    thin.mapInArrow(_forward(width), "id long, range long, n int, terms array<string>, tfs array<int>").write.parquet(f"{path}/documents")
-    forward = spark.read.parquet(f"{path}/documents")
-    forward.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n")).coalesce(1).write.parquet(f"{path}/stats")
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("t"))
+    thin.mapInArrow(_invert(width), _BLOCKS_DDL).write.parquet(f"{path}/documents")
+    every = spark.read.parquet(f"{path}/documents")
+    lengths = every.where("term is null").select(F.explode("ns").alias("n"))
+    lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n")).coalesce(1).write.parquet(f"{path}/stats")
     avg = spark.read.parquet(f"{path}/stats").first().avg_n or 1.0
-    one = forward.select("range", "id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("range", "id", "n", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(avg)))
-    # a group is a term in a range: WIDTH postings at most
-    blocks = one.withColumn("part", part).groupBy("term", "range").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("best"), F.collect_list(F.struct("id", "part")).alias("postings"))
-    blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{path}/postings")
+    part = lambda x: x["tfs"] * (K1 + 1) / (x["tfs"] + K1 * (1 - B + B * x["ns"] / F.lit(avg)))
+    # a row is a term in a range: WIDTH postings at most
+    postings = F.transform(F.arrays_zip("ids", "at", "tfs", "ns"), lambda x: F.struct(x["ids"].alias("id"), x["at"].alias("at"), part(x).alias("part")))
+    blocks = every.where("term is not null").repartitionByRange("term", "range").sortWithinPartitions("term", "range").select("term", "range", F.size("ids").cast("long").alias("df"), postings.alias("postings"))
+    blocks.select("term", "range", "df", F.array_max(F.transform("postings", lambda p: p["part"])).alias("best"), "postings").write.parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("df").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
 
 
@@ -74,11 +130,46 @@ def bounds(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
 
 
 def _scored(spark: SparkSession, path: str, wanted: DataFrame, keep: int) -> DataFrame:
-    """question, id, score of the `keep` best of the wanted blocks (question, term, idf, range)."""
+    """question, id, score of the `keep` best of the wanted blocks (question, term, idf, range).
+
+    A range's blocks meet LOT questions, about, in one task, whoever asks for them; only a question's best of a range leave it.
+    """
+    from .shared import durable
+
+    wanted = durable(wanted)
+    lots = -(-wanted.select("question").distinct().count() // LOT) or 1
+    wanted = wanted.withColumn("lot", F.pmod(F.xxhash64("question"), F.lit(lots)))
     postings = spark.read.parquet(f"{path}/postings").select("term", "range", "postings")
-    each = wanted.join(postings, ["term", "range"]).select("question", "range", "idf", F.explode("postings").alias("p"))
-    score = each.groupBy("question", "range", "p.id").agg(F.round(F.sum(F.col("idf") * F.col("p.part")), 9).alias("score")).drop("range")
-    return _best(score, keep)
+    blocks = postings.join(wanted.select("term", "range", "lot").distinct(), ["term", "range"]).select("term", F.col("range").alias("r"), "postings", F.col("lot").alias("l"))
+    kind = spark.createDataFrame([], wanted.select("question").schema).withColumns({"id": F.lit(None).cast("long"), "score": F.lit(None).cast("double")}).schema
+
+    def score(own: pa.Table, asked: pa.Table) -> pa.Table:
+        lists = own["postings"].combine_chunks()
+        values, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
+        ids, at, part = values.field("id"), values.field("at").to_numpy(), values.field("part").to_numpy()
+        places = {t: slice(a, b) for t, a, b in zip(own["term"].to_pylist(), ends, ends[1:])}
+        width = int(at.max(initial=-1)) + 1
+        place = np.zeros(width, np.int64)
+        place[at] = np.arange(len(at))
+        coded, sums, whose, found, scores = asked["question"].combine_chunks().dictionary_encode(null_encoding="encode"), np.zeros(width), [], [], []
+        of, terms, idfs = coded.indices.to_numpy(), asked["term"].to_pylist(), asked["idf"].to_numpy()
+        order = np.argsort(of, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
+            sums[:] = 0
+            for k in rows:
+                s = places[terms[k]]
+                sums[at[s]] += idfs[k] * part[s]
+            best = np.flatnonzero(sums)
+            if len(best) > keep:  # scores that may be equal after rounding stay
+                best = best[sums[best] >= np.partition(sums[best], -keep)[-keep] - 1e-8]
+            whose.append(np.full(len(best), of[rows[0]]))
+            found.append(place[best])
+            scores.append(sums[best])
+        join = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
+        return pa.table({"question": coded.dictionary.take(pa.array(join(whose, np.int64))), "id": ids.take(pa.array(join(found, np.int64))), "score": pa.array(join(scores, float))})
+
+    each = blocks.groupBy("r", "l").cogroup(wanted.groupBy("range", "lot")).applyInArrow(score, kind)
+    return _best(each.withColumn("score", F.round("score", 9)), keep)
 
 
 def _best(scored: DataFrame, keep: int) -> DataFrame:

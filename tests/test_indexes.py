@@ -100,3 +100,18 @@ def test_exact_neighbors_leave_few_rows_to_rank(spark, tmp_path, monkeypatch):
         assert not list(best.add(np.arange(3), np.arange(10) + 10 * k + 5, np.random.default_rng(k).random((3, 10))))
     assert sum(b.num_rows for b in best.rest()) == 6
     assert ivf.exact_neighbors(spark, f"{tmp_path}/none", asked, 5).count() == 0
+
+
+def test_index_keeps_rows_of_one_id_apart(spark, tmp_path):
+    """Repeated and missing ids are documents of their own; letters beyond a-z, capitals and empty texts as the SQL cuts them; one block a term and range."""
+    rows = [(1, "Ab é1b ab"), (1, "ab"), (None, "x"), (None, "x x"), (3, None), (4, ""), (5, "K9 k9é"), (6, "-ab"), (7, "ab-")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    fulltext.build(docs, f"{tmp_path}/i", width=4)
+    blocks = spark.read.parquet(f"{tmp_path}/i/postings")
+    assert blocks.count() == blocks.select("term", "range").distinct().count()
+    assert {r.term: r.df for r in spark.read.parquet(f"{tmp_path}/i/terms").collect()} == {"ab": 4, "1b": 1, "x": 2, "k9": 1}
+    stats = spark.read.parquet(f"{tmp_path}/i/stats").first()
+    assert (stats.docs, stats.avg_n) == (9, 11 / 9)
+    questions = spark.createDataFrame([(1, ["ab"]), (2, ["x"])], "question long, terms array<string>")
+    found = fulltext.search(spark, f"{tmp_path}/i", questions, 5)[0].collect()
+    assert sorted((r.question, r.id or 0) for r in found) == [(1, 1), (1, 1), (1, 6), (1, 7), (2, 0), (2, 0)]
