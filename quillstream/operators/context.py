@@ -82,15 +82,23 @@ def by_name(entities: DataFrame, name: str, name_col: str = "name") -> DataFrame
     return entities.where(norm_key(F.col(name_col)) == norm_key(F.lit(name)))
 
 
+#: Rows, children among them, of a task that puts children together, about.
+HELD = 250_000
+
+
 def hydrate(rows: DataFrame, key: str, children: dict[str, tuple[DataFrame, list[str], list[str], int | None]]) -> DataFrame:
     """rows with an array of structs for each kind of children: (frame with `key`, order, fields, most).
 
-    Children are aggregated by key before they meet the rows, so that kinds don't multiply. A row without has empty arrays.
+    Children are aggregated by key before they meet the rows, so that kinds don't multiply. A row without has empty arrays. All are dealt
+    by key to one task for HELD rows of the largest frame, so that what a task holds doesn't grow with the tables; one key's children are one row.
     """
+    parts = max(1, *(-(-df.count() // HELD) for df in (rows, *(x[0] for x in children.values()))))
+    rows = rows.repartition(parts, key)
+    wanted = rows.select(key).distinct()
     for name, (frame, order, fields, most) in children.items():
         extra = [f for f in fields if f not in order]
         items = F.array_sort(F.collect_list(F.struct(*order, *extra)))
-        per = frame.join(rows.select(key).distinct(), key, "left_semi").groupBy(key).agg((F.slice(items, 1, most) if most else items).alias(name))
+        per = frame.repartition(parts, key).join(wanted, key, "left_semi").groupBy(key).agg((F.slice(items, 1, most) if most else items).alias(name))
         kind = per.schema[name].dataType
         rows = rows.join(per, key, "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
     return rows

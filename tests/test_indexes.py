@@ -115,3 +115,15 @@ def test_index_keeps_rows_of_one_id_apart(spark, tmp_path):
     questions = spark.createDataFrame([(1, ["ab"]), (2, ["x"])], "question long, terms array<string>")
     found = fulltext.search(spark, f"{tmp_path}/i", questions, 5)[0].collect()
     assert sorted((r.question, r.id or 0) for r in found) == [(1, 1), (1, 1), (1, 6), (1, 7), (2, 0), (2, 0)]
+
+
+def test_hydrate_has_more_tasks_for_more_rows(spark, monkeypatch):
+    """What a task holds follows HELD, not the number of shuffle partitions; rows without children and children without a row too."""
+    from quillstream.operators import context
+
+    monkeypatch.setattr(context, "HELD", 50)
+    rows = spark.range(120).withColumnRenamed("id", "k")
+    items = spark.range(600).select((F.col("id") % 130 + 5).alias("k"), F.col("id").alias("x"))
+    got = context.hydrate(rows, "k", {"items": (items, ["x"], [], None)})
+    assert got.rdd.getNumPartitions() == 12
+    assert {r.k: [i.x for i in r["items"]] for r in got.collect()} == {k: [x for x in range(600) if x % 130 + 5 == k] for k in range(120)}
