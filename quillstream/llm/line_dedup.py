@@ -33,16 +33,15 @@ ALIKE = 3
 BROADCAST_LINES = 1_000_000
 
 
-def _place(length: Column, parts: int, k: int | Column) -> tuple[Column, Column]:
+def _place(length: Column, parts: int, k: Column) -> tuple[Column, Column]:
     """First place (from 1) and size of segment k; the last length % parts segments are one longer."""
-    k = F.lit(k) if isinstance(k, int) else k
     size, short = F.call_function("div", length, F.lit(parts)).cast("int"), F.lit(parts) - length % parts
     return size * k + F.greatest(k - short, F.lit(0)) + 1, size + F.when(k >= short, 1).otherwise(0)
 
 
-def _key(line: Column, length: Column, k: int, at: Column, size: Column, edits: int) -> Column:
+def _key(line: Column, length: Column, k: Column, at: Column, size: Column, edits: int) -> Column:
     """line: in UTF-32, where a place is found without a walk over the characters before it. The last bits tell the length, modulo _turn."""
-    return F.shiftleft(F.xxhash64(length, F.lit(k), F.substr(line, (at - 1) * 4 + 1, size * 4)), edits.bit_length()).bitwiseOR(length.bitwiseAND(F.lit(_turn(edits) - 1)).cast("long"))
+    return F.shiftleft(F.xxhash64(length, k, F.substr(line, (at - 1) * 4 + 1, size * 4)), edits.bit_length()).bitwiseOR(length.bitwiseAND(F.lit(_turn(edits) - 1)).cast("long"))
 
 
 def _turn(edits: int) -> int:
@@ -50,22 +49,23 @@ def _turn(edits: int) -> int:
     return 1 << edits.bit_length()
 
 
-def _index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*[_key(line, length, k, *_place(length, edits + 1, k), edits) for k in range(edits + 1)])
+def _index_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """lines: line (UTF-32), n, h. key, h for each segment. Segments are rows before their keys are made, so that the code for a key is there once and small enough to be compiled."""
+    each = lines.select("*", F.explode(F.expr(f"array({','.join(map(str, range(edits + 1)))})")).alias("k"))
+    return each.select(_key(F.col("line"), F.col("n"), F.col("k"), *_place(F.col("n"), edits + 1, F.col("k")), edits).alias("key"), "h")
 
 
-def _probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of the substrings that can equal a segment of a line shorter by 0 to `edits` characters.
+def _probe_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """key, h: keys of the substrings that can equal a segment of a line shorter by 0 to `edits` characters.
 
     Segment k (from 0) of the shorter line is displaced by at most k edits before it and, counted from the
     end, edits - k after it; of several matching segments the first that satisfies both is enough.
     """
-    keys = []
-    for less in range(edits + 1):
-        for k in range(edits + 1):
-            at, size = _place(length - less, edits + 1, k)
-            keys += [_key(line, length - less, k, at + shift, size, edits) for shift in range(-edits, edits + 1) if abs(shift) <= k and abs(shift - less) <= edits - k]
-    return F.array(*keys)
+    cells = [(less, k, shift) for less in range(edits + 1) for k in range(edits + 1) for shift in range(-edits, edits + 1) if abs(shift) <= k and abs(shift - less) <= edits - k]
+    each = lines.select("*", F.explode(F.expr(f"array({','.join(f'struct({x} as less, {k} as k, {y} as shift)' for x, k, y in cells)})")).alias("w"))
+    n, k = F.col("n") - F.col("w.less"), F.col("w.k")
+    at, size = _place(n, edits + 1, k)
+    return each.select(_key(F.col("line"), n, k, at + F.col("w.shift"), size, edits).alias("key"), "h")
 
 
 def _ways(edits: int) -> list[tuple]:
@@ -107,22 +107,30 @@ def _meeting(text: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     """hi, hp: lines that meet in a finer key of PAIRED rows or fewer; g, h, line: the key, and what it skips, of lines in a key of more.
 
     text: g, h, line, turns. Lines of different g don't meet. Bit k of turns: a line that meets this one may have a length of k modulo _turn.
+    Lines that differ in fewer segments than are skipped agree under several cuts. Only the cut that fills up with the first segments counts, so
+    that two lines meet once, and a key whose lines differ in too few of what it skips has no rows.
     """
     ways = _ways(edits)
     own = sum(not any(m) for _, _, m in ways)
     each = text.select("g", "h", "line", "turns", F.posexplode(_literal(ways)).alias("way", "w"))
     length = (F.char_length("line") - F.col("w.less")).bitwiseAND(F.lit(_turn(edits) - 1))
     met = (F.col("way") < own) | (F.call_function("shiftright", F.col("turns"), length).bitwiseAND(F.lit(1)) == 1)
-    rows = each.where(met).select(F.xxhash64("g", *_cut(F.col("line"), F.col("w"), edits)[0]).alias("key"), "g", "h", "way")
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("way").alias("least"))
-    rows = durable(rows.join(_sent(keys.where(f"lo <> hi and least < {own}").select("key", "n")), "key"))
-    few = rows.where(f"n <= {PAIRED}").select("key", "h", "way")
-    index, probe = few.where(f"way < {own}").select("key", F.col("h").alias("hi")), few.select("key", "way", F.col("h").alias("hp"))
-    pairs = index.join(probe, "key").where(f"hi <> hp and (way >= {own} or hi < hp)").select("hi", "hp")
-    many = rows.where(f"n > {PAIRED}").join(text.select("g", "h", "line"), ["g", "h"]).withColumn("w", F.element_at(_literal(ways), F.col("way") + 1))
     kept, rest = _cut(F.col("line"), F.col("w"), edits)
+    # null where skipped segment k is segment k: only there two lines of a key may be alike, as other cuts hold them too
+    differ = [F.when(F.get("w.skip", F.lit(k)) != k, F.xxhash64(rest[k])).alias(f"r{k}") for k in range(edits)]
+    rows = each.where(met).select(F.xxhash64("g", "w.skip", *kept).alias("key"), "g", "h", "way", *differ)
+    ends = [f(f"r{k}").alias(f"{n}{k}") for k in range(edits) for n, f in (("lo", F.min), ("hi", F.max))]
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("way").alias("least"), *ends)
+    apart = "".join(f" and (lo{k} is null or lo{k} <> hi{k})" for k in range(edits))
+    rows = durable(rows.join(_sent(keys.where(f"lo <> hi and least < {own}{apart}").select("key", "n")), "key"))
+    few = rows.where(f"n <= {PAIRED}")
+    index = few.where(f"way < {own}").select("key", F.col("h").alias("hi"), *[F.col(f"r{k}").alias(f"i{k}") for k in range(edits)])
+    probe = few.select("key", "way", F.col("h").alias("hp"), *[f"r{k}" for k in range(edits)])
+    apart = "".join(f" and (r{k} is null or r{k} <> i{k})" for k in range(edits))
+    pairs = index.join(probe, "key").where(f"hi <> hp and (way >= {own} or hi < hp){apart}").select("hi", "hp")
+    many = rows.where(f"n > {PAIRED}").join(text.select("g", "h", "line"), ["g", "h"]).withColumn("w", F.element_at(_literal(ways), F.col("way") + 1))
     # a line that is itself what a key left may stand in its group more than once: the key tells which one is meant
-    again = many.where(F.xxhash64("g", *kept) == F.col("key")).select(F.col("key").alias("g"), "h", F.concat_ws("\n", *rest).alias("line")).distinct()
+    again = many.where(F.xxhash64("g", "w.skip", *kept) == F.col("key")).select(F.col("key").alias("g"), "h", F.concat_ws("\n", *rest).alias("line")).distinct()
     return pairs, again
 
 
@@ -253,8 +261,7 @@ def _contested(lines: DataFrame, edits: int) -> DataFrame:
     one row a line and not one a pair. They have one row a key, so a table of them in memory has no hot key.
     """
     own = lines.select(F.encode("line", "UTF-32").alias("line"), F.char_length("line").alias("n"), F.xxhash64("line").alias("h"))
-    index = own.select(F.explode(_index_keys(F.col("line"), F.col("n"), edits)).alias("key"), "h")
-    probe = own.select(F.explode(_probe_keys(F.col("line"), F.col("n"), edits)).alias("key"), F.col("h").alias("hp"))
+    index, probe = _index_keys(own, edits), _probe_keys(own, edits).withColumnRenamed("h", "hp")
     ends = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     met = durable(ends.hint("shuffle_hash").join(probe, "key").where("lo <> hp or hi <> hp").select("key", "hp").distinct())
     keys = met.select("key").distinct()

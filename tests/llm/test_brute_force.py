@@ -228,3 +228,17 @@ def test_near_lines_of_one_template(spark, monkeypatch):
         assert all(distance(lines[a], lines[b], 2) <= 2 for a, b in found)
         assert roots(len(lines), found) == want
         assert len(found) < 60 * len(lines)
+
+
+def test_lines_that_differ_in_one_segment_meet_once(spark, monkeypatch):
+    """Lines of a small group agree under every cut that skips the one segment in which they differ; one of these cuts counts."""
+    kept = []
+    monkeypatch.setattr(line_dedup, "durable", lambda df, f=line_dedup.durable: kept.append(f(df)) or kept[-1])
+    base = "abcd efgh ijkl mnop qrst uvwx yzab cdef"
+    for at in (0, 9, 20, 39):
+        kept.clear()
+        lines = [base[:at] + c + base[at:] for c in "xyz"]
+        text = spark.createDataFrame([(0, k, x, 0) for k, x in enumerate(lines)], "g long, h long, line string, turns int")
+        pairs, again = line_dedup._meeting(text, 2)
+        assert sorted(map(tuple, pairs.collect())) == [(0, 1), (0, 2), (1, 2)]
+        assert kept[-1].count() == 3 and again.isEmpty()
