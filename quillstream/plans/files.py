@@ -206,7 +206,7 @@ def _seconds(c: str):
 SELECT start / 1000.0 AS start, (start + 900000) / 1000.0 AS "end", count(*) AS n FROM w GROUP BY start HAVING start + 900000 <= {_MARK}""")
 def streamed_windows(spark, d):
     """Windows of fifteen minutes every thirteen, those that a watermark of a day has passed."""
-    out = _streamed(spark, d, turns.sliding, "start timestamp, end timestamp, n long")
+    out = _streamed(spark, d, lambda e: turns.sliding(e, early=True), "start timestamp, end timestamp, n long")
     return out.select(_seconds("start"), _seconds("end"), "n")
 
 
@@ -215,5 +215,5 @@ n AS (SELECT user_id, s, sum((before IS NULL OR s - before >= 21600000)::INT) OV
 SELECT user_id, min(s) / 1000.0 AS start, (max(s) + 21600000) / 1000.0 AS "end", count(*) AS n FROM n GROUP BY user_id, k HAVING max(s) + 21600000 <= {_MARK}""")
 def streamed_sessions(spark, d):
     """Sessions of each user by a gap of six hours, those that a watermark of a day has passed."""
-    out = _streamed(spark, d, turns.sessions, "user_id long, start timestamp, end timestamp, n long")
+    out = _streamed(spark, d, lambda e: turns.sessions(e, early=True), "user_id long, start timestamp, end timestamp, n long")
     return out.select("user_id", _seconds("start"), _seconds("end"), "n")  # the log has thousandths

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Microseconds from the year 1 to 1970.
+_YEAR_1 = 62_135_596_800_000_000
+
 
 def stream_parquet(spark: SparkSession, path: str, files_a_batch: int | None = 16) -> DataFrame:
     """A stream of the files of a Parquet folder, or of a single file.
@@ -28,10 +31,24 @@ def stream_parquet(spark: SparkSession, path: str, files_a_batch: int | None = 1
     return reader.parquet(path)
 
 
-def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day", key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Sessions by gap; a session ends when the watermark passes it. Unlike turns, only the gap counts."""
-    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+def _moved(spark: SparkSession, step: str, early: bool) -> int:
+    """Microseconds, a whole number of steps, by which times from the year 1 on lie after 1970; 0 if not `early`."""
+    if not early:
+        return 0
+    one = spark.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {step})").first()[0]
+    return -(-_YEAR_1 // one) * one
+
+
+def _later(c: str, micros: int):
+    return F.timestamp_micros(F.unix_micros(F.col(c).cast("timestamp")) + F.lit(micros).cast("long"))
+
+
+def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day", key: str = "user_id", ts: str = "ts", early: bool = False) -> DataFrame:
+    """Sessions by gap; a session ends when the watermark passes it. Unlike turns, only the gap counts. early: as for `sliding`."""
+    by = _moved(events.sparkSession, gap, early)
+    events = events.withColumn(ts, _later(ts, by))
+    counted = events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(key, _later("session_window.start", -by).alias("start"), _later("session_window.end", -by).alias("end"), "n")
 
 
 def _turns(gap: float):
@@ -69,10 +86,16 @@ def turns(events: DataFrame, gap: float, late: str = "1 hour") -> DataFrame:
     return rows.groupBy("user").applyInPandasWithState(_turns(gap), kinds, "kind string, start double, end double, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def sliding(events: DataFrame, width: str = "900 seconds", step: str = "780 seconds", late: str = "1 day", ts: str = "ts") -> DataFrame:
-    """start, end, n of overlapping windows; one is told when the watermark passes its end."""
-    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width, step)).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")
+def sliding(events: DataFrame, width: str = "900 seconds", step: str = "780 seconds", late: str = "1 day", ts: str = "ts", early: bool = False) -> DataFrame:
+    """start, end, n of overlapping windows; one is told when the watermark passes its end.
+
+    A watermark begins at 1970 and drops what ended before. early: such events count too, as times are moved while they are
+    counted; the stream can't be joined then with others whose watermarks aren't moved.
+    """
+    by = _moved(events.sparkSession, step, early)
+    events = events.withColumn(ts, _later(ts, by))
+    counted = events.withWatermark(ts, late).groupBy(F.window(ts, width, step)).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(_later("window.start", -by).alias("start"), _later("window.end", -by).alias("end"), "n")
 
 
 def refresh(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
