@@ -1,7 +1,7 @@
 """A stored full-text index: postings by term and document range with block maxima, and exact top-k by block-max pruning.
 
-Documents are dealt to ranges of WIDTH. A block holds a term's postings in one range, so it is bounded however frequent the term, and
-knows the greatest part that one of them can add to a score. Questions, many at once, first sum those maxima by range; the
+Documents are dealt to ranges of WIDTH. A block holds a term's postings in one range, as places in the range and counts, so it is bounded
+however frequent the term, and knows the postings of which one can add most to a score. Ids and lengths stand once for a range. Questions, many at once, first sum those maxima by range; the
 most promising ranges are scored, and then only ranges that may still beat a question's k-th best score are read.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,13 +22,16 @@ WIDTH = 1024
 SEEDS = 2
 #: Questions that meet a range in one task; rows of which a task cuts the words at once, and their bytes, about.
 LOT, ROWS, BYTES = 4096, 256, 4 << 20
+#: Rows of terms or ranges up to which blocks are picked without a shuffle.
+FEW = 200_000
 _SLACK = 1e-6
 _INK = np.zeros(256, bool)
 _INK[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 
 
-_BLOCKS = pa.schema([("term", pa.string()), ("range", pa.int64()), ("ids", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("ns", pa.list_(pa.int32()))])
-_BLOCKS_DDL = "term string, range long, ids array<long>, at array<int>, tfs array<int>, ns array<int>"
+_LISTS = {"at": pa.int32(), "tfs": pa.int32(), "top_tfs": pa.int32(), "top_ns": pa.int32(), "ids": pa.int64(), "ns": pa.int32()}
+_BLOCKS = pa.schema([("term", pa.string()), ("range", pa.int64()), ("df", pa.int64()), *((k, pa.list_(x)) for k, x in _LISTS.items())])
+_BLOCKS_DDL = "term string, range long, df long, at array<int>, tfs array<int>, top_tfs array<int>, top_ns array<int>, ids array<long>, ns array<int>"
 
 
 def _counted(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,24 +60,33 @@ def _counted(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
 
 
 def _invert(width: int):
-    """Blocks of a task's documents, a range of `width` at a time; a row without a term holds all of a range's lengths."""
+    """Blocks of a task's documents, a range of `width` at a time, in the order of the terms; a row without a term holds a range's ids and lengths.
+
+    A posting that has no larger count than a shorter document of its block can't add most, whatever the average length: the others are the block's tops.
+    """
 
     def block(number: int, held: list) -> pa.RecordBatch:
         ids, words = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[5] for x in held])
         first = np.cumsum([0, *(len(x[0]) for x in held)])
         coded = pa.concat_arrays([x[1] for x in held]).dictionary_encode()
-        of, base = coded.indices.to_numpy(), np.cumsum([0, *(len(x[1]) for x in held)])
+        n = len(coded.dictionary)
+        sorted_ = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(n, np.int64)
+        rank[sorted_] = np.arange(n)
+        of, base = rank[coded.indices.to_numpy()], np.cumsum([0, *(len(x[1]) for x in held)])
         term = np.concatenate([of[b + x[3]] for x, b in zip(held, base)])
         row = np.concatenate([x[2] + f for x, f in zip(held, first)])
-        tfs = np.concatenate([x[4] for x in held])
+        tfs = np.concatenate([x[4] for x in held]).astype(np.int64)
         order = np.lexsort((row, term))
-        row, tfs, n = row[order], tfs[order], len(coded.dictionary)
-        ends = np.append(np.searchsorted(term[order], np.arange(n + 1)), 0)
-        ends[-1] = ends[-2] + len(words)
-        offsets, rows = pa.array(ends, pa.int32()), np.append(row, np.arange(len(words)))
-        cells = (ids.take(pa.array(rows)), pa.array(rows, pa.int32()), pa.array(np.append(tfs, np.zeros(len(words), np.int64)), pa.int32()), pa.array(words[rows], pa.int32()))
-        terms = pa.concat_arrays([coded.dictionary, pa.array([None], pa.string())])
-        return pa.RecordBatch.from_arrays([terms, pa.array(np.full(n + 1, number), pa.int64()), *(pa.ListArray.from_arrays(offsets, x) for x in cells)], schema=_BLOCKS)
+        best = np.lexsort((-tfs, words[row], term))
+        most = np.maximum.accumulate(term[best] << 32 | tfs[best])
+        tops = best[np.append(True, most[1:] > most[:-1])[: len(best)]]
+        ends, top_ends = (np.append(np.searchsorted(x, np.arange(n + 1)), len(x)) for x in (term[order], term[tops]))
+        one = np.append(np.zeros(n + 1, np.int64), len(words))
+        cells = {"at": (ends, row[order]), "tfs": (ends, tfs[order]), "top_tfs": (top_ends, tfs[tops]), "top_ns": (top_ends, words[row[tops]]), "ids": (one, ids), "ns": (one, words)}
+        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, _LISTS[k])) for k, (e, x) in cells.items()]
+        terms = pa.concat_arrays([coded.dictionary.take(pa.array(sorted_)), pa.array([None], pa.string())])
+        return pa.RecordBatch.from_arrays([terms, pa.array(np.full(n + 1, number), pa.int64()), pa.array(np.diff(ends), pa.int64()), *lists], schema=_BLOCKS)
 
     def run(it):
         number, seen, held = TaskContext.get().partitionId() << 32, 0, []
@@ -96,24 +109,38 @@ def _invert(width: int):
 
 
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> None:
-    """Writes the index of `docs` under `path`: documents, postings (sorted by term, so that a reader skips what it doesn't ask for), terms, stats.
+    """Writes the index of `docs` under `path`: postings in blocks, with the ranges' documents, terms, stats.
 
     Null texts have no terms, but count as documents. Rows without an id and repeated rows are documents of their own. Tasks count
-    terms and put blocks together range by range, so that what is shuffled are blocks and not postings.
+    terms and put blocks together range by range; blocks stay where they were made,
+    so that only counts of terms are shuffled.
     """
     spark = docs.sparkSession
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(text_col)).alias("t"))
-    thin.mapInArrow(_invert(width), _BLOCKS_DDL).write.parquet(f"{path}/documents")
-    every = spark.read.parquet(f"{path}/documents")
-    lengths = every.where("term is null").select(F.explode("ns").alias("n"))
+    thin.mapInArrow(_invert(width), _BLOCKS_DDL).write.parquet(f"{path}/postings")
+    lengths = _blocks(spark, path).where("term is null").select(F.explode("ns").alias("n"))
     lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_n")).coalesce(1).write.parquet(f"{path}/stats")
-    avg = spark.read.parquet(f"{path}/stats").first().avg_n or 1.0
-    part = lambda x: x["tfs"] * (K1 + 1) / (x["tfs"] + K1 * (1 - B + B * x["ns"] / F.lit(avg)))
-    # a row is a term in a range: WIDTH postings at most
-    postings = F.transform(F.arrays_zip("ids", "at", "tfs", "ns"), lambda x: F.struct(x["ids"].alias("id"), x["at"].alias("at"), part(x).alias("part")))
-    blocks = every.where("term is not null").repartitionByRange("term", "range").sortWithinPartitions("term", "range").select("term", "range", F.size("ids").cast("long").alias("df"), postings.alias("postings"))
-    blocks.select("term", "range", "df", F.array_max(F.transform("postings", lambda p: p["part"])).alias("best"), "postings").write.parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum("df").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    _blocks(spark, path).where("term is not null").groupBy("term").agg(F.sum("df").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_BLOCKS_DDL).parquet(f"{path}/postings")
+
+
+def _stats(spark: SparkSession, path: str) -> tuple[int, float]:
+    """Documents, and their average length."""
+    row = spark.read.parquet(f"{path}/stats").first()
+    return row.docs, row.avg_n or 1.0
+
+
+def _part(tf, n, avg: float):
+    """What a posting adds to a score, without its term's weight: columns or arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / avg))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A frame of short rows, sent to all tasks if there are FEW at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def bounds(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
@@ -121,37 +148,46 @@ def bounds(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
 
     Postings themselves aren't read. Terms that no document has, and null or empty term lists, add nothing.
     """
+    from .shared import durable
+
     asked = questions.select("question", F.explode(F.array_distinct("terms")).alias("term"))
-    n = spark.read.parquet(f"{path}/stats").first().docs
-    df = F.col("df")
-    known = asked.join(spark.read.parquet(f"{path}/terms"), "term").select("question", "term", F.ln(1 + (F.lit(n) - df + 0.5) / (df + 0.5)).alias("idf"))
-    blocks = spark.read.parquet(f"{path}/postings").select("term", "range", "best")
-    return known.join(blocks, "term").select("question", "term", "idf", "range", (F.col("idf") * F.col("best")).alias("most"))
+    n, avg = _stats(spark, path)
+    top = F.transform(F.arrays_zip("top_tfs", "top_ns"), lambda x: _part(x["top_tfs"], x["top_ns"], F.lit(avg)))
+    terms, df = _few(durable(asked.select("term").distinct())), F.col("df")
+    known = spark.read.parquet(f"{path}/terms").join(terms, "term", "left_semi").select("term", F.ln(1 + (F.lit(n) - df + 0.5) / (df + 0.5)).alias("idf"))
+    own = _blocks(spark, path).join(terms, "term", "left_semi").select("term", "range", F.array_max(top).alias("best"))
+    blocks = asked.join(known, "term").join(own, "term")
+    return blocks.select("question", "term", "idf", "range", (F.col("idf") * F.col("best")).alias("most"))
 
 
 def _scored(spark: SparkSession, path: str, wanted: DataFrame, keep: int) -> DataFrame:
     """question, id, score of the `keep` best of the wanted blocks (question, term, idf, range).
 
-    A range's blocks meet LOT questions, about, in one task, whoever asks for them; only a question's best of a range leave it.
+    A range's blocks meet LOT questions, about, in one task, whoever asks for them; only a question's best of a range leave it. Only blocks
+    of terms that are asked for are shuffled, once. Of many blocks some may come that no question of the lot wants in that range; they are passed over.
     """
     from .shared import durable
 
     wanted = durable(wanted)
     lots = -(-wanted.select("question").distinct().count() // LOT) or 1
     wanted = wanted.withColumn("lot", F.pmod(F.xxhash64("question"), F.lit(lots)))
-    postings = spark.read.parquet(f"{path}/postings").select("term", "range", "postings")
-    blocks = postings.join(wanted.select("term", "range", "lot").distinct(), ["term", "range"]).select("term", F.col("range").alias("r"), "postings", F.col("lot").alias("l"))
+    every, avg = _blocks(spark, path).select("term", "range", "at", "tfs", "ids", "ns"), _stats(spark, path)[1]
+    pairs = durable(wanted.select("range", "lot").distinct())
+    needed = durable(wanted.select("term", "range", "lot").distinct())
+    if needed.count() <= FEW:
+        blocks = every.join(F.broadcast(needed), ["term", "range"])
+    else:
+        blocks = every.join(_few(durable(wanted.select("term").distinct())), "term", "left_semi").join(_few(pairs), "range")
+    own_docs = every.where("term is null").join(_few(pairs), "range")
+    blocks = blocks.select(*(x := ("term", F.col("range").alias("r"), "at", "tfs", "ids", "ns", F.col("lot").alias("l")))).unionByName(own_docs.select(*x))
     kind = spark.createDataFrame([], wanted.select("question").schema).withColumns({"id": F.lit(None).cast("long"), "score": F.lit(None).cast("double")}).schema
 
     def score(own: pa.Table, asked: pa.Table) -> pa.Table:
-        lists = own["postings"].combine_chunks()
-        values, ends = lists.flatten(), np.cumsum([0, *lists.value_lengths().to_pylist()])
-        ids, at, part = values.field("id"), values.field("at").to_numpy(), values.field("part").to_numpy()
+        lists = {k: own[k].combine_chunks() for k in ("at", "tfs", "ids", "ns")}
+        at, tfs, ns = (lists[k].flatten().to_numpy() for k in ("at", "tfs", "ns"))
+        ids, ends, part = lists["ids"].flatten(), np.cumsum([0, *lists["at"].value_lengths().to_pylist()]), _part(tfs, ns[at], avg)
         places = {t: slice(a, b) for t, a, b in zip(own["term"].to_pylist(), ends, ends[1:])}
-        width = int(at.max(initial=-1)) + 1
-        place = np.zeros(width, np.int64)
-        place[at] = np.arange(len(at))
-        coded, sums, whose, found, scores = asked["question"].combine_chunks().dictionary_encode(null_encoding="encode"), np.zeros(width), [], [], []
+        coded, sums, whose, found, scores = asked["question"].combine_chunks().dictionary_encode(null_encoding="encode"), np.zeros(len(ns)), [], [], []
         of, terms, idfs = coded.indices.to_numpy(), asked["term"].to_pylist(), asked["idf"].to_numpy()
         order = np.argsort(of, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []:
@@ -163,7 +199,7 @@ def _scored(spark: SparkSession, path: str, wanted: DataFrame, keep: int) -> Dat
             if len(best) > keep:  # scores that may be equal after rounding stay
                 best = best[sums[best] >= np.partition(sums[best], -keep)[-keep] - 1e-8]
             whose.append(np.full(len(best), of[rows[0]]))
-            found.append(place[best])
+            found.append(best)
             scores.append(sums[best])
         join = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
         return pa.table({"question": coded.dictionary.take(pa.array(join(whose, np.int64))), "id": ids.take(pa.array(join(found, np.int64))), "score": pa.array(join(scores, float))})

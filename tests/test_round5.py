@@ -19,3 +19,26 @@ def test_windows_and_sessions_before_1970(spark, tmp_path):
     for name, same in (("streamed_windows", lambda r: r), ("streamed_sessions", lambda r: (round(r[0]), *r[1::2]))):
         got = rows_of(catalog.queries()[name](spark, str(tmp_path)))
         assert any(r[0] < 0 for r in got) and sorted(map(same, got)) == sorted(map(same, rows_of_sql(con, catalog.oracle_sql()[name]))), name
+
+
+def test_postings_of_the_index_are_not_shuffled_whole(spark, tmp_path, monkeypatch):
+    """Bytes of shuffles stay below those of the texts; both ways to pick blocks find what a scan does."""
+    from quillstream.operators import fulltext, search
+
+    words = 400
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("w"), F.floor(F.pow(F.pmod(F.xxhash64("id", k), F.lit(10_000)) / 10_000, F.lit(2)) * words))), " ")
+    docs = spark.range(6000, numPartitions=4).select("id", text.alias("text"))
+    size = docs.agg(F.sum(F.length("text"))).first()[0]
+    executors = lambda: (x := spark.sparkContext._jsc.sc().statusStore().executorList(False), range(x.size()))
+    written = lambda: sum(x.apply(k).totalShuffleWrite() for x, r in [executors()] for k in r)
+    before = written()
+    fulltext.build(docs, f"{tmp_path}/i", "id", "text", width=256)
+    questions = spark.createDataFrame([(1, ["w0", "w7"]), (2, ["w3", "w390"]), (3, ["w399"])], "question long, terms array<string>")
+    rows = lambda: [tuple(r)[:3] for r in fulltext.search(spark, f"{tmp_path}/i", questions, 5)[0].orderBy("question", "rank").collect()]
+    got = rows()
+    assert written() - before < size / 2, (written() - before, size)
+    monkeypatch.setattr(fulltext, "FEW", 0)
+    assert rows() == got
+    for q, terms in ((1, ["w0", "w7"]), (2, ["w3", "w390"]), (3, ["w399"])):
+        scan = search.top(search.bm25(docs, terms, "id"), 5)
+        assert [r[1:] for r in got if r[0] == q] == [(r.id, r.score) for r in scan.orderBy("rank").collect()]
